@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, chat, mixing, quality, urls, warc
+from spanloom.llm import bpe, chat, mixing, neardup, quality, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -9,6 +9,7 @@ QUERIES = {
         warc.op2_warc,
         mixing.op3_mix_sources,
         quality.op5_quality_rules,
+        neardup.op6_ngram_jaccard,
         urls.op8_url_filters,
         bpe.op10_byte_bpe,
     )
