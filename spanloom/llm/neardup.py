@@ -16,8 +16,8 @@ So no linked pair is missed, whatever class a token is put into; classes only go
 that at least tau documents have, counted over all tokens of all documents (by 32 bits of their hashes). tau follows from the
 total number of tokens so that there are at most 2**22 frequent tokens: that list (16 MB at most) is broadcast.
 
-Candidates: within the classes that share an index entry, each is first compared with the entry's smallest class (a star: as many pairs as members). Verified
-links are closed to components, and then only members of one entry that are still in different components are compared with each other. After
+Candidates: within the classes that share an index entry, each is first compared with the entry's smallest class of about its size (a star: as many
+pairs as members). A pair whose sizes or set bitmaps already rule a link out is dropped; of the others, whole sets are compared. Verified links are closed to components, and then only members of one entry that are still in different components are compared with each other. After
 that all pairs that share an entry have been compared or are known to be connected, so components are exact.
 
 Defined results: a null text or one without words has an empty set (n_shingles 0) and links with nothing; fewer than five words make one
@@ -67,17 +67,28 @@ def class_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def outline(s: np.ndarray) -> bytes:
+    """A bitmap of a set: one bit per token by its highest bits, 2 to 4 bits for each token, a power of two in all."""
+    bits = max(3, (2 * len(s) - 1).bit_length())
+    out = np.zeros(1 << bits, bool)
+    out[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def keyed_docs(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(id, key, n): class and set size of each document; key is null for empty sets."""
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    """(id, hash, key, n, bits): text hash, class, set size and set bitmap of each document; key is null for empty sets."""
+    src = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = sets_of(part.column(1), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "key", "n"])
+                sets = sets_of(part.column(2), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([outline(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["id", "hash", "key", "n", "bits"],
+                )
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key bigint, n bigint")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, hash bigint, key bigint, n bigint, bits binary")
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -172,7 +183,11 @@ def entries(s: np.ndarray, frequent: np.ndarray, part: int = PART, of: int = OF)
 
 
 def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
-    """(sig, key): index entries that at least two classes share (combinations: possibly shared)."""
+    """(sig, key): index entries that at least two classes share (combinations: possibly shared).
+
+    Single tokens are dealt by ranges of their hashes; none is in more than tau documents. Combinations may be in any number of documents, so they
+    are not gathered by entry but dealt at random.
+    """
     spark, bits = docs.sparkSession, _bits(total // 4)
     held_frequent = spark.sparkContext.broadcast(frequent)
 
@@ -205,7 +220,8 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
                     if len(two):
                         pairs.append((two, np.full(len(two), key, np.int64)))
                 if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([p[0] for p in pairs]).tobytes()], pa.binary()), pa.array([np.concatenate([p[1] for p in pairs]).tobytes()], pa.binary())], names=["bucket", "sigs", "keys"])
+                    spread = -1 - (int(pairs[0][1][0]) & 0xFFFF)
+                    yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), pa.array([np.concatenate([p[0] for p in pairs]).tobytes()], pa.binary()), pa.array([np.concatenate([p[1] for p in pairs]).tobytes()], pa.binary())], names=["bucket", "sigs", "keys"])
                 if n >= _FLUSH:
                     yield from flush()
                     sigs, keys, n = [], [], 0
@@ -215,6 +231,8 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
     def shared(table: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("sigs")])
         key = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"sig": pa.array(sig.view(np.int64)), "key": pa.array(key)})
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
         new = np.ones(len(sig), bool)
@@ -229,25 +247,20 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
         keep = np.repeat(one & (size > 1), size)
         return pa.table({"sig": pa.array(sig[keep].view(np.int64)), "key": pa.array(key[keep])})
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, k_ in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), np.int64)), pa.array(np.frombuffer(k_.as_py(), np.int64))], names=["sig", "key"])
-
-    made = durable(docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, sigs binary, keys binary"))
-    singles = made.filter("bucket >= 0").groupBy("bucket").applyInArrow(shared, "sig bigint, key bigint")
-    pairs = made.filter("bucket < 0").select("sigs", "keys").mapInArrow(unpacked, "sig bigint, key bigint")
-    out = durable(singles.unionByName(pairs))
-    discard(made)
-    return out
+    made = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, sigs binary, keys binary")
+    return durable(made.groupBy("bucket").applyInArrow(shared, "sig bigint, key bigint"))
 
 
-def groups(raw: DataFrame) -> DataFrame:
-    """(sig, key, lead) of entries with two classes or more, one entry for each list of members; lead is the smallest."""
+def groups(raw: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
+    """(sig, key, n, lead) of entries with two classes or more, one entry for each list of members. lead is the smallest class
+    of the entry within one band of sizes (a factor of/part each)."""
     own = raw.distinct()
-    lists = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lead"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
-    one = durable(lists.groupBy("m", "lead", "x", "y").agg(F.min("sig").alias("sig")).select(F.col("sig").alias("__s"), "lead"))
-    return durable(raw.join(one, F.col("sig") == F.col("__s")).select("sig", "key", "lead").distinct())
+    lists = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
+    one = durable(lists.groupBy("m", "lo", "x", "y").agg(F.min("sig").alias("sig")).select(F.col("sig").alias("__s")))
+    kept = own.join(one, F.col("sig") == F.col("__s"), "left_semi").join(classes.select(F.col("key").alias("__k"), "n"), F.col("key") == F.col("__k"))
+    kept = durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
+    leads = durable(kept.groupBy(F.col("sig").alias("__s"), F.col("band").alias("__b")).agg(F.min("key").alias("lead")))
+    return durable(kept.join(leads, (F.col("sig") == F.col("__s")) & (F.col("band") == F.col("__b"))).select("sig", "key", "n", "lead"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -278,30 +291,56 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
 
 
-def sets_for(docs: DataFrame, text: str, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(key, tokens binary): the sets of the classes in ``wanted`` (column key) and of a few more, one row each.
+def promising(pairs: DataFrame, outlines: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule a link out: a token whose bit the other set lacks isn't shared.
 
-    The bitmap keeps the sets of other documents out of the shuffle; the join that follows is what decides.
+    Bitmaps of different lengths are compared at the shorter one's (a bit there stands for a run of bits of the longer).
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                r, s = (np.unpackbits(np.frombuffer(z.as_buffer(), np.uint8)) for z in (x, y))
+                m, n = int(sizes[0][i]), int(sizes[1][i])
+                low = min(len(r), len(s))
+                r2, s2 = r.reshape(low, -1).any(axis=1), s.reshape(low, -1).any(axis=1)
+                both = min(m - int((r2 & ~s2).sum()), n - int((s2 & ~r2).sum()))
+                keep[i] = of * both >= part * (m + n - both)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    left, right = (outlines.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("x" + c)) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
+
+def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(key, tokens binary): the sets of the classes in pairs, one row each.
+
+    A bitmap of text hashes keeps the texts of other documents out of what follows; the join is what decides.
+    """
+    wanted = durable(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    hashes = classes.join(wanted, "key", "left_semi").select("hash")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = bits.value, set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(_BITMAP - 1)
+            hit = have[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            for part in slices(batch.filter(pa.array(hit.astype(bool))), "text"):
                 keys, data = [], []
-                for s in sets_of(part.column(0), k):
-                    if len(s) and (key := class_key(s)) not in seen:
-                        at = key & (_BITMAP - 1)
-                        if have[at >> 3] >> (at & 7) & 1:
-                            seen.add(key)
-                            keys.append(key)
-                            data.append(s.tobytes())
+                for h, s in zip(part.column(0).to_pylist(), sets_of(part.column(1), k), strict=True):
+                    if h not in seen and len(s):
+                        seen.add(h)
+                        keys.append(class_key(s))
+                        data.append(s.tobytes())
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["key", "tokens"])
 
-    got = docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, tokens binary")
-    return durable(got.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    got = docs.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).mapInArrow(run, "key bigint, tokens binary")
+    return durable(got.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
@@ -324,43 +363,42 @@ def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
-def fitting(pairs: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
-    """The pairs (a, b) whose sizes alone don't rule a link out."""
-    sized = pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(classes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.filter(of * F.least("na", "nb") >= part * F.greatest("na", "nb")).select("a", "b")
-
-
-def class_links(docs: DataFrame, text: str, classes: DataFrame, total: int, k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
+def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFrame, total: int, k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
     """(a, b): links between classes that close to the exact components."""
     frequent, _ = frequent_tokens(docs, text, total, k)
     raw = index(docs, text, frequent, total, k, part, of)
-    group = groups(raw)
+    group = groups(raw, classes, part, of)
     discard(raw)
-    star = durable(fitting(group.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), classes, part, of))
-    sets = sets_for(docs, text, group.select("key").distinct(), k)
-    links = durable(verify(star, sets, part, of))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        some = durable(promising(pairs, outlines, part, of))
+        return durable(verify(some, sets_for(docs, text, classes, some, k), part, of))
+
+    star = durable(group.filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
+    links = compared(star)
     comp = components(links)
-    placed = group.select("sig", "key").join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
+    placed = group.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").select("sig", "key", "n", F.coalesce("comp", "key").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("sig").alias("__s"))
     placed = durable(placed.join(mixed, F.col("sig") == F.col("__s"), "left_semi"))
-    other = placed.select("sig", F.col("key").alias("b"), F.col("comp").alias("cb"))
-    across = placed.select("sig", F.col("key").alias("a"), F.col("comp").alias("ca")).join(other, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-    across = durable(fitting(across, classes, part, of).join(star, ["a", "b"], "left_anti"))
-    return links.unionByName(durable(verify(across, sets, part, of)))
+    left, right = (placed.select("sig", F.col("key").alias(c), F.col("n").alias("n" + c), F.col("comp").alias("c" + c)) for c in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (of * F.least("na", "nb") >= part * F.greatest("na", "nb"))
+    across = left.join(right, (left["sig"] == right["sig"]) & fits).select("a", "b").distinct()
+    return links.unionByName(compared(across.join(star, ["a", "b"], "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
     """(key, n_shingles, component_id) for every document: the smallest id reachable by links, itself included."""
     keyed = durable(keyed_docs(docs, key, text, k))
     total = keyed.agg(F.sum("n")).first()[0] or 0
-    classes = durable(keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    comp = components(class_links(docs, text, classes, total, k, part, of))
+    classes = durable(keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
+    outlines = durable(keyed.select("hash", "n", "bits").dropDuplicates(["hash"]).join(classes.select("hash", "key"), "hash").select("key", "n", "bits"))
+    comp = components(class_links(docs, text, classes, outlines, total, k, part, of))
     placed = classes.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"), F.sum("copies").alias("docs"))
     # alone: the id is its own component and needs no lookup
     named = placed.join(least.filter("docs > 1"), "comp").select("key", "component_id", "copies")
     named = durable(named)
-    rows = lookup(keyed, named, "key", "copies", keyed.count())
+    rows = lookup(keyed.select("id", "key", "n"), named, "key", "copies", keyed.count())
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
