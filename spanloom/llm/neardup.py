@@ -16,8 +16,8 @@ So no linked pair is missed, whatever class a token is put into; classes only go
 that at least tau documents have, counted over all tokens of all documents (by 32 bits of their hashes). tau follows from the
 total number of tokens so that there are at most 2**22 frequent tokens: that list (16 MB at most) is broadcast.
 
-Candidates: within the classes that share an index entry, each is first compared with the entry's smallest class of about its size (a star: as many
-pairs as members). A pair whose sizes or set bitmaps already rule a link out is dropped; of the others, whole sets are compared. Verified links are closed to components, and then only members of one entry that are still in different components are compared with each other. After
+Candidates: within the classes that share an index entry, each is first compared with one class of about its size (a star: as many
+pairs as members; twice, with different centres). A pair whose sizes or set bitmaps already rule a link out is dropped; of the others, whole sets are compared. Verified links are closed to components, and then only members of one entry that are still in different components are compared with each other. After
 that all pairs that share an entry have been compared or are known to be connected, so components are exact.
 
 Defined results: a null text or one without words has an empty set (n_shingles 0) and links with nothing; fewer than five words make one
@@ -44,6 +44,8 @@ SHINGLE = 5
 PART, OF = 75, 100
 FREQUENT = 1 << 22
 LEAST_FREQUENT = 64
+#: Rounds of stars before the members of an entry that are still apart are all compared.
+TURNS = 2
 #: Tokens of a task that are sorted at once.
 _FLUSH = 1 << 21
 
@@ -252,15 +254,86 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
 
 
 def groups(raw: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
-    """(sig, key, n, lead) of entries with two classes or more, one entry for each list of members. lead is the smallest class
-    of the entry within one band of sizes (a factor of/part each)."""
+    """(sig, key, n, band) of entries with two classes or more, one entry for each list of members. Sets of one band differ by less
+    than a factor of/part in size."""
     own = raw.distinct()
     lists = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
     one = durable(lists.groupBy("m", "lo", "x", "y").agg(F.min("sig").alias("sig")).select(F.col("sig").alias("__s")))
     kept = own.join(one, F.col("sig") == F.col("__s"), "left_semi").join(classes.select(F.col("key").alias("__k"), "n"), F.col("key") == F.col("__k"))
-    kept = durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
-    leads = durable(kept.groupBy(F.col("sig").alias("__s"), F.col("band").alias("__b")).agg(F.min("key").alias("lead")))
-    return durable(kept.join(leads, (F.col("sig") == F.col("__s")) & (F.col("band") == F.col("__b"))).select("sig", "key", "n", "lead"))
+    return durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
+
+
+def stars(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each entry and band, one class (another each turn) with all those of other components: as many pairs as members."""
+    first = F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key").alias("lead"), F.col("comp").alias("lead_comp")))
+    leads = durable(placed.groupBy(F.col("sig").alias("__s"), F.col("band").alias("__b")).agg(first.alias("f")).select("__s", "__b", "f.lead", "f.lead_comp"))
+    rays = placed.join(leads, (F.col("sig") == F.col("__s")) & (F.col("band") == F.col("__b"))).filter("comp <> lead_comp")
+    return durable(rays.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
+
+
+#: Members of an entry that are compared with each other in one piece.
+_CHUNK = 2048
+
+
+def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
+    """(a, b): the pairs of classes that share an entry and are in different components, but for those that sizes or bitmaps
+    rule out; each pair once.
+
+    The members of an entry are compared in place, by products of their bitmap matrices, and only what is left becomes rows. Entries
+    with many members are cut into chunks, and every pair of chunks is a piece of work of its own. A pair that shares
+    several entries belongs to the smallest.
+    """
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select(F.col("sig").alias("__s"), F.ceil(F.col("m") / _CHUNK).cast("int").alias("c"))
+    rows = durable(placed.join(mixed, F.col("sig") == F.col("__s")).select("sig", "key", "n", "comp", "c"))
+    lists = rows.groupBy(F.col("key").alias("__k")).agg(F.sort_array(F.collect_set("sig")).alias("sigs")).join(outlines.select("key", "bits"), F.col("__k") == F.col("key")).drop("key")
+    full = rows.join(durable(lists), F.col("key") == F.col("__k"))
+    own = F.pmod(F.xxhash64("key"), F.col("c")).cast("int")
+    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    full = full.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    pieces = max(16, rows.count() // 8192)
+    full = full.withColumn("piece", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(pieces)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig, key, n, comp, i, j, own_ = (table.column(x).to_numpy() for x in ("sig", "key", "n", "comp", "i", "j", "own"))
+        bits, sigs = table.column("bits").combine_chunks(), table.column("sigs").combine_chunks()
+        order = np.lexsort((own_, j, i, sig))
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True]]))
+        out_a, out_b = [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            whole_ = i[at[0]] == j[at[0]]
+            length = np.array([len(bits[int(x)].as_buffer()) for x in at])
+            for short in np.unique(length):
+                left = at[length == short]
+                maps = _matrix(bits, left, int(short))
+                for long in (short, 2 * short):
+                    right = at[length == long]
+                    if not len(right):
+                        continue
+                    more = maps if long == short else _matrix(bits, right, int(short))
+                    both = maps @ more.T
+                    both = np.minimum(n[left][:, None] - maps.sum(1)[:, None] + both, n[right][None, :] - more.sum(1)[None, :] + both)
+                    ok = of * both >= part * (n[left][:, None] + n[right][None, :] - both)
+                    ok &= comp[left][:, None] != comp[right][None, :]
+                    if not whole_:
+                        ok &= own_[left][:, None] != own_[right][None, :]
+                    if long == short:
+                        ok = np.triu(ok, 1)
+                    for x, y in zip(*np.nonzero(ok), strict=True):
+                        x, y = int(left[x]), int(right[y])
+                        mine, its = sigs[x].values.to_numpy(), sigs[y].values.to_numpy()
+                        if np.intersect1d(mine, its, assume_unique=True)[0] == sig[x]:
+                            out_a.append(min(key[x], key[y]))
+                            out_b.append(max(key[x], key[y]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return full.select("piece", "sig", "key", "n", "comp", "i", "j", "own", "bits", "sigs").groupBy("piece").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _matrix(bits: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps as rows of 0 and 1, folded to ``size`` bytes."""
+    rows = np.stack([np.unpackbits(np.frombuffer(bits[int(x)].as_buffer(), np.uint8)) for x in at])
+    return rows.reshape(len(at), size * 8, -1).max(axis=2).astype(np.float32)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -374,16 +447,17 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
         some = durable(promising(pairs, outlines, part, of))
         return durable(verify(some, sets_for(docs, text, classes, some, k), part, of))
 
-    star = durable(group.filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
-    links = compared(star)
-    comp = components(links)
-    placed = group.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").select("sig", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("sig").alias("__s"))
-    placed = durable(placed.join(mixed, F.col("sig") == F.col("__s"), "left_semi"))
-    left, right = (placed.select("sig", F.col("key").alias(c), F.col("n").alias("n" + c), F.col("comp").alias("c" + c)) for c in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (of * F.least("na", "nb") >= part * F.greatest("na", "nb"))
-    across = left.join(right, (left["sig"] == right["sig"]) & fits).select("a", "b").distinct()
-    return links.unionByName(compared(across.join(star, ["a", "b"], "left_anti")))
+    placed, links, tried = group.withColumn("comp", F.col("key")), None, []
+    for turn in range(TURNS):
+        tried.append(stars(placed, turn))
+        found = compared(tried[-1])
+        links = found if links is None else links.unionByName(found)
+        comp = components(links)
+        placed = durable(group.join(comp.select(F.col("node").alias("__k"), "comp"), F.col("key") == F.col("__k"), "left").select("sig", "key", "n", "band", F.coalesce("comp", "key").alias("comp")))
+    rest = across(placed, outlines, part, of)
+    for pairs in tried:
+        rest = rest.join(pairs, ["a", "b"], "left_anti")
+    return links.unionByName(compared(rest))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
