@@ -279,25 +279,30 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
     """(a, b): the pairs of classes that share an entry and are in different components, but for those that sizes or bitmaps
     rule out; each pair once.
 
-    The members of an entry are compared in place, by products of their bitmap matrices, and only what is left becomes rows. Entries
+    Members are put into cells of two neighbouring bands, each pair of sizes that fits in one cell alone; cells without two
+    components fall away. The members of a cell are compared in place, by products of their bitmap matrices, and only what is left becomes rows. Cells
     with many members are cut into chunks, and every pair of chunks is a piece of work of its own. A pair that shares
     several entries belongs to the smallest.
     """
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select(F.col("sig").alias("__s"), F.ceil(F.col("m") / _CHUNK).cast("int").alias("c"))
-    rows = durable(placed.join(mixed, F.col("sig") == F.col("__s")).select("sig", "key", "n", "comp", "c"))
-    lists = rows.groupBy(F.col("key").alias("__k")).agg(F.sort_array(F.collect_set("sig")).alias("sigs")).join(outlines.select("key", "bits"), F.col("__k") == F.col("key")).drop("key")
-    full = rows.join(durable(lists), F.col("key") == F.col("__k"))
+    celled = placed.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("top", F.col("band") == F.col("cell"))
+    several = celled.groupBy(F.col("sig").alias("__s"), F.col("cell").alias("__c")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("top").alias("any"))
+    several = several.filter("lo <> hi and any").select("__s", "__c", F.ceil(F.col("m") / _CHUNK).cast("int").alias("c"))
+    rows = durable(celled.join(several, (F.col("sig") == F.col("__s")) & (F.col("cell") == F.col("__c"))).select("sig", "cell", "top", "key", "n", "comp", "c"))
+    lists = rows.groupBy(F.col("key").alias("__k"), F.col("cell").alias("__c")).agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    lists = durable(lists.join(outlines.select("key", "bits"), F.col("__k") == F.col("key")).drop("key"))
+    full = rows.join(lists, (F.col("key") == F.col("__k")) & (F.col("cell") == F.col("__c")))
     own = F.pmod(F.xxhash64("key"), F.col("c")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     full = full.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    full = full.withColumn("work", F.xxhash64("sig", "cell", "i", "j"))
     pieces = max(16, rows.count() // 8192)
-    full = full.withColumn("piece", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(pieces)))
+    full = full.withColumn("piece", F.pmod(F.col("work"), F.lit(pieces)))
 
     def compare(table: pa.Table) -> pa.Table:
-        sig, key, n, comp, i, j, own_ = (table.column(x).to_numpy() for x in ("sig", "key", "n", "comp", "i", "j", "own"))
+        work, sig, key, n, comp, i, j, own_, top = (table.column(x).to_numpy() for x in ("work", "sig", "key", "n", "comp", "i", "j", "own", "top"))
         bits, sigs = table.column("bits").combine_chunks(), table.column("sigs").combine_chunks()
-        order = np.lexsort((own_, j, i, sig))
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True]]))
+        order = np.argsort(work, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(work[order]) != 0, [True]]))
         out_a, out_b = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             at = order[lo:hi]
@@ -314,7 +319,7 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
                     both = maps @ more.T
                     both = np.minimum(n[left][:, None] - maps.sum(1)[:, None] + both, n[right][None, :] - more.sum(1)[None, :] + both)
                     ok = of * both >= part * (n[left][:, None] + n[right][None, :] - both)
-                    ok &= comp[left][:, None] != comp[right][None, :]
+                    ok &= (comp[left][:, None] != comp[right][None, :]) & (top[left][:, None] | top[right][None, :])
                     if not whole_:
                         ok &= own_[left][:, None] != own_[right][None, :]
                     if long == short:
@@ -327,7 +332,7 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
                             out_b.append(max(key[x], key[y]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return full.select("piece", "sig", "key", "n", "comp", "i", "j", "own", "bits", "sigs").groupBy("piece").applyInArrow(compare, "a bigint, b bigint")
+    return full.select("piece", "work", "sig", "key", "n", "comp", "i", "j", "own", "top", "bits", "sigs").groupBy("piece").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _matrix(bits: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
@@ -443,8 +448,8 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
     group = groups(raw, classes, part, of)
     discard(raw)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        some = durable(promising(pairs, outlines, part, of))
+    def compared(pairs: DataFrame, sure: bool = False) -> DataFrame:
+        some = durable(pairs if sure else promising(pairs, outlines, part, of))
         return durable(verify(some, sets_for(docs, text, classes, some, k), part, of))
 
     placed, links, tried = group.withColumn("comp", F.col("key")), None, []
@@ -457,7 +462,7 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
     rest = across(placed, outlines, part, of)
     for pairs in tried:
         rest = rest.join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(compared(rest))
+    return links.unionByName(compared(rest, True))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
