@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, chat, mixing, neardup, quality, urls, warc
+from spanloom.llm import bpe, chat, mixing, neardup, quality, suffixes, urls, vectors, warc
 
 QUERIES = {
     f.__name__: f
@@ -10,7 +10,9 @@ QUERIES = {
         mixing.op3_mix_sources,
         quality.op5_quality_rules,
         neardup.op6_ngram_jaccard,
+        vectors.op7_embedding_dedup,
         urls.op8_url_filters,
+        suffixes.op9_suffix_dedup,
         bpe.op10_byte_bpe,
     )
 }
