@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, chat, mixing, neardup, quality, suffixes, urls, vectors, warc
+from spanloom.llm import bpe, chat, html, mixing, neardup, quality, suffixes, urls, vectors, warc
 
 QUERIES = {
     f.__name__: f
@@ -8,6 +8,7 @@ QUERIES = {
         chat.op1_chat_format,
         warc.op2_warc,
         mixing.op3_mix_sources,
+        html.op4_html_extract,
         quality.op5_quality_rules,
         neardup.op6_ngram_jaccard,
         vectors.op7_embedding_dedup,
