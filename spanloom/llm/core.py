@@ -84,13 +84,50 @@ def lookup(big: DataFrame, small: DataFrame, on: str, weight: str, total: int) -
 # connected components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, comp) for every node of the undirected edges (a, b): comp is the smallest node it is connected with.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every round is two aggregations with partial
+#: Up to this many edges (two bigints each: 64 MB) are closed in one task; more are closed by rounds of joins.
+EDGES_IN_TASK = 1 << 22
+
+
+def _closed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node connected) of the edges."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        least = np.minimum(root[x], root[y])
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def components(edges: DataFrame, rounds: int = 60, in_task: int = EDGES_IN_TASK) -> DataFrame:
+    """(node, comp) for every node of the undirected edges (a, b) of bigints: comp is the smallest node it is connected with.
+
+    The tasks first reduce their own edges to a spanning forest. If what is left is no more than ``in_task`` edges, one task closes them; else
+    alternating large-star and small-star rounds (Kiveris et al. 2014): every round is two aggregations with partial
     sums and two joins; each round's edges are written to the shared folder. Ends when a round changes nothing.
     """
-    e = durable(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, root = _closed(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            some = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some])], names=["a", "b"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            node, root = _closed(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "comp"])
+
+    e = durable(edges.filter("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(forest, "a bigint, b bigint"))
+    if e.count() <= in_task:
+        return durable(e.coalesce(1).mapInArrow(close, "node bigint, comp bigint"))
+    e = durable(e.distinct())
     before = _mark(e)
     for _ in range(rounds):
         if not before[0]:

@@ -282,28 +282,27 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
     Members are put into cells of two neighbouring bands, each pair of sizes that fits in one cell alone; cells without two
     components fall away. The members of a cell are compared in place, by products of their bitmap matrices, and only what is left becomes rows. Cells
     with many members are cut into chunks, and every pair of chunks is a piece of work of its own. A pair that shares
-    several entries belongs to the smallest.
+    several entries is left once: within a piece at once, then among the packed lists of pairs that the pieces give.
     """
     celled = placed.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("top", F.col("band") == F.col("cell"))
     several = celled.groupBy(F.col("sig").alias("__s"), F.col("cell").alias("__c")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("top").alias("any"))
     several = several.filter("lo <> hi and any").select("__s", "__c", F.ceil(F.col("m") / _CHUNK).cast("int").alias("c"))
     rows = durable(celled.join(several, (F.col("sig") == F.col("__s")) & (F.col("cell") == F.col("__c"))).select("sig", "cell", "top", "key", "n", "comp", "c"))
-    lists = rows.groupBy(F.col("key").alias("__k"), F.col("cell").alias("__c")).agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-    lists = durable(lists.join(outlines.select("key", "bits"), F.col("__k") == F.col("key")).drop("key"))
-    full = rows.join(lists, (F.col("key") == F.col("__k")) & (F.col("cell") == F.col("__c")))
+    full = rows.join(outlines.select(F.col("key").alias("__k"), "bits"), F.col("key") == F.col("__k"))
     own = F.pmod(F.xxhash64("key"), F.col("c")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     full = full.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     full = full.withColumn("work", F.xxhash64("sig", "cell", "i", "j"))
     pieces = max(16, rows.count() // 8192)
+    parts = max(16, pieces // 4)
     full = full.withColumn("piece", F.pmod(F.col("work"), F.lit(pieces)))
 
     def compare(table: pa.Table) -> pa.Table:
-        work, sig, key, n, comp, i, j, own_, top = (table.column(x).to_numpy() for x in ("work", "sig", "key", "n", "comp", "i", "j", "own", "top"))
-        bits, sigs = table.column("bits").combine_chunks(), table.column("sigs").combine_chunks()
+        work, key, n, comp, i, j, own_, top = (table.column(x).to_numpy() for x in ("work", "key", "n", "comp", "i", "j", "own", "top"))
+        bits = table.column("bits").combine_chunks()
         order = np.argsort(work, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], np.diff(work[order]) != 0, [True]]))
-        out_a, out_b = [], []
+        out = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             at = order[lo:hi]
             whole_ = i[at[0]] == j[at[0]]
@@ -324,15 +323,19 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
                         ok &= own_[left][:, None] != own_[right][None, :]
                     if long == short:
                         ok = np.triu(ok, 1)
-                    for x, y in zip(*np.nonzero(ok), strict=True):
-                        x, y = int(left[x]), int(right[y])
-                        mine, its = sigs[x].values.to_numpy(), sigs[y].values.to_numpy()
-                        if np.intersect1d(mine, its, assume_unique=True)[0] == sig[x]:
-                            out_a.append(min(key[x], key[y]))
-                            out_b.append(max(key[x], key[y]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return full.select("piece", "work", "sig", "key", "n", "comp", "i", "j", "own", "top", "bits", "sigs").groupBy("piece").applyInArrow(compare, "a bigint, b bigint")
+                    x, y = np.nonzero(ok)
+                    x, y = key[left[x]], key[right[y]]
+                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        to = (mix(pairs[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        return pa.table({"part": pa.array(np.unique(to)), "pairs": pa.array([pairs[to == t].tobytes() for t in np.unique(to)], pa.binary())})
+
+    def once(table: pa.Table) -> pa.Table:
+        pairs = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("pairs")]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    found = full.select("piece", "work", "key", "n", "comp", "i", "j", "own", "top", "bits").groupBy("piece").applyInArrow(compare, "part bigint, pairs binary")
+    return found.groupBy("part").applyInArrow(once, "a bigint, b bigint")
 
 
 def _matrix(bits: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
