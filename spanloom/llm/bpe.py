@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.core import lean
+
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
 _loaded: dict[tuple[str, str], tuple] = {}
 
@@ -96,6 +98,7 @@ def _rows(df: DataFrame, key: str, value: str, out: str, f: Callable, at_once: i
     types = src.schema["k"].dataType.simpleString()
     names = [x.split()[0] for x in out.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, at_once):

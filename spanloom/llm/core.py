@@ -7,7 +7,9 @@ through in pieces, so the memory needed does not follow the length of a text.
 
 from __future__ import annotations
 
-import math
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +56,35 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def lean(f: Callable) -> Callable:
+    """Decorates a function over Arrow batches or tables: when it has ended, the worker gives free memory back to the system, as workers
+    live on beside the executor's heap."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(batches)
+            trim()
+
+        return run
+
+    @functools.wraps(f)
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        if table.nbytes > 1 << 20:
+            trim()
+        return out
+
+    return one
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # joins
 
@@ -259,7 +290,7 @@ def whole(h: np.ndarray) -> np.uint64:
         return mix(np.array([np.sum(mix(h) * up, dtype=np.uint64) + np.uint64(len(h)) * np.uint64(0xC2B2AE3D27D4EB4F)], np.uint64))[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with at most ``most`` bytes of text (or one row), so that numpy's arrays stay small."""
     size = np.nan_to_num(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     ends = np.cumsum(size)
@@ -268,26 +299,3 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
         yield batch.slice(i, j - i)
         i = j
-
-
-def map_texts(df: DataFrame, text: str, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """df.mapInArrow over slices of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                out = f(part)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
-def hashed(*cols: str) -> Column:
-    """A bigint that spreads rows evenly."""
-    return F.xxhash64(*cols)
-
-
-def buckets(total_bytes: float, each: float = 64e6, least: int = 16) -> int:
-    """How many groups hold ``each`` bytes apiece."""
-    return max(least, math.ceil(total_bytes / each))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import slices
+from spanloom.llm.core import lean, slices
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -376,6 +376,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("html"))
     model = model or trained()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 2 << 20):

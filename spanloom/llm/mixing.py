@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, durable, slices
+from spanloom.llm.core import Words, durable, lean, slices
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), 20240607
 #: Hash buckets per (source, length).
@@ -38,6 +38,7 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """(key, source, size, rank): exact word counts and the seeded rank hash of every document."""
     src = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("rank"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

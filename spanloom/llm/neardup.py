@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, components, discard, durable, lookup, mix, rolling, slices, whole
+from spanloom.llm.core import Words, components, discard, durable, lean, lookup, mix, rolling, slices, whole
 
 SHINGLE = 5
 #: Jaccard of at least PART / OF.
@@ -81,6 +81,7 @@ def keyed_docs(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFr
     """(id, hash, key, n, bits): text hash, class, set size and set bitmap of each document; key is null for empty sets."""
     src = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -125,6 +126,7 @@ def frequent_tokens(docs: DataFrame, text: str, total: int, k: int = SHINGLE) ->
     tau = max(LEAST_FREQUENT, -(-total // FREQUENT))
     bits = _bits(total)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -145,6 +147,7 @@ def frequent_tokens(docs: DataFrame, text: str, total: int, k: int = SHINGLE) ->
         if n:
             yield flush()
 
+    @lean
     def often(table: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in table.column("data")]
         values = np.concatenate([p[0] for p in parts])
@@ -193,6 +196,7 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
     spark, bits = docs.sparkSession, _bits(total // 4)
     held_frequent = spark.sparkContext.broadcast(frequent)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = held_frequent.value, set()
         sigs, keys, n = [], [], 0
@@ -230,6 +234,7 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
         if n:
             yield from flush()
 
+    @lean
     def shared(table: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("sigs")])
         key = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
@@ -297,6 +302,7 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
     parts = max(16, pieces // 4)
     full = full.withColumn("piece", F.pmod(F.col("work"), F.lit(pieces)))
 
+    @lean
     def compare(table: pa.Table) -> pa.Table:
         work, key, n, comp, i, j, own_, top = (table.column(x).to_numpy() for x in ("work", "key", "n", "comp", "i", "j", "own", "top"))
         bits = table.column("bits").combine_chunks()
@@ -330,6 +336,7 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
         to = (mix(pairs[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         return pa.table({"part": pa.array(np.unique(to)), "pairs": pa.array([pairs[to == t].tobytes() for t in np.unique(to)], pa.binary())})
 
+    @lean
     def once(table: pa.Table) -> pa.Table:
         pairs = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("pairs")]), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
@@ -353,6 +360,7 @@ _BITMAP = 1 << 26
 def bitmap_of(keys: DataFrame) -> np.ndarray:
     """A bitmap of fixed size of the keys (one bigint column), made by the tasks and joined in one: 8 MB whatever the input."""
 
+    @lean
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(_BITMAP // 8, np.uint8)
         for batch in batches:
@@ -361,6 +369,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
 
+    @lean
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(_BITMAP // 8, np.uint8)
         for batch in batches:
@@ -378,6 +387,7 @@ def promising(pairs: DataFrame, outlines: DataFrame, part: int = PART, of: int =
     Bitmaps of different lengths are compared at the shorter one's (a bit there stands for a run of bits of the longer).
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -405,6 +415,7 @@ def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k
     hashes = classes.join(wanted, "key", "left_semi").select("hash")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(hashes))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = bits.value, set()
         for batch in batches:
@@ -427,6 +438,7 @@ def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k
 def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard of at least part/of; whole sets are compared."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)

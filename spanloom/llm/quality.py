@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.core import Words, durable, lookup, mix, rolling, slices, span_hashes
+from spanloom.llm.core import Words, durable, lean, lookup, mix, rolling, slices, span_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -93,6 +93,7 @@ def with_measures(df: DataFrame, text: str = "text", prefix: str = "__q_") -> Da
     names = [prefix + m for m in MEASURES]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, durable, mix, rolling, slices, whole
+from spanloom.llm.core import Words, durable, lean, mix, rolling, slices, whole
 from spanloom.llm.neardup import _BITMAP, _bits, bitmap_of
 
 WIDTH, GRAM = 50, 8
@@ -87,6 +87,7 @@ def base_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     src = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     pick = pa.struct([("v", pa.int64()), ("m", pa.int32())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -144,6 +145,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     wanted = hits.join(classes.select(F.col("hash").alias("__h"), "words", F.col("least").cast("bigint").alias("least")), F.col("hash") == F.col("__h")).drop("__h")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(hits.select("hash")))
 
+    @lean
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = bits.value, set()
         for batch in batches:
@@ -161,6 +163,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     bits_ = _bits((base.agg(F.sum("n")).first()[0] or 0) // 4)
 
+    @lean
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
@@ -206,6 +209,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         if n:
             yield from flush()
 
+    @lean
     def compare(table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("data")])
         if table.column("bucket")[0].as_py() < 0:
@@ -242,6 +246,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     schema = rows.schema
     at = cols.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):

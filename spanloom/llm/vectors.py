@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import components, durable, lookup
+from spanloom.llm.core import components, durable, lean, lookup
 
 _CHUNK = 1024
 #: Vectors of a label that a cell should hold at most, before a further line is used.
@@ -155,6 +155,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth = min(lines.group, max(1, math.ceil(math.log(max(most, 1) / _CELL) / math.log(1 / min(0.9, 0.8 * lines.window)))))
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.array(x, np.float64).tobytes() for x in batch.column(3).to_pylist()]
@@ -171,6 +172,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     pieces = max(16, (held.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0) // 2)
     full = full.withColumn("piece", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(pieces)))
 
+    @lean
     def compare(table: pa.Table) -> pa.Table:
         names = np.array([f"{c}|{i}|{j}" for c, i, j in zip(table.column("cell").to_pylist(), table.column("i").to_pylist(), table.column("j").to_pylist(), strict=True)], dtype=object)
         node, copies, guest, group, own, i, j = (table.column(c).to_numpy() for c in ("node", "copies", "guest", "group", "own", "i", "j"))

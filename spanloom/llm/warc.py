@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import durable, lookup, shared_dir
+from spanloom.llm.core import durable, lean, lookup, shared_dir
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 30
@@ -170,6 +170,7 @@ def write_archives(rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom-warc-{uuid.uuid4().hex}")
     where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(where)
         out, path, records, size = None, "", 0, 0
@@ -202,6 +203,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of all archives of a manifest, with the columns of RECORD."""
     n = max(1, manifest.count())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
