@@ -480,8 +480,8 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
     return links.unionByName(compared(rest, True))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
-    """(key, n_shingles, component_id) for every document: the smallest id reachable by links, itself included."""
+def resolved(docs: DataFrame, key: str, text: str, k: int, part: int, of: int) -> DataFrame:
+    """(id, hash, n, component_id) for every document."""
     keyed = durable(keyed_docs(docs, key, text, k))
     total = keyed.agg(F.sum("n")).first()[0] or 0
     classes = durable(keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
@@ -492,16 +492,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # alone: the id is its own component and needs no lookup
     named = placed.join(least.filter("docs > 1"), "comp").select("key", "component_id", "copies")
     named = durable(named)
-    rows = lookup(keyed.select("id", "key", "n"), named, "key", "copies", keyed.count())
-    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    rows = lookup(keyed.select("id", "hash", "key", "n"), named, "key", "copies", keyed.count())
+    return rows.select("id", "hash", "n", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
+    """(key, n_shingles, component_id) for every document: the smallest id reachable by links, itself included."""
+    return resolved(docs, key, text, k, part, of).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that with the smallest id; of rows that share this id, one. Rows without an id stay where their
     group has none."""
-    found = durable(near_duplicates(docs, key, text).select(F.col(key).alias("__id"), "component_id"))
-    gone = found.filter(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
-    kept = docs.join(gone, docs[key].eqNullSafe(F.col("__id")), "left_anti")
+    found = durable(resolved(docs, key, text, SHINGLE, PART, OF).select(F.col("id").alias("__id"), F.col("hash").alias("__h"), "component_id"))
+    gone = found.filter(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__h").distinct()
+    kept = docs.join(gone, (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id")), "left_anti")
     twice = durable(found.filter("__id is not null").groupBy("__id").count().filter("count > 1").select("__id"))
     if twice.limit(1).count():
         again = kept.join(twice, kept[key] == F.col("__id")).withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy(F.col(text)))).filter("__r = 1")
