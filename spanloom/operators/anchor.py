@@ -28,7 +28,7 @@ def _flexible(text: Column, phrase: Column) -> Column:
     words = F.filter(F.split(phrase, r"(?U)\s+"), lambda w: w != "")
     pattern = F.concat(F.lit("(?iuU)"), _quoted(words))
     at = F.regexp_instr(text, pattern)
-    return F.when((F.size(words) > 0) & (at > 0), F.struct((at - 1).cast("bigint").alias("start"), (at - 1 + F.length(F.regexp_extract(text, pattern, F.lit(0)))).cast("bigint").alias("end")))
+    return F.when((F.size(words) > 0) & (at > 0), F.struct((at - 1).cast("bigint").alias("start"), (at - 1 + F.length(F.regexp_substr(text, pattern))).cast("bigint").alias("end")))
 
 
 def _nearest(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:

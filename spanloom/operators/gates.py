@@ -31,8 +31,10 @@ def first_failure(docs: DataFrame, negatives: list[str] = (), baits: list[str] =
         ("C7", ~F.length("text").between(CHARS_FROM, CHARS_TO)),
     ]
     rules += [("C8", ~F.col("text").contains(b)) for b in baits]
+    shares = F.transform(e, lambda x: x["type"])
     for kind, goal in (target or {}).items():
-        rules.append(("C9", (n > 0) & (F.abs(F.size(F.filter(e, lambda x, k=kind: x["type"] == k)) / F.greatest(n, F.lit(1)) - goal) > DRIFT)))
+        rest = F.size(F.array_remove(shares, kind))
+        rules.append(("C9", (n > 0) & (F.abs((n - rest) / F.greatest(n, F.lit(1)) - goal) > DRIFT)))
     return docs.withColumn("reason", F.coalesce(*[F.when(c, name) for name, c in rules]))
 
 
