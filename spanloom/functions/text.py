@@ -5,6 +5,9 @@ Offsets are half-open and count code points, so ``substring(text, start + 1, end
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +83,24 @@ def key_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Every character that decomposes into one character and marks, and that character."""
+    pairs = []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.category(parts[0]) != "Mn" and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _bare_letters()
+
+
+def plain_form(text: Column) -> Column:
+    """Without accents, in lower case, white space collapsed: the form in which drug names are compared. A letter with a stroke stays."""
+    return key_form(F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}+", ""))
+
+
 def clean_reply(text: Column) -> Column:
     """Model output without thinking blocks, bold marks and heading marks."""
     out = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")

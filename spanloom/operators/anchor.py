@@ -61,14 +61,15 @@ def anchor(rows: DataFrame, text: str = "text", phrase: str = "phrase") -> DataF
     return done.unionByName(rest).select(*rows.columns, "__at.start", "__at.end")
 
 
-def core_in_names(rows: DataFrame, names: DataFrame, cap: int, text: str = "text", name: str = "name") -> DataFrame:
+def core_in_names(rows: DataFrame, names: DataFrame, cap: int | Column, text: str = "text", name: str = "name") -> DataFrame:
     """Rows whose text has more than ``cap`` words get the longest run of at most cap words that is a name (the leftmost of equals), with start
     and end moved; those without one are dropped."""
+    cap = cap if isinstance(cap, Column) else F.lit(cap)
     keyed = rows.withColumn("__id", F.xxhash64(*rows.columns))
     words = T.words(F.col(text))
     fits = keyed.filter(F.size(words) <= cap).drop("__id")
     long = keyed.filter(F.size(words) > cap).withColumn("__w", words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda n: F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.struct(n.alias("n"), i.alias("i")))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), cap), lambda n: F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.struct(n.alias("n"), i.alias("i")))))
     grams = long.withColumn("g", F.explode(runs))
     a, b = F.element_at("__w", F.col("g.i"))["start"], F.element_at("__w", F.col("g.i") + F.col("g.n") - 1)["end"]
     grams = grams.withColumn("__a", a).withColumn("__b", b).withColumn("__c", F.substr(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))

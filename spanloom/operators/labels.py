@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +32,18 @@ def span_labels(n: Column, spans: Column) -> Column:
     return F.aggregate(good, blank, paint)
 
 
+def renamed(labels: Column, kinds: dict[str, str]) -> Column:
+    """BIO labels with their types renamed; types that ``kinds`` lacks become O."""
+    names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    new = lambda x: F.try_element_at(names, F.substr(x, F.lit(3)))
+    return F.transform(labels, lambda x: F.when(x.rlike("^[BI]-") & new(x).isNotNull(), F.concat(F.substr(x, F.lit(1), F.lit(2)), new(x))).otherwise("O"))
+
+
+def ends_inclusive(rows: DataFrame, tokens: str = "tokens", spans: str = "spans") -> DataFrame:
+    """One row: ``inclusive``, whether all span ends (first, last) lie within their tokens. Over all rows, not the first few."""
+    return rows.agg(F.coalesce(F.bool_and(F.forall(spans, lambda s: s["last"] < F.size(tokens))), F.lit(True)).alias("inclusive"))
+
+
 def subword_labels(rows: DataFrame, seq: str, pos: str, word: str, label: str) -> DataFrame:
     """First sub-words keep their word's label; other sub-words and special tokens get -100."""
     before = F.lag(word).over(W.partitionBy(seq).orderBy(pos))
@@ -47,6 +62,34 @@ def central_window(n: Column, size: int = 120, stride: int = 100) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), best)
 
 
+def _aligned(raws: pd.Series, words: pd.Series) -> pd.DataFrame:
+    out = []
+    for raw, ws in zip(raws, words, strict=True):
+        seen: list[tuple[str, int, int]] = []  # visible characters with their marks
+        for i, c in enumerate(raw or ""):
+            if seen and unicodedata.combining(c) and seen[-1][2] == i:
+                seen[-1] = (seen[-1][0] + c, seen[-1][1], i + 1)
+            elif not c.isspace():
+                seen.append((c, i, i + 1))
+        shown = [unicodedata.normalize("NFC", c) for c, _, _ in seen]
+        at, places = 0, []
+        for w in () if ws is None else ws:
+            core = list(unicodedata.normalize("NFC", w.replace("_", "")))
+            if shown[at : at + len(core)] != core:
+                break
+            if core:
+                places.append({"word": w, "start": seen[at][1], "end": seen[at + len(core) - 1][2]})
+            at += len(core)
+        out.append((places, at == len(seen)))
+    return pd.DataFrame(out, columns=["words", "whole"])
+
+
+def aligned_words(text: Column, words: Column) -> Column:
+    """struct<words array<struct<word, start, end>>, whole>: a tokenizer's words (``_`` joins their parts) at their places in the text, up to
+    the first that differs; ``whole`` if all of the text is covered. White space and the way marks are composed don't count."""
+    return F.pandas_udf(_aligned, "words array<struct<word:string,start:bigint,end:bigint>>, whole boolean")(text, words)
+
+
 def scores(gold: DataFrame, found: DataFrame, keys: list[str], kind: str = "type") -> DataFrame:
     """(label, tp, fp, fn, support, precision, recall, f1) per label and for all (micro); a division by zero is 0."""
     a = gold.select(*keys, kind).distinct().withColumn("g", F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,21 +49,30 @@ def lab_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return found.select(key, "e.kind", "e.text", F.col("e.start").cast("bigint").alias("start"), (F.col("e.start") + F.length("e.text")).cast("bigint").alias("end"))
 
 
-def names_longest(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", most: int = 5) -> DataFrame:
-    """(key, text, start, end, n): dictionary names found by n-gram, longest first, then from the left; no word is used twice.
-
-    Each n-gram is looked up by an equi-join; what matched is settled by a fold within the document.
-    """
+def _lookup(docs: DataFrame, names: DataFrame, key: str, text: str, name: str, most: int, form: Callable[[Column], Column]) -> DataFrame:
+    """(key, all): each document's n-grams that are names, longest first, then from the left. Each n-gram is looked up by an equi-join."""
     rows = docs.select(F.col(key), F.col(text).alias("__t"), T.words(F.col(text)).alias("__w"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.struct((-n).alias("rank"), i.alias("i"), n.alias("n")))).otherwise(F.array().cast("array<struct<rank:int,i:int,n:int>>"))))
     grams = rows.select(key, F.explode(spans).alias("g"), "__t", "__w")
     start, end = F.element_at("__w", F.col("g.i"))["start"], F.element_at("__w", F.col("g.i") + F.col("g.n") - 1)["end"]
     grams = grams.select(key, "g.*", start.alias("start"), end.alias("end"), F.substr(F.col("__t"), (start + 1).cast("int"), (end - start).cast("int")).alias("text"))
-    known = names.select(T.key_form(F.col(name)).alias("__k")).distinct()
-    hits = grams.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_semi")
-    per = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "i", "n", "start", "end", "text"))).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["i"] < x["i"] + x["n"]) & (x["i"] < a["i"] + a["n"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return per.select(key, F.explode(kept).alias("x")).select(key, "x.text", "x.start", "x.end", F.col("x.n").cast("bigint").alias("n"))
+    known = names.select(form(F.col(name)).alias("__k")).distinct()
+    hits = grams.withColumn("norm", form(F.col("text"))).join(known, F.col("norm") == F.col("__k"), "left_semi")
+    return hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "i", "n", "start", "end", "text", "norm"))).alias("all"))
+
+
+def _greedy(hits: Column) -> Column:
+    """The hits in order, without those that use a word of one before."""
+    return F.aggregate(hits, F.slice(hits, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["i"] < x["i"] + x["n"]) & (x["i"] < a["i"] + a["n"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def names_longest(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", most: int = 5) -> DataFrame:
+    """(key, text, start, end, n): dictionary names found by n-gram, longest first, then from the left; no word is used twice.
+
+    What matched is settled by a fold within the document.
+    """
+    per = _lookup(docs, names, key, text, name, most, T.key_form)
+    return per.select(key, F.explode(_greedy(F.col("all"))).alias("x")).select(key, "x.text", "x.start", "x.end", F.col("x.n").cast("bigint").alias("n"))
 
 
 def with_strength(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

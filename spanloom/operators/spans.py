@@ -104,13 +104,13 @@ def violations(spans: DataFrame, *order: str) -> DataFrame:
     return spans.withColumn("next_start", F.lead("start").over(w)).filter(F.col("next_start") < F.col("end"))
 
 
-def longest_first(spans: DataFrame, *order: str) -> DataFrame:
+def longest_first(spans: DataFrame, *order: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Greedy: longest spans first, those that overlap a taken one are dropped."""
-    cols = [c for c in spans.columns if c != "doc_id"]
+    cols = [c for c in spans.columns if c not in keys]
     item = F.struct((F.col("start") - F.col("end")).alias("__len"), *order, *[c for c in cols if c not in order])
-    docs = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    docs = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return docs.select("doc_id", F.explode(kept).alias("x")).select("doc_id", *[F.col(f"x.{c}") for c in cols])
+    return docs.select(*keys, F.explode(kept).alias("x")).select(*keys, *[F.col(f"x.{c}") for c in cols])
 
 
 def covered_words(words: DataFrame, spans: DataFrame) -> DataFrame:
@@ -119,7 +119,10 @@ def covered_words(words: DataFrame, spans: DataFrame) -> DataFrame:
     return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_covered", F.lit(0)).cast("bigint").alias("n_covered"))
 
 
-def over_cap(kind: Column, text: Column) -> Column:
+def word_cap(kind: Column) -> Column:
     caps = F.create_map(*[F.lit(x) for kv in MAX_WORDS.items() for x in kv])
-    n = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
-    return n > F.coalesce(F.try_element_at(caps, kind), F.lit(MAX_WORDS_OTHER))
+    return F.coalesce(F.try_element_at(caps, kind), F.lit(MAX_WORDS_OTHER))
+
+
+def over_cap(kind: Column, text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))) > word_cap(kind)
