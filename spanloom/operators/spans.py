@@ -126,3 +126,11 @@ def word_cap(kind: Column) -> Column:
 
 def over_cap(kind: Column, text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))) > word_cap(kind)
+
+
+def share_gaps(spans: DataFrame, target: dict[str, float], drift: float = 0.15) -> DataFrame:
+    """(type, n, gap, off): each type's share of all spans less its target, and whether that is more than ``drift``; null without a target."""
+    goals = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])
+    counts = spans.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.col("n") / F.sum("n").over(W.partitionBy()) - F.try_element_at(goals, F.col("type"))
+    return counts.select("type", "n", gap.alias("gap"), (F.abs(gap) > drift).alias("off"))

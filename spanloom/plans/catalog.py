@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import labels, rules, segment, spans
+from spanloom.operators import anchor, drugs, knowledge, labels, rules, segment, spans, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,6 +156,19 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("s.text").alias("sentence"), "s.start").filter(F.length("sentence") >= 2)
 
 
+@query(rf"""
+WITH {_SENTENCES},
+long AS (SELECT doc_id, k, j, b, regexp_replace(piece, '\s+$', '') AS s FROM (SELECT doc_id, k, j, piece, b FROM po) WHERE len(regexp_extract_all(piece, '\S+')) > 40),
+q AS (SELECT doc_id, k, j, b, unnest(x) AS c, generate_subscripts(x, 1) AS m FROM (SELECT *, list_filter(regexp_extract_all(s, '(?s).*?(?:,\s+|$)'), lambda z: z <> '') AS x FROM long)),
+r AS (SELECT doc_id, c, b + coalesce(sum(length(c)) OVER (PARTITION BY doc_id, k, j ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM q)
+SELECT doc_id, rtrim(ltrim(c)) AS clause, CAST(a + length(c) - length(ltrim(c)) AS BIGINT) AS "start" FROM r WHERE length(trim(c)) >= 2""")
+def doc_clauses_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.flatten(F.transform(T.lines(F.col("text")), lambda x: T.sentences(x["text"], x["start"])))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(cut).alias("s")).filter(F.size(F.regexp_extract_all("s.text", F.lit(r"\S+"), F.lit(0))) > 40)
+    parts = T.clauses(F.regexp_replace("s.text", r"\s+$", ""), F.col("s.start"))
+    return rows.select("doc_id", F.explode(F.transform(parts, T.trimmed)).alias("c")).select("doc_id", F.col("c.text").alias("clause"), "c.start").filter(F.length("clause") >= 2)
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+\s*')) AS t, generate_subscripts(regexp_extract_all(text, '\S+\s*'), 1) AS k,
   length(text) - length(regexp_replace(text, '^\s+', '')) AS lead FROM documents),
@@ -434,3 +447,136 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("ts") - F.lag("ts").over(order) <= F.expr("interval 6 hours"), 0).otherwise(1)
     rows = table(spark, sf_dir, "events").withColumn("new", new).withColumn("session", F.sum("new").over(order))
     return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# names, proposals, labels of tokens
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_size, p_size % 2 = 0 AS dosed, string_split(p_name, ' ') AS w FROM part),
+known AS (SELECT * FROM p WHERE p_size % 5 <> 0),
+dict AS (SELECT DISTINCT lower(p_name) AS n FROM known)
+SELECT p_partkey AS doc_id, CASE WHEN d.n IS NOT NULL THEN p_name ELSE w[len(w)] END || CASE WHEN dosed THEN ' ' || CAST(p_size AS VARCHAR) || ' mg' ELSE '' END AS text,
+  CAST(CASE WHEN d.n IS NOT NULL THEN 5 ELSE 5 + length(p_name) - length(w[len(w)]) END AS BIGINT) AS "start",
+  CAST(5 + length(p_name) + CASE WHEN dosed THEN 4 + length(CAST(p_size AS VARCHAR)) ELSE 0 END AS BIGINT) AS "end", CASE WHEN d.n IS NOT NULL THEN 'dict' ELSE 'rule_strength' END AS source
+FROM p LEFT JOIN dict d ON lower(p_name) = d.n WHERE d.n IS NOT NULL OR (dosed AND length(w[len(w)]) >= 3)""")
+def drug_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx = prescriptions(spark, sf_dir)
+    known = drugs.dictionary(rx.filter("p_size % 5 <> 0").select(F.col("p_name").alias("name")))
+    return drugs.find(rx.select("doc_id", "text"), known).select("doc_id", "text", "start", "end", "source")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), n AS (SELECT DISTINCT lower(w[len(w)]) AS name FROM p),
+t AS (SELECT p_partkey AS doc_id, list_concat(['Take'], w, ['daily']) AS t FROM p),
+g AS (SELECT doc_id, i, t[i] AS core, coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x) + 1)), 0) AS s FROM t, range(1, 20) r(i) WHERE i <= len(t)),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g JOIN n ON lower(core) = name)
+SELECT doc_id, core AS text, CAST(s AS BIGINT) AS "start", CAST(s + length(core) AS BIGINT) AS "end" FROM h WHERE k = 1""")
+def core_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx = table(spark, sf_dir, "part")
+    rows = rx.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Take "), "p_name", F.lit(" daily")).alias("text"))
+    rows = rows.withColumn("start", F.lit(0).cast("bigint")).withColumn("end", F.length("text").cast("bigint"))
+    return anchor.core_in_names(rows, rx.select(F.element_at(F.split("p_name", " "), -1).alias("name")), 1)
+
+
+@query("""
+SELECT p_partkey AS doc_id, p_name AS text, CAST(5 AS BIGINT) AS "start", CAST(5 + length(p_name) AS BIGINT) AS "end" FROM part""")
+def span_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx = prescriptions(spark, sf_dir)
+    last = F.element_at(F.split("p_name", " "), -1)
+    at = rx.select("doc_id", last.alias("text"), (5 + F.length("p_name") - F.length(last)).cast("bigint").alias("start"), (5 + F.length("p_name")).cast("bigint").alias("end"))
+    return anchor.extended_by_names(at, rx.select("doc_id", "text"), rx.select(F.col("p_name").alias("name")))
+
+
+@query(rf"""WITH {NOTE_SQL},
+v AS (SELECT doc_id, k, s, line, strpos(line, ': ') AS c, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM lines WHERE line LIKE '- part %'),
+cut AS (SELECT doc_id, min(s) AS cut_at FROM lines WHERE line = '{MARK}' GROUP BY doc_id)
+SELECT v.doc_id, substr(line, c + 2) AS text, CAST(s + c + 1 AS BIGINT) AS "start", CAST(s + length(line) AS BIGINT) AS "end", 'KẾT_QUẢ_XÉT_NGHIỆM' AS type, CASE WHEN s >= cut_at THEN 'clinical' ELSE 'advice' END AS zone
+FROM v JOIN cut USING (doc_id)""")
+def verified_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = segment.segment(notes(spark, sf_dir))
+    value, name = F.regexp_extract("text", ": (.*)$", 1), F.regexp_extract("text", r"part (\d+)", 1)
+    item = lambda line, kind, text: F.struct(F.lit(line).alias("line"), F.lit(kind).alias("kind"), text.alias("text"))
+    said = F.array(item(0, "KẾT_QUẢ_XÉT_NGHIỆM", F.upper(value)), item(1, "TÊN_XÉT_NGHIỆM", name), item(2, "THUỐC", F.lit("không rõ")))
+    asked = units.filter("is_bullet").select("doc_id", "unit", F.explode(said).alias("p")).select("doc_id", "unit", "p.*")
+    return verify.verified_units(asked, units).select("doc_id", "text", "start", "end", "type", "zone")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_size % 5 <> 0),
+h AS (SELECT p_partkey AS doc_id, p_name AS text, p_size FROM part JOIN n ON lower(p_name) = name)
+SELECT doc_id, text, CAST(5 AS BIGINT) AS "start", CAST(5 + length(text) AS BIGINT) AS "end" FROM h WHERE p_size % 3 <> 0""")
+def unlabelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx = prescriptions(spark, sf_dir)
+    marked = rx.filter("p_size % 3 = 0").select("doc_id", F.lit(4).cast("bigint").alias("start"), F.lit(6).cast("bigint").alias("end"))
+    return knowledge.unlabelled_names(rx.select("doc_id", "text"), marked, rx.filter("p_size % 5 <> 0").select(F.col("p_name").alias("name")))
+
+
+@query()
+def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size")
+    asked = names.select(F.concat(F.substring("name", 2, 100), F.lit("x")).alias("text"))
+    return verify.close_to_names(asked, names.filter("p_size % 5 <> 0"), verify.DRUG_RATIO)
+
+
+@query("""
+WITH r AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn % 3 = 0 THEN 'TH' ELSE 'TC' END AS code, trim(string_split(text, chr(10))[1]) AS t FROM conversations WHERE text <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY turn, t) AS n FROM r WHERE length(t) >= 2)
+SELECT doc_id, string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TC' AND n <= 5) AS symptoms, coalesce(string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TH' AND n <= 5), '') AS drugs
+FROM k GROUP BY doc_id HAVING count(*) FILTER (code = 'TC') >= 3""")
+def reply_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").filter("text <> ''")
+    first = F.trim(F.element_at(F.split("text", "\n"), 1))
+    line = F.concat(F.when(F.col("turn") % 3 == 0, "th |").otherwise("TC| "), first)
+    replies = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", first.alias("t"), line.alias("l")))), lambda x: x["l"]), "\n").alias("reply"))
+    return verify.scenarios(replies).select("doc_id", F.array_join("symptoms", " / ").alias("symptoms"), F.array_join("drugs", " / ").alias("drugs"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey * 100 + l_linenumber AS code, l_partkey AS term FROM lineitem), t AS (SELECT DISTINCT CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) AS code FROM lineitem WHERE l_linenumber % 2 = 0
+  UNION SELECT DISTINCT substr(CAST(l_orderkey * 100 + l_linenumber AS VARCHAR), 1, 3) FROM lineitem WHERE l_suppkey % 10 = 0)
+SELECT coalesce(o.code, u.code) AS code, count(*) AS n FROM a LEFT JOIN t o ON CAST(a.code AS VARCHAR) = o.code LEFT JOIN t u ON substr(CAST(a.code AS VARCHAR), 1, 3) = u.code
+WHERE coalesce(o.code, u.code) IS NOT NULL GROUP BY 1""")
+def alias_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string").alias("code")
+    lines = table(spark, sf_dir, "lineitem")
+    terms = lines.filter("l_linenumber % 2 = 0").select(code).unionByName(lines.filter("l_suppkey % 10 = 0").select(F.substring(code, 1, 3).alias("code")))
+    return knowledge.attach_aliases(lines.select(code, F.col("l_partkey").alias("term")), terms).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_bio_sql('g', 'event_type', True)}
+SELECT l.seq, l.pos, coalesce(CASE WHEN l.pos = g.first THEN 'B-' ELSE 'I-' END || g.type, 'O') AS label FROM g_l l LEFT JOIN g ON l.seq = g.seq AND l.pos BETWEEN g.first AND g.last""")
+def spans_to_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = event_labels(spark, sf_dir)
+    found = labels.bio_spans(tokens).groupBy("seq").agg(F.collect_list(F.struct("first", "last", "type")).alias("spans"))
+    rows = tokens.groupBy("seq").agg(F.count(F.lit(1)).cast("int").alias("n")).join(found, "seq", "left")
+    painted = labels.span_labels(F.col("n"), F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint,type:string>>")))
+    return rows.select("seq", F.posexplode(painted).alias("pos", "label")).select("seq", F.col("pos").cast("bigint").alias("pos"), "label")
+
+
+@query("""
+WITH t AS (SELECT user_id AS seq, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(event_id / 3) AS BIGINT) END AS word, length(event_type) AS label FROM events)
+SELECT seq, pos, CAST(CASE WHEN word IS NULL OR word = lag(word) OVER (PARTITION BY seq ORDER BY pos) THEN -100 ELSE label END AS BIGINT) AS aligned FROM t""")
+def subword_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.when(F.col("event_id") % 7 != 0, F.floor(F.col("event_id") / 3))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("seq"), F.col("event_id").alias("pos"), word.alias("word"), F.length("event_type").alias("label"))
+    return labels.subword_labels(rows, "seq", "pos", "word", "label").select("seq", "pos", "aligned")
+
+
+@query("""
+WITH c AS (SELECT user_id AS seq, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id),
+p AS (SELECT seq, n, unnest(range(n)) AS pos FROM c), w AS (SELECT seq, n, unnest(range(0, n, 100)) AS s FROM c),
+k AS (SELECT p.seq, pos, s, row_number() OVER (PARTITION BY p.seq, pos ORDER BY least(pos - s, least(120, p.n - s) - 1 - (pos - s)) DESC, s) AS r FROM p JOIN w ON p.seq = w.seq AND s <= pos AND pos < s + 120)
+SELECT seq, s AS "window", min(pos) AS first, max(pos) AS last, count(*) AS n FROM k WHERE r = 1 GROUP BY seq, s""")
+def central_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("m"))
+    at = rows.select("seq", F.posexplode(labels.central_window(F.col("m"))).alias("pos", "window"))
+    return at.groupBy("seq", F.col("window").cast("bigint").alias("window")).agg(F.min("pos").cast("bigint").alias("first"), F.max("pos").cast("bigint").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SPAN_SQL}, c AS (SELECT type, count(*) AS n FROM spans GROUP BY type)
+SELECT type, n, round(CAST(n AS DOUBLE) / sum(n) OVER () - CASE type WHEN 'CHẨN_ĐOÁN' THEN 0.25 WHEN 'TRIỆU_CHỨNG' THEN 0.33 END, 9) AS gap, abs(CAST(n AS DOUBLE) / sum(n) OVER () - CASE type WHEN 'CHẨN_ĐOÁN' THEN 0.25 WHEN 'TRIỆU_CHỨNG' THEN 0.33 END) > 0.15 AS off FROM c""")
+def type_share_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spans.share_gaps(line_spans(spark, sf_dir), {"CHẨN_ĐOÁN": 0.25, "TRIỆU_CHỨNG": 0.33})
+    return got.select("type", "n", F.round("gap", 9).alias("gap"), "off")
