@@ -26,9 +26,9 @@ def _quoted(words: Column) -> Column:
 def _flexible(text: Column, phrase: Column) -> Column:
     """(start, end) of a phrase with other white space or case, null without."""
     words = F.filter(F.split(phrase, r"(?U)\s+"), lambda w: w != "")
-    pattern = F.concat(F.lit("(?iuU)"), _quoted(words))
-    at = F.regexp_instr(text, pattern)
-    return F.when((F.size(words) > 0) & (at > 0), F.struct((at - 1).cast("bigint").alias("start"), (at - 1 + F.length(F.regexp_substr(text, pattern))).cast("bigint").alias("end")))
+    hit = F.regexp_substr(text, F.concat(F.lit("(?iuU)"), _quoted(words)))
+    start = (F.instr(text, hit) - 1).cast("bigint")  # what is found stands nowhere before, as it would have been found there
+    return F.when((F.size(words) > 0) & (F.length(hit) > 0), F.struct(start.alias("start"), (start + F.length(hit)).cast("bigint").alias("end")))
 
 
 def _nearest(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
@@ -54,11 +54,12 @@ def anchor(rows: DataFrame, text: str = "text", phrase: str = "phrase") -> DataF
     exact = F.when((F.col(phrase) != "") & (exact > 0), F.struct((exact - 1).cast("bigint").alias("start"), (exact - 1 + F.length(phrase)).cast("bigint").alias("end")))
     bare = F.rtrim(F.ltrim(F.col(phrase), F.lit(T.EDGES)), F.lit(T.EDGES))
     found = F.coalesce(exact, _flexible(F.col(text), F.col(phrase)), _flexible(F.col(text), bare))
-    tried = rows.withColumn("__at", found)
     near = F.pandas_udf(_nearest, "start bigint, end bigint")
-    done = tried.filter("__at is not null")
-    rest = tried.filter("__at is null").withColumn("__at", near(F.col(text), F.coalesce(F.nullif(bare, F.lit("")), F.col(phrase))))
-    return done.unionByName(rest).select(*rows.columns, "__at.start", "__at.end")
+    open_ = F.col("__at").isNull()
+    rest = F.coalesce(F.nullif(bare, F.lit("")), F.col(phrase))
+    tried = rows.withColumn("__at", found).withColumn("__near", near(F.when(open_, F.col(text)), F.when(open_, rest)))
+    at = F.coalesce("__at", "__near")
+    return tried.select(*rows.columns, at["start"].alias("start"), at["end"].alias("end"))
 
 
 def core_in_names(rows: DataFrame, names: DataFrame, cap: int | Column, text: str = "text", name: str = "name") -> DataFrame:

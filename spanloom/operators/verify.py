@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
@@ -42,15 +41,19 @@ def verified_units(proposals: DataFrame, units: DataFrame, names: DataFrame | No
     rows = asked.select("doc_id", "unit", "line", F.col("kind").alias("type"), F.col("text").alias("phrase")).join(here, ["doc_id", "unit"])
     at = anchor.anchor(rows, "unit_text", "phrase").filter("start is not null")
     at = at.withColumn("text", F.substr(F.col("unit_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("phrase").filter(fits_type(F.col("type"), F.col("text")))
-    known = names if names is not None else at.sparkSession.createDataFrame([], "name string")
-    at = anchor.core_in_names(at, known, spans.word_cap(F.col("type")))
-    at = spans.first_of_each(at, ["doc_id", "unit", "start", "end", "type"], "line", "text")
-    n = F.count(F.lit(1)).over(W.partitionBy("doc_id", "unit"))
-    dense = (F.size(F.regexp_extract_all("unit_text", F.lit(r"(?U)\S+"), F.lit(0))) < SHORT_UNIT) & (n > MOST_IN_SHORT)
-    at = at.withColumn("__dense", dense).withColumn("start", F.col("start") + F.col("unit_start")).withColumn("end", F.col("end") + F.col("unit_start"))
-    cols = ["doc_id", "unit", "start", "end", "type", "heading", "zone", "text"]
-    thin = spans.longest_first(at.filter("__dense").select(*cols, "line"), "line", keys=("doc_id", "unit")).select(*cols)
-    return at.filter("not __dense").select(*cols).unionByName(thin).withColumn("source", F.lit("llm"))
+    cap = spans.word_cap(F.col("type"))
+    at = at.filter(~spans.over_cap(F.col("type"), F.col("text"))) if names is None else anchor.core_in_names(at, names, cap)
+    n_words = F.size(F.regexp_extract_all("unit_text", F.lit(r"(?U)\S+"), F.lit(0)))
+    item = F.struct("start", "end", "type", "line", "text")
+    per = at.groupBy("doc_id", "unit").agg(F.sort_array(F.collect_list(item)).alias("all"), *[F.first(c).alias(c) for c in ("unit_start", "heading", "zone")], F.first(n_words).alias("n_words"))
+    place = lambda x: F.struct(x["start"], x["end"], x["type"])
+    once = F.filter("all", lambda x, i: (i == 0) | (place(x) != place(F.col("all")[F.greatest(i - 1, F.lit(0))])))
+    per = per.withColumn("all", once)
+    long_first = F.array_sort(F.transform("all", lambda x: F.struct((x["start"] - x["end"]).alias("rank"), x["line"].alias("line"), x.alias("x"))))
+    kept = F.aggregate(F.transform(long_first, lambda y: y["x"]), F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+    dense = (F.col("n_words") < SHORT_UNIT) & (F.size("all") > MOST_IN_SHORT)
+    out = per.select("doc_id", "unit", "unit_start", "heading", "zone", F.explode(F.when(dense, kept).otherwise(F.col("all"))).alias("x"))
+    return out.select("doc_id", "unit", (F.col("x.start") + F.col("unit_start")).alias("start"), (F.col("x.end") + F.col("unit_start")).alias("end"), "x.type", F.lit("llm").alias("source"), "heading", "zone", "x.text")
 
 
 def close_to_names(texts: DataFrame, names: DataFrame, ratio: float, text: str = "text", name: str = "name", band: int | None = None) -> DataFrame:
