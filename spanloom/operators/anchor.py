@@ -81,13 +81,14 @@ def core_in_names(rows: DataFrame, names: DataFrame, cap: int | Column, text: st
     return fits.unionByName(cut.select(*rows.columns))
 
 
-def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most: int = 8, name: str = "name") -> DataFrame:
-    """Spans that aren't names themselves grow to the shortest name that they begin (or else end), up to ``most`` words, if that
-    touches no other span of the document."""
+def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most: int = 8, name: str = "name", only: Column | None = None) -> DataFrame:
+    """Spans (those of which ``only`` holds) that aren't names themselves grow to the shortest name that they begin (or else end), up to
+    ``most`` words, if that touches no other span of the document."""
     known = names.select(T.key_form(F.col(name)).alias("__k")).distinct()
     words = docs.select("doc_id", F.col("text").alias("__t"), T.words(F.col("text")).alias("__w"))
     ids = spans.withColumn("__id", F.xxhash64(*spans.columns))
-    own = ids.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti").join(words, "doc_id")
+    own = ids if only is None else ids.filter(only)
+    own = own.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti").join(words, "doc_id")
     after = F.transform(F.slice(F.filter("__w", lambda w: w["start"] >= F.col("end")), 1, most), lambda w, i: F.struct(F.lit(0).alias("side"), (i + 1).alias("n"), F.col("start").alias("a"), w["end"].alias("b")))
     left = F.reverse(F.filter("__w", lambda w: w["end"] <= F.col("start")))
     before = F.transform(F.slice(left, 1, most), lambda w, i: F.struct(F.lit(1).alias("side"), (i + 1).alias("n"), w["start"].alias("a"), F.col("end").alias("b")))

@@ -71,3 +71,33 @@ def joined(first: Column, second: Column, spans: Column) -> Column:
     """struct<text, spans>: two texts with a blank line between, the second's spans (start, end) shifted."""
     shift = F.length(first) + 2
     return F.struct(F.concat(first, F.lit("\n\n"), second).alias("text"), F.transform(spans, lambda s: F.struct((s["start"] + shift).cast("bigint").alias("start"), (s["end"] + shift).cast("bigint").alias("end"))).alias("spans"))
+
+
+def lab_lines(rows: DataFrame, seed: int, *keys: str, solo: float = 0.42, trend: float = 0.2) -> DataFrame:
+    """rows (name, result) with ``line`` and the places of both in it: name and result in one of six layouts, or a share ``solo`` of names
+    alone, of which a share ``trend`` say that the value rises or falls. ``result_start`` is null where there is no result."""
+    u, v, w = (draw(seed + i, *keys) for i in range(3))
+    glue = pick(F.array(*map(F.lit, (": ", " ", " = ", " là ", ": kết quả ", " - "))), v)
+    tail = F.when(w < trend, pick(F.array(F.lit(" tăng"), F.lit(" giảm")), draw(seed + 3, *keys))).otherwise("")
+    alone = u < solo
+    line = F.when(alone, F.concat("name", tail)).otherwise(F.concat("name", glue, "result"))
+    start = F.when(~alone, F.length("name") + F.length(glue)).cast("bigint")
+    return rows.withColumn("line", line).withColumn("name_end", F.length("name").cast("bigint")).withColumn("result_start", start)
+
+
+def mixed(blocks: DataFrame, prose: DataFrame, seed: int, share: float = 0.6) -> DataFrame:
+    """(id, prose_id, text, spans): blocks (id, text, spans), a ``share`` of them behind a prose text (id, text) with their spans shifted.
+
+    Both sides are dealt into as many buckets as half the prose texts, of each of which the text with the smallest hash serves all blocks; a
+    block whose bucket has none stands alone, like the rest. Nothing is ranked over the whole table.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 2)).cast("bigint")
+    size = F.broadcast(prose.agg(n.alias("__n")))  # one row
+    bucket = lambda k: F.pmod(F.xxhash64(F.lit(seed), k), F.col("__n"))
+    texts = prose.filter("text is not null").crossJoin(size).groupBy(bucket("id").alias("__b")).agg(F.min(F.struct(F.xxhash64("id"), F.col("id").alias("pid"), F.col("text").alias("ptext"))).alias("p"))
+    rows = blocks.crossJoin(size).withColumn("__b", F.when(draw(seed + 1, "id") < share, bucket(F.concat(F.lit("block"), F.col("id").cast("string"))))).drop("__n")
+    both = rows.join(texts, "__b", "left")
+    kind = "struct<text:string,spans:array<struct<start:bigint,end:bigint>>>"
+    alone = F.struct(F.col("text"), F.transform("spans", lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))).alias("spans"))
+    out = F.when(F.col("p").isNull(), alone.cast(kind)).otherwise(joined(F.col("p.ptext"), F.col("text"), F.col("spans")).cast(kind))
+    return both.select("id", F.col("p.pid").alias("prose_id"), out.alias("o")).select("id", "prose_id", "o.text", "o.spans")

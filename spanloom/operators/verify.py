@@ -19,6 +19,16 @@ SHORT_UNIT, MOST_IN_SHORT = 15, 6
 NOT_TESTS = r"^(?:phuong phap|quan sat|theo doi|danh gia lam sang|kham lam sang|thuc hien|tien hanh|lay mau|ghi nhan)"
 DRUG_RATIO, TEST_RATIO = 0.72, 0.75
 FREE_DRUGS = ("kháng sinh", "corticoid", "thuốc hạ sốt", "thuốc giảm đau", "paracetamol", "ibuprofen", "vitamin", "dịch truyền", "insulin", "metformin", "omeprazole", "aspirin", "amoxicillin")
+NO_DRUGS = (
+    "thuoc dac tri", "thuoc uong", "thuoc tiem", "thuoc bo", "thuoc nam", "thuoc dong y", "thuoc ha sot", "thuoc giam dau", "thuoc khang viem", "thuoc tang cuong", "thuoc boi ngoai da", "thuoc dat",
+    "thuoc nho mat", "thuoc nho tai", "antibiotic", "nhu tuong codein",
+)
+DRUG_GROUPS = (
+    "kháng sinh", "corticoid", "vitamin", "dịch truyền", "insulin", "paracetamol", "ibuprofen", "aspirin", "amoxicillin", "metformin", "omeprazole", "furosemid", "furosemide", "atorvastatin",
+    "thuốc lợi tiểu", "thuốc hạ áp", "thuốc chống đông", "thuốc an thần", "thuốc chống nôn", "thuốc đái tháo đường", "thuốc giãn phế quản", "thuốc trị nấm", "thuốc chống dị ứng", "kháng histamin",
+    "thuốc ức chế bơm proton", "thuốc kháng acid", "thuốc ho", "thuốc long đờm", "statin", "thuốc chống lao", "thuốc kháng virus", "thuốc sốt rét", "thuốc chống động kinh", "thuốc chống trầm cảm",
+    "thuốc chống loạn thần",
+)
 DRUG_KINDS, TEST_KINDS = ("THUOC", "THUỐC"), ("TEN_XET_NGHIEM", "TÊN_XÉT_NGHIỆM")
 
 
@@ -121,3 +131,19 @@ def scenarios(replies: DataFrame, key: str = "doc_id", reply: str = "reply", lea
     of = lambda code: F.transform(F.filter("__l", lambda x: (x["code"] == code) & (F.length(x["text"]) >= 2)), lambda x: x["text"])
     rows = replies.select(key, lines.alias("__l")).select(key, of("TC").alias("symptoms"), F.slice(of("TH"), 1, most).alias("drugs"))
     return rows.filter(F.size("symptoms") >= least).withColumn("symptoms", F.slice("symptoms", 1, most))
+
+
+def good_drugs(rows: DataFrame, names: DataFrame, key: str = "doc_id", drugs: str = "drugs") -> DataFrame:
+    """rows with lists of drugs without vague groups and descriptions: known groups stay, names in ``names``, short ones (3 words) that
+    resemble one, and those of 2 words; a list of which nothing is left keeps its first two entries. Keys must be unique."""
+    each = rows.select(F.col(key).alias("__k"), F.posexplode(drugs).alias("__i", "__d")).withColumn("__t", F.regexp_replace("__d", r"(?U)^\s+|\s+$", ""))
+    plain, n = T.plain_form(F.col("__t")), F.size(F.split("__t", r"(?U)\s+"))
+    each = each.withColumn("__p", plain).withColumn("__n", n).filter((F.length("__t") >= 2) & (F.col("__n") <= 5) & ~F.col("__p").isin(*NO_DRUGS))
+    sure = F.col("__p").isin(*_plain(DRUG_GROUPS)) | (F.col("__n") <= 2)
+    known = names.select(T.plain_form(F.col("name")).alias("__x")).distinct()
+    asked = each.filter(~sure)
+    exact = asked.join(known, F.col("__p") == F.col("__x"), "left_semi")
+    close = close_to_names(asked.filter("__n <= 3").select(F.col("__t").alias("text")), names, DRUG_RATIO, band=4)
+    near = asked.filter("__n <= 3").join(known, F.col("__p") == F.col("__x"), "left_anti").join(close, F.col("__t") == F.col("text"), "left_semi")
+    kept = each.filter(sure).unionByName(exact).unionByName(near).groupBy("__k").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__t"))), lambda x: x["__t"]).alias("__kept"))
+    return rows.join(kept, F.col(key) == F.col("__k"), "left").withColumn(drugs, F.coalesce("__kept", F.slice(drugs, 1, 2))).select(*rows.columns)

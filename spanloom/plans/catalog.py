@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import anchor, drugs, knowledge, labels, rules, segment, spans, verify
+from spanloom.plans import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -580,3 +581,13 @@ SELECT type, n, round(CAST(n AS DOUBLE) / sum(n) OVER () - CASE type WHEN 'CHẨ
 def type_share_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spans.share_gaps(line_spans(spark, sf_dir), {"CHẨN_ĐOÁN": 0.25, "TRIỆU_CHỨNG": 0.33})
     return got.select("type", "n", F.round("gap", 9).alias("gap"), "off")
+
+
+@query(rf"""
+WITH {NOTE_SQL},
+v AS (SELECT *, strpos(line, ': ') AS c FROM lines WHERE line LIKE '- part %')
+SELECT doc_id, 'TÊN_XÉT_NGHIỆM' AS type, substr(line, 3, c - 3) AS text, s + 2 AS "start", CAST(s + c - 1 AS BIGINT) AS "end", 'rule' AS source FROM v
+UNION ALL SELECT doc_id, 'KẾT_QUẢ_XÉT_NGHIỆM', substr(line, c + 2), CAST(s + c + 1 AS BIGINT), CAST(s + length(line) AS BIGINT), 'rule' FROM v""")
+def extract_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, names = notes(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return extract.finalize(extract.extract(docs, names), docs, names).select("doc_id", "type", "text", "start", "end", "source")

@@ -4,10 +4,12 @@ import difflib
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import drugs, knowledge, labels, verify
+from spanloom.operators import drugs, generate, knowledge, labels, verify
+from spanloom.plans import extract
 
 
 def docs(spark, *texts):
@@ -118,3 +120,39 @@ def test_label_tools(spark):
     got = [r["a"] for r in rows.select(labels.aligned_words(F.col("text"), F.col("words")).alias("a")).collect()]
     assert [[(w["start"], w["end"]) for w in g["words"]] for g in got] == [[(0, 10), (11, 15)], [(0, 3), (3, 4)], [(0, 1)], [], []]
     assert [g["whole"] for g in got] == [True, True, False, True, True]
+
+
+def test_good_drugs(spark):
+    rows = [(1, ["thuốc bổ", "Kháng sinh", "furosemit liều cao", "một hai ba bốn", "Furosemid uong", "thuốc x y z t u"]), (2, ["thuốc bổ", "thuốc nam", "x"]), (3, []), (4, None), (5, ["amoxicillin va clavulanat", "hoan toan khac nhe"])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, drugs array<string>")
+    got = {r["doc_id"]: r["drugs"] for r in verify.good_drugs(frame, names(spark, "Furosemit lieu", "amoxicillin và clavulanate")).collect()}
+    assert got == {1: ["Kháng sinh", "Furosemid uong"], 2: ["thuốc bổ", "thuốc nam"], 3: [], 4: None, 5: ["amoxicillin va clavulanat"]}
+
+
+SPAN = "doc_id bigint, start bigint, end bigint, type string, source string, heading string, score bigint, text string"
+
+
+def test_finalize(spark):
+    text = "- ALT: 45 U/l. sỏi đoạn cuối ống mật chủ rõ"
+    rows = docs(spark, text, "a b")
+    found = spark.createDataFrame([(0, 0, 14, "TÊN_XÉT_NGHIỆM", "rule", None, 100, text[:14]), (0, 15, 18, "CHẨN_ĐOÁN", "llm", None, 70, "sỏi"), (1, 1, 2, "THUỐC", "llm", None, 70, " ")], SPAN)
+    got = extract.finalize(found, rows, names(spark, "sỏi đoạn cuối ống mật chủ")).collect()
+    assert {r["text"] for r in got} == {"ALT: 45 U/l", "sỏi đoạn cuối ống mật chủ"}
+    for broken in ([(1, 0, 1, "THUỐC", "llm", None, 70, "x")], [(1, 0, 3, "THUỐC", "llm", None, 70, "a b"), (1, 2, 3, "THUỐC", "llm", None, 70, "b")]):
+        with pytest.raises(Exception, match="verbatim|overlap"):
+            extract.checked(spark.createDataFrame(broken, SPAN), rows).collect()
+    rule = found.filter("doc_id = 0").withColumn("end", F.lit(20).cast("bigint"))
+    assert [r["score"] for r in extract.pooled([rule, found.filter("false")]).collect()] == [100]
+
+
+def test_generators(spark):
+    rows = spark.range(400).select("id", F.lit("ALT").alias("name"), F.lit("45 U/l").alias("result"))
+    lines = generate.lab_lines(rows, 3, "id").collect()
+    assert all(r["line"][: r["name_end"]] == "ALT" and (r["result_start"] is None or r["line"][r["result_start"] :] == "45 U/l") for r in lines)
+    assert 0.3 < sum(r["result_start"] is None for r in lines) / 400 < 0.55
+    blocks = spark.range(300).select("id", F.concat(F.lit("h\n- item"), F.col("id").cast("string")).alias("text")).withColumn("spans", F.array(F.struct(F.lit(4).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end"))))
+    prose = spark.range(40).select("id", F.concat(F.lit("prose "), F.col("id").cast("string")).alias("text"))
+    for texts, low, high in ((prose, 0.4, 0.7), (prose.filter("false"), 0, 0)):
+        got = generate.mixed(blocks, texts, 5).collect()
+        assert len(got) == 300 and all(r["text"][r["spans"][0]["start"] : r["spans"][0]["end"]] == f"item{r['id']}" for r in got)
+        assert low <= sum(r["prose_id"] is not None for r in got) / 300 <= high
