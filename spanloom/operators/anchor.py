@@ -89,10 +89,11 @@ def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most:
     ids = spans.withColumn("__id", F.xxhash64(*spans.columns))
     own = ids if only is None else ids.filter(only)
     own = own.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti").join(words, "doc_id")
-    after = F.transform(F.slice(F.filter("__w", lambda w: w["start"] >= F.col("end")), 1, most), lambda w, i: F.struct(F.lit(0).alias("side"), (i + 1).alias("n"), F.col("start").alias("a"), w["end"].alias("b")))
+    cut = lambda a, b: F.substr(F.col("__t"), (a + 1).cast("int"), (b - a).cast("int"))
+    after = F.transform(F.slice(F.filter("__w", lambda w: w["start"] >= F.col("end")), 1, most), lambda w, i: F.struct(F.lit(0).alias("side"), (i + 1).alias("n"), F.col("start").alias("a"), w["end"].alias("b"), cut(F.col("start"), w["end"]).alias("c")))
     left = F.reverse(F.filter("__w", lambda w: w["end"] <= F.col("start")))
-    before = F.transform(F.slice(left, 1, most), lambda w, i: F.struct(F.lit(1).alias("side"), (i + 1).alias("n"), w["start"].alias("a"), F.col("end").alias("b")))
-    tries = own.withColumn("g", F.explode(F.concat(after, before))).withColumn("__c", F.substr(F.col("__t"), (F.col("g.a") + 1).cast("int"), (F.col("g.b") - F.col("g.a")).cast("int")))
+    before = F.transform(F.slice(left, 1, most), lambda w, i: F.struct(F.lit(1).alias("side"), (i + 1).alias("n"), w["start"].alias("a"), F.col("end").alias("b"), cut(w["start"], F.col("end")).alias("c")))
+    tries = own.select("__id", "doc_id", F.explode(F.concat(after, before)).alias("g")).withColumn("__c", F.col("g.c"))
     tries = tries.filter(F.size(F.split("__c", r"(?U)\s+")) <= most).join(known, T.key_form(F.col("__c")) == F.col("__k"), "left_semi")
     best = tries.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy("g.side", "g.n"))).filter("__r = 1").select("__id", F.col("doc_id").alias("__d"), F.col("g.a").alias("__a"), F.col("g.b").alias("__b"), F.col("__c").alias("__x"))
     others = ids.select(F.col("doc_id").alias("__od"), F.col("start").alias("__os"), F.col("end").alias("__oe"), F.col("__id").alias("__oi"))

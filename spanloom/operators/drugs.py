@@ -47,10 +47,10 @@ def ingredients(terms: DataFrame, term: str = "term") -> DataFrame:
     return fit.select(F.explode(F.array_compact(F.array("t", local))).alias("t")).groupBy(F.lower("t").alias("k")).agg(F.min("t").alias("term")).select("term")
 
 
-def _dose(text: Column, words: Column, last: Column, end: Column) -> Column:
+def _dose(words: Column, raw: Column, last: Column) -> Column:
     """The dose that follows word ``last`` (from 1), empty without one. Three words hold a dose and what may not follow it."""
-    stop = F.try_element_at(words, F.least(last + 3, F.size(words)))["end"]
-    return F.regexp_extract(F.substr(text, (end + 1).cast("int"), F.greatest(stop - end, F.lit(0)).cast("int")), rules.STRENGTH, 0)
+    gap = F.substr(F.element_at(raw, last), (F.length(F.element_at(words, last)["text"]) + 1).cast("int"))
+    return F.regexp_extract(F.concat(gap, F.array_join(F.slice(raw, last + 1, F.lit(3)), "")), rules.STRENGTH, 0)
 
 
 def find(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", most: int = 5) -> DataFrame:
@@ -61,16 +61,17 @@ def find(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "te
     """
     hits = rules._lookup(docs, names, key, text, name, most, T.plain_form).withColumnRenamed(key, "__key")
     words = T.words(F.col(text))
-    rows = docs.select(F.col(key), F.col(text).alias("__t"), words.alias("__w")).filter(F.size("__w") > 0).join(hits, F.col(key) == F.col("__key"), "left")
-    t, w = F.col("__t"), F.col("__w")
-    dosed = F.transform("all", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["norm"].alias("norm"), _dose(t, w, x["i"] + x["n"] - 1, x["end"]).alias("dose")))
-    rows = rows.select(key, "__t", "__w", F.coalesce(dosed, F.array().cast("array<struct<i:int,n:int,start:bigint,end:bigint,norm:string,dose:string>>")).alias("__all"))
+    raw = F.regexp_extract_all(text, F.lit(r"(?U)\S+\s*"), F.lit(0))
+    rows = docs.select(F.col(key), F.col(text).alias("__t"), words.alias("__w"), raw.alias("__r")).filter(F.size("__w") > 0).join(hits, F.col(key) == F.col("__key"), "left")
+    w, r = F.col("__w"), F.col("__r")
+    dosed = F.transform("all", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["norm"].alias("norm"), _dose(w, r, x["i"] + x["n"] - 1).alias("dose")))
+    rows = rows.select(key, "__t", "__w", "__r", F.coalesce(dosed, F.array().cast("array<struct<i:int,n:int,start:bigint,end:bigint,norm:string,dose:string>>")).alias("__all"))
     rows = rows.withColumn("__all", F.filter("__all", lambda x: ~(x["norm"].isin(*DUAL_USE) & (x["dose"] == ""))))
     rows = rows.withColumn("__hit", rules._greedy(F.col("__all")))
     known = F.transform("__hit", lambda x: F.struct(x["start"].alias("start"), (x["end"] + F.length(x["dose"])).cast("bigint").alias("end"), F.lit(1.0).alias("score"), F.lit("dict").alias("source")))
 
     def candidate(word: Column, i: Column) -> Column:
-        return F.struct((i + 1).alias("i"), (word["start"] + F.length(word["text"]) - F.length(F.ltrim(word["text"], F.lit(MARKS)))).alias("start"), word["end"].alias("end"), F.rtrim(F.ltrim(word["text"], F.lit(MARKS)), F.lit(MARKS)).alias("core"), _dose(t, w, i + 1, word["end"]).alias("dose"))
+        return F.struct((i + 1).alias("i"), (word["start"] + F.length(word["text"]) - F.length(F.ltrim(word["text"], F.lit(MARKS)))).alias("start"), word["end"].alias("end"), F.rtrim(F.ltrim(word["text"], F.lit(MARKS)), F.lit(MARKS)).alias("core"), _dose(w, r, i + 1).alias("dose"))
 
     free = F.filter(F.transform("__w", candidate), lambda c: (c["dose"] != "") & (F.length(c["core"]) >= 3) & c["core"].rlike(r"^\p{L}") & ~F.exists("__hit", lambda x: (x["i"] <= c["i"]) & (c["i"] < x["i"] + x["n"])))
     unknown = F.transform(F.filter(free, lambda c: ~T.plain_form(c["core"]).isin(*BLOCKED)), lambda c: F.struct(c["start"].alias("start"), (c["end"] + F.length(c["dose"])).cast("bigint").alias("end"), F.lit(0.7).alias("score"), F.lit("rule_strength").alias("source")))
