@@ -481,19 +481,20 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
 
 
 def resolved(docs: DataFrame, key: str, text: str, k: int, part: int, of: int) -> DataFrame:
-    """(id, hash, n, component_id) for every document."""
+    """(id, hash, key, n, component_id, component_hash) for every document: of its group, the smallest id (null if all are) and among the
+    documents with this id the smallest text hash. Documents without tokens are groups of their own."""
     keyed = durable(keyed_docs(docs, key, text, k))
     total = keyed.agg(F.sum("n")).first()[0] or 0
-    classes = durable(keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
+    classes = durable(keyed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"), F.max("n").alias("n"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
     outlines = durable(keyed.select("hash", "n", "bits").dropDuplicates(["hash"]).join(classes.select("hash", "key"), "hash").select("key", "n", "bits"))
     comp = components(class_links(docs, text, classes, outlines, total, k, part, of))
     placed = classes.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"), F.sum("copies").alias("docs"))
+    least = placed.groupBy("comp").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("m"), F.sum("copies").alias("docs"))
     # alone: the id is its own component and needs no lookup
-    named = placed.join(least.filter("docs > 1"), "comp").select("key", "component_id", "copies")
+    named = placed.drop("least").join(least.filter("docs > 1"), "comp").select("key", F.col("least.id").alias("component_id"), F.col("least.hash").alias("component_hash"), "copies")
     named = durable(named)
     rows = lookup(keyed.select("id", "hash", "key", "n"), named, "key", "copies", keyed.count())
-    return rows.select("id", "hash", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return rows.select("id", "hash", "key", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component_hash", "hash").alias("component_hash"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
@@ -502,15 +503,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, that with the smallest id; of rows that share this id, one. Rows without an id stay where their
-    group has none."""
-    found = durable(resolved(docs, key, text, SHINGLE, PART, OF).select(F.col("id").alias("__id"), F.col("hash").alias("__h"), "component_id"))
-    gone = found.filter(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__h").distinct()
-    kept = docs.join(gone, (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id")), "left_anti")
-    twice = durable(found.filter("__id is not null").groupBy("__id").count().filter("count > 1").select("__id"))
+    """One document of each group, that with the smallest id (null after all others) and of those the smallest text hash; of rows that agree
+    in id and text, one. Groups are told apart by their texts, so ids that are null or shared lose none. Texts without tokens and without an
+    id all stay."""
+    found = durable(resolved(docs, key, text, SHINGLE, PART, OF).select(F.col("id").alias("__id"), F.col("hash").alias("__h"), "key", "component_id", "component_hash"))
+    gone = found.filter(~F.col("__id").eqNullSafe(F.col("component_id")) | (F.col("__h") != F.col("component_hash"))).select("__id", "__h").distinct()
+    of = (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id"))
+    kept = docs.join(gone, of, "left_anti")
+    twice = found.filter("(__id is not null or key is not null) and __id <=> component_id and __h = component_hash").groupBy("__id", "__h").count().filter("count > 1").select("__id", "__h")
+    twice = durable(twice)
     if twice.limit(1).count():
-        again = kept.join(twice, kept[key] == F.col("__id")).withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy(F.col(text)))).filter("__r = 1")
-        kept = kept.join(twice, kept[key] == F.col("__id"), "left_anti").unionByName(again.drop("__id", "__r"))
+        again = kept.join(twice, of).dropDuplicates(["__id", "__h"])
+        kept = kept.join(twice, of, "left_anti").unionByName(again.drop("__id", "__h"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

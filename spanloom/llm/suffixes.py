@@ -131,9 +131,8 @@ def _split(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e[~same], e[~own], top["id"][~own]
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, start, end, n_words, first_id), a row per repeated passage: words start..end-1 of the text (counted from 0) occurred before; first_id is a
-    document that has what the passage begins with."""
+def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> DataFrame:
+    """(id, *by, lo, hi, first) of the repeated passages: a row for each document that has one, told apart by id, words and ``by`` (hash: that of the text)."""
     base = durable(base_table(docs, key, text, width))
     classes = durable(base.groupBy("words").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
     # selected grams, once for each distinct word sequence
@@ -229,20 +228,27 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         ).otherwise(F.concat(acc, F.array(F.struct(x["lo"].alias("lo"), (x["hi"] + width).alias("hi"), x["first"].alias("first"))))),
     )
     spans = durable(runs.select("words", F.explode(joins).alias("s")).select(F.col("words").alias("__w"), "s.*"))
-    rows = base.select("id", "words", "n").distinct()
+    rows = base.select("id", "words", "n", *by).distinct()
     named = rows.join(classes.select(F.col("words").alias("__w"), "least"), F.col("words") == F.col("__w")).drop("__w")
-    firsts = named.filter(F.col("id").eqNullSafe(F.col("least"))).join(spans, F.col("words") == F.col("__w")).select("id", "lo", "hi", "first")
-    copies = named.filter(~F.col("id").eqNullSafe(F.col("least")) & (F.col("n") >= width)).select("id", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"), F.col("least").cast("bigint").alias("first"))
-    out = firsts.unionByName(copies)
+    firsts = named.filter(F.col("id").eqNullSafe(F.col("least"))).join(spans, F.col("words") == F.col("__w")).select("id", *by, "lo", "hi", "first")
+    copies = named.filter(~F.col("id").eqNullSafe(F.col("least")) & (F.col("n") >= width)).select("id", *by, F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"), F.col("least").cast("bigint").alias("first"))
+    return firsts.unionByName(copies)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, start, end, n_words, first_id), a row per repeated passage: words start..end-1 of the text (counted from 0) occurred before; first_id is a
+    document that has what the passage begins with."""
+    out = _passages(docs, key, text, width)
     return out.select(F.col("id").alias(key), F.col("lo").alias("start"), F.col("hi").alias("end"), (F.col("hi") - F.col("lo")).alias("n_words"), F.nullif("first", F.lit(_LAST)).alias("first_id"))
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs without the repeated passages: they are cut out of the texts, with the white space in front of them, and documents of which no word is left go.
-    Texts without repeats stay as they are. Ids are taken to name documents; rows that share an id get the cuts of all of them, clipped to each."""
-    spans = durable(repeats(docs, key, text, width).groupBy(F.col(key).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")))
+    Texts without repeats stay as they are. Cuts go by id and text, so documents whose ids are null or shared get none but their own."""
+    spans = _passages(docs, key, text, width, "hash").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__h"))
+    spans = durable(spans.agg(F.sort_array(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))).alias("__cuts")))
     cols = docs.columns
-    rows = docs.join(spans, docs[key].eqNullSafe(F.col("__id")), "left").drop("__id")
+    rows = docs.join(spans, (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
     schema = rows.schema
     at = cols.index(text)
 

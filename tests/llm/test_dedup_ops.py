@@ -152,6 +152,21 @@ def test_suffix_cuts(spark):
     assert suffixes.repeats(table.limit(0)).count() == 0 and suffixes.cut_repeats(table.limit(0)).count() == 0
 
 
+def test_shared_and_null_ids_lose_no_clean_text(spark):
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    shared = words("s", 60)
+    rows = [(1, shared), (None, words("a", 30) + " " + shared), (None, words("b", 120)), (None, None), (2, words("c", 120)), (2, words("d", 30) + " " + shared)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in suffixes.cut_repeats(docs(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, shared), (None, words("a", 30)), (None, words("b", 120)), (None, None), (2, words("c", 120)), (2, words("d", 30))], key=str)
+
+    p, q, r = words("p", 40), words("q", 40), words("r", 40)
+    rows = [(5, p), (6, p + " x"), (5, q), (7, q + " x"), (None, r), (None, r + " x"), (None, "t"), (None, None), (None, None), (9, None)]
+    kept = [(x["doc_id"], x["text"]) for x in neardup.drop_near_duplicates(docs(spark, rows)).collect()]
+    one = [x for x in kept if x[0] is None and x[1] in (r, r + " x")]
+    assert len(one) == 1
+    assert sorted(set(kept) - set(one), key=str) == sorted([(5, p), (5, q), (None, "t"), (None, None), (9, None)], key=str) and kept.count((None, None)) == 2
+
+
 def cloud(seed=2):
     r, rows = np.random.default_rng(seed), []
     for label in (0, 1):
