@@ -6,11 +6,11 @@ bidirectional LSTM (numpy) reads the sequence of a whole page, so that each bloc
 labelled as article make up the text.
 
 The model is trained here, on pages that ``sample_pages`` invents from a seed (PAGES of them: that is the bound of the sample), once per
-process; weights go to the executors with the function. Scripts, styles, comments, head, form controls and other markup that is never text are
-left out by the parser; menus, headers, footers, sidebars, notices, adverts, form texts and reader comments are the model's matter.
+process; weights go to the executors with the function. Scripts, styles, comments and titles are left out by the parser, which drops nothing
+else; menus, headers, footers, sidebars, notices, adverts, form texts and controls, and reader comments are the model's matter.
 
 Defined results: a null or empty page has the text "" ; text outside any tag is a block; an unclosed tag ends where its parent does, an
-unclosed comment, script or style at the end of the page; ``<`` that begins no tag is text; white space of any kind becomes one
+unclosed comment, script or style at the end of the page, ``/>`` ends any element; an unclosed title is text; ``<`` that begins no tag is text; white space of any kind becomes one
 space; inline tags and <br> don't end a block; every block of the page is read, however long; repeated rows give equal results.
 """
 
@@ -32,7 +32,8 @@ from spanloom.llm.core import lean, slices
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|title|noscript|template|textarea|select|button|svg|math|iframe|object)\b.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<raw>script|style)(?=[\s/>])(?:(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>|.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))
+    |<title(?=[\s>])[^>]*(?<!/)>[^<]*(?:<(?!/?[a-z])[^<]*)*</title\s*>
     |<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>
     |<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>
     |<[!?][^>]*>""",

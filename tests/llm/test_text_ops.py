@@ -116,6 +116,15 @@ def test_html_blocks_and_labels():
     assert right / sum(len(y) for _, y in held) > 0.98
 
 
+@pytest.mark.parametrize("odd", ["<svg viewBox='0 0 1 1'/>", "<svg-icon></svg-icon>", "<button-group>", "<select-x>", "<button>", "<script src=x />", "<style/>", "<title>", "<title-bar>", "<object>", "<script-x>"])
+def test_html_odd_elements_lose_no_text(odd):
+    assert [b[1] for b in html.blocks(f"<article><p>one</p>{odd}<p>two</p><p>three</article>")] == ["one", "two", "three"]
+
+
+def test_html_inner_text_is_kept():
+    assert [b[1] for b in html.blocks("<p>a <math><mi>x</mi></math> b<p><object>c</object> <noscript>d</noscript><p>e<script>f</script ><style>g</style>")] == ["a x b", "c d", "e"]
+
+
 def test_html_gradients():
     import numpy as np
 
