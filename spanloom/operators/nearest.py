@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once.
+#: Query vectors that are broadcast at once, about.
 MOST_QUERIES = 50_000
 
 
 def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column) -> DataFrame:
     """(key, r_top, o_top): each query's largest cosine with rows of the first class and with the others, itself left out.
 
-    The queries (at most MOST_QUERIES, checked) go to all tasks; each task gives one maximum per query, so what is shuffled follows the number of
-    queries and tasks, not of pairs.
+    The queries go to all tasks, in blocks of about MOST_QUERIES by the hash of their key; each task gives one maximum per query of a block, so what is
+    shuffled follows the number of queries and tasks, not of pairs. Of several blocks each is written to spark.checkpoint.dir before the next is
+    read, so that the driver holds one at a time.
     """
-    asked = queries.select(key, vector).limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split them")
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    if blocks == 1:
+        return _block(queries, rows, key, vector, first_class)
+    of = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_block(queries.filter(of == i), rows, key, vector, first_class).checkpoint() for i in range(blocks)])
+
+
+def _block(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column) -> DataFrame:
+    asked = queries.select(key, vector).toPandas()
     ids, q = asked[key].to_numpy(), np.array(asked[vector].tolist(), dtype=np.float64).reshape(len(asked), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 

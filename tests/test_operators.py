@@ -224,3 +224,15 @@ def test_streaming(spark, tmp_path):
             (tmp_path / "in" / "b.txt").write_text("Khác\n- ho\n- sốt")
         units.write_units(units.stream_units(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from spanloom.operators import nearest
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(60)], "id bigint, v array<double>, label int")
+    ask = lambda: sorted(map(tuple, nearest.nearest_by_class(rows.filter("id % 2 = 0"), rows, "id", "v", F.col("label") == 0).collect()))
+    want = ask()
+    monkeypatch.setattr(nearest, "MOST_QUERIES", 7)
+    got = ask()
+    assert len(got) == 30 and [x[0] for x in got] == [x[0] for x in want]
+    assert all(abs(a - b) < 1e-12 for x, y in zip(got, want, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
