@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,6 +101,35 @@ def close_to_names(texts: DataFrame, names: DataFrame, ratio: float, text: str =
     return texts.select(F.col(text).alias("text")).distinct().join(found, T.plain_form(F.col("text")) == F.col("a"), "left_semi")
 
 
+def nearest_names(names: DataFrame, band: int = 4, name: str = "name", bounds: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """(name, distance, nearest): of the other distinct names whose length differs by less than ``band`` the one at the smallest edit distance, the
+    first by order of equals; names without any are left out.
+
+    If d edits make one string of another, one of d + 1 pieces of the first stands in the second, moved by d places at most. So for each bound strings are
+    joined on such pieces; a nearest name within the bound is final, and only names that have none go on to the next. Those that are further
+    from all others than the last bound are compared with the whole band, as no shared piece is sure there.
+    """
+    every = names.select(F.col(name).alias("name")).filter("name is not null").distinct()
+    other = every.select(F.col("name").alias("other"), F.length("name").alias("m"))
+    best = F.min(F.struct(F.levenshtein("name", "other").cast("bigint").alias("d"), "other")).alias("b")
+    left, done = every, []
+    for d in bounds:
+        reach = min(d, band - 1)
+        piece = lambda m, i, d=d: F.floor(m * i / F.lit(d + 1)).cast("int")
+        cuts = F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.struct(i.alias("i"), F.substr("other", piece(F.col("m"), i) + 1, piece(F.col("m"), i + 1) - piece(F.col("m"), i)).alias("s")))
+        keyed = other.select("other", "m", F.explode(cuts).alias("c")).select("other", "m", "c.*")
+        at = left.select("name", F.explode(F.sequence(F.greatest(F.length("name") - reach, F.lit(0)), F.length("name") + reach)).alias("m"))
+        at = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
+        at = at.select("*", F.explode(F.sequence(F.lit(-d), F.lit(d))).alias("by"))
+        a, n = piece(F.col("m"), F.col("i")), piece(F.col("m"), F.col("i") + 1) - piece(F.col("m"), F.col("i"))
+        tried = at.filter((a + F.col("by") >= 0) & (a + F.col("by") + n <= F.length("name"))).select("name", "m", "i", F.substr("name", a + F.col("by") + 1, n).alias("s")).distinct()
+        near = tried.join(keyed, ["m", "i", "s"]).filter("name <> other").select("name", "other").distinct().groupBy("name").agg(best).filter(F.col("b.d") <= d)
+        done.append(near)
+        left = left.join(near.select("name"), "name", "left_anti")
+    far = left.join(other, (F.length("name") - F.col("m")).between(1 - band, band - 1) & (F.col("name") != F.col("other"))).groupBy("name").agg(best)
+    return reduce(DataFrame.unionByName, [*done, far]).select("name", F.col("b.d").alias("distance"), F.col("b.other").alias("nearest"))
+
+
 def in_lists(entities: DataFrame, drugs: DataFrame, tests: DataFrame) -> DataFrame:
     """Entities (type, text) without drugs and test names that no name of their list (name) resembles; other types stay, drugs that name
     a common group stay too."""

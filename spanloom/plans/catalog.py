@@ -405,11 +405,7 @@ WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
 j AS (SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS d FROM n a JOIN n b ON a.name <> b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1) AND abs(length(a.name) - length(b.name)) < 4)
 SELECT name, min(d) AS distance, arg_min(other, (d, other)) AS nearest FROM j GROUP BY name""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    block = lambda c: names.select(F.col("name").alias(c), F.substring("name", 1, 1).alias("k"))
-    pairs = block("name").join(block("other"), "k").filter((F.col("name") != F.col("other")) & (F.abs(F.length("name") - F.length("other")) < 4))
-    best = F.min(F.struct(F.levenshtein("name", "other").cast("bigint").alias("d"), "other"))
-    return pairs.groupBy("name").agg(best.alias("b")).select("name", F.col("b.d").alias("distance"), F.col("b.other").alias("nearest"))
+    return verify.nearest_names(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")))
 
 
 @query("""

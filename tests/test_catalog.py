@@ -36,3 +36,21 @@ def test_greedy_longest(spark):
     rows = catalog.QUERIES["density_longest"](spark, SF).toPandas()
     for _, g in rows.sort_values("start").groupby("doc_id"):
         assert (g["end"].to_numpy()[:-1] <= g["start"].to_numpy()[1:]).all()
+
+
+def held(spark, name, sql, sf=SF):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = catalog.QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
+    cols = sorted(want.columns)
+    got, want = (d[cols].sort_values(cols, ignore_index=True) for d in (got, want))
+    assert len(want)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_fuzzy_names_over_all_letters(spark):
+    held(spark, "fuzzy_names", """
+WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
+j AS (SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) < 4)
+SELECT name, min(d) AS distance, arg_min(other, (d, other)) AS nearest FROM j GROUP BY name""")

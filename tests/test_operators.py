@@ -236,3 +236,22 @@ def test_nearest_in_blocks(spark, monkeypatch):
     got = ask()
     assert len(got) == 30 and [x[0] for x in got] == [x[0] for x in want]
     assert all(abs(a - b) < 1e-12 for x, y in zip(got, want, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
+
+
+def test_nearest_names(spark):
+    from spanloom.operators import verify
+
+    r = random.Random(3)
+    names = {"".join(r.choices("abc", k=r.randint(0, 9))) for _ in range(80)} | {"q" * 30, "q" * 26, "zebra crossing", "xebra crossing", "alone" * 9}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, last = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    want = {a: min((distance(a, b), b) for b in names if b != a and abs(len(a) - len(b)) < 4) for a in names if any(b != a and abs(len(a) - len(b)) < 4 for b in names)}
+    got = verify.nearest_names(spark.createDataFrame([(x,) for x in names], "name string")).collect()
+    assert {x["name"]: (x["distance"], x["nearest"]) for x in got} == want and len(got) == len(want)
