@@ -262,8 +262,8 @@ SELECT doc_id, line, CASE m WHEN 0 THEN 'TRIỆU_CHỨNG' WHEN 1 THEN 'THUỐC'
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text <> ''")
     code = F.when(F.col("turn") % 4 == 0, "1. tc : ").when(F.col("turn") % 4 == 1, "TH|").when(F.col("turn") % 4 == 2, "zz|").otherwise("KQ | ")
-    line = F.concat(code, F.element_at(F.split("text", "\n"), 1))
-    replies = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("reply"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(code, x))
+    replies = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", lines.alias("l")))), lambda x: x["l"])), "\n").alias("reply"))
     return rules.parse_replies(replies)
 
 
@@ -524,9 +524,9 @@ SELECT doc_id, string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TC' AND n <= 5) A
 FROM k GROUP BY doc_id HAVING count(*) FILTER (code = 'TC') >= 3""")
 def reply_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text <> ''")
-    first = F.trim(F.element_at(F.split("text", "\n"), 1))
-    line = F.concat(F.when(F.col("turn") % 3 == 0, "th |").otherwise("TC| "), first)
-    replies = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", first.alias("t"), line.alias("l")))), lambda x: x["l"]), "\n").alias("reply"))
+    code = F.when(F.col("turn") % 3 == 0, "th |").otherwise("TC| ")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(code, F.trim(x)))
+    replies = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", lines.alias("l")))), lambda x: x["l"])), "\n").alias("reply"))
     return verify.scenarios(replies).select("doc_id", F.array_join("symptoms", " / ").alias("symptoms"), F.array_join("drugs", " / ").alias("drugs"))
 
 

@@ -54,3 +54,20 @@ def test_fuzzy_names_over_all_letters(spark):
 WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
 j AS (SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) < 4)
 SELECT name, min(d) AS distance, arg_min(other, (d, other)) AS nearest FROM j GROUP BY name""")
+
+
+_LINES = "l AS (SELECT conv_id AS doc_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations WHERE text <> '')"
+
+
+def test_reply_parse_reads_every_line(spark):
+    held(spark, "reply_parse", f"""
+WITH {_LINES}, r AS (SELECT doc_id, turn % 4 AS m, row_number() OVER (PARTITION BY doc_id ORDER BY turn, k) - 1 AS line, trim(t) AS t FROM l)
+SELECT doc_id, line, CASE m WHEN 0 THEN 'TRIỆU_CHỨNG' WHEN 1 THEN 'THUỐC' ELSE 'KẾT_QUẢ_XÉT_NGHIỆM' END AS kind, t AS text FROM r WHERE m <> 2 AND t <> ''""")
+
+
+def test_reply_scenarios_read_every_line(spark):
+    held(spark, "reply_scenarios", f"""
+WITH {_LINES}, r AS (SELECT doc_id, turn, k, CASE WHEN turn % 3 = 0 THEN 'TH' ELSE 'TC' END AS code, trim(t) AS t FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY turn, k) AS n FROM r WHERE length(t) >= 2)
+SELECT doc_id, string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TC' AND n <= 5) AS symptoms, coalesce(string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TH' AND n <= 5), '') AS drugs
+FROM n GROUP BY doc_id HAVING count(*) FILTER (code = 'TC') >= 3""")
