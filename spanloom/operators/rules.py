@@ -97,15 +97,24 @@ def parse_replies(replies: DataFrame, key: str = "doc_id", reply: str = "reply")
 
 
 def occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_id: str = "item_id", phrase: str = "phrase", lead: int = 4) -> DataFrame:
-    """(key, phrase_id, start, end): where phrases of at least ``lead`` words stand in texts, word by word.
+    """(key, phrase_id, start, end): where phrases stand in texts, word by word; phrases without a word stand nowhere.
 
-    Both sides are joined on their first ``lead`` words, so that only places where a phrase can begin are compared.
+    Both sides are joined on their first ``lead`` words (all words of shorter phrases), so that only places where a phrase can begin are compared.
     """
     rows = docs.select(F.col(key), F.col(text).alias("__t"), T.words(F.col(text)).alias("__w"))
-    at = F.transform(F.sequence(F.lit(1), F.size("__w") - lead + 1), lambda i: F.struct(F.element_at("__w", i)["start"].alias("start"), F.xxhash64(F.array_join(F.transform(F.slice("__w", i, lead), lambda w: w["text"]), " ")).alias("h")))
-    grams = rows.filter(F.size("__w") >= lead).select(key, F.explode(at).alias("g")).select(key, "g.*")
-    parts = F.split(F.col(phrase), r"(?U)\s+")
-    asked = phrases.filter(F.size(parts) >= lead).select(F.col(phrase_id), F.col(phrase).alias("__p"), F.xxhash64(F.array_join(F.slice(parts, 1, lead), " ")).alias("h"))
+    parts = F.filter(F.split(F.col(phrase), r"(?U)\s+"), lambda w: w != "")
+    asked = phrases.select(F.col(phrase_id), F.col(phrase).alias("__p"), parts.alias("__q")).filter(F.size("__q") > 0).withColumn("n", F.least(F.size("__q"), F.lit(lead)))
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # lead of them at most
+    asked = asked.select(phrase_id, "__p", F.xxhash64(F.array_join(F.slice("__q", F.lit(1), F.col("n")), " ")).alias("h"))
+
+    def gram(i: Column, n: int) -> Column:
+        return F.struct(F.try_element_at("__w", i)["start"].alias("start"), F.xxhash64(F.array_join(F.transform(F.slice("__w", i, n), lambda w: w["text"]), " ")).alias("h"))
+
+    def starts(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: gram(i, n))
+        return F.when(F.size("__w") >= n, at).otherwise(F.slice(at, 1, 0))
+
+    grams = rows.select(key, F.explode(F.concat(*[starts(n) for n in sizes or [lead]])).alias("g")).select(key, "g.*")
     near = grams.join(asked, "h").join(rows.select(F.col(key), "__t"), key)
     hit = near.filter(F.substr(F.col("__t"), (F.col("start") + 1).cast("int"), F.length("__p")) == F.col("__p"))
     hit = hit.filter(~F.substr(F.col("__t"), (F.col("start") + 1 + F.length("__p")).cast("int"), F.lit(1)).rlike(r"(?U)\S"))

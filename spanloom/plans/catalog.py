@@ -273,10 +273,10 @@ c AS (SELECT DISTINCT doc_id, text FROM documents)
 SELECT doc_id, item_id, CAST(strpos(' ' || regexp_replace(text, '\s', ' ', 'g') || ' ', ' ' || phrase || ' ') - 1 AS BIGINT) AS "start"
 FROM c JOIN p ON strpos(' ' || regexp_replace(text, '\s', ' ', 'g') || ' ', ' ' || phrase || ' ') > 0""")
 def phrase_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split("text", " ")
-    asked = table(spark, sf_dir, "benchmark").filter(F.size(words) >= 8).select("item_id", F.array_join(F.slice(words, 1, 8), " ").alias("phrase"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s", " ").alias("text"))
-    return rules.occurrences(docs, asked).groupBy("doc_id", "item_id").agg(F.min("start").alias("start"))
+    flat = F.regexp_replace("text", r"\s", " ")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.trim(flat).alias("phrase"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", flat.alias("text"))
+    return rules.occurrences(docs, asked).select("doc_id", "item_id", "start").distinct()
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -71,3 +71,12 @@ WITH {_LINES}, r AS (SELECT doc_id, turn, k, CASE WHEN turn % 3 = 0 THEN 'TH' EL
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY turn, k) AS n FROM r WHERE length(t) >= 2)
 SELECT doc_id, string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TC' AND n <= 5) AS symptoms, coalesce(string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TH' AND n <= 5), '') AS drugs
 FROM n GROUP BY doc_id HAVING count(*) FILTER (code = 'TC') >= 3""")
+
+
+def test_phrase_anchor_whole_items_everywhere(spark, tmp_path):
+    item = "a b c d e f g h i j"
+    texts = [(1, f"x {item} y\n{item}"), (2, "a b c d e f g h z"), (3, "q r"), (4, "so q r q r"), (5, "r"), (6, None), (7, "c d e f g h i j")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(10, item), (11, "q r"), (12, ""), (13, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(tuple, catalog.QUERIES["phrase_anchor"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 10, 2), (1, 10, 24), (3, 11, 0), (4, 11, 3), (4, 11, 7)]
