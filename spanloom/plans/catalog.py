@@ -253,11 +253,11 @@ def strength_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.with_strength(found, rx.select("doc_id", "text"))
 
 
-_REPLY = "CASE turn % 4 WHEN 0 THEN '1. tc : ' WHEN 1 THEN 'TH|' WHEN 2 THEN 'zz|' ELSE 'KQ | ' END"
+_REPLY_LINES = "l AS (SELECT conv_id AS doc_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations WHERE text <> '')"
 
 
-@query(rf"""
-WITH r AS (SELECT conv_id AS doc_id, turn % 4 AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line, trim(string_split(text, chr(10))[1]) AS t FROM conversations WHERE text <> '')
+@query(f"""
+WITH {_REPLY_LINES}, r AS (SELECT doc_id, turn % 4 AS m, row_number() OVER (PARTITION BY doc_id ORDER BY turn, k) - 1 AS line, trim(t) AS t FROM l)
 SELECT doc_id, line, CASE m WHEN 0 THEN 'TRIỆU_CHỨNG' WHEN 1 THEN 'THUỐC' ELSE 'KẾT_QUẢ_XÉT_NGHIỆM' END AS kind, t AS text FROM r WHERE m <> 2 AND t <> ''""")
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text <> ''")
@@ -268,10 +268,10 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS phrase FROM benchmark WHERE len(string_split(text, ' ')) >= 8),
-c AS (SELECT DISTINCT doc_id, text FROM documents)
-SELECT doc_id, item_id, CAST(strpos(' ' || regexp_replace(text, '\s', ' ', 'g') || ' ', ' ' || phrase || ' ') - 1 AS BIGINT) AS "start"
-FROM c JOIN p ON strpos(' ' || regexp_replace(text, '\s', ' ', 'g') || ' ', ' ' || phrase || ' ') > 0""")
+WITH p AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s', ' ', 'g')) || ' ' AS phrase FROM benchmark WHERE trim(regexp_replace(text, '\s', ' ', 'g')) <> ''),
+c AS (SELECT DISTINCT doc_id, ' ' || regexp_replace(text, '\s', ' ', 'g') || ' ' AS t FROM documents),
+h AS (SELECT doc_id, item_id, phrase, t FROM c JOIN p ON contains(t, phrase))
+SELECT DISTINCT doc_id, item_id, CAST(i AS BIGINT) AS "start" FROM (SELECT *, unnest(range(length(t))) AS i FROM h) WHERE substr(t, i + 1, length(phrase)) = phrase""")
 def phrase_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.regexp_replace("text", r"\s", " ")
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.trim(flat).alias("phrase"))
@@ -402,7 +402,7 @@ def cosine_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
-j AS (SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS d FROM n a JOIN n b ON a.name <> b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1) AND abs(length(a.name) - length(b.name)) < 4)
+j AS (SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) < 4)
 SELECT name, min(d) AS distance, arg_min(other, (d, other)) AS nearest FROM j GROUP BY name""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.nearest_names(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")))
@@ -517,9 +517,9 @@ def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.close_to_names(asked, names.filter("p_size % 5 <> 0"), verify.DRUG_RATIO)
 
 
-@query("""
-WITH r AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn % 3 = 0 THEN 'TH' ELSE 'TC' END AS code, trim(string_split(text, chr(10))[1]) AS t FROM conversations WHERE text <> ''),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY turn, t) AS n FROM r WHERE length(t) >= 2)
+@query(f"""
+WITH {_REPLY_LINES}, r AS (SELECT doc_id, turn, k AS j, CASE WHEN turn % 3 = 0 THEN 'TH' ELSE 'TC' END AS code, trim(t) AS t FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY turn, j) AS n FROM r WHERE length(t) >= 2)
 SELECT doc_id, string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TC' AND n <= 5) AS symptoms, coalesce(string_agg(t, ' / ' ORDER BY n) FILTER (code = 'TH' AND n <= 5), '') AS drugs
 FROM k GROUP BY doc_id HAVING count(*) FILTER (code = 'TC') >= 3""")
 def reply_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
