@@ -11,14 +11,12 @@ All stages but the last return the columns of documents; n_chars follows the tex
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, mixing, neardup, quality, suffixes
-from spanloom.llm.core import shared_dir
+from spanloom.llm.core import work_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark)}/spanloom-pipeline-{uuid.uuid4().hex}"
+    where = work_path(spark)
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{where}/{i}")

@@ -2,40 +2,70 @@
 
 Long texts are split beforehand where no match of the pattern can cross: in front of a white-space run that follows a
 non-space character (every alternative of the pattern has white space only at its front, and the look-ahead of ``\\s+(?!\\S)``
-sees the same characters, as a run always stays with what follows it). Ids are decoded to raw bytes, token by token,
+sees the same characters, as a run always stays with what follows it). Runs of RUN white-space characters or more never reach the
+regular expression, whose look-ahead would exhaust the stack: all of a run but its last character (all of it at the end of the text) is
+one match of ``\\s+(?!\\S)``, and is merged as one piece. Patterns that don't end in ``|\\s+(?!\\S)|\\s+``, or
+have white space elsewhere but as an optional leading blank, are not split. Ids are decoded to raw bytes, token by token,
 so that a character cut by a token boundary comes back whole.
 
-Defined results: a null or empty text has no ids and decodes to nothing; special-token strings in a text are plain text;
-rows are kept one for one, repeated ones too; other columns of the input don't matter and may have any name.
+The rank file is read where the operator is called and its bytes are broadcast, so executors need no file.
+
+Defined results: a null or empty text has no ids and decodes to nothing, however long it is otherwise all of it is encoded;
+special-token strings in a text are plain text; rows are kept one for one, repeated ones too; other columns of the input don't
+matter and may have any name; a table without rows gives none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import lean
+from spanloom.llm.core import col, lean
 
-_SAFE = regex.compile(r"(?<=\S)(?=\s)")
-_loaded: dict[tuple[str, str], tuple] = {}
+#: The Unicode property White_Space, which ``\\s`` stands for in the library's patterns.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: White-space runs of so many characters are encoded apart.
+RUN = 4096
+_loaded: dict[tuple, tuple] = {}
 
 
-def encoding(ranks: str, pattern: str) -> tuple[tiktoken.Encoding, dict[int, bytes]]:
-    """The encoding of a rank file (base64 token, space, rank on each line) and its bytes by id; read once per process."""
+def encoding(ranks: str | bytes, pattern: str) -> tuple[tiktoken.Encoding, dict[int, bytes], bool]:
+    """The encoding of a rank file or its bytes (base64 token, space, rank on each line), its bytes by id, and whether texts may be split
+    for this pattern; made once per process."""
     if (ranks, pattern) not in _loaded:
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
-        _loaded[ranks, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={}), {v: k for k, v in table.items()}
+        raw = ranks if isinstance(ranks, bytes) else read_ranks(ranks)
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, raw.splitlines()))}
+        _loaded[ranks, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={}), {v: k for k, v in table.items()}, splits(pattern)
     return _loaded[ranks, pattern]
 
 
+def read_ranks(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def splits(pattern: str) -> bool:
+    """Whether white space can only begin a match of the pattern, as one blank or as a run by the last two alternatives."""
+    tail = r"|\s+(?!\S)|\s+"
+    head = pattern.removesuffix(tail)
+    if head == pattern:
+        return False
+    for part in head.split("|"):
+        rest = re.sub(r"\[\^\\s[^\]]*\]", "", part.removeprefix(" ?"))
+        if " " in rest or "\\s" in rest or "\\S" in rest or "(?" in rest or "." in rest:
+            return False
+    return True
+
+
 def pieces(text: str, most: int = 1 << 16) -> Iterator[str]:
     """Cuts a long text at safe boundaries into pieces of about ``most`` characters."""
     i = 0
@@ -48,26 +78,43 @@ def pieces(text: str, most: int = 1 << 16) -> Iterator[str]:
     yield text[i:]
 
 
-def encode_text(text: str | None, ranks: str, pattern: str) -> list[int]:
-    enc = encoding(ranks, pattern)[0]
+def encode_text(text: str | None, ranks: str | bytes, pattern: str, run: int = RUN) -> list[int]:
+    enc, _, safe = encoding(ranks, pattern)
+    text = text or ""
+    if not safe:
+        return enc.encode_ordinary(text)
     out: list[int] = []
-    for piece in pieces(text or ""):
+    i = 0
+    for m in re.finditer(f"[{_SPACE}]{{{run},}}", text) if len(text) >= run else ():
+        for piece in pieces(text[i : m.start()]):
+            out += enc.encode_ordinary(piece)
+        i = m.end() - (m.end() < len(text))
+        if i > m.start():
+            out += enc._encode_single_piece(text[m.start() : i])
+    for piece in pieces(text[i:]):
         out += enc.encode_ordinary(piece)
     return out
 
 
-def decode_ids(ids: list[int], ranks: str, pattern: str) -> bytes:
+def decode_ids(ids: list[int], ranks: str | bytes, pattern: str) -> bytes:
     return b"".join(map(encoding(ranks, pattern)[1].__getitem__, ids))
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) for every row."""
-    return _rows(df, key, text, "ids array<int>", lambda t: (encode_text(t, ranks, pattern),))
+    held = _held(df, ranks)
+    return _rows(df, key, text, "ids array<int>", lambda t: (encode_text(t, held.value, pattern),))
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, bytes binary) for every row of ids; null ids are none."""
-    return _rows(df, key, ids, "bytes binary", lambda x: (decode_ids(x or [], ranks, pattern),))
+    held = _held(df, ranks)
+    return _rows(df, key, ids, "bytes binary", lambda x: (decode_ids(x or [], held.value, pattern),))
+
+
+def _held(df: DataFrame, ranks: str) -> Broadcast:
+    """The rank file's bytes on all executors: a vocabulary, some megabytes whatever the table."""
+    return df.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
 
 def round_trip(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,10 +123,12 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", tex
     The ids' digest is over their decimal forms joined by one space, the other over the decoded bytes.
     """
 
+    held = _held(df, ranks)
+
     def row(t: str | None) -> tuple:
-        ids = encode_text(t, ranks, pattern)
-        names = _names(len(encoding(ranks, pattern)[1]))
-        return len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decode_ids(ids, ranks, pattern)).hexdigest()
+        ids = encode_text(t, held.value, pattern)
+        names = _names(encoding(held.value, pattern)[0].max_token_value)
+        return len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decode_ids(ids, held.value, pattern)).hexdigest()
 
     return _rows(df, key, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
 
@@ -94,7 +143,7 @@ def _names(n: int) -> list[str]:
 
 
 def _rows(df: DataFrame, key: str, value: str, out: str, f: Callable, at_once: int = 256) -> DataFrame:
-    src = df.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    src = df.select(col(key).alias("k"), col(value).alias("v"))
     types = src.schema["k"].dataType.simpleString()
     names = [x.split()[0] for x in out.split(", ")]
 

@@ -4,8 +4,11 @@ A declarative template names the marker strings, the roles that are trained on a
 conversation becomes one row with its turns in order, text segments with a loss flag each, the formatted string (the segments
 joined) and the machine's verdict. The string can be read back: markers occur in it only as markers.
 
-Escaping: every control string begins with ``<|``; inside texts ``<``, any backslashes and ``|`` get one backslash more,
-and reading back takes one away. Roles also have backslash and line feed escaped, as a line feed ends them.
+Escaping follows from the template: a marker's first two characters never stand next to each other in an escaped text, as the first one, any
+backslashes and the second one get one backslash more, which reading back takes away. So for ``<|im_end|>`` it is ``<`` and ``|``, for ``[/TURN]`` it
+is ``[`` and ``/``. Roles also have backslash and line feed escaped, as a line feed ends them. Templates whose markers this can't
+keep apart (shorter than two characters, with a first character that comes again in a marker, or with backslashes or line feeds at their
+front) are refused with a ValueError.
 
 Defined results: a null role or text is empty; rows are ordered by turn (null first), then role, then text, so ties and repeated
 rows don't depend on the input's order; rows of a null conversation id form a conversation; an unknown role
@@ -39,33 +42,46 @@ class Template:
     )
     ends: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self):
+        marks = (self.open, self.close)
+        firsts = {m[:1] for m in marks}
+        if any(len(m) < 2 or set(m[:2]) & {"\\", "\n"} or firsts & set(m[1:]) for m in marks) or firsts & set(self.between):
+            raise ValueError("markers need two characters or more, and their first ones nowhere else in a marker or between turns")
+
+    @property
+    def pair(self) -> tuple[str, str]:
+        """Character classes of the markers' first and second characters."""
+        return tuple("[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted({m[i] for m in (self.open, self.close)})) + "]" for i in (0, 1))
+
 
 CHATML = Template()
 
 
-def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+def escape(c: Column, t: Template = CHATML) -> Column:
+    a, b = t.pair
+    return F.regexp_replace(c, rf"({a})(\\*)(?={b})", r"$1\\$2")
 
 
-def unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
+def unescape(c: Column, t: Template = CHATML) -> Column:
+    a, b = t.pair
+    return F.regexp_replace(c, rf"({a})\\(\\*)(?={b})", "$1$2")
 
 
-def escape_role(c: Column) -> Column:
-    return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+def escape_role(c: Column, t: Template = CHATML) -> Column:
+    return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), t)
 
 
-def unescape_role(c: Column) -> Column:
+def unescape_role(c: Column, t: Template = CHATML) -> Column:
     """Undoes escape_role: pairs of backslashes are parked under a character that cannot stand in between."""
-    parts = F.split(unescape(c), r"\\\\", -1)
+    parts = F.split(unescape(c, t), r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def turn_segments(turn: Column, t: Template) -> Column:
     """The three segments of a turn struct (role, text): header, text, end."""
     return F.array(
-        F.struct(F.concat(F.lit(t.open), escape_role(turn["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(turn["text"]).alias("text"), turn["role"].isin(*t.loss_roles).alias("loss")),
+        F.struct(F.concat(F.lit(t.open), escape_role(turn["role"], t), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
+        F.struct(escape(turn["text"], t).alias("text"), turn["role"].isin(*t.loss_roles).alias("loss")),
         F.struct(F.lit(t.close + t.between).alias("text"), F.lit(False).alias("loss")),
     )
 
@@ -93,15 +109,15 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
     return F.transform(
         bodies,
         lambda b: F.struct(
-            unescape_role(F.substring_index(b, "\n", 1)).alias("role"),
-            unescape(F.substr(b, F.instr(b, "\n") + 1)).alias("text"),
+            unescape_role(F.substring_index(b, "\n", 1), template).alias("role"),
+            unescape(F.substr(b, F.instr(b, "\n") + 1), template).alias("text"),
         ),
     )
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template = CHATML) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

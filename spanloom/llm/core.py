@@ -7,6 +7,8 @@ through in pieces, so the memory needed does not follow the length of a text.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import functools
 import inspect
@@ -17,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,14 +29,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; on a
+    cluster that is an error, as executors wouldn't see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
+def work_path(spark: SparkSession) -> str:
+    """A new path for an intermediate table, in the application's own folder within the shared one; the folder goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(clean_up, spark)
+    return f"{shared_dir(spark)}/spanloom-{app}/{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that still read them must have been written by then."""
+    with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone before
+        _delete(spark, f"{shared_dir(spark)}/spanloom-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, a lost executor loses nothing.
 
@@ -42,18 +70,28 @@ def durable(df: DataFrame) -> DataFrame:
     is under spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
+    path = work_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a table made by durable() that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/spanloom-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plainly(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed c0, c1, ... by place, and the new names of ``names``: whatever other columns are called, helper columns with
+    other names can't clash with them. ``out.toDF(*df.columns)`` gives the names back."""
+    low = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(low))]), [f"c{df.columns.index(n) if n in df.columns else low.index(n.lower())}" for n in names]
 
 
 def lean(f: Callable) -> Callable:
@@ -97,18 +135,19 @@ def lookup(big: DataFrame, small: DataFrame, on: str, weight: str, total: int) -
 
     ``weight`` is a column of small with the number of big's rows that have the key, ``total`` their sum. Keys with more than
     total/HOT_ONE_IN rows (at most HOT_ONE_IN of them, by counting) are broadcast; the rest is joined by shuffle, where
-    the rows of hot keys are dealt evenly under values that match nothing. ``weight`` is dropped.
+    the rows of hot keys are dealt evenly under values that match nothing. ``weight`` is dropped. Neither side may have columns named __hk, __hv,
+    __ck, __cv or __jk.
     """
     cols = [c for c in small.columns if c not in (on, weight)]
     least = max(1, total // HOT_ONE_IN)
     hot = small.filter(F.col(weight) > least).select(F.col(on).alias("__hk"), F.struct(*cols).alias("__hv"))
     cold = small.filter(F.col(weight) <= least).select(F.col(on).cast("string").alias("__ck"), F.struct(*cols).alias("__cv"))
-    rows = big.join(F.broadcast(hot), big[on] == F.col("__hk"), "left")
-    spread = F.concat(F.lit("\x00"), F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")]).cast("string"))
-    rows = rows.withColumn("__jk", F.when(F.col("__hk").isNotNull() | F.col(on).isNull(), spread).otherwise(F.col(on).cast("string")))
+    rows = big.join(F.broadcast(hot), col(on) == F.col("__hk"), "left")
+    spread = F.concat(F.lit("\x00"), F.xxhash64(*[col(c) for c, t in big.dtypes if "map<" not in t and t != "variant"]).cast("string"))
+    rows = rows.withColumn("__jk", F.when(F.col("__hk").isNotNull() | col(on).isNull(), spread).otherwise(col(on).cast("string")))
     rows = rows.join(cold, F.col("__jk") == F.col("__ck"), "left")
     value = F.coalesce("__hv", "__cv")
-    return rows.select(*big.columns, *[value[c].alias(c) for c in cols])
+    return rows.select(*[col(c) for c in big.columns], *[value[c].alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -135,12 +174,13 @@ def _closed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def components(edges: DataFrame, rounds: int = 60, in_task: int = EDGES_IN_TASK) -> DataFrame:
+def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
     """(node, comp) for every node of the undirected edges (a, b) of bigints: comp is the smallest node it is connected with.
 
     The tasks first reduce their own edges to a spanning forest. If what is left is no more than ``in_task`` edges, one task closes them; else
     alternating large-star and small-star rounds (Kiveris et al. 2014): every round is two aggregations with partial
-    sums and two joins; each round's edges are written to the shared folder. Ends when a round changes nothing.
+    sums and two joins; each round's edges are written to the shared folder. Ends when a round changes nothing, after a number of rounds
+    that grows with the logarithm of the edges.
     """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +200,7 @@ def components(edges: DataFrame, rounds: int = 60, in_task: int = EDGES_IN_TASK)
         return durable(e.coalesce(1).mapInArrow(close, "node bigint, comp bigint"))
     e = durable(e.distinct())
     before = _mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = lookup(both.filter("b > a"), least, "a", "n", 2 * before[0])
@@ -177,8 +215,6 @@ def components(edges: DataFrame, rounds: int = 60, in_task: int = EDGES_IN_TASK)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 

@@ -47,7 +47,7 @@ BLOCK = frozenset(
 _ENDS_P = BLOCK - {"html", "body"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-PATH, WORDS, NUMBERS = 64, 32, 8
+PATH, WORDS, NUMBERS = 256, 32, 8
 WIDTH = PATH + WORDS + NUMBERS
 HIDDEN = 24
 PAGES, EPOCHS, SEED = 1500, 16, 11
@@ -343,8 +343,8 @@ def sample_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         low = [(f(), False) for f in (aside, remarks, advert, notice, footer) if r.random() < (0.8 if f is footer else 0.3)]
         r.shuffle(top)
         kind = r.random()
-        if kind < 0.6:
-            wrap = ("<article>", "</article>") if kind < 0.4 else (f"<article{attr('post', 'entry')}>", "</article>")
+        if kind < 0.5:
+            wrap = ("<article>", "</article>") if kind < 0.33 else (f"<article{attr('post', 'entry')}>", "</article>")
         elif kind < 0.72:
             wrap = ("<main>", "</main>")
         elif kind < 0.95:

@@ -10,8 +10,8 @@ budget from below. Which documents of a length are taken is decided by a seeded
 bucket) say which buckets are taken whole, and only in the one bucket on the edge are documents ranked. So a length that a third of all
 documents share is never sorted in one place.
 
-Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own; documents are told apart by
-(doc_id, text hash), and rows that agree in both are ranked by an arbitrary but equal order, so the same number of them is taken on each run; a table without rows
+Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own; documents are told apart by a hash of
+doc_id, text and source, and rows that agree in all three are ranked by an arbitrary but equal order, so the same number of them is taken on each run; a table without rows
 gives none. Targets are one row per source, the size of the mix's own configuration, and are worked out on the driver; everything by
 document stays distributed.
 """
@@ -23,20 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, durable, lean, slices
+from spanloom.llm.core import Words, col, durable, lean, plainly, slices
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), 20240607
-#: Hash buckets per (source, length).
-BUCKETS = 256
+#: Documents that a hash bucket of a (source, length) holds at most, about, if all are of one length; and the fewest and most buckets.
+IN_BUCKET, BUCKETS, MOST_BUCKETS = 4096, 256, 1 << 20
+
+
+def _rank(key: str, text: str, source: str) -> Column:
+    return F.xxhash64(F.lit(SEED), col(key), col(text), col(source).isNull(), col(source))
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, size, rank): exact word counts and the seeded rank hash of every document."""
-    src = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("rank"))
+    src = docs.select(col(key).alias("key"), col(source).alias("source"), col(text).alias("text"), _rank(key, text, source).alias("rank"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,22 +69,33 @@ def targets(totals: dict, weights: tuple = WEIGHTS, share: float = SHARE, cap: f
 
 
 def subset(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """Bounded knapsack: length to number taken, with the largest sum up to budget. Sets of reachable sums are the bits of an integer."""
+    """Bounded knapsack: length to number taken, with the largest sum up to budget.
+
+    Sets of reachable sums are the bits of an integer; of each sum only the step that reached it first is kept, so memory is four bytes per
+    word of the budget, however many lengths there are.
+    """
     full = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
+    first, steps, reach = np.full(budget + 1, -1, np.int32), [], 1
     for length, n in counts:
         left = min(n, budget // length)
         k = 1
         while left > 0 and not reach >> budget & 1:  # 1, 2, 4, ... copies at once
             take = min(k, left)
-            steps.append((length, take, reach))
-            reach |= reach << (length * take) & full
+            new = (reach << (length * take) & full) & ~reach
+            if new:
+                raw = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(raw)
+                bits = np.unpackbits(raw[some], bitorder="little").reshape(-1, 8)
+                row, bit = np.nonzero(bits)
+                first[some[row] * 8 + bit] = len(steps)
+                reach |= new
+            steps.append((length, take))
             left, k = left - take, 2 * k
     at, out = reach.bit_length() - 1, {}
-    for length, take, before in reversed(steps):
-        if not before >> at & 1:
-            at -= length * take
-            out[length] = out.get(length, 0) + take
+    while at:  # the step before a sum's own has reached what it was added to
+        length, take = steps[first[at]]
+        out[length] = out.get(length, 0) + take
+        at -= length * take
     return out
 
 
@@ -109,10 +124,15 @@ def fit(length: np.ndarray, count: np.ndarray, target: float, room: int = 4096)
     return whole, extra
 
 
-def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+def buckets_for(n: int) -> int:
+    """Hash buckets of each (source, length) for n documents in all: a power of two."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, n // IN_BUCKET).bit_length()))
+
+
+def plan(sized: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(by length, by bucket): (source, size, n, target, source_size, whole, extra), and how many documents each
     (source, size, bucket) holds and how many of them are taken once more."""
-    fine = durable(sized.groupBy("source", "size", F.pmod(F.col("rank"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    fine = durable(sized.groupBy("source", "size", F.pmod(F.col("rank"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     coarse = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
     total = {r["source"]: int(r["w"]) for r in coarse.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("w")).collect()}
     goal = targets(total)
@@ -138,8 +158,9 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, rank, size, source_size, target, taken) for every row of docs; taken is 0, size or twice the size."""
     sized = durable(sizes(docs, key, text, source))
-    got = plan(sized)[1].select(F.col("source").alias("s"), F.col("size").alias("z"), "bucket", "n", "target", "source_size", "whole", "take")
-    rows = sized.withColumn("b", F.pmod(F.col("rank"), F.lit(BUCKETS)))
+    buckets = buckets_for(sized.count())
+    got = plan(sized, buckets)[1].select(F.col("source").alias("s"), F.col("size").alias("z"), "bucket", "n", "target", "source_size", "whole", "take")
+    rows = sized.withColumn("b", F.pmod(F.col("rank"), F.lit(buckets)))
     rows = rows.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("bucket")))
     edge = (F.col("take") > 0) & (F.col("take") < F.col("n"))
     settled = rows.filter(~edge).withColumn("more", (F.col("take") > 0).cast("bigint"))
@@ -150,16 +171,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def keep_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, those it takes twice two times, with their columns as they are."""
-    times = mix(docs, key, text, source).groupBy(F.col(key).alias("__k"), F.col("rank").alias("__r")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("bigint").alias("__t"))
+    rows, (k, t, s) = plainly(docs, key, text, source)
+    times = mix(rows, k, t, s).groupBy(F.col(k).alias("__k"), F.col("rank").alias("__r")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("bigint").alias("__t"))
     times = durable(times.filter("__t > 0"))
-    rows = docs.withColumn("__rank", F.xxhash64(F.lit(SEED), F.col(key), F.col(text)))
-    rows = rows.join(times, rows[key].eqNullSafe(F.col("__k")) & (F.col("__rank") == F.col("__r")))
-    # rows that agree in key and text share what is taken of them: the first __t % __n of them one more than the others
-    same = rows.filter("__n = 1").withColumn("__c", F.col("__t"))
+    ranked = rows.withColumn("__rank", _rank(k, t, s))
+    ranked = ranked.join(times, F.col(k).eqNullSafe(F.col("__k")) & (F.col("__rank") == F.col("__r")))
+    # rows that agree in key, text and source share what is taken of them: the first __t % __n of them one more than the others
+    same = ranked.filter("__n = 1").withColumn("__c", F.col("__t"))
     place = F.row_number().over(W.partitionBy("__k", "__r").orderBy("__r"))
-    many = rows.filter("__n > 1").withColumn("__p", place).withColumn("__c", F.floor(F.col("__t") / F.col("__n")) + (F.col("__p") <= F.col("__t") % F.col("__n")).cast("bigint")).drop("__p")
+    many = ranked.filter("__n > 1").withColumn("__p", place).withColumn("__c", F.floor(F.col("__t") / F.col("__n")) + (F.col("__p") <= F.col("__t") % F.col("__n")).cast("bigint")).drop("__p")
     kept = same.unionByName(many).filter("__c > 0")
-    return kept.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, components, discard, durable, lean, lookup, mix, rolling, slices, whole
+from spanloom.llm.core import Words, components, discard, durable, lean, lookup, mix, plainly, rolling, slices, whole
 
 SHINGLE = 5
 #: Jaccard of at least PART / OF.
@@ -505,17 +505,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that with the smallest id (null after all others) and of those the smallest text hash; of rows that agree
     in id and text, one. Groups are told apart by their texts, so ids that are null or shared lose none. Texts without tokens and without an
-    id all stay."""
-    found = durable(resolved(docs, key, text, SHINGLE, PART, OF).select(F.col("id").alias("__id"), F.col("hash").alias("__h"), "key", "component_id", "component_hash"))
-    gone = found.filter(~F.col("__id").eqNullSafe(F.col("component_id")) | (F.col("__h") != F.col("component_hash"))).select("__id", "__h").distinct()
-    of = (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id"))
-    kept = docs.join(gone, of, "left_anti")
-    twice = found.filter("(__id is not null or key is not null) and __id <=> component_id and __h = component_hash").groupBy("__id", "__h").count().filter("count > 1").select("__id", "__h")
+    id all stay. Columns stay as they are."""
+    rows, (k, t) = plainly(docs, key, text)
+    found = durable(resolved(rows, k, t, SHINGLE, PART, OF))
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id")) | (F.col("hash") != F.col("component_hash"))).select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
+    of = (F.xxhash64(t) == F.col("__h")) & F.col(k).eqNullSafe(F.col("__id"))
+    kept = rows.join(gone, of, "left_anti")
+    twice = found.filter("(id is not null or key is not null) and id <=> component_id and hash = component_hash").groupBy("id", "hash").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__h"))
     twice = durable(twice)
     if twice.limit(1).count():
         again = kept.join(twice, of).dropDuplicates(["__id", "__h"])
         kept = kept.join(twice, of, "left_anti").unionByName(again.drop("__id", "__h"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.toDF(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import Words, durable, lean, mix, rolling, slices, whole
+from spanloom.llm.core import Words, durable, lean, mix, plainly, rolling, slices, whole
 from spanloom.llm.neardup import _BITMAP, _bits, bitmap_of
 
 WIDTH, GRAM = 50, 8
@@ -245,10 +245,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs without the repeated passages: they are cut out of the texts, with the white space in front of them, and documents of which no word is left go.
     Texts without repeats stay as they are. Cuts go by id and text, so documents whose ids are null or shared get none but their own."""
+    names = docs.columns
+    docs, (key, text) = plainly(docs, key, text)
     spans = _passages(docs, key, text, width, "hash").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__h"))
     spans = durable(spans.agg(F.sort_array(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))).alias("__cuts")))
     cols = docs.columns
-    rows = docs.join(spans, (F.xxhash64(docs[text]) == F.col("__h")) & docs[key].eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
+    rows = docs.join(spans, (F.xxhash64(text) == F.col("__h")) & F.col(key).eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
     schema = rows.schema
     at = cols.index(text)
 
@@ -284,7 +286,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 columns[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in cols])
+    return rows.mapInArrow(run, schema).select(*cols).toDF(*names)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.core import durable, lean, lookup, shared_dir
+from spanloom.llm.core import durable, lean, lookup, work_path
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 30
@@ -167,7 +167,7 @@ def with_references(pages: DataFrame, key: str = "page_id", url: str = "url", pa
 def write_archives(rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes (page_id, url, payload, refers_to) as archives; gives the manifest (path, records, bytes), a durable table."""
     spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom-warc-{uuid.uuid4().hex}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark))
     where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
 
     @lean
