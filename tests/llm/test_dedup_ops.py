@@ -180,32 +180,39 @@ def cloud(seed=2):
     return [(i, x, v) for i, (x, v) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk,cell", [(1024, 2000), (8, 2)])
+def true_links(rows):
+    """Links and components of (id, label, vector) by all pairs."""
+    good = {i: (x, np.array(v)) for i, x, v in rows if x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    links, roots = collections.Counter(), Roots()
+    for of in {(x, len(v)) for x, v in good.values()}:
+        ids = sorted(i for i, (x, v) in good.items() if (x, len(v)) == of)
+        m = np.stack([good[i][1] / np.linalg.norm(good[i][1]) for i in ids])
+        for a, b in zip(*np.nonzero(np.triu(m @ m.T >= 0.98, 1)), strict=True):
+            links[ids[a]] += 1
+            links[ids[b]] += 1
+            roots.join(ids[a], ids[b])
+    return links, roots
+
+
+@pytest.mark.parametrize("chunk,cell", [(2048, 256), (8, 2)])
 def test_vectors(spark, monkeypatch, chunk, cell):
     monkeypatch.setattr(vectors, "_CHUNK", chunk)
     monkeypatch.setattr(vectors, "_CELL", cell)
     rows = cloud()
     table = spark.createDataFrame([(i, v, x, 1) for i, x, v in rows], "vec_id bigint, embedding array<double>, label int, node int")
     got = {r["vec_id"]: r for r in vectors.near_vectors(table).collect()}
-    good = {i: (x, np.array(v)) for i, x, v in rows if x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
-    links, roots, close = collections.Counter(), Roots(), 0
-    for a in good:
-        for b in good:
-            if a < b and good[a][0] == good[b][0] and len(good[a][1]) == len(good[b][1]):
-                c = good[a][1] @ good[b][1] / np.linalg.norm(good[a][1]) / np.linalg.norm(good[b][1])
-                if c >= 0.98:
-                    close += 1
-                    links[a] += 1
-                    links[b] += 1
-                    roots.join(a, b)
-    assert close > 50
+    links, roots = true_links(rows)
+    assert sum(links.values()) > 100
     assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i, _, _ in rows}
     assert all(r["component_id"] == roots.of(i) and r["kept"] == (roots.of(i) == i) for i, r in got.items())
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
-def test_vector_recall():
+@pytest.mark.parametrize("most", [10_000, 1_000_000])
+def test_vector_recall(most):
+    """Pairs exactly at the threshold share a cell and pass the count, and unrelated ones seldom meet, at the depth of a large label."""
     p = vectors.Lines()
+    depth = p.depth(most)
     r = np.random.default_rng(8)
     a = r.standard_normal((4000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -213,8 +220,44 @@ def test_vector_recall():
     side -= (side * a).sum(1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
-    hits = (np.abs(p.on(a) - p.on(b)) <= p.window).sum(axis=1)
-    assert (hits >= p.least).mean() > 0.99 and p.anchors <= p.lines // p.group
+    met = (p.codes(a, depth) == p.codes(b, depth)).any(axis=1)
+    near = (np.abs(p.sketch(a).astype(int) - p.sketch(b)) <= p.steps).sum(axis=1) >= p.least
+    assert (met & near).mean() > 0.995
+    met = (p.codes(a[:2000], depth) == p.codes(a[2000:], depth)).sum() / 2000 / p.tables(depth)
+    assert met * most < 4 * vectors._CELL
+
+
+def test_collisions_in_chunks():
+    r = np.random.default_rng(5)
+    p = vectors.Lines()
+    x = r.standard_normal((60, 64))
+    x = np.concatenate([x, x + 0.1 * r.standard_normal(x.shape) * np.linalg.norm(x, axis=1, keepdims=True) / 8])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s, own = p.sketch(x), r.integers(0, 2, len(x))
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if (np.abs(s[i].astype(int) - s[j]) <= p.steps).sum() >= p.least}
+    pairs = lambda own, whole: [tuple(sorted(q)) for a, b in vectors._collisions(s, own, whole, p) for q in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(want) >= 60 and sorted(pairs(own * 0, True)) == sorted(want)
+    assert sorted(pairs(own, False)) == sorted(q for q in want if own[q[0]] != own[q[1]])
+
+
+def test_vector_query(spark):
+    """Every vector of the small table against brute force, and a table with planted pairs on both sides of the threshold."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
+    r = np.random.default_rng(3)
+    more = []
+    for i, label, v in rows[:150]:
+        v = np.array(v) / np.linalg.norm(v)
+        for k in range(3):
+            side = r.standard_normal(len(v))
+            side -= side @ v * v
+            c = r.uniform(0.975, 0.99)
+            more.append((10_000 + 3 * i + k, label, [float(x) for x in c * v + np.sqrt(1 - c * c) * side / np.linalg.norm(side)]))
+    for table in (rows, rows + more):
+        links, roots = true_links(table)
+        got = vectors.near_vectors(spark.createDataFrame(table, "vec_id bigint, label int, embedding array<double>")).collect()
+        assert len(got) == len(table)
+        assert all(g["n_links"] == links[g["vec_id"]] and g["component_id"] == roots.of(g["vec_id"]) for g in got)
+    assert sum(links.values()) > 200
 
 
 @pytest.mark.parametrize("in_task", [0, 1 << 20])
