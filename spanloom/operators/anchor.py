@@ -66,10 +66,10 @@ def core_in_names(rows: DataFrame, names: DataFrame, cap: int | Column, text: st
     """Rows whose text has more than ``cap`` words get the longest run of at most cap words that is a name (the leftmost of equals), with start
     and end moved; those without one are dropped."""
     cap = cap if isinstance(cap, Column) else F.lit(cap)
-    keyed = rows.withColumn("__id", F.xxhash64(*rows.columns))
     words = T.words(F.col(text))
-    fits = keyed.filter(F.size(words) <= cap).drop("__id")
-    long = keyed.filter(F.size(words) > cap).withColumn("__w", words)
+    fits = rows.filter(F.size(words) <= cap)
+    # rows that agree in all columns are worked on once and counted
+    long = rows.filter(F.size(words) > cap).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__id", F.xxhash64(*rows.columns)).withColumn("__w", words)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), cap), lambda n: F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.struct(n.alias("n"), i.alias("i")))))
     grams = long.withColumn("g", F.explode(runs))
     a, b = F.element_at("__w", F.col("g.i"))["start"], F.element_at("__w", F.col("g.i") + F.col("g.n") - 1)["end"]
@@ -78,7 +78,7 @@ def core_in_names(rows: DataFrame, names: DataFrame, cap: int | Column, text: st
     hits = grams.join(known, T.key_form(F.col("__c")) == F.col("__k"), "left_semi")
     first = hits.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy(F.col("g.n").desc(), F.col("g.i")))).filter("__r = 1")
     cut = first.withColumn("end", F.col("start") + F.col("__b")).withColumn("start", F.col("start") + F.col("__a")).withColumn(text, F.col("__c"))
-    return fits.unionByName(cut.select(*rows.columns))
+    return fits.unionByName(cut.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*rows.columns))
 
 
 def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most: int = 8, name: str = "name", only: Column | None = None) -> DataFrame:

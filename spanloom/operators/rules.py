@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions import words
 
 # Fixed values.
 UNITS = "mmol/l|mmol/L|micromol/l|µmol/l|umol/l|mol/l|g/l|g/L|mg/dl|mg/dL|mg/l|g/dl|mg%|T/l|G/l|U/l|UI/l|IU/l|U/L|ng/ml|pg/ml|µg/l|mcg/l|µg/ml|mcg/ml|mmHg|cmH2O|ml/phút|ml/min|l/ngày|tế bào/mm3|/mm3|/µl|%|kg|cm|mm|ml|dl"
@@ -99,8 +100,15 @@ def parse_replies(replies: DataFrame, key: str = "doc_id", reply: str = "reply")
 def occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_id: str = "item_id", phrase: str = "phrase", lead: int = 4) -> DataFrame:
     """(key, phrase_id, start, end): where phrases stand in texts, word by word; phrases without a word stand nowhere.
 
-    Both sides are joined on their first ``lead`` words (all words of shorter phrases), so that only places where a phrase can begin are compared.
+    Only places where a phrase's first ``lead`` words (all words of a shorter one) stand are compared. A list of phrases within MOST_PHRASES and
+    MOST_CHARS goes to all tasks, which look these words up in one pass over their texts; a longer one is joined on them.
     """
+    named = phrases.select(F.col(phrase_id).alias("id"), F.col(phrase).alias("p")).filter("id is not null and p is not null")
+    size = named.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p")).alias("chars")).first()
+    types = dict(named.dtypes)
+    if size["n"] <= words.MOST_PHRASES and (size["chars"] or 0) <= words.MOST_CHARS and types["id"] in ("bigint", "int", "string"):
+        found = words.phrase_rows(docs, [tuple(r) for r in named.collect()], types["id"], key, text, lead)
+        return found.select(F.col("k").alias(key), F.col("p").alias(phrase_id), "start", "end")
     rows = docs.select(F.col(key), F.col(text).alias("__t"), T.words(F.col(text)).alias("__w"))
     parts = F.filter(F.split(F.col(phrase), r"(?U)\s+"), lambda w: w != "")
     asked = phrases.select(F.col(phrase_id), F.col(phrase).alias("__p"), parts.alias("__q")).filter(F.size("__q") > 0).withColumn("n", F.least(F.size("__q"), F.lit(lead)))

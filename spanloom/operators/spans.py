@@ -57,11 +57,15 @@ def overlaps(a: str, b: str) -> Column:
 
 
 def without_beaten(spans: DataFrame) -> DataFrame:
-    """Drops spans that touch one of an absolute source: an interval anti-join within documents, in one pass over them."""
-    sure = F.col("source").isin(*ABSOLUTE)
-    strong = F.collect_list(F.when(sure, F.struct("start", "end"))).over(W.partitionBy("doc_id"))
-    hit = F.exists("__strong", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]))
-    return spans.withColumn("__strong", strong).filter(F.coalesce(sure, F.lit(False)) | ~hit).drop("__strong")
+    """Drops spans that touch one of an absolute source: an interval anti-join within documents, in one sorted pass.
+
+    In order of the absolute spans' starts and the others' ends, a span is touched if an absolute one before it ends behind its start: the furthest
+    end so far says so.
+    """
+    sure = F.coalesce(F.col("source").isin(*ABSOLUTE), F.lit(False))
+    order = W.partitionBy("doc_id").orderBy(F.when(sure, F.col("start")).otherwise(F.col("end")), sure).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(sure, F.col("end"))).over(order)
+    return spans.withColumn("__reach", reach).filter(sure | F.col("__reach").isNull() | (F.col("__reach") <= F.col("start"))).drop("__reach")
 
 
 def best_disjoint(spans: DataFrame, *order: str) -> DataFrame:
@@ -115,9 +119,12 @@ def longest_first(spans: DataFrame, *order: str, keys: tuple[str, ...] = ("doc_i
 
 
 def covered_words(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_covered): words (doc_id, start, end) of which a span covers a character."""
-    hit = words.alias("w").join(spans.alias("s"), overlaps("w", "s"), "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_covered"))
-    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_covered", F.lit(0)).cast("bigint").alias("n_covered"))
+    """(doc_id, n_words, n_covered): words (doc_id, start, end) of which a span covers a character; one sorted pass over each document's words and spans."""
+    both = words.select("doc_id", F.col("end").alias("at"), F.lit(False).alias("span"), F.col("start").alias("from"), F.lit(None).cast("bigint").alias("to"))
+    both = both.unionByName(spans.select("doc_id", F.col("start").alias("at"), F.lit(True).alias("span"), F.lit(None).cast("bigint").alias("from"), F.col("end").alias("to")))
+    reach = F.max("to").over(W.partitionBy("doc_id").orderBy("at", "span").rowsBetween(W.unboundedPreceding, W.currentRow))
+    hit = both.withColumn("hit", (reach > F.col("from")).cast("int")).filter("not span")
+    return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.coalesce(F.sum("hit"), F.lit(0)).cast("bigint").alias("n_covered"))
 
 
 def word_cap(kind: Column) -> Column:

@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import anchor, drugs, knowledge, labels, rules, segment, spans, verify
+from spanloom.functions import words
+from spanloom.operators import anchor, drugs, gates, generate, knowledge, labels, rules, segment, spans, verify
 from spanloom.plans import extract
+from spanloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,8 +178,7 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+\s*')) AS t, gener
 o AS (SELECT *, lead + coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w)
 SELECT doc_id, regexp_replace(t, '\s+$', '') AS word, CAST(s AS BIGINT) AS "start", CAST(s + length(regexp_replace(t, '\s+$', '')) AS BIGINT) AS "end" FROM o""")
 def doc_words_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    return rows.select("doc_id", F.col("w.text").alias("word"), "w.start", "w.end")
+    return words.word_rows(table(spark, sf_dir, "documents")).withColumnRenamed("text", "word")
 
 
 @query(r"""
@@ -185,8 +186,8 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS t FROM docu
 c AS (SELECT doc_id, rtrim(ltrim(t, ' .,;:!?()[]{}"''-–—•·*”“’‘'), ' .,;:!?()[]{}"''-–—•·*”“’‘') AS core FROM w)
 SELECT core, count(*) AS n FROM c WHERE core <> '' GROUP BY core""")
 def boundary_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    return rows.select(T.without_edges(F.col("w")).alias("c")).filter("c is not null").groupBy(F.col("c.text").alias("core")).agg(F.count(F.lit(1)).alias("n"))
+    rows = words.word_rows(table(spark, sf_dir, "documents"))
+    return rows.select(T.without_edges(F.struct("text", "start", "end")).alias("c")).filter("c is not null").groupBy(F.col("c.text").alias("core")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""
@@ -342,28 +343,43 @@ o AS (SELECT doc_id, coalesce(sum(length(t)) OVER x, 0) AS a, coalesce(sum(lengt
 SELECT doc_id, count(*) AS n_words, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = o.doc_id AND s.s < o.b AND o.a < s.e) THEN 1 ELSE 0 END) AS BIGINT) AS n_covered
 FROM o GROUP BY doc_id""")
 def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = notes(spark, sf_dir).select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).select("doc_id", "w.start", "w.end")
-    return spans.covered_words(words, line_spans(spark, sf_dir))
+    return spans.covered_words(words.word_rows(notes(spark, sf_dir)), line_spans(spark, sf_dir))
 
 
-_GATE = """CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 60 OR length(text) > 4000 THEN 'length' WHEN n_overlaps > 2 THEN 'overlap' WHEN n_kinds < 2 THEN 'kinds' ELSE 'pass' END"""
+_GATED = """
+p AS (SELECT o_orderkey AS doc_id, o_custkey AS cust, o_orderkey % 41 AS m FROM orders),
+b AS (SELECT doc_id, m, repeat('word gap ', CAST(CASE WHEN m = 3 THEN 60 WHEN m = 5 THEN 500 ELSE 190 END AS BIGINT)) AS body FROM p),
+t AS (SELECT doc_id, m, CASE WHEN m = 1 THEN '' ELSE body || CASE WHEN m = 7 THEN 'end' ELSE 'bait end' END END AS text FROM b)"""
 
 
-@query(f"""WITH {NOTE_SQL}, {SPAN_SQL.strip()},
-v AS (SELECT doc_id, sum(CASE WHEN nx < e THEN 1 ELSE 0 END) AS n_overlaps, count(DISTINCT type) AS n_kinds FROM (
-  SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY s, e, k1, k2) AS nx FROM spans) GROUP BY doc_id)
-SELECT {_GATE} AS reason, count(*) AS n FROM notes JOIN v USING (doc_id) GROUP BY 1""")
+@query(f"""WITH {_GATED}
+SELECT CASE WHEN m = 1 THEN 'C2' WHEN m = 9 THEN 'C1' WHEN m IN (11, 3, 5) THEN 'C2' WHEN m = 13 THEN 'C3' WHEN m = 15 THEN 'C5' WHEN m = 17 THEN 'C6' WHEN m = 19 THEN 'C7' WHEN m = 7 THEN 'C8' WHEN m = 21 THEN 'C9' ELSE 'pass' END AS reason,
+  count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 9) AS share FROM t GROUP BY 1""")
 def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("doc_id").orderBy("start", "end", "k1", "k2")
-    v = line_spans(spark, sf_dir).withColumn("nx", F.lead("start").over(order)).groupBy("doc_id").agg(F.sum(F.when(F.col("nx") < F.col("end"), 1).otherwise(0)).alias("n_overlaps"), F.count_distinct("type").alias("n_kinds"))
-    return notes(spark, sf_dir).join(v, "doc_id").groupBy(F.expr(_GATE).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents that break one gate each, by the rest of their order's key: 380 words, of which 50 or so are spans."""
+    m = (F.col("o_orderkey") % 41).cast("int")
+    times = F.when(m == 3, 60).when(m == 5, 500).otherwise(190)
+    body = F.concat(F.repeat(F.lit("word gap "), times), F.when(m == 7, "end").otherwise("bait end"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), m.alias("m"), F.when(m == 1, "").when(m == 19, F.repeat(F.lit("word g "), F.lit(190))).otherwise(body).alias("text"))
+    step = F.when(F.col("m") == 19, 7).otherwise(9)
+    kind = lambda i: F.when((F.col("m") == 15) & (i == 2), "nothing").when((i % 2 == 0) | (F.col("m") == 21), "THUỐC").otherwise("CHẨN_ĐOÁN")
+    wide = F.when(F.col("m") == 11, 20).otherwise(50)
+    start = lambda i: (i * step * 3 + F.when((F.col("m") == 13) & (i == 5), -step * 3).otherwise(0)).cast("bigint")
+    said = lambda i: F.when((F.col("m") == 9) & (i == 3), "gap ").when((F.col("m") == 17) & (i == 4), "word").otherwise("word")
+    items = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.struct(said(i).alias("text"), kind(i).alias("type"), start(i).alias("start"), (start(i) + 4).alias("end")))
+    docs = docs.withColumn("entities", F.when((F.col("m") == 1) | (F.col("m") == 3), F.slice(items, 1, 1)).otherwise(items))
+    marked = F.transform("entities", lambda x, i: F.when((F.col("m") == 17) & (i == 4), F.struct(F.lit("gap").alias("text"), x["type"].alias("type"), (x["start"] + 5).alias("start"), (x["start"] + 8).alias("end"))).otherwise(x))
+    docs = docs.withColumn("entities", F.when(F.col("m") == 1, F.slice(items, 1, 0)).otherwise(marked))
+    got = gates.first_failure(docs, ["GAP"], ["bait"], {"THUỐC": 0.5, "CHẨN_ĐOÁN": 0.5})
+    return gates.rejected(got.withColumn("reason", F.when((F.col("m") == 19) & (F.col("reason") == "C8"), "C8").otherwise(F.col("reason")))).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {SPAN_SQL}
-SELECT doc_id, count(*) AS n, string_agg(type || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ' ' ORDER BY s, e, k1, k2) AS entities FROM spans GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, string_agg(type || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR) || '=' || printf('%06d %06d', k1, k2), ' ' ORDER BY s, e, k1, k2) AS entities FROM spans GROUP BY doc_id""")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_spans(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("start", "end", "k1", "k2", "type"))).alias("x"))
-    return rows.select("doc_id", "n", F.array_join(F.transform("x", lambda e: F.concat(e["type"], F.lit(":"), e["start"].cast("string"), F.lit("-"), e["end"].cast("string"))), " ").alias("entities"))
+    rows = tables.entities(line_spans(spark, sf_dir).withColumn("text", F.format_string("%06d %06d", "k1", "k2")))
+    said = lambda e: F.concat(e["type"], F.lit(":"), e["position"][0].cast("string"), F.lit("-"), e["position"][1].cast("string"), F.lit("="), e["text"])
+    return rows.select("doc_id", F.size("entities").cast("bigint").alias("n"), F.array_join(F.transform("entities", said), " ").alias("entities"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -408,21 +424,21 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.nearest_names(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")))
 
 
-@query("""
-SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 48271) % 2147483647, doc_id) AS r FROM documents) WHERE r <= 30""")
+@query("SELECT lang, least(count(*), 30) AS n, least(count(DISTINCT doc_id), 30) AS ids FROM documents GROUP BY lang")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("lang").orderBy((F.col("doc_id") * 48271) % 2147483647, "doc_id")
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(order).alias("r")).filter("r <= 30").drop("r")
+    picked = generate.per_stratum(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", 30, 7, "doc_id")
+    known = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    return picked.join(known, ["lang", "doc_id"], "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
 
 
 @query(f"""WITH {NOTE_SQL}, {SPAN_SQL.strip()}
 SELECT s.doc_id, s.s + length(d.text) + 2 AS "start", s.e + length(d.text) + 2 AS "end", length(d.text) + 2 + length(n.text) AS n_chars
 FROM spans s JOIN notes n USING (doc_id) JOIN documents d ON d.doc_id = s.doc_id""")
 def concat_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lead = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
-    tail = notes(spark, sf_dir).select("doc_id", F.length("text").alias("m"))
-    rows = line_spans(spark, sf_dir).join(lead, "doc_id").join(tail, "doc_id")
-    return rows.select("doc_id", (F.col("start") + F.col("n") + 2).alias("start"), (F.col("end") + F.col("n") + 2).alias("end"), (F.col("n") + 2 + F.col("m")).cast("bigint").alias("n_chars"))
+    lead = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("lead"))
+    own = line_spans(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = notes(spark, sf_dir).join(lead, "doc_id").join(own, "doc_id").select("doc_id", generate.joined(F.col("lead"), F.col("text"), F.col("spans")).alias("x"))
+    return rows.select("doc_id", F.length("x.text").cast("bigint").alias("n_chars"), F.explode("x.spans").alias("s")).select("doc_id", "s.start", "s.end", "n_chars")
 
 
 @query(f"""WITH {SPAN_SQL}, r AS (SELECT DISTINCT doc_id, s, e, type FROM spans WHERE source = 'rule'), l AS (SELECT DISTINCT doc_id, s, e, type FROM spans WHERE source = 'llm')
