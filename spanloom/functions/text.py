@@ -8,6 +8,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,6 +84,16 @@ def key_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """Characters composed with their marks. Texts of ASCII alone, which are so anyway, are empty to the Python worker."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, F.pandas_udf(_composed, "string")(F.when(other, text))).otherwise(text)
+
+
 def _bare_letters() -> tuple[str, str]:
     """Every character that decomposes into one character and marks, and that character."""
     pairs = []

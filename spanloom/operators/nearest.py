@@ -28,6 +28,16 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     return reduce(DataFrame.unionByName, [_block(queries.filter(of == i), rows, key, vector, first_class).checkpoint() for i in range(blocks)])
 
 
+# The least cosine with the first class, and with the others.
+FIRST_TIER, OTHER_TIER = 0.5, 0.93
+
+
+def cascade(nearest: DataFrame, first: str, other: str, first_tier: float = FIRST_TIER, other_tier: float = OTHER_TIER) -> DataFrame:
+    """nearest (r_top, o_top) with ``type``: ``first`` where r_top is over its tier and not under o_top, else ``other`` from its tier on, else null."""
+    r, o = F.coalesce("r_top", F.lit(-1.0)), F.coalesce("o_top", F.lit(-1.0))
+    return nearest.withColumn("type", F.when((r > first_tier) & (r >= o), first).when(o >= other_tier, other))
+
+
 def _block(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column) -> DataFrame:
     asked = queries.select(key, vector).toPandas()
     ids, q = asked[key].to_numpy(), np.array(asked[vector].tolist(), dtype=np.float64).reshape(len(asked), -1)

@@ -347,7 +347,7 @@ def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATED = """
-p AS (SELECT o_orderkey AS doc_id, o_custkey AS cust, o_orderkey % 41 AS m FROM orders),
+p AS (SELECT p_partkey AS doc_id, p_partkey % 41 AS m FROM part),
 b AS (SELECT doc_id, m, repeat('word gap ', CAST(CASE WHEN m = 3 THEN 60 WHEN m = 5 THEN 500 ELSE 190 END AS BIGINT)) AS body FROM p),
 t AS (SELECT doc_id, m, CASE WHEN m = 1 THEN '' ELSE body || CASE WHEN m = 7 THEN 'end' ELSE 'bait end' END END AS text FROM b)"""
 
@@ -356,11 +356,11 @@ t AS (SELECT doc_id, m, CASE WHEN m = 1 THEN '' ELSE body || CASE WHEN m = 7 THE
 SELECT CASE WHEN m = 1 THEN 'C2' WHEN m = 9 THEN 'C1' WHEN m IN (11, 3, 5) THEN 'C2' WHEN m = 13 THEN 'C3' WHEN m = 15 THEN 'C5' WHEN m = 17 THEN 'C6' WHEN m = 19 THEN 'C7' WHEN m = 7 THEN 'C8' WHEN m = 21 THEN 'C9' ELSE 'pass' END AS reason,
   count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 9) AS share FROM t GROUP BY 1""")
 def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that break one gate each, by the rest of their order's key: 380 words, of which 50 or so are spans."""
-    m = (F.col("o_orderkey") % 41).cast("int")
+    """Documents that break one gate each, by the rest of their part's key: 380 words, of which 50 or so are spans."""
+    m = (F.col("p_partkey") % 41).cast("int")
     times = F.when(m == 3, 60).when(m == 5, 500).otherwise(190)
     body = F.concat(F.repeat(F.lit("word gap "), times), F.when(m == 7, "end").otherwise("bait end"))
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), m.alias("m"), F.when(m == 1, "").when(m == 19, F.repeat(F.lit("word g "), F.lit(190))).otherwise(body).alias("text"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), m.alias("m"), F.when(m == 1, "").when(m == 19, F.repeat(F.lit("word g "), F.lit(190))).otherwise(body).alias("text"))
     step = F.when(F.col("m") == 19, 7).otherwise(9)
     kind = lambda i: F.when((F.col("m") == 15) & (i == 2), "nothing").when((i % 2 == 0) | (F.col("m") == 21), "THUỐC").otherwise("CHẨN_ĐOÁN")
     wide = F.when(F.col("m") == 11, 20).otherwise(50)

@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions.text import key_form
+from spanloom.functions.text import key_form, nfc
+from spanloom.sources.work import write_files
 
 ENTITY = "struct<text:string,type:string,candidates:array<string>,assertions:array<string>,position:array<bigint>>"
+# Fixed values.
 NAME_COLUMNS = ("term", "name", "str", "STR")
+LEAST_NAMES = 1000
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +26,47 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(name): the lines of a list without blanks."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("name")).filter("name <> ''")
 
 
-def read_names(spark: SparkSession, path: str, columns: tuple[str, ...] = NAME_COLUMNS, least: int = 1) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header, its columns by name as the schema says; a column that it lacks fails."""
+    rows = spark.read.csv(path, header=True)
+    wanted = T.StructType.fromDDL(schema)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text, entities) of documents that were written as a JSON file each: {"text", "entities"}, entities in the export's form."""
+    schema = f"text string, entities array<{ENTITY}>"
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.from_json("value", schema).alias("d"))
+    return rows.select("name", "d.text", "d.entities")
+
+
+def bundle(spark: SparkSession, folder: str, tables: dict[str, str], lists: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """A knowledge base: the CSV tables (name to schema) and line lists of a folder by name, each also a temporary view; fails on an empty one."""
+    out = {name: read_rows(spark, f"{folder}/{name}.csv", schema) for name, schema in tables.items()} | {name: read_lines(spark, f"{folder}/{name}.txt") for name in lists}
+    for name, rows in out.items():
+        if not rows.limit(1).count():
+            raise ValueError(f"{folder}: {name} has no rows")
+        rows.createOrReplaceTempView(name)
+    return out
+
+
+def name_set(rows: DataFrame, column: str) -> DataFrame:
+    """(name): distinct names, composed (NFC), in lower case, white space collapsed."""
+    return rows.select(key_form(nfc(F.col(column))).alias("name")).filter("name <> ''").distinct()
+
+
+def short_names(*sources: DataFrame, most: int = 8) -> DataFrame:
+    """(name): distinct names of several sources (name) that have 1 to ``most`` words."""
+    every = sources[0].select("name")
+    for other in sources[1:]:
+        every = every.unionByName(other.select("name"))
+    return name_set(every, "name").filter(F.size(F.split("name", " ")).between(1, most))
+
+
+def read_names(spark: SparkSession, path: str, columns: tuple[str, ...] = NAME_COLUMNS, least: int = LEAST_NAMES) -> DataFrame:
     """(name): distinct names in key form from the first of ``columns`` that a CSV has; fails on none, or on fewer than ``least`` names."""
     rows = spark.read.csv(path, header=True)
     column = next((c for c in columns if c in rows.columns), None)
@@ -86,6 +126,31 @@ def write_entities(spans: DataFrame, path: str) -> None:
     entities(spans).write.mode("overwrite").json(path)
 
 
+def documents_json(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, content): a JSON file for each document (doc_id, text) with its spans, in the form that ``read_documents`` reads; documents without spans too."""
+    rows = docs.join(entities(found), "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")))
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct("text", "entities"), {"ignoreNullFields": "false"}).alias("content"))
+
+
+def write_submission(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Checks the spans (verbatim, disjoint), writes a JSON list of entities for each document into the folder, and gives (type, n) with the numbers of files
+    and entities as types "files" and "entities"."""
+    from spanloom.plans.extract import checked
+
+    good = entities(checked(found, docs))
+    rows = docs.select("doc_id").join(good, "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")))
+    written = write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), F.to_json("entities").alias("content")), folder)
+    count = F.count(F.lit(1)).alias("n")
+    return found.groupBy("type").agg(count).unionByName(found.agg(count).select(F.lit("entities").alias("type"), "n")).unionByName(written.agg(count).select(F.lit("files").alias("type"), "n"))
+
+
+def write_pairs(rows: DataFrame, texts: str, labels: str) -> DataFrame:
+    """Writes rows (index, text, entities json) as pairs of files with four-digit names; gives the texts' (name, bytes)."""
+    named = rows.withColumn("__n", pair_name(F.col("index")))
+    write_files(named.select(F.concat("__n", F.lit(".json")).alias("name"), F.col("entities").alias("content")), labels)
+    return write_files(named.select(F.concat("__n", F.lit(".txt")).alias("name"), F.col("text").alias("content")), texts)
+
+
 def pair_name(index):
     """Four-digit file names that grow beyond 9999."""
     return F.format_string("%04d", index)
