@@ -410,7 +410,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of a block is a span at its place, spans don't overlap, about six blocks in ten end in denials."""
     items = _items(spark, sf_dir)
-    made = compose.blocks(items, _HEADS, _NO_HEADS, _NO, 11)
+    made = work.cached(spark, work.work_path(spark), lambda: compose.blocks(items, _HEADS, _NO_HEADS, _NO, 11))
     sure = compose.verbatim_only(made).select("id", F.lit(True).alias("sure"))
     rows = made.join(items, "id").join(sure, "id", "left")
     bag = lambda c: F.sort_array(F.transform(c, lambda x: F.concat(x["type"], x["text"])))
