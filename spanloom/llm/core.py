@@ -1,68 +1,29 @@
-"""What the corpus operators share: durable tables, joins that survive hot keys, word hashing, components.
-
-Word hashing is done with numpy over the Arrow buffers of a whole batch: a word is a maximal run of bytes outside
-``\\x20\\x09-\\x0D`` (all ASCII, so a UTF-8 character is never cut) and gets a 64-bit hash. Long buffers are worked
-through in pieces, so the memory needed does not follow the length of a text.
-"""
+"""What the corpus operators share: durable tables, joins that survive hot keys, components; and the words of a batch, which the rest of the
+library has too."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import functools
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.words import Words, mix, rolling, slices, span_hashes, whole
+from spanloom.sources.work import delete, shared_dir, work_path
+
+__all__ = ["WORD", "Words", "col", "components", "discard", "durable", "lean", "lookup", "mix", "plainly", "rolling", "shared_dir", "slices", "span_hashes", "whole", "work_path"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------------------------------------------------------------
 # durable intermediate tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; on a
-    cluster that is an error, as executors wouldn't see it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-_cleaned: set[str] = set()
-
-
-def work_path(spark: SparkSession) -> str:
-    """A new path for an intermediate table, in the application's own folder within the shared one; the folder goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _cleaned:
-        _cleaned.add(app)
-        atexit.register(clean_up, spark)
-    return f"{shared_dir(spark)}/spanloom-{app}/{uuid.uuid4().hex}"
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this application; results that still read them must have been written by then."""
-    with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone before
-        _delete(spark, f"{shared_dir(spark)}/spanloom-{spark.sparkContext.applicationId}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, a lost executor loses nothing.
 
@@ -79,7 +40,7 @@ def discard(df: DataFrame) -> None:
     """Deletes a table made by durable() that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/spanloom-" in path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def col(name: str) -> Column:
@@ -113,6 +74,17 @@ def lean(f: Callable) -> Callable:
 
         return run
 
+    if len(inspect.signature(f).parameters) == 2:
+
+        @functools.wraps(f)
+        def two(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = f(left, right)
+            if left.nbytes + right.nbytes > 1 << 20:
+                trim()
+            return out
+
+        return two
+
     @functools.wraps(f)
     def one(table: pa.Table) -> pa.Table:
         out = f(table)
@@ -221,117 +193,3 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
 def _mark(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
-
-
-# ---------------------------------------------------------------------------------------------------------------------
-# words
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-_PIECE = 1 << 20
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finalizer."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            up, down = np.full(n, _PRIME, np.uint64), np.full(n, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
-
-
-class Words:
-    """The words of a batch of texts: hashes, byte positions in ``data``, and where each text's words and bytes begin."""
-
-    __slots__ = ("data", "at", "start", "end", "hash", "first")
-
-    def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = texts.cast(pa.large_string())
-        if texts.null_count:
-            texts = texts.fill_null("")
-        n = len(texts)
-        at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
-        raw = texts.buffers()[2] if n else None
-        data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-        at = at - at[0]
-        inside = ~_SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)  # a text begins here
-        edge[at] = True
-        before = np.empty(len(data), bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        start = np.flatnonzero(inside & (~before | edge[:-1]))
-        after = np.empty(len(data), bool)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self.data, self.at, self.start, self.end = data, at, start, end
-        self.first = np.searchsorted(start, at)
-        self.hash = span_hashes(data, start, end, lower)
-
-    def __len__(self) -> int:
-        return len(self.at) - 1
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte ranges data[start:end], which ascend and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + _PIECE, "right")))
-            lo, hi = int(start[i]), int(end[j - 1])
-            piece = data[lo:hi]
-            up, down = _power(max(hi - lo + 1, _PIECE + 1))
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(_BYTE[_LOWER[piece] if lower else piece] * up[: hi - lo], out=sums[1:])
-            s, e = start[i:j] - lo, end[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-            i = j
-    return out
-
-
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word windows of a hash sequence; window i begins at word i."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            acc = acc * np.uint64(0xFF51AFD7ED558CCD) + h[i : i + n]
-    return mix(acc)
-
-
-def whole(h: np.ndarray) -> np.uint64:
-    """Hash of a whole hash sequence, its length included."""
-    with np.errstate(over="ignore"):
-        up = _power(max(len(h) + 1, 1024))[0][: len(h)]
-        return mix(np.array([np.sum(mix(h) * up, dtype=np.uint64) + np.uint64(len(h)) * np.uint64(0xC2B2AE3D27D4EB4F)], np.uint64))[0]
-
-
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with at most ``most`` bytes of text (or one row), so that numpy's arrays stay small."""
-    size = np.nan_to_num(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-    ends = np.cumsum(size)
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-        yield batch.slice(i, j - i)
-        i = j

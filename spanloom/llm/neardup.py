@@ -27,9 +27,10 @@ a table without rows gives none. Distinct sets are told apart by a 64-bit hash a
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -261,18 +262,19 @@ def index(docs: DataFrame, text: str, frequent: np.ndarray, total: int, k: int =
 def groups(raw: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """(sig, key, n, band) of entries with two classes or more, one entry for each list of members. Sets of one band differ by less
     than a factor of/part in size."""
-    own = raw.distinct()
+    own = durable(raw.distinct())
     lists = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
-    one = durable(lists.groupBy("m", "lo", "x", "y").agg(F.min("sig").alias("sig")).select(F.col("sig").alias("__s")))
-    kept = own.join(one, F.col("sig") == F.col("__s"), "left_semi").join(classes.select(F.col("key").alias("__k"), "n"), F.col("key") == F.col("__k"))
+    one = durable(lists.groupBy("m", "lo", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", F.lit(True).alias("one")))
+    kept = lookup(own, one, "sig", "m", own.count()).filter("one").drop("one").join(classes.select(F.col("key").alias("__k"), "n"), F.col("key") == F.col("__k"))
     return durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
 
 
 def stars(placed: DataFrame, turn: int) -> DataFrame:
     """(a, b): in each entry and band, one class (another each turn) with all those of other components: as many pairs as members."""
     first = F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key").alias("lead"), F.col("comp").alias("lead_comp")))
-    leads = durable(placed.groupBy(F.col("sig").alias("__s"), F.col("band").alias("__b")).agg(first.alias("f")).select("__s", "__b", "f.lead", "f.lead_comp"))
-    rays = placed.join(leads, (F.col("sig") == F.col("__s")) & (F.col("band") == F.col("__b"))).filter("comp <> lead_comp")
+    rows = placed.select("key", "comp", F.xxhash64("sig", "band").alias("place"))
+    leads = durable(rows.groupBy("place").agg(first.alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("place", "m", "f.lead", "f.lead_comp"))
+    rays = lookup(rows, leads, "place", "m", placed.count()).filter("comp <> lead_comp")
     return durable(rays.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
 
 
@@ -290,14 +292,15 @@ def across(placed: DataFrame, outlines: DataFrame, part: int = PART, of: int = O
     several entries is left once: within a piece at once, then among the packed lists of pairs that the pieces give.
     """
     celled = placed.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("top", F.col("band") == F.col("cell"))
-    several = celled.groupBy(F.col("sig").alias("__s"), F.col("cell").alias("__c")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("top").alias("any"))
-    several = several.filter("lo <> hi and any").select("__s", "__c", F.ceil(F.col("m") / _CHUNK).cast("int").alias("c"))
-    rows = durable(celled.join(several, (F.col("sig") == F.col("__s")) & (F.col("cell") == F.col("__c"))).select("sig", "cell", "top", "key", "n", "comp", "c"))
+    celled = celled.select("key", "n", "comp", "top", F.xxhash64("sig", "cell").alias("place"))
+    several = celled.groupBy("place").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("top").alias("any"))
+    several = durable(several.filter("lo <> hi and any").select("place", "m", F.ceil(F.col("m") / _CHUNK).cast("int").alias("c")))
+    rows = durable(lookup(celled, several, "place", "m", 2 * placed.count()).filter("c is not null"))
     full = rows.join(outlines.select(F.col("key").alias("__k"), "bits"), F.col("key") == F.col("__k"))
     own = F.pmod(F.xxhash64("key"), F.col("c")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     full = full.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    full = full.withColumn("work", F.xxhash64("sig", "cell", "i", "j"))
+    full = full.withColumn("work", F.xxhash64("place", "i", "j"))
     pieces = max(16, rows.count() // 8192)
     parts = max(16, pieces // 4)
     full = full.withColumn("piece", F.pmod(F.col("work"), F.lit(pieces)))
@@ -354,24 +357,28 @@ def _matrix(bits: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------------------------
 # verification
 
-_BITMAP = 1 << 26
+#: Fewest and most bits of a bitmap of keys: 8 MB to 128 MB, whatever the input; eight bits for each key in between.
+LEAST_BITS, MOST_BITS = 1 << 26, 1 << 30
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the keys (one bigint column), made by the tasks and joined in one: 8 MB whatever the input."""
+    """A bitmap of the keys (one bigint column), made by the tasks and joined in one. With more than a billion keys it fills up, and keeps less out;
+    it never decides anything."""
+    n = keys.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
 
     @lean
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_BITMAP // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for column in batch.columns:
-                at = column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(_BITMAP - 1)
+                at = column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
 
     @lean
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_BITMAP // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for x in batch.column(0):
                 bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
@@ -381,29 +388,64 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
 
 
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+#: Pairs that a piece of work should hold, and members of one star that go to one piece at least.
+_PAIRS, _RAYS = 2048, 8192
+
+
+def compared(pairs: DataFrame, held: DataFrame, alike: Callable[[Callable[[int], tuple], np.ndarray, np.ndarray], np.ndarray], columns: list[str]) -> DataFrame:
+    """The pairs (a, b), a written table, that ``alike`` accepts; held is (key, *columns), a row per class.
+
+    Pairs are dealt into pieces, and what is held of a class goes to each piece that needs it once, however many pairs it has there: a star's
+    centre, whatever number of rays it has, is not carried along with each. A star is dealt over several pieces.
+    """
+    n = pairs.count()
+    pieces, parts = max(16, n // _PAIRS), max(16, n // _RAYS)
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(parts))), F.lit(pieces)).alias("piece"))
+    need = dealt.select("piece", F.col("a").alias("key")).unionByName(dealt.select("piece", F.col("b").alias("key"))).distinct()
+    many = need.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    weighed = many.join(held.select("key", *columns), "key")
+    sent = lookup(need, weighed, "key", "m", 2 * n).withColumnRenamed("piece", "to")
+
+    @lean
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        place = {k: i for i, k in enumerate(right.column("key").to_pylist())}
+        values = [right.column(c).combine_chunks() for c in columns]
+
+        @functools.cache
+        def of(key: int) -> tuple:
+            return tuple(v[place[key]] for v in values)
+
+        keep = pa.array(alike(of, a, b))
+        return pa.table({"a": left.column("a").filter(keep), "b": left.column("b").filter(keep)})
+
+    return dealt.groupBy("piece").cogroup(sent.groupBy("to")).applyInArrow(run, "a bigint, b bigint")
+
+
 def promising(pairs: DataFrame, outlines: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """The pairs (a, b) whose bitmaps don't rule a link out: a token whose bit the other set lacks isn't shared.
 
     Bitmaps of different lengths are compared at the shorter one's (a bit there stands for a run of bits of the longer).
     """
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sizes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                r, s = (np.unpackbits(np.frombuffer(z.as_buffer(), np.uint8)) for z in (x, y))
-                m, n = int(sizes[0][i]), int(sizes[1][i])
-                low = min(len(r), len(s))
-                r2, s2 = r.reshape(low, -1).any(axis=1), s.reshape(low, -1).any(axis=1)
-                both = min(m - int((r2 & ~s2).sum()), n - int((s2 & ~r2).sum()))
-                keep[i] = of * both >= part * (m + n - both)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    left, right = (outlines.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("x" + c)) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+    def alike(get: Callable[[int], tuple], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            (m, r), (n, s) = ((int(v[0].as_py()), np.unpackbits(np.frombuffer(v[1].as_buffer(), np.uint8))) for v in (get(x), get(y)))
+            if of * min(m, n) < part * max(m, n):
+                continue
+            low = min(len(r), len(s))
+            r, s = r.reshape(low, -1).any(axis=1), s.reshape(low, -1).any(axis=1)
+            both = min(m - int((r & ~s).sum()), n - int((s & ~r).sum()))
+            keep[i] = of * both >= part * (m + n - both)
+        return keep
+
+    return compared(pairs, outlines, alike, ["n", "bits"])
 
 
 def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -419,9 +461,7 @@ def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = bits.value, set()
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(_BITMAP - 1)
-            hit = have[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-            for part in slices(batch.filter(pa.array(hit.astype(bool))), "text"):
+            for part in slices(batch.filter(pa.array(in_bitmap(have, batch.column(0).to_numpy()))), "text"):
                 keys, data = [], []
                 for h, s in zip(part.column(0).to_pylist(), sets_of(part.column(1), k), strict=True):
                     if h not in seen and len(s):
@@ -438,22 +478,18 @@ def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k
 def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard of at least part/of; whole sets are compared."""
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum())
-                keep[i] = of * both >= part * (len(s) + len(t) - both)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+    def alike(get: Callable[[int], tuple], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            s, t = (np.frombuffer(get(k)[0].as_buffer(), np.uint64) for k in (x, y))
+            if len(s) > len(t):
+                s, t = t, s
+            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+            both = int((t[at] == s).sum())
+            keep[i] = of * both >= part * (len(s) + len(t) - both)
+        return keep
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
+    return compared(pairs, sets, alike, ["tokens"])
 
 
 def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFrame, total: int, k: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
@@ -463,21 +499,21 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
     group = groups(raw, classes, part, of)
     discard(raw)
 
-    def compared(pairs: DataFrame, sure: bool = False) -> DataFrame:
+    def linked(pairs: DataFrame, sure: bool = False) -> DataFrame:
         some = durable(pairs if sure else promising(pairs, outlines, part, of))
         return durable(verify(some, sets_for(docs, text, classes, some, k), part, of))
 
     placed, links, tried = group.withColumn("comp", F.col("key")), None, []
     for turn in range(TURNS):
         tried.append(stars(placed, turn))
-        found = compared(tried[-1])
+        found = linked(tried[-1])
         links = found if links is None else links.unionByName(found)
         comp = components(links)
         placed = durable(group.join(comp.select(F.col("node").alias("__k"), "comp"), F.col("key") == F.col("__k"), "left").select("sig", "key", "n", "band", F.coalesce("comp", "key").alias("comp")))
     rest = across(placed, outlines, part, of)
     for pairs in tried:
         rest = rest.join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(compared(rest, True))
+    return links.unionByName(linked(rest, True))
 
 
 def resolved(docs: DataFrame, key: str, text: str, k: int, part: int, of: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.core import Words, durable, lean, mix, plainly, rolling, slices, whole
-from spanloom.llm.neardup import _BITMAP, _bits, bitmap_of
+from spanloom.llm.neardup import _bits, bitmap_of, in_bitmap
 
 WIDTH, GRAM = 50, 8
 _LAST = np.iinfo(np.int64).max
@@ -149,8 +149,7 @@ def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> Dat
         have, seen = bits.value, set()
         for batch in batches:
             h = batch.column(0).to_numpy()
-            at = h.view(np.uint64) & np.uint64(_BITMAP - 1)
-            hit = (have[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            hit = in_bitmap(have, h)
             for i in np.flatnonzero(hit):
                 if int(h[i]) in seen:
                     hit[i] = False
