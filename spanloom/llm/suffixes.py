@@ -1,18 +1,22 @@
-"""Sparse suffix arrays: passages of ``width`` words or more that occur before, in another document or the same.
+"""Passages of ``width`` words or more that occur before, in another document or the same, found at content-selected suffixes.
 
 Of all suffixes of all texts only those at minimiser positions are retained: in every window of ``width`` words the 8-word gram with
 the smallest hash. Equal windows select the same gram, so a repeated passage always meets at a retained suffix, and a gram that was
-selected only once in the corpus (nearly all are) needs no further look. Where a selected gram occurs again, the suffixes
-around it are extended as far to the left and right as windows keep selecting it; these stretches are brought together by gram, sorted by
-the hashes of what they hold, and compared with their neighbours. Every stretch but the first in order of (id, position) is a repeat;
-touching repeats join to passages.
+selected only once in the corpus (nearly all are) needs no further look.
 
-So exactly the windows of ``width`` words that occurred before are found (words are compared by 64-bit hashes). A gram that
-very many documents have is no hot spot: every task compares its own stretches first and passes on just the first of each.
+Where a selected gram occurs again, the words around it are extended as far to the left and right as windows keep selecting it. A sorted
+suffix array compares each suffix with its neighbours in order of what follows; but the partner that repeats a window may stand
+anywhere among the suffixes that share less to the right and more to the left (near copies do), so neighbours alone would miss it. Here
+every alignment is compared instead: a retained suffix stands for the windows that selected it, each by one hash of its words left and right,
+and entries are sorted by these. Every entry but the first in order of (id, position) is a repeat; touching repeats join to passages.
+
+So exactly the windows of ``width`` words that occurred before are found (words are compared by 64-bit hashes). Entries are dealt by
+the hash of the window: equal ones are merged in each task first, and the many different windows around a gram that very many documents
+have go to different tasks.
 
 Defined results: a null text has no words; texts under ``width`` words never repeat; a document whose words are those of one with a
-smaller id is a repeat as a whole; rows that agree in id and text are one document; a null id comes after all others; white space
-between words doesn't matter, case does; a table without rows gives none.
+smaller id is a repeat as a whole; rows that agree in id and text are one document; ids are integers (other types are refused); a null id comes after
+all others; white space between words doesn't matter, case does; extra columns don't matter; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.core import Words, durable, lean, mix, plainly, rolling, slices, whole
 from spanloom.llm.neardup import _bits, bitmap_of, in_bitmap
@@ -133,6 +139,9 @@ def _split(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> DataFrame:
     """(id, *by, lo, hi, first) of the repeated passages: a row for each document that has one, told apart by id, words and ``by`` (hash: that of the text)."""
+    kind = docs.select(F.col(key)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"ids must be integers, {key} is {kind.simpleString()}")
     base = durable(base_table(docs, key, text, width))
     classes = durable(base.groupBy("words").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")))
     # selected grams, once for each distinct word sequence
@@ -163,18 +172,17 @@ def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> Dat
 
     @lean
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pick, e = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.lexsort((e["at"], e["words"], e["id"], e["hash"]))
-            pick, e = pick[order], e[order]
+            e = np.concatenate(held)
+            e = e[np.lexsort((e["at"], e["words"], e["id"], e["hash"]))]
             new = np.ones(len(e), bool)
             new[1:] = e["hash"][1:] != e["hash"][:-1]
             _, rest, first = _split(e)
-            pick, e = pick[new], e[new]
-            bucket = (mix(pick) >> np.uint64(64 - bits_)).astype(np.int64)
+            e = e[new]
+            bucket = (mix(e["hash"]) >> np.uint64(64 - bits_)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, e = bucket[order], e[order]
             edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
@@ -199,7 +207,7 @@ def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> Dat
                     owner = w.owner[which]
                     e["hash"], e["at"] = w.hashes(which), w.start[which] - w.words.first[owner]
                     e["id"], e["words"] = part.column(3).to_numpy()[owner], part.column(2).to_numpy()[owner]
-                    held.append((w.pick[which], e))
+                    held.append(e)
                     n += len(which)
                 if n >= _FLUSH:
                     yield from flush()
@@ -217,16 +225,10 @@ def _passages(docs: DataFrame, key: str, text: str, width: int, *by: str) -> Dat
 
     found = durable(joined.mapInArrow(stretches, "bucket bigint, data binary, first binary").groupBy("bucket").applyInArrow(compare, "id bigint, words bigint, lo bigint, hi bigint, first bigint"))
     # touching windows join: a passage begins where a window is not covered by those before
-    runs = found.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "first"))).alias("r"))
-    joins = F.aggregate(
-        "r",
-        F.array().cast("array<struct<lo:bigint,hi:bigint,first:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["lo"] <= F.try_element_at(acc, F.lit(-1))["hi"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["lo"].alias("lo"), F.greatest(x["hi"] + width, F.try_element_at(acc, F.lit(-1))["hi"]).alias("hi"), F.try_element_at(acc, F.lit(-1))["first"].alias("first")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["lo"].alias("lo"), (x["hi"] + width).alias("hi"), x["first"].alias("first"))))),
-    )
-    spans = durable(runs.select("words", F.explode(joins).alias("s")).select(F.col("words").alias("__w"), "s.*"))
+    order = W.partitionBy("words").orderBy("lo", "hi", "first")
+    before = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)) + width
+    runs = found.withColumn("new", F.when(before >= F.col("lo"), 0).otherwise(1)).withColumn("k", F.sum("new").over(order))
+    spans = durable(runs.groupBy(F.col("words").alias("__w"), "k").agg(F.min("lo").alias("lo"), (F.max("hi") + width).alias("hi"), F.min(F.struct("lo", "hi", "first"))["first"].alias("first")).drop("k"))
     rows = base.select("id", "words", "n", *by).distinct()
     named = rows.join(classes.select(F.col("words").alias("__w"), "least"), F.col("words") == F.col("__w")).drop("__w")
     firsts = named.filter(F.col("id").eqNullSafe(F.col("least"))).join(spans, F.col("words") == F.col("__w")).select("id", *by, "lo", "hi", "first")

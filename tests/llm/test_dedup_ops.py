@@ -295,3 +295,14 @@ def test_pipeline(spark):
     assert {i: WORD.findall(t) for i, t in text[3]} == {i: left for i, t in text[2] if (left := [w for k, w in enumerate(WORD.findall(t)) if k not in cover.get(i, ())])}
     assert max(collections.Counter(i for i, _ in text[4]).values()) <= 2 and {i for i, _ in text[4]} <= {i for i, _ in text[3]}
     assert tables[-1].count() == len(text[4])
+
+
+def test_suffix_ids_and_long_texts(spark):
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    with pytest.raises(ValueError):
+        suffixes.repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    # a passage that many documents share, each with words of its own around it; a very long text that repeats itself, and one of white space
+    shared = words("s", 70)
+    rows = [(i, f"{words(f'l{i}x', 60)} {shared} {words(f'r{i}x', 60)}") for i in range(300)] + [(1000, words("v", 30_000) + " " + words("v", 500)), (1001, " " * 200_000), (1002, words("z", 49))]
+    got = {(r["doc_id"], r["start"], r["end"]) for r in suffixes.repeats(docs(spark, rows)).collect()}
+    assert got == {(i, 60, 130) for i in range(1, 300)} | {(1000, 30_000, 30_500)}
