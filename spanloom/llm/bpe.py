@@ -41,11 +41,13 @@ _loaded: dict[tuple, tuple] = {}
 def encoding(ranks: str | bytes, pattern: str) -> tuple[tiktoken.Encoding, dict[int, bytes], bool]:
     """The encoding of a rank file or its bytes (base64 token, space, rank on each line), its bytes by id, and whether texts may be split
     for this pattern; made once per process."""
-    if (ranks, pattern) not in _loaded:
+    # by hash and length: bytes keep their hash, while equal ones of two broadcasts would be compared in full for every text
+    key = (hash(ranks), len(ranks), pattern)
+    if key not in _loaded:
         raw = ranks if isinstance(ranks, bytes) else read_ranks(ranks)
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, raw.splitlines()))}
-        _loaded[ranks, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={}), {v: k for k, v in table.items()}, splits(pattern)
-    return _loaded[ranks, pattern]
+        _loaded[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={}), {v: k for k, v in table.items()}, splits(pattern)
+    return _loaded[key]
 
 
 def read_ranks(path: str) -> bytes:
