@@ -255,3 +255,25 @@ def test_nearest_names(spark):
     want = {a: min((distance(a, b), b) for b in names if b != a and abs(len(a) - len(b)) < 4) for a in names if any(b != a and abs(len(a) - len(b)) < 4 for b in names)}
     got = verify.nearest_names(spark.createDataFrame([(x,) for x in names], "name string")).collect()
     assert {x["name"]: (x["distance"], x["nearest"]) for x in got} == want and len(got) == len(want)
+
+
+def test_trimmed_spans_keep_repeated_rows(spark):
+    from spanloom.operators import anchor
+
+    names = spark.createDataFrame([("sốt cao",)], "name string")
+    rows = [(1, "bị sốt cao rồi", 0, 14)] * 3 + [(2, "ho", 0, 2)] * 2 + [(3, "không có gì cả", 0, 14)]
+    got = sorted(map(tuple, anchor.core_in_names(spark.createDataFrame(rows, "doc_id bigint, text string, start bigint, end bigint"), names, 2).collect()))
+    assert got == [(1, "sốt cao", 3, 10)] * 3 + [(2, "ho", 0, 2)] * 2
+
+
+def test_longer_phrase_lists_are_joined(spark, monkeypatch):
+    from spanloom.functions import words
+    from spanloom.operators import rules
+
+    docs = spark.createDataFrame([(1, "a b c d e a b"), (2, "é  a b c"), (3, None), (4, "xa b")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(10, "a b"), (11, "a b c d e"), (12, ""), (13, None), (14, "é  a")], "item_id bigint, phrase string")
+    both = []
+    for most in (words.MOST_PHRASES, 0):
+        monkeypatch.setattr(words, "MOST_PHRASES", most)
+        both.append(sorted(map(tuple, rules.occurrences(docs, asked).distinct().collect())))
+    assert both[0] == both[1] == [(1, 10, 0, 3), (1, 10, 10, 13), (1, 11, 0, 9), (2, 10, 3, 6), (2, 14, 0, 4)]
