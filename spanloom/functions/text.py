@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ EDGES = " \t.,;:!?()[]{}\"'-–—•·*”“’‘"
 PIECES = "array<struct<text:string,start:bigint,end:bigint>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: expressions inside lambdas are otherwise evaluated at each mention, for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Pieces of a text that are folded at once; offsets of these runs come from their total lengths, so that long texts cost no squares.
 _RUN = 64
 
@@ -33,6 +39,10 @@ def _run(parts: Column, gap: int, at: Column) -> Column:
 def placed(parts: Column, gap: int = 0, origin: Column | int = 0) -> Column:
     """Pieces that follow one another, ``gap`` characters apart, with their offsets."""
     at = (origin if isinstance(origin, Column) else F.lit(origin)).cast("bigint")
+    return let(parts, lambda p: _placed(p, gap, at))
+
+
+def _placed(parts: Column, gap: int, at: Column) -> Column:
     n = F.ceil(F.size(parts) / _RUN).cast("int")
     runs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.slice(parts, r * _RUN + 1, F.lit(_RUN)))).otherwise(F.array().cast("array<array<string>>"))
     sized = F.transform(runs, lambda r: F.struct(r.alias("parts"), F.aggregate(r, F.lit(0).cast("bigint"), lambda acc, p: acc + F.length(p) + gap).alias("chars")))
@@ -66,9 +76,8 @@ def words(text: Column) -> Column:
 def trimmed(piece: Column) -> Column:
     """A piece without the white space around it."""
     left = F.regexp_replace(piece["text"], r"(?U)^\s+", "")
-    core = F.regexp_replace(left, r"(?dU)\s+$", "")
-    start = piece["start"] + F.length(piece["text"]) - F.length(left)
-    return F.struct(core.alias("text"), start.cast("bigint").alias("start"), (start + F.length(core)).cast("bigint").alias("end"))
+    place = let(left, lambda x: F.struct(F.regexp_replace(x, r"(?dU)\s+$", "").alias("text"), (piece["start"] + F.length(piece["text"]) - F.length(x)).cast("bigint").alias("start")))
+    return let(place, lambda x: F.struct(x["text"], x["start"], (x["start"] + F.length(x["text"])).cast("bigint").alias("end")))
 
 
 def without_edges(piece: Column, chars: str = EDGES) -> Column:
@@ -109,7 +118,8 @@ _MARKED, _BARE = _bare_letters()
 
 def plain_form(text: Column) -> Column:
     """Without accents, in lower case, white space collapsed: the form in which drug names are compared. A letter with a stroke stays."""
-    return key_form(F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}+", ""))
+    bare = F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}+", "")
+    return key_form(F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text))
 
 
 def clean_reply(text: Column) -> Column:

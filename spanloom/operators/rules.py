@@ -53,16 +53,19 @@ def lab_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def _lookup(docs: DataFrame, names: DataFrame, key: str, text: str, name: str, most: int, form: Callable[[Column], Column]) -> DataFrame:
     """(key, all): each document's n-grams that are names, longest first, then from the left. Each n-gram is looked up by an equi-join."""
     rows = docs.select(F.col(key), T.words(F.col(text)).alias("__w"), F.regexp_extract_all(text, F.lit(r"(?U)\S+\s*"), F.lit(0)).alias("__r"))
+    rows = rows.withColumn("__f", F.transform("__w", lambda w: form(w["text"])))  # once a word: an n-gram's form is that of its words, which marks alone leave empty
 
     def gram(i: Column, n: Column) -> Column:  # holds its own text, so that no row carries the document along
-        raw = F.regexp_replace(F.array_join(F.slice("__r", i, n), ""), r"(?U)\s+$", "")
-        return F.struct((-n).alias("rank"), i.alias("i"), n.alias("n"), F.element_at("__w", i)["start"].alias("start"), F.element_at("__w", i + n - 1)["end"].alias("end"), raw.alias("text"))
+        last = F.element_at("__w", i + n - 1)
+        raw = F.concat(F.array_join(F.slice("__r", i, n - 1), ""), last["text"])
+        norm = F.array_join(F.filter(F.slice("__f", i, n), lambda f: f != ""), " ")
+        return F.struct((-n).alias("rank"), i.alias("i"), n.alias("n"), F.element_at("__w", i)["start"].alias("start"), last["end"].alias("end"), raw.alias("text"), norm.alias("norm"))
 
-    none = F.array().cast("array<struct<rank:int,i:int,n:int,start:bigint,end:bigint,text:string>>")
+    none = F.array().cast("array<struct<rank:int,i:int,n:int,start:bigint,end:bigint,text:string,norm:string>>")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: gram(i, n))).otherwise(none)))
     grams = rows.select(key, F.explode(spans).alias("g")).select(key, "g.*")
     known = names.select(form(F.col(name)).alias("__k")).distinct()
-    hits = grams.withColumn("norm", form(F.col("text"))).join(known, F.col("norm") == F.col("__k"), "left_semi")
+    hits = grams.join(known, F.col("norm") == F.col("__k"), "left_semi")
     return hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "i", "n", "start", "end", "text", "norm"))).alias("all"))
 
 

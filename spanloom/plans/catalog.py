@@ -45,7 +45,9 @@ LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("- part "), F.col("l_partkey").cast("string"), F.lit(": "), F.col("l_quantity").cast("int").cast("string"), F.lit(" mmol/l"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*LINE_KEY, item.alias("line")))).alias("x"))
+    # few bytes but much work a row: by a number of its own, the shuffle isn't coalesced to the bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), *LINE_KEY).repartition(parts, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*LINE_KEY, item.alias("line")))).alias("x"))
     odd = F.transform(F.filter("x", lambda i: i["l_linenumber"] % 2 == 1), lambda i: i["line"])
     even = F.transform(F.filter("x", lambda i: i["l_linenumber"] % 2 == 0), lambda i: i["line"])
     return rows.select("doc_id", F.array_join(F.concat(F.array(F.lit(HEAD)), odd, F.array(F.lit(MARK)), even, F.array(F.lit(TAIL))), "\n").alias("text"))
