@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import drugs, generate, knowledge, labels, verify
+from spanloom.operators import drugs, generate, knowledge, labels, rules, verify
 from spanloom.plans import extract
 
 
@@ -156,3 +156,15 @@ def test_generators(spark):
         got = generate.mixed(blocks, texts, 5).collect()
         assert len(got) == 300 and all(r["text"][r["spans"][0]["start"] : r["spans"][0]["end"]] == f"item{r['id']}" for r in got)
         assert low <= sum(r["prose_id"] is not None for r in got) / 300 <= high
+
+
+def test_lookup_of_forms_by_word(spark):
+    """N-grams have the form of their whole text: marks alone, accents, other white space, null and empty texts."""
+    rows = [(1, "dùng Amoxicillin \tClav  500 mg"), (2, "Äspirin ́́ fôrte, x"), (3, None), (4, ""), (5, "amoxicillin")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = spark.createDataFrame([("Amoxicillin  clav",), ("aspirin fôrte,",), ("amoxicillin",)], "name string")
+    hits = rules._lookup(docs, names, "doc_id", "text", "name", 5, T.plain_form).selectExpr("doc_id", "inline(all)").collect()
+    got = sorted((r["doc_id"], r["i"], r["n"], r["start"], r["end"], r["text"], r["norm"]) for r in hits)
+    texts = dict(rows)
+    assert [(d, i, n, norm) for d, i, n, _, _, _, norm in got] == [(1, 2, 1, "amoxicillin"), (1, 2, 2, "amoxicillin clav"), (2, 1, 3, "aspirin forte,"), (5, 1, 1, "amoxicillin")]
+    assert all(texts[d][a:b] == t for d, _, _, a, b, t, _ in got)
