@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, chat, html, mixing, neardup, quality, suffixes, urls, vectors, warc
+from spanloom.llm import audit, bpe, chat, fim, fingerprints, html, mixing, neardup, quality, suffixes, urls, vectors, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         urls.op8_url_filters,
         suffixes.op9_suffix_dedup,
         bpe.op10_byte_bpe,
+        fingerprints.op11_fingerprints,
+        audit.op12_source_divergence,
+        fim.op13_fill_in_middle,
     )
 }
 
@@ -22,4 +25,6 @@ SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op8_url_filters": urls.OP8_SQL,
+    "op12_source_divergence": audit.OP12_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
