@@ -56,7 +56,8 @@ def unit_ends(docs: DataFrame, key: str, text: str, units: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     i, j = _ids(F.col(key), body)
     lengths = F.transform(F.regexp_extract_all(body, F.lit(units), F.lit(0)), lambda u: F.length(u))
-    rows = docs.select(i.alias("i"), j.alias("j"), F.posexplode(lengths).alias("pos", "size"))
+    # hashes before the explosion: behind it they would be worked out for each unit
+    rows = docs.select(i.alias("i"), j.alias("j"), lengths.alias("sizes")).select("i", "j", F.posexplode("sizes").alias("pos", "size"))
     once = rows.groupBy("i", "j", "pos").agg(F.max("size").alias("size"))  # repeated rows
     doc = W.partitionBy("i", "j")
     ends = F.sum("size").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))

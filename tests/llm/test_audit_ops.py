@@ -197,7 +197,7 @@ def brute_fim(i, text, plan=fim.Plan()):
     return len(units), "psm", p, m, s, plan.prefix + p + plan.suffix + s + plan.middle + m
 
 
-@pytest.mark.parametrize("plan", [fim.Plan(), fim.Plan(seed=3, rate=60, spm=20), fim.Plan(units=r"\S+\s*")])
+@pytest.mark.parametrize("plan", [fim.Plan(), fim.Plan(seed=3, rate=60, spm=20), fim.Plan(units=r"\s*\S+|\s+")])
 def test_fill_in_middle_against_brute_force(spark, plan):
     docs = tricky(spark).withColumnRenamed("fim", "prefix")
     done = fim.transformed(docs, plan=plan)
