@@ -6,11 +6,14 @@ bidirectional LSTM (numpy) reads the sequence of a whole page, so that each bloc
 labelled as article make up the text.
 
 The model is trained here, on pages that ``sample_pages`` invents from a seed (PAGES of them: that is the bound of the sample), once per
-process; weights go to the executors with the function. Scripts, styles, comments and titles are left out by the parser, which drops nothing
-else; menus, headers, footers, sidebars, notices, adverts, form texts and controls, and reader comments are the model's matter.
+process; weights go to the executors with the function. Scripts, styles, comments, titles, and the contents of <template> and <iframe> (which
+no reader sees) are left out by the parser. What stands in a control of a form (CONTROLS), within prose too, is a block of its own, which the
+model reads with the others, but which is never article; the prose around it stays one block. Menus, headers, footers, sidebars, notices,
+adverts, other texts of forms and reader comments are the model's matter; text in <svg> and <noscript> is text like any other.
 
 Defined results: a null or empty page has the text "" ; text outside any tag is a block; an unclosed tag ends where its parent does, an
-unclosed comment, script or style at the end of the page, ``/>`` ends any element; an unclosed title is text; ``<`` that begins no tag is text; white space of any kind becomes one
+unclosed comment, script, style or text area at the end of the page; a comment ends at ``-->`` or ``--!>``, and ``<!-->`` and ``<!--->`` are whole ones; ``/>``
+ends a script, style, <iframe> or <template> only where no end tag of its own follows, and never a control; an unclosed control ends with the block around it; an unclosed title is text; ``<`` that begins no tag is text; white space of any kind becomes one
 space; inline tags and <br> don't end a block; every block of the page is read, however long; repeated rows give equal results.
 """
 
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.core import lean, slices
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style)(?=[\s/>])(?:(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>|.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
+    |<(?P<raw>script|style|iframe|template)(?=[\s/>])
+      (?:(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>(?!(?:(?!<(?P=raw)[\s/>]).)*?</(?P=raw)[\s/>])|.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))
+    |<textarea(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+>(?P<area>.*?)(?:</textarea(?=[\s/>])[^>]*>|\Z)
     |<title(?=[\s>])[^>]*(?<!/)>[^<]*(?:<(?!/?[a-z])[^<]*)*</title\s*>
     |<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>
     |<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>
@@ -42,11 +47,16 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _ENDS_P = BLOCK - {"html", "body"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+#: Elements whose text belongs to a form and not to the prose that it may stand in.
+CONTROLS = frozenset("button datalist label legend meter optgroup option output progress select textarea".split())
+
+_LOOSE = CONTROLS - {"button", "select"}
+
 PATH, WORDS, NUMBERS = 256, 32, 8
 WIDTH = PATH + WORDS + NUMBERS
 HIDDEN = 24
@@ -58,16 +68,37 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    around: list[tuple[int, list[str], int, int]] = []  # blocks that a control stands in: depth, texts, links, place
     linked = depth_a = 0
+    place = None  # where the block belongs that began before a control's
     page = page or ""
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, place
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(x for _, names in stack for x in names), text, linked))
+            out.insert(len(out) if place is None else place, (tuple(x for _, names in stack for x in names), text, linked))
         parts.clear()
-        linked = 0
+        linked, place = 0, None
+
+    def enter(tag: str, attrs: str) -> None:
+        nonlocal parts, linked, place
+        around.append((len(stack), parts, linked, len(out) if place is None else place))
+        parts, linked, place = [], 0, None
+        stack.append((tag, named(tag, attrs)))
+
+    def leave(depth: int) -> None:
+        """Ends all elements from this depth on, controls among them, and takes up the blocks that these stood in."""
+        nonlocal parts, linked, place
+        while around and around[-1][0] >= depth:
+            close()
+            del stack[around[-1][0] :]
+            _, parts, linked, place = around.pop()
+            parts.append(" ")
+        del stack[depth:]
+
+    def innermost(tag: str) -> int | None:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -76,41 +107,64 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if depth_a:
                 linked += m.start() - at
         at = m.end()
+        if m["area"] is not None:
+            enter("textarea", "")
+            parts.append(m["area"])
+            leave(len(stack) - 1)
+            continue
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
-        tag, ending = tag.lower(), (m["end"] or m["end2"])
+        tag, ending, attrs = tag.lower(), (m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if tag == "a":
             depth_a = max(0, depth_a + (-1 if ending else 1))
         elif tag == "br":
             parts.append(" ")
+        elif tag in CONTROLS:
+            if not ending:
+                enter(tag, attrs)
+            elif (i := innermost(tag)) is not None:
+                leave(i)
         elif tag in BLOCK:
-            close()
-            depth_a = 0
             if ending:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                i = innermost(tag)
+                if i is not None and around and around[-1][0] > i:
+                    leave(next(a[0] for a in around if a[0] > i))
+                close()
+                depth_a = 0
+                if i is not None:
+                    del stack[i:]
                 continue
+            # a block that ends the one around a label ends the label
+            loose = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _LOOSE), -1)
+            if around and -1 < loose < len(stack) - 1 and (stack[loose][0] == "p" and tag in _ENDS_P or stack[loose][0] in _SELF.get(tag, ())):
+                leave(loose + 1)
+            close()
+            depth_a = 0
             if tag == "hr":
                 continue
             if stack and stack[-1][0] == "p" and tag in _ENDS_P:
                 stack.pop()
             if stack and stack[-1][0] in _SELF.get(tag, ()):
                 stack.pop()
-            attrs = m["attrs"] or m["attrs2"] or ""
-            names = [tag]
-            if attrs:
-                for a, b, c in _NAMES.findall(attrs):
-                    names += ["." + w for w in _PART.findall((a or b or c).lower())]
-            stack.append((tag, tuple(names)))
+            stack.append((tag, named(tag, attrs)))
     if at < len(page):
         parts.append(page[at:])
+    leave(around[0][0] if around else len(stack))
     close()
     return out
 
 
+def named(tag: str, attrs: str) -> tuple[str, ...]:
+    """A tag with the words of its class, id and role."""
+    return (tag, *("." + w for found in _NAMES.findall(attrs) for w in _PART.findall("".join(found).lower())))
+
+
+def article(page: list[tuple[tuple[str, ...], str, int]], flags: np.ndarray) -> str:
+    """The text of the blocks with a flag; what stands in controls is none."""
+    return "\n\n".join(text for (path, text, _), ok in zip(page, flags, strict=True) if ok and CONTROLS.isdisjoint(path))
+
+
 @lru_cache(maxsize=1 << 16)
 def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
@@ -317,12 +371,19 @@ def sample_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         inner = r.choice([f"&copy; {word()}.example.com &middot; {prose()}", f"<p>{prose()}</p>", f"<ul>{links(4)}</ul><p>&copy; {sentence()}</p>"])
         return r.choice([f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<div{attr('footer', 'site-footer', 'copyright')}>{inner}</div>"])
 
-    def article() -> list[tuple[str, bool]]:
+    def control() -> str:
+        return r.choice([f"<button>{label()}</button>", f"<select><option>{label()}</option><option>{label()}</option></select>", f"<textarea>{sentence()}</textarea>", f"<label>{label()}</label><input>", f"<button{attr('share', 'print')}><span>{label()}</span></button>"])
+
+    def body() -> list[tuple[str, bool]]:
         out = [(f"<h{r.randint(1, 2)}>{sentence()}</h1>", True)] if r.random() < 0.8 else []
         for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6, 10, 20, 40])):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.67:
                 out.append((f"<p>{prose()}</p>", True))
+            elif kind < 0.7:
+                out.append((f"<p>{sentence()} {control()} {prose()}</p>", True))
+            elif kind < 0.72:
+                out.append((f"<div>{control()}</div>", False))
             elif kind < 0.8:
                 out.append((f"<p><b>{prose()}<br>", True))
             elif kind < 0.86:
@@ -352,7 +413,7 @@ def sample_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         else:
             wrap = ("<div>", "</div>")
         head = f"<!DOCTYPE html><html><head><title>{label()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
-        chunks = [(head, False), *top, (wrap[0], True), *article(), (wrap[1], True), *low, (r.choice(["</body></html>", ""]), False)]
+        chunks = [(head, False), *top, (wrap[0], True), *body(), (wrap[1], True), *low, (r.choice(["</body></html>", ""]), False)]
         page, edges = "", []
         for text, good in chunks:
             page += text
@@ -360,7 +421,8 @@ def sample_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         flags: list[bool] = []
         for count, good in edges:
             flags += [good] * (count - len(flags))
-        made.append((page, flags[: len(blocks(page))]))
+        found = blocks(page)
+        made.append((page, [f and CONTROLS.isdisjoint(b[0]) for f, b in zip(flags, found, strict=False)]))
     return made
 
 
@@ -383,7 +445,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for part in slices(batch, "html", 2 << 20):
                 cut = [blocks(x) for x in part.column(2).to_pylist()]
                 flags = model.label([vectors(b) for b in cut])
-                texts = ["\n\n".join(b[1] for b, f in zip(page, ok, strict=True) if f) for page, ok in zip(cut, flags, strict=True)]
+                texts = list(map(article, cut, flags))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
     return src.mapInArrow(run, f"`{key}` {src.schema['k'].dataType.simpleString()}, `{url}` {src.schema['u'].dataType.simpleString()}, text string, n_chars bigint")

@@ -188,6 +188,41 @@ def test_html_inner_text_is_kept():
     assert [b[1] for b in html.blocks("<p>a <math><mi>x</mi></math> b<p><object>c</object> <noscript>d</noscript><p>e<script>f</script ><style>g</style>")] == ["a x b", "c d", "e"]
 
 
+FIRST, LAST = "The river rose again overnight, and the old bridge was closed.", "Repairs will take until spring, the council said on Monday."
+
+
+@pytest.mark.parametrize("odd", ["<!-->", "<!--->", "<!-- x --!>", "<!-- a > b -->", "<!---->", "<!-- <p>no</p> -->", "<script/>var x=1;</script>", '<style media="a"/>p{}</style>', "<template><p>No.</p></template>", "<iframe src=x>No.</iframe>", "<textarea><p>No.</p></textarea>", "<select><option>One<option>Two</select>", "<select><option>One</option><option>Two</option></select>", "<button>Send</button>", "<button class=share><div>Send</div></button>", "<label>Your name</label><input>", "<p><label>Your name</p>"])
+def test_html_comments_and_controls(spark, odd):
+    pages = [f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>River</h1><p>{FIRST}</p>{odd}<p>{LAST}</p></article><footer>&copy; x</footer></body></html>"]
+    got = html.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")).collect()
+    assert [r.text for r in got] == [f"River\n\n{FIRST}\n\n{LAST}"]
+
+
+def test_html_controls_within_prose_and_lists():
+    def shown(page):
+        b = html.blocks(page)
+        return [t for p, t, _ in b if html.CONTROLS.isdisjoint(p)], [t for p, t, _ in b if not html.CONTROLS.isdisjoint(p)]
+
+    assert shown("<p>Hello <button>Share now</button> more<p>next") == (["Hello more", "next"], ["Share now"])
+    assert shown("a<select><option>x<option>y</select>b<textarea>c<p>d</textarea> e") == (["a b e"], ["x", "y", "c<p>d"])
+    assert shown("<ul><li>one <label>two<li>three</ul><p>four") == (["one", "three", "four"], ["two"])
+    assert shown("<p>one <label>two<p>three") == (["one", "three"], ["two"])
+    assert shown("<div>a <button>b</div>c</button>d") == (["a", "cd"], ["b"])
+    assert shown("<div>a <select>b") == (["a"], ["b"])
+    assert shown("</button></label>x<label/>y</label>z") == (["x z"], ["y"])
+    # the prose keeps its place before the control's text
+    assert [t for _, t, _ in html.blocks("<p>one <button>two</button> three</p><p>four")] == ["one three", "two", "four"]
+
+
+def test_html_held_out_controls():
+    model, held = html.trained(), html.sample_pages(150, 977)
+    pages = [html.blocks(p) for p, _ in held]
+    got = model.label([html.vectors(b) for b in pages])
+    with_controls = [i for i, b in enumerate(pages) if any(not html.CONTROLS.isdisjoint(p) for p, _, _ in b)]
+    wrong = sum(int(a != b) for i in with_controls for a, b in zip(got[i].tolist(), held[i][1], strict=True))
+    assert len(with_controls) > 50 and wrong <= 0.005 * sum(len(pages[i]) for i in with_controls)
+
+
 def test_html_gradients():
     import numpy as np
 
