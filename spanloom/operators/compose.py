@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import generate, rules
+from spanloom.operators import choice, generate, rules
 from spanloom.sources.work import work_path
 
 # Fixed values.
@@ -51,8 +51,9 @@ def diagnoses(terms: DataFrame, seed: int, most_words: int = 6) -> DataFrame:
     rows = rows.filter(n_words(F.col("term")) <= most_words).withColumn("chapter", chapter(F.col("code"))).filter(~F.col("chapter").isin(*SKIPPED_CHAPTERS))
     quotas = F.create_map(*[F.lit(x) for kv in CHAPTER_QUOTA.items() for x in kv])
     quota = F.greatest(F.coalesce(F.try_element_at(quotas, F.col("chapter")), F.lit(LEAST_QUOTA)), F.lit(LEAST_QUOTA))
-    rank = F.row_number().over(W.partitionBy("chapter").orderBy(generate.draw(seed, "code", "term"), "code", "term"))
-    return rows.withColumn("__r", rank).filter(F.col("__r") <= quota).select("term", "code", "chapter", F.lit(True).alias("linkable"))
+    asked = rows.select("chapter").distinct().withColumn("quota", quota.cast("bigint"))
+    drawn = choice.smallest(rows, asked, ["chapter"], choice.ticket(seed, "code", "term"), "code", "term")
+    return drawn.select("term", "code", "chapter", F.lit(True).alias("linkable"))
 
 
 def chapters(terms: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
+from spanloom.operators import choice
+
 
 def draw(seed: int, *keys) -> Column:
     """A uniform number in [0, 1) of a row."""
@@ -22,14 +25,9 @@ def per_stratum(rows: DataFrame, stratum: str, quota: int, seed: int, *keys: str
     return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= quota).drop("__r")
 
 
-def proportional(rows: DataFrame, stratum: str, n: int, seed: int, *keys: str) -> DataFrame:
-    """About n rows without repeats: each stratum its share, one at least; then the hash's order up to n."""
-    total = rows.agg(F.count(F.lit(1)).alias("__all"))
-    order = W.partitionBy(stratum).orderBy(draw(seed, *keys), *keys)
-    sized = rows.withColumn("__m", F.count(F.lit(1)).over(W.partitionBy(stratum))).withColumn("__r", F.row_number().over(order)).join(F.broadcast(total))
-    quota = F.greatest(F.lit(1), F.floor(F.col("__m") * n / F.col("__all")))
-    ranked = sized.withColumn("__late", (F.col("__r") > quota).cast("int"))
-    return ranked.orderBy("__late", draw(seed + 1, *keys), *keys).limit(n).drop("__m", "__r", "__all", "__late")
+def proportional(rows: DataFrame, stratum: str, n: int, seed: int, key: str) -> DataFrame:
+    """n rows without repeats: each stratum its share, one at least; then any others up to n."""
+    return choice.weighted_sample(rows, stratum, key, n, seed, F.col("m"))
 
 
 def number(u: Column, v: Column, low: float, high: float) -> Column:
@@ -39,12 +37,57 @@ def number(u: Column, v: Column, low: float, high: float) -> Column:
     return F.when(F.pmod(F.xxhash64(text), F.lit(10)) < 4, F.replace(text, F.lit("."), F.lit(","))).otherwise(text)
 
 
-def lab_results(rows: DataFrame, units: list[str], seed: int, key: str) -> DataFrame:
-    """rows with ``result``: a number with a unit, a comparison, or a qualitative value."""
-    u, v, w = (draw(seed + i, key) for i in range(3))
-    value = F.concat(number(u, v, 0.5, 250), F.lit(" "), pick(F.array(*map(F.lit, units)), w))
-    kinds = F.array(value, F.concat(F.lit("< "), value), F.concat(F.lit("> "), value), F.lit("âm tính"), F.lit("dương tính"), F.lit("(+)"), F.lit("(-)"))
-    return rows.withColumn("result", pick(kinds, draw(seed + 3, key)))
+# Qualitative results, trends, notes of thresholds and results in words.
+QUALITIES = (
+    "âm tính", "dương tính", "(+)", "(-)", "(++)", "(--)", "(±)", "bình thường", "bất thường", "tăng cao", "giảm thấp", "trong giới hạn bình thường", "không thấy bất thường", "có biểu hiện bất thường",
+)
+TRENDS = (
+    "tăng", "giảm", "tăng nhẹ", "giảm nhẹ", "bình thường", "trong giới hạn bình thường", "không thấy bất thường", "men gan tăng", "↑", "↓", "tăng cao", "giảm thấp", "ổn định", "cải thiện", "chưa cải thiện",
+)
+THRESHOLDS = (("< ", ""), ("> ", ""), ("≤ ", ""), ("≥ ", ""), ("< ", " (bình thường)"), ("> ", " (tăng cao)"))
+IN_WORDS = (
+    "không có tổn thương đặc hiệu", "hình ảnh bình thường", "phù nề nhẹ", "không phát hiện bất thường", "có biểu hiện viêm", "kết quả trong giới hạn bình thường", "giảm so với lần trước", "tăng so với lần trước",
+)
+FORMATS = ("number", "comma", "pressure", "quality", "trend", "threshold", "words", "pairs")
+TENTH = 10
+
+
+def value(seed: int, *keys) -> Column:
+    """A number from 1 to 200 as text, in a third of cases each whole, with one and with two decimals, behind a comma in 40 % of cases; a fraction isn't zero."""
+    base = choice.die(200, seed, F.lit("base"), *keys) + 1
+    digits = choice.die(3, seed, F.lit("digits"), *keys)
+    mark = F.when(choice.die(10, seed, F.lit("mark"), *keys) < 4, ",").otherwise(".")
+    one, two = choice.die(9, seed, F.lit("frac"), *keys) + 1, choice.die(99, seed, F.lit("frac"), *keys) + 1
+    some = F.when(digits == 1, one.cast("string")).otherwise(F.format_string("%02d", two))
+    return F.when(digits == 0, base.cast("string")).otherwise(F.concat(base.cast("string"), mark, some))
+
+
+def lab_results(rows: DataFrame, units: list[str], seed: int, key: str, names: tuple[str, ...] = ("WBC", "NEUT%", "ALT", "AST", "CRP")) -> DataFrame:
+    """rows with ``format`` and ``result``: of n rows exactly n // 10 (one at least) have each of the eight FORMATS, the others a number, a quality or a trend.
+
+    Rows are numbered by key, and a permutation of the numbers deals the formats, so nothing is sorted in one place; the rest is decided by tickets of the key.
+    """
+    n = rows.count()
+    at = choice.numbered(rows, key, name="__no")
+    place = choice.permuted(F.col("__no"), max(n, 1), seed)
+    each = max(1, n // TENTH)
+    t = lambda what, m, *k: choice.die(m, seed, F.lit(what), key, *k)
+    one = lambda options, what, *k: choice.one_of(list(options), seed, F.lit(what), key, *k)
+    number = lambda what, *k: F.concat(value(seed, F.lit(what), key, *k), F.lit(" "), one(units, what + "unit", *k))
+    comma = F.concat((t("whole", 99) + 1).cast("string"), F.lit(","), F.format_string("%02d", t("part", 99) + 1), F.lit(" "), one(units, "cunit"))
+    pressure = F.concat((t("high", 61) + 100).cast("string"), F.lit("/"), (t("low", 41) + 60).cast("string"), F.lit(" mmHg"))
+    limit = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in THRESHOLDS]), (t("limit", len(THRESHOLDS)) + 1).cast("int"))
+    threshold = F.concat(limit["a"], value(seed, F.lit("threshold"), key), limit["b"])
+    first = lambda i: F.substring_index(one(names, "name", i), " ", 1)
+    pairs = F.array_join(F.transform(F.sequence(F.lit(1), (t("pairs", 3) + 2).cast("int")), lambda i: F.concat(first(i), F.lit(": "), number("pair", i))), "  ")
+    other = F.element_at(F.array(F.lit("number"), F.lit("quality"), F.lit("trend")), (t("other", 3) + 1).cast("int"))
+    turn = F.call_function("div", F.col("__p"), F.lit(each).cast("bigint"))
+    form = F.when(turn < len(FORMATS), F.element_at(F.array(*map(F.lit, FORMATS)), (F.least(turn, F.lit(len(FORMATS) - 1)) + 1).cast("int"))).otherwise(other)
+    made = {"number": number("number"), "comma": comma, "pressure": pressure, "quality": one(QUALITIES, "quality"), "trend": one(TRENDS, "trend"), "threshold": threshold, "words": one(IN_WORDS, "words"), "pairs": pairs}
+    out = F.lit(None).cast("string")
+    for kind, text in made.items():
+        out = F.when(F.col("format") == kind, text).otherwise(out)
+    return at.withColumn("__p", place).withColumn("format", form).withColumn("result", out).select(*rows.columns, "format", "result")
 
 
 def block(items: Column, heading: Column, bullet: str = "- ") -> Column:
@@ -59,16 +102,54 @@ def block(items: Column, heading: Column, bullet: str = "- ") -> Column:
     return F.aggregate(items, first, step)
 
 
-def with_noise(text: Column, last_end: Column, seed: int, key: Column, rate: float = 0.1) -> Column:
-    """Masks some words that begin 5 characters or more behind the last entity; offsets before stay as they are."""
-    cut = (last_end + 5).cast("int")
-    tail = F.split(F.substr(text, cut + 1), " ", -1)
-    masked = F.transform(tail, lambda w, i: F.when((i > 0) & (w != "") & (draw(seed, key, i) < rate), "***").otherwise(w))
-    return F.when(F.length(text) > cut, F.concat(F.substr(text, F.lit(1), cut), F.array_join(masked, " "))).otherwise(text)
+LETTERS = r"[A-Za-zÀ-ỹ]"
+NEAR, LEAST_MASKED, MASK = 5, 5, "***"
+
+
+def _some_of(n: Column, k: Column, seed: int, key: Column, what: str) -> Column:
+    """Exactly k of the places 1 .. n (all where there are fewer): those with the smallest tickets."""
+    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    ranked = F.array_sort(F.transform(every, lambda i: F.struct(choice.ticket(seed, F.lit(what), key, i).alias("t"), i.alias("i"))))
+    return F.transform(F.slice(ranked, F.lit(1), F.greatest(k, F.lit(0)).cast("int")), lambda x: x["i"])
+
+
+def glued(text: Column, last_end: Column, n: Column, seed: int, key: Column) -> Column:
+    """The text without n of its single spaces between letters that stand more than NEAR characters behind the last span."""
+    cut = (last_end + NEAR).cast("int")
+    parts = F.split(F.substr(text, cut + 1), r"(?<=\p{L}) (?=\p{L})", -1)
+
+    def join(parts: Column) -> Column:
+        gone = _some_of(F.size(parts) - 1, n, seed, key, "glue")
+        return T.let(gone, lambda g: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when((i + 1 == F.size(parts)) | F.array_contains(g, (i + 1).cast("int")), "").otherwise(" "))), ""))
+
+    return F.concat(F.substr(text, F.lit(1), cut), T.let(parts, join))
+
+
+def masked(text: Column, last_end: Column, n: Column, seed: int, key: Column) -> Column:
+    """The text with n of its words of LEAST_MASKED letters or more behind the last span masked."""
+    cut = last_end.cast("int")
+    runs = F.regexp_extract_all(F.substr(text, cut + 1), F.lit(f"{LETTERS}+|[^A-Za-zÀ-ỹ]+"), F.lit(0))
+    word = lambda r: (F.length(r) >= LEAST_MASKED) & r.rlike(f"^{LETTERS}")
+
+    def replace(runs: Column) -> Column:
+        at = F.filter(F.transform(runs, lambda r, i: F.when(word(r), i)), lambda i: i.isNotNull())
+        gone = T.let(at, lambda a: F.transform(_some_of(F.size(a), n, seed, key, "mask"), lambda k: F.element_at(a, k)))
+        return T.let(gone, lambda g: F.array_join(F.transform(runs, lambda r, i: F.when(F.array_contains(g, i), MASK).otherwise(r)), ""))
+
+    return F.concat(F.substr(text, F.lit(1), cut), T.let(runs, replace))
+
+
+def with_noise(text: Column, last_end: Column, seed: int, key: Column, n_glue: Column | None = None, n_mask: Column | None = None) -> Column:
+    """Spaces glued, then words masked, all behind the last span (``last_end``, 0 without spans), so no offset moves. One to three spaces (no more than can be) and
+    none to two words, where the numbers aren't given."""
+    n_glue = choice.die(3, seed, F.lit("n_glue"), key) + 1 if n_glue is None else n_glue
+    n_mask = choice.die(3, seed, F.lit("n_mask"), key) if n_mask is None else n_mask
+    return masked(glued(text, last_end, n_glue, seed, key), last_end, n_mask, seed, key)
 
 
 def joined(first: Column, second: Column, spans: Column) -> Column:
-    """struct<text, spans>: two texts with a blank line between, the second's spans (start, end) shifted."""
+    """struct<text, spans>: a text without spans of its own before another, with a blank line between, and the spans (start, end) of the second. Where both have
+    spans see ``merging.merged``."""
     shift = F.length(first) + 2
     return F.struct(F.concat(first, F.lit("\n\n"), second).alias("text"), F.transform(spans, lambda s: F.struct((s["start"] + shift).cast("bigint").alias("start"), (s["end"] + shift).cast("bigint").alias("end"))).alias("spans"))
 
@@ -83,21 +164,3 @@ def lab_lines(rows: DataFrame, seed: int, *keys: str, solo: float = 0.42, trend:
     line = F.when(alone, F.concat("name", tail)).otherwise(F.concat("name", glue, "result"))
     start = F.when(~alone, F.length("name") + F.length(glue)).cast("bigint")
     return rows.withColumn("line", line).withColumn("name_end", F.length("name").cast("bigint")).withColumn("result_start", start)
-
-
-def mixed(blocks: DataFrame, prose: DataFrame, seed: int, share: float = 0.6) -> DataFrame:
-    """(id, prose_id, text, spans): blocks (id, text, spans), a ``share`` of them behind a prose text (id, text) with their spans shifted.
-
-    Both sides are dealt into as many buckets as half the prose texts, of each of which the text with the smallest hash serves all blocks; a
-    block whose bucket has none stands alone, like the rest. Nothing is ranked over the whole table.
-    """
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 2)).cast("bigint")
-    size = F.broadcast(prose.agg(n.alias("__n")))  # one row
-    bucket = lambda k: F.pmod(F.xxhash64(F.lit(seed), k), F.col("__n"))
-    texts = prose.filter("text is not null").crossJoin(size).groupBy(bucket("id").alias("__b")).agg(F.min(F.struct(F.xxhash64("id"), F.col("id").alias("pid"), F.col("text").alias("ptext"))).alias("p"))
-    rows = blocks.crossJoin(size).withColumn("__b", F.when(draw(seed + 1, "id") < share, bucket(F.concat(F.lit("block"), F.col("id").cast("string"))))).drop("__n")
-    both = rows.join(texts, "__b", "left")
-    kind = "struct<text:string,spans:array<struct<start:bigint,end:bigint>>>"
-    alone = F.struct(F.col("text"), F.transform("spans", lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))).alias("spans"))
-    out = F.when(F.col("p").isNull(), alone.cast(kind)).otherwise(joined(F.col("p.ptext"), F.col("text"), F.col("spans")).cast(kind))
-    return both.select("id", F.col("p.pid").alias("prose_id"), out.alias("o")).select("id", "prose_id", "o.text", "o.spans")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.grouped import best_chain, greedy, pick_in_groups
+
 # Weights of sources, adjustments and heading priors, in order.
 SOURCE_WEIGHT = {"rule": 100, "dict": 95, "rule_strength": 85, "encoder+kb": 60, "llm": 70}
 ABSOLUTE = ("rule", "dict", "rule_strength")
@@ -69,29 +71,13 @@ def without_beaten(spans: DataFrame) -> DataFrame:
 
 
 def best_disjoint(spans: DataFrame, *order: str) -> DataFrame:
-    """The spans of each document with the largest sum of scores that don't overlap (weighted interval scheduling).
+    """The spans of each document with the largest sum of scores that don't overlap (weighted interval scheduling), by end, ``order`` and the other columns
+    where ends are equal; a span is taken only if that is strictly better. n log n in the spans of a document."""
+    return pick_in_groups(spans, ["doc_id"], _by("end", order, spans, ["doc_id"]), ["start", "end", "score"], best_chain)
 
-    A fold over the document's spans by end: each keeps the best sum so far, and a span is taken only if that is strictly better.
-    """
-    cols = [c for c in spans.columns if c != "doc_id"]
-    rank = ["end", *order]
-    item = F.struct(*rank, *[c for c in cols if c not in rank])
-    docs = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    state = "array<struct<end:bigint,best:bigint,took:array<int>>>"
-
-    def step(acc: Column, i: Column) -> Column:
-        x = F.element_at("all", i)
-        free = F.try_element_at(F.filter(acc, lambda a: a["end"] <= x["start"]), F.lit(-1))
-        last = F.try_element_at(acc, F.lit(-1))
-        with_it = x["score"] + F.coalesce(free["best"], F.lit(0))
-        without = F.coalesce(last["best"], F.lit(0))
-        none = F.array().cast("array<int>")
-        took = F.when(with_it > without, F.concat(F.coalesce(free["took"], none), F.array(i))).otherwise(F.coalesce(last["took"], none))
-        return F.concat(acc, F.array(F.struct(x["end"].cast("bigint").alias("end"), F.greatest(with_it, without).cast("bigint").alias("best"), took.alias("took")))).cast(state)
-
-    chosen = F.aggregate(F.sequence(F.lit(1), F.size("all")), F.array().cast(state), step, lambda acc: F.try_element_at(acc, F.lit(-1))["took"])
-    picked = docs.withColumn("x", F.explode(F.transform(chosen, lambda i: F.element_at("all", i))))
-    return picked.select("doc_id", *[F.col(f"x.{c}") for c in cols])
+
+def _by(first: str, order: tuple[str, ...], spans: DataFrame, keys: list[str]) -> list[str]:
+    return list(dict.fromkeys([first, *order, *[c for c in spans.columns if c not in keys]]))
 
 
 def merge(spans: DataFrame, *order: str) -> DataFrame:
@@ -110,12 +96,9 @@ def violations(spans: DataFrame, *order: str) -> DataFrame:
 
 
 def longest_first(spans: DataFrame, *order: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Greedy: longest spans first, those that overlap a taken one are dropped."""
-    cols = [c for c in spans.columns if c not in keys]
-    item = F.struct((F.col("start") - F.col("end")).alias("__len"), *order, *[c for c in cols if c not in order])
-    docs = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return docs.select(*keys, F.explode(kept).alias("x")).select(*keys, *[F.col(f"x.{c}") for c in cols])
+    """Greedy: longest spans first, those that overlap a taken one are dropped. n log n in the spans of a document."""
+    rest = _by("start", order, spans, list(keys))
+    return pick_in_groups(spans, list(keys), [F.col("start") - F.col("end"), *(order or ()), *[c for c in rest if c not in order]], ["start", "end"], greedy)
 
 
 def covered_words(words: DataFrame, spans: DataFrame) -> DataFrame:

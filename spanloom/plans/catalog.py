@@ -333,11 +333,6 @@ def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.coalesce("type", F.lit("all")).alias("type"), F.coalesce("source", F.lit("all")).alias("source"), "n", "score", F.round(F.col("n") / F.max("n").over(W.partitionBy()), 6).alias("share"))
 
 
-@query()
-def density_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.longest_first(line_spans(spark, sf_dir).select("doc_id", "start", "end", "type", "k1", "k2"), "start", "k1", "k2")
-
-
 @query(f"""WITH {NOTE_SQL}, {SPAN_SQL.strip()},
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+\\s*')) AS t, generate_subscripts(regexp_extract_all(text, '\\S+\\s*'), 1) AS k FROM notes),
 o AS (SELECT doc_id, coalesce(sum(length(t)) OVER x, 0) AS a, coalesce(sum(length(t)) OVER x, 0) + length(rtrim(t, ' ' || chr(10))) AS b

@@ -35,12 +35,12 @@ def without_edges(found: DataFrame) -> DataFrame:
     return found.withColumn("__p", piece).filter("__p is not null").withColumn("text", F.col("__p.text")).withColumn("start", F.col("__p.start")).withColumn("end", F.col("__p.end")).drop("__p")
 
 
-def pooled(branches: list[DataFrame]) -> DataFrame:
+def pooled(branches: list[DataFrame], *order: str) -> DataFrame:
     """The best disjoint spans of several branches by their own scores, without priors and without sources that always win."""
     every = branches[0]
     for other in branches[1:]:
         every = every.unionByName(other)
-    return spans.best_disjoint(every, "start", "type", "source")
+    return spans.best_disjoint(every, *(order or ("start", "type", "source")))
 
 
 def finalize(found: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:

@@ -378,15 +378,6 @@ def drug_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIT_COUNT = len(compose.units())
 
 
-@query(f"SELECT {_UNIT_COUNT} AS units, count(*) AS n, count(*) AS values, count(*) AS numbers FROM orders")
-def generated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every generated result is a value as the rules see it, every number reads as one."""
-    rows = generate.lab_results(table(spark, sf_dir, "orders").select("o_orderkey"), compose.units(), 3, "o_orderkey")
-    rows = rows.withColumn("number", generate.number(generate.draw(8, "o_orderkey"), generate.draw(9, "o_orderkey"), 0.5, 250))
-    got = counted(rows, values=rules.is_value(F.col("result")), numbers=F.col("number").rlike(r"^\d{1,3}([.,]\d{1,2})?$"))
-    return got.select(F.lit(len(compose.units())).alias("units"), "n", "values", "numbers")
-
-
 @query("SELECT count(*) AS n, count(*) AS named, count(*) AS placed, TRUE AS mixed FROM orders")
 def generated_lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and result stand where the places say; about four in ten lines have none."""
@@ -476,36 +467,6 @@ def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("round").agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted").alias("what"), F.col("round").cast("bigint").alias("round"), "n").unionByName(bad.select(F.col("reason").alias("what"), F.col("round").cast("bigint").alias("round"), "n"))
 
 
-@query(f"WITH {NOTE_SQL} SELECT count(*) AS n, count(*) AS kept, count(*) AS length, TRUE AS masked FROM notes")
-def noisy_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words are masked only behind the last span, and nothing before it moves."""
-    rows = notes(spark, sf_dir).withColumn("last", F.instr("text", MARK).cast("bigint")).withColumn("noisy", generate.with_noise(F.col("text"), F.col("last"), 4, F.col("doc_id"), 0.5))
-    at = (F.col("last") + 5).cast("int")
-    words = lambda c: F.size(F.split(c, " "))
-    got = counted(rows, kept=F.substr("text", F.lit(1), at) == F.substr("noisy", F.lit(1), at), length=words("text") == words("noisy"), masked=F.col("noisy").contains("***"))
-    return got.select("n", "kept", "length", (F.col("masked") / F.col("n") > 0.5).alias("masked"))
-
-
-@query("SELECT count(*) AS n, count(*) AS verbatim, TRUE AS mixed FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
-def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks behind prose, with their spans moved along."""
-    made = compose.blocks(_items(spark, sf_dir), _HEADS, _NO_HEADS, _NO, 11)
-    prose = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    both = generate.mixed(made.select("id", "text", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("spans")), prose, 9)
-    rows = both.join(made.select("id", F.transform("spans", lambda s: s["text"]).alias("said")), "id")
-    cut = F.transform("spans", lambda s: F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    got = counted(rows, verbatim=cut == F.col("said"), behind=F.col("prose_id").isNotNull())
-    return got.select("n", "verbatim", (F.col("behind") / F.col("n")).between(0.4, 0.62).alias("mixed"))
-
-
-@query("SELECT least(200, count(*)) AS n, least(200, count(*)) AS ids, TRUE AS spread FROM documents")
-def proportional_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    got = generate.proportional(docs, "lang", 200, 3, "doc_id")
-    few = got.agg(F.count_distinct("lang").alias("k")).crossJoin(docs.agg(F.count_distinct("lang").alias("all")))
-    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).crossJoin(few).select("n", "ids", (F.col("k") == F.col("all")).alias("spread"))
-
-
 @query("SELECT user_id AS seq, count(*) AS n, count(*) AS kept FROM events GROUP BY 1")
 def label_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types renamed and back again are as they were; others are O."""

@@ -38,6 +38,13 @@ def work_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spanloom-{app}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what isn't decided by the rows alone stays as it was when a task runs again."""
+    path = work_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that still read them must have been written by then."""
     with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone before

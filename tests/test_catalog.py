@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanloom.plans import catalog, library  # noqa: F401
+from spanloom.plans import catalog, generated, library  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -150,12 +150,6 @@ def test_generators(spark):
     lines = generate.lab_lines(rows, 3, "id").collect()
     assert all(r["line"][: r["name_end"]] == "ALT" and (r["result_start"] is None or r["line"][r["result_start"] :] == "45 U/l") for r in lines)
     assert 0.3 < sum(r["result_start"] is None for r in lines) / 400 < 0.55
-    blocks = spark.range(300).select("id", F.concat(F.lit("h\n- item"), F.col("id").cast("string")).alias("text")).withColumn("spans", F.array(F.struct(F.lit(4).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end"))))
-    prose = spark.range(40).select("id", F.concat(F.lit("prose "), F.col("id").cast("string")).alias("text"))
-    for texts, low, high in ((prose, 0.4, 0.7), (prose.filter("false"), 0, 0)):
-        got = generate.mixed(blocks, texts, 5).collect()
-        assert len(got) == 300 and all(r["text"][r["spans"][0]["start"] : r["spans"][0]["end"]] == f"item{r['id']}" for r in got)
-        assert low <= sum(r["prose_id"] is not None for r in got) / 300 <= high
 
 
 def test_lookup_of_forms_by_word(spark):

@@ -182,7 +182,7 @@ def test_generators(spark):
     assert both["text"][both["spans"][0]["start"] : both["spans"][0]["end"]] == "sốt"
     text = "thuốc " + "từ " * 200
     noisy = spark.range(1).select(generate.with_noise(F.lit(text), F.lit(5), 7, F.lit(1)).alias("t")).first()["t"]
-    assert noisy[:10] == text[:10] and "***" in noisy
+    assert noisy[:10] == text[:10] and 1 <= len(text) - len(noisy) <= 3
     assert generate.lab_results(spark.range(50), ["g/l", "%"], 3, "id").filter("result is null").count() == 0
 
 
