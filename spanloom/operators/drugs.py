@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import names as N
 from spanloom.functions import text as T
+from spanloom.functions import words
 from spanloom.operators import rules
 
 # Fixed values, in plain form where they are compared with names.
@@ -57,8 +63,66 @@ def find(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "te
     """(key, text, start, end, score, source): dictionary names with their doses (``dict``), and words right before a dose that look like
     names (``rule_strength``). A name that is a test too counts only before a dose; without one its words stay free.
 
-    ``names`` are as ``dictionary`` gives them; null and empty texts have none. Keys must be unique.
+    ``names`` are as ``dictionary`` gives them; null and empty texts have none. A dictionary that all tasks can hold is looked up in one pass over the texts, without a
+    shuffle; a longer one is joined on every n-gram, for which keys must be unique.
     """
+    held = N.lexicon_of(names, name, T.plain_form)
+    if held is None:
+        return _find_by_join(docs, names, key, text, name, most)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for batch in batches:
+            for part in words.slices(batch, "t"):
+                t = N.Texts(part.column(1), N.plain_word, kept)
+                rows = sorted(_in_batch(t, sent.value, most))
+                if rows:
+                    first, last, cut, more, score, source = (list(c) for c in zip(*rows, strict=True))
+                    texts = [(t.text(i, j) + d)[c:] for i, j, c, d in zip(first, last, cut, more, strict=True)]
+                    start = [t.start(i) + c for i, c in zip(first, cut, strict=True)]
+                    end = [t.end(j) + len(d) for j, d in zip(last, more, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t.owner[first])), *map(pa.array, (texts, start, end, score, source))], names=["k", "text", "start", "end", "score", "source"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, text string, start bigint, end bigint, score double, source string").withColumnRenamed("k", key)
+
+
+_STRENGTH = re.compile(rules.STRENGTH.removeprefix("(?iuU)"), re.I)
+_BLOCKED, _DUAL = frozenset(BLOCKED), frozenset(DUAL_USE)
+
+
+def _in_batch(t: N.Texts, names: N.Lexicon, most: int) -> Iterator[tuple]:
+    """(first word, last word, characters cut off its front, dose, score, source) of each drug in a batch of texts."""
+
+    def dose(last: int) -> str:
+        m = _STRENGTH.match(t.behind(last))
+        return m[0] if m else ""
+
+    at, size = (x.tolist() for x in t.grams(names, most))
+    doses = [dose(i + n - 1) for i, n in zip(at, size, strict=True)]
+    good = [k for k in range(len(at)) if doses[k] or t.form(at[k], size[k], N.plain_word) not in _DUAL]
+    used: set[int] = set()
+    for k in N.longest([at[k] for k in good], [size[k] for k in good]):
+        i, n = at[good[k]], size[good[k]]
+        used.update(range(i, i + n))
+        yield i, i + n - 1, 0, doses[good[k]], 1.0, "dict"
+    w = t.w
+    # a dose begins with a digit: of ASCII, or of what isn't
+    head = w.data[w.start] if len(w.start) else w.start
+    number = ((head >= 48) & (head <= 57)) | (head >= 128)
+    for i in (np.flatnonzero(number[1:] & (t.owner[1:] == t.owner[:-1]))).tolist():
+        if i in used:
+            continue
+        word = t.word(i)
+        left = word.lstrip(MARKS)
+        core = left.rstrip(MARKS)
+        if len(core) >= 3 and core[0].isalpha() and N.plain_word(core) not in _BLOCKED and (d := dose(i)):
+            yield i, i, len(word) - len(left), d, 0.7, "rule_strength"
+
+
+def _find_by_join(docs: DataFrame, names: DataFrame, key: str, text: str, name: str, most: int) -> DataFrame:
+    """As ``find``, of a dictionary of any length."""
     hits = rules._lookup(docs, names, key, text, name, most, T.plain_form).withColumnRenamed(key, "__key")
     words = T.words(F.col(text))
     raw = F.regexp_extract_all(text, F.lit(r"(?U)\S+\s*"), F.lit(0))

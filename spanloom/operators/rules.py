@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import names as N
 from spanloom.functions import text as T
 from spanloom.functions import words
 
@@ -77,10 +79,28 @@ def _greedy(hits: Column) -> Column:
 def names_longest(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", most: int = 5) -> DataFrame:
     """(key, text, start, end, n): dictionary names found by n-gram, longest first, then from the left; no word is used twice.
 
-    What matched is settled by a fold within the document.
+    A dictionary that all tasks can hold is looked up in one pass over the texts, without a shuffle; a longer one is joined on every n-gram.
     """
-    per = _lookup(docs, names, key, text, name, most, T.key_form)
-    return per.select(key, F.explode(_greedy(F.col("all"))).alias("x")).select(key, "x.text", "x.start", "x.end", F.col("x.n").cast("bigint").alias("n"))
+    held = N.lexicon_of(names, name, T.key_form)
+    if held is None:
+        per = _lookup(docs, names, key, text, name, most, T.key_form)
+        return per.select(key, F.explode(_greedy(F.col("all"))).alias("x")).select(key, "x.text", "x.start", "x.end", F.col("x.n").cast("bigint").alias("n"))
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for batch in batches:
+            for part in words.slices(batch, "t"):
+                t = N.Texts(part.column(1), N.key_word, kept)
+                at, size = (x.tolist() for x in t.grams(sent.value, most))
+                got = [(at[k], size[k]) for k in N.longest(at, size)]  # words are numbered over the batch, so texts don't meet
+                if got:
+                    first, last = [i for i, _ in got], [i + n - 1 for i, n in got]
+                    found = [[t.text(i, j) for i, j in zip(first, last, strict=True)], [t.start(i) for i in first], [t.end(j) for j in last], [n for _, n in got]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t.owner[first])), *[pa.array(c) for c in found]], names=["k", "text", "start", "end", "n"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, text string, start bigint, end bigint, n bigint").withColumnRenamed("k", key)
 
 
 def with_strength(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
