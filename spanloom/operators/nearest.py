@@ -1,31 +1,159 @@
-"""Nearest neighbours of a stated query set against all rows, by class."""
+"""Nearest neighbours of a stated query set against all rows, by class: a join of tiles.
+
+Vectors are dealt by the centre that is nearest to them (CENTRES at most, rows with the smallest tickets: a bounded sample that decides about speed alone) and packed into
+tiles of TILE_BYTES; a tile knows its centre and the widest angle to it. A query tile first meets, of each class, the tile whose centre is nearest to its own; what
+that gives each query is a bound. Then it meets only tiles that may hold better: two vectors are no nearer than the angle between their centres less the two
+widest angles. Tiles meet by shuffle, so no task or driver holds more than two tiles and the centres, whatever the number of queries and rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once, about.
-MOST_QUERIES = 50_000
+from spanloom.operators import choice
+from spanloom.sources import work
+
+#: Bytes of a tile's vectors, and the most centres.
+TILE_BYTES, CENTRES = 1 << 20, 256
+#: Room for rounding in bounds on angles.
+_SLACK = 1e-6
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as unit rows; zero vectors stay zero."""
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _usable(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    return rows.filter((F.size(vector) == size) & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))))
+
+
+def _dealt(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows (k, v, first) with the nearest centre (of which -1 is none: a zero vector's) and the angle to it."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v"))
+                c = x @ sent.value.T
+                at = c.argmax(axis=1)
+                angle = np.arccos(np.clip(c[np.arange(len(at)), at], -1, 1))
+                zero = ~x.any(axis=1)
+                at[zero], angle[zero] = -1, np.pi
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(angle)], names=[*batch.schema.names, "centre", "angle"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kind.items()) + ", centre int, angle double")
+
+
+def _tiles(rows: DataFrame, centres: np.ndarray, tile_bytes: int) -> DataFrame:
+    """(tile, centre, first, angle, ids, raw) of rows (k, v, first): tiles of one centre and class, the vectors packed as unit rows of doubles."""
+    dealt = _dealt(rows, centres).repartitionByRange("centre", "first", F.xxhash64("k")).sortWithinPartitions("centre", "first")
+    most = max(1, tile_bytes // (8 * centres.shape[1]))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        label = None
 
+        def pack() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            raw = _matrix(t.column("v").combine_chunks()).tobytes()
+            ids = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column("k").combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([label[0]], pa.int32()), pa.array([label[1]]), pa.array([float(t.column("angle").to_numpy().max())]), ids, pa.array([raw], pa.binary())], names=["centre", "first", "angle", "ids", "raw"])
 
-def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column) -> DataFrame:
-    """(key, r_top, o_top): each query's largest cosine with rows of the first class and with the others, itself left out.
+        for batch in batches:
+            marks = list(zip(batch.column("centre").to_pylist(), batch.column("first").to_pylist(), strict=True))
+            i = 0
+            while i < len(marks):
+                if held and (marks[i] != label or sum(b.num_rows for b in held) >= most):
+                    yield pack()
+                    held = []
+                label = marks[i]
+                room = most - sum(b.num_rows for b in held)
+                j = i + 1
+                while j < len(marks) and marks[j] == label and j - i < room:
+                    j += 1
+                held.append(batch.slice(i, j - i))
+                i = j
+        if held:
+            yield pack()
 
-    The queries go to all tasks, in blocks of about MOST_QUERIES by the hash of their key; each task gives one maximum per query of a block, so what is
-    shuffled follows the number of queries and tasks, not of pairs. Of several blocks each is written to spark.checkpoint.dir before the next is
-    read, so that the driver holds one at a time.
+    packed = dealt.mapInArrow(run, f"centre int, first boolean, angle double, ids array<{kind}>, raw binary")
+    return work.written(packed.withColumn("tile", F.monotonically_increasing_id()))
+
+
+def _met(pairs: DataFrame, q: DataFrame, r: DataFrame, kind: str, size: int) -> DataFrame:
+    """(k, q, first, best): the largest cosine of each query of the paired tiles (q, r), itself left out."""
+    left = q.select(F.col("tile").alias("q"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
+    right = r.select(F.col("tile").alias("r"), "first", "ids", "raw")
+    both = pairs.select("q", "r").join(left, "q").join(right, "r").select("q", "qids", "qraw", "first", "ids", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile, qids, qraw, first, ids, raw = (c[i] for c in batch.columns)
+                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, size) for x in (qraw, raw))
+                c = a @ b.T
+                mine, other = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (qids, ids))
+                c[mine[:, None] == other[None, :]] = -np.inf
+                best = c.max(axis=1)
+                some = best > -np.inf
+                yield pa.RecordBatch.from_arrays([qids.values.filter(pa.array(some)), pa.array([tile.as_py()] * int(some.sum()), pa.int64()), pa.array([first.as_py()] * int(some.sum()), pa.bool_()), pa.array(best[some])], names=["k", "q", "first", "best"])
+
+    return both.mapInArrow(run, f"k {kind}, q bigint, first boolean, best double")
+
+
+def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column, tile_bytes: int | None = None, most_centres: int | None = None) -> DataFrame:
+    """(key, r_top, o_top): each query's largest cosine with rows of the first class and with the others, itself left out; null where there is none.
+
+    Keys must be unique. Vectors that are null, hold null or NaN, or aren't as long as the queries' longest have no cosine; that with a zero vector is 0. A null class is one of the others.
     """
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    if blocks == 1:
-        return _block(queries, rows, key, vector, first_class)
-    of = F.pmod(F.xxhash64(key), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_block(queries.filter(of == i), rows, key, vector, first_class).checkpoint() for i in range(blocks)])
+    tile_bytes, most_centres = tile_bytes or TILE_BYTES, most_centres or CENTRES
+    kind = rows.schema[key].dataType.simpleString()
+    empty = queries.select(key).distinct().withColumn("r_top", F.lit(None).cast("double")).withColumn("o_top", F.lit(None).cast("double"))
+    size = queries.agg(F.max(F.size(vector))).first()[0]
+    if not size or size < 0:
+        return empty
+    every = _usable(rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.coalesce(first_class, F.lit(False)).alias("first")), "v", size)
+    asked = _usable(queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(False).alias("first")), "v", size)
+    drawn = choice.exactly(every.select("k"), most_centres, choice.ticket("centre", "k"), "k")
+    sample = every.join(F.broadcast(drawn.select(F.col("k").alias("__c"))), F.col("k") == F.col("__c")).select("v").toArrow()  # most_centres rows
+    if not sample.num_rows:
+        return empty
+    centres = _matrix(sample.column("v").combine_chunks())
+    centres = centres[centres.any(axis=1)]
+    centres = centres if len(centres) else np.eye(1, size)
+    q, r = _tiles(asked, centres, tile_bytes), _tiles(every, centres, tile_bytes)
+
+    # centres with centres: most_centres squared at most
+    angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    n = len(centres)
+    turns = pa.table({"cq": np.repeat(np.arange(n, dtype=np.int32), n), "cr": np.tile(np.arange(n, dtype=np.int32), n), "turn": angle.ravel()})
+    turns = F.broadcast(rows.sparkSession.createDataFrame(turns.to_pandas()))
+    heads = lambda t, c, name: t.select(F.col("tile").alias(name), F.col("centre").alias(c), F.col("angle").alias(f"{name}_angle"), *([F.col("first")] if name == "r" else []))
+    # tiles with tiles, by their heads alone; those of zero vectors (centre -1) are never ruled out
+    pairs = heads(q, "cq", "q").join(heads(r, "cr", "r")).join(turns, ["cq", "cr"], "left")
+    gap = F.coalesce(F.col("turn") - F.col("q_angle") - F.col("r_angle"), F.lit(0.0))
+    top = F.when(gap > _SLACK, F.cos(gap - _SLACK)).otherwise(1.0)  # no cosine of the pair is larger
+    pairs = work.written(pairs.select("q", "r", "first", top.alias("top"), F.coalesce("turn", F.lit(9.0)).alias("turn")))
+    begun = pairs.groupBy("q", "first").agg(F.min(F.struct("turn", "r")).alias("x")).select("q", "first", F.col("x.r").alias("r"))
+    one = work.written(_met(begun, q, r, kind, size))
+    # a class's bound holds for a tile only if all its queries have one
+    found = one.groupBy("q", "first").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = found.join(q.select(F.col("tile").alias("q"), F.size("ids").alias("m")), "q").select("q", "first", F.when(F.col("n") == F.col("m"), F.col("least")).alias("least"))
+    rest = pairs.join(begun.select("q", "r", F.lit(True).alias("__done")), ["q", "r"], "left").filter("__done is null").join(found, ["q", "first"], "left").filter(F.col("least").isNull() | (F.col("top") > F.col("least")))
+    got = one.unionByName(_met(rest, q, r, kind, size))
+    best = got.groupBy("k").agg(F.max(F.when(F.col("first"), F.col("best"))).alias("r_top"), F.max(F.when(~F.col("first"), F.col("best"))).alias("o_top"))
+    return queries.select(F.col(key).alias("__k")).distinct().join(best, F.col("__k") == F.col("k"), "left").select(F.col("__k").alias(key), "r_top", "o_top")
 
 
 # The least cosine with the first class, and with the others.
@@ -36,28 +164,3 @@ def cascade(nearest: DataFrame, first: str, other: str, first_tier: float = FIRS
     """nearest (r_top, o_top) with ``type``: ``first`` where r_top is over its tier and not under o_top, else ``other`` from its tier on, else null."""
     r, o = F.coalesce("r_top", F.lit(-1.0)), F.coalesce("o_top", F.lit(-1.0))
     return nearest.withColumn("type", F.when((r > first_tier) & (r >= o), first).when(o >= other_tier, other))
-
-
-def _block(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column) -> DataFrame:
-    asked = queries.select(key, vector).toPandas()
-    ids, q = asked[key].to_numpy(), np.array(asked[vector].tolist(), dtype=np.float64).reshape(len(asked), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.full((len(ids), 2), -np.inf)
-        for part in parts:
-            for i in range(0, len(part), 2048):
-                some = part.iloc[i : i + 2048]
-                x = np.array(some[vector].tolist(), dtype=np.float64)
-                c = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                c[ids[:, None] == some[key].to_numpy()[None, :]] = -np.inf
-                for k in (0, 1):
-                    cols = some["__first"].to_numpy() == (k == 0)
-                    if cols.any():
-                        top[:, k] = np.maximum(top[:, k], c[:, cols].max(axis=1))
-        yield pd.DataFrame({key: ids, "r_top": top[:, 0], "o_top": top[:, 1]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    got = rows.select(key, vector, first_class.alias("__first")).mapInPandas(run, f"{key} {kind}, r_top double, o_top double")
-    some = lambda c: F.when(F.max(c) > float("-inf"), F.max(c))
-    return got.groupBy(key).agg(some("r_top").alias("r_top"), some("o_top").alias("o_top"))

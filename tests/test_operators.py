@@ -226,16 +226,39 @@ def test_streaming(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+def brute_nearest(asked, rows):
+    import numpy as np
+
+    unit = lambda v: np.array(v, float) / max(np.linalg.norm(np.array(v, float)), 1e-300)
+    good = [(i, unit(v), c) for i, v, c in rows if v is not None and len(v) == 3 and None not in v]
+    out = {}
+    for i, v, _ in asked:
+        top = [None, None]
+        if v is not None and len(v) == 3 and None not in v:
+            for j, w, c in good:
+                if i != j:
+                    k, x = int(c != 0), float(unit(v) @ w)
+                    top[k] = x if top[k] is None else max(top[k], x)
+        out[i] = tuple(top)
+    return out
+
+
+@pytest.mark.parametrize("tile_bytes,centres", [(1, 4), (24 * 5, 7), (1 << 20, 256), (48, 1)])
+def test_nearest_by_tiles(spark, tile_bytes, centres):
     from spanloom.operators import nearest
 
-    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(60)], "id bigint, v array<double>, label int")
-    ask = lambda: sorted(map(tuple, nearest.nearest_by_class(rows.filter("id % 2 = 0"), rows, "id", "v", F.col("label") == 0).collect()))
-    want = ask()
-    monkeypatch.setattr(nearest, "MOST_QUERIES", 7)
-    got = ask()
-    assert len(got) == 30 and [x[0] for x in got] == [x[0] for x in want]
-    assert all(abs(a - b) < 1e-12 for x, y in zip(got, want, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
+    r = random.Random(centres)
+    rows = [(i, [r.gauss(0, 1) + 6 * (i % 4 == k) for k in range(3)], [0, 1, 2, None][i % 4 if i % 3 else 1]) for i in range(70)]
+    rows += [(100, [0.0, 0.0, 0.0], 1), (101, None, 0), (102, [1.0, 2.0], 0), (103, [1.0, None, 2.0], 1), (104, [1.0, 1.0, 1.0], 0), (106, [1.0, 1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, label int").repartition(3)
+    asked = [x for x in rows if x[0] % 2 == 0]
+    got = {x[0]: tuple(x[1:]) for x in nearest.nearest_by_class(df.filter("id % 2 = 0"), df, "id", "v", F.col("label") == 0, tile_bytes, centres).collect()}
+    want = brute_nearest(asked, rows)
+    assert set(got) == set(want)
+    for i, pair in want.items():
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-12) for a, b in zip(got[i], pair, strict=True)), i
+    for q, every in ((df.filter("false"), df), (df, df.filter("false"))):
+        assert all(x[1] is None for x in nearest.nearest_by_class(q, every, "id", "v", F.col("label") == 0, tile_bytes, centres).collect())
 
 
 def test_nearest_names(spark):
