@@ -7,7 +7,10 @@ as many words whose spelling is nearest. What a rung finds is not tried again, s
 from __future__ import annotations
 
 import difflib
+import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,20 +34,49 @@ def _flexible(text: Column, phrase: Column) -> Column:
     return F.when((F.size(words) > 0) & (F.length(hit) > 0), F.struct(start.alias("start"), (start + F.length(hit)).cast("bigint").alias("end")))
 
 
+def _counted(text: str) -> tuple[list[str], list[int]]:
+    """The lower-case characters of a text, one after another, and where those of each character begin. A sigma at the end of a word is one like any other."""
+    parts = [c.lower().replace("ς", "σ") for c in text]
+    at = [0]
+    for p in parts:
+        at.append(at[-1] + len(p))
+    return list("".join(parts)), at
+
+
+def best_run(text: str, phrase: str, least: float = NEAREST) -> tuple[int, int] | None:
+    """The run of as many words as the phrase has whose ratio to it is largest, and at least ``least``; the first of equals.
+
+    A ratio is at most twice the characters in common over all characters. Running counts of the phrase's characters give that bound for all runs at once; the ratio itself is
+    worked out from the largest bound on, until no bound is over the best.
+    """
+    words, n = list(re.finditer(r"\S+", text)), len(phrase.split())
+    if not n or len(words) < n:
+        return None
+    wanted = " ".join(phrase.lower().split())
+    chars, at = _counted(text)
+    codes = np.array([ord(c) for c in chars], np.int64)
+    first = np.array([at[w.start()] for w in words[: len(words) - n + 1]])
+    last = np.array([at[w.end()] for w in words[n - 1 :]])
+    common = np.zeros(len(first), np.int64)
+    for c, k in Counter(wanted.replace("ς", "σ")).items():
+        sums = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        common += np.minimum(sums[last] - sums[first], k)
+    bound = 2 * common / (last - first + len(wanted))
+    best, place = least, None
+    matcher = difflib.SequenceMatcher(None, b="", autojunk=True)
+    for i in np.lexsort((np.arange(len(bound)), -bound)).tolist():
+        if bound[i] < best - 1e-12:
+            break
+        a, b = words[i].start(), words[i + n - 1].end()
+        matcher.set_seqs(wanted, text[a:b].lower())
+        ratio = matcher.ratio()
+        if ratio > best or (ratio == best and (place is None or a < place[0])):
+            best, place = ratio, (a, b)
+    return place
+
+
 def _nearest(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-    import re
-
-    out = []
-    for text, phrase in zip(texts, phrases, strict=True):
-        best, place = NEAREST, (None, None)
-        words, n = list(re.finditer(r"\S+", text or "")), len((phrase or "").split())
-        wanted = " ".join((phrase or "").lower().split())
-        for i in range(len(words) - n + 1) if n else ():
-            a, b = words[i].start(), words[i + n - 1].end()
-            ratio = difflib.SequenceMatcher(None, wanted, text[a:b].lower()).ratio()
-            if ratio > best or (ratio == best and place[0] is None):
-                best, place = ratio, (a, b)
-        out.append(place)
+    out = [best_run(t or "", p or "") or (None, None) for t, p in zip(texts, phrases, strict=True)]
     return pd.DataFrame(out, columns=["start", "end"]).astype("Int64")
 
 

@@ -8,10 +8,12 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import anchor, rules, spans
+from spanloom.sources import work
 
 # Fixed values.
 NUMBER = r"(?U)^[<>≤≥]?\s*\d+(?:[.,]\d+)?\s*%?$"
@@ -71,30 +73,53 @@ def close_to_names(texts: DataFrame, names: DataFrame, ratio: float, text: str =
     """(text): distinct texts whose plain form is like one of ``names`` by a Ratcliff-Obershelp ratio of at least ``ratio`` (over 2/3);
     with ``band`` only names whose length differs by less count.
 
-    Strings that share no pair of neighbouring characters and match in M places have a gap after each match, so their lengths sum up to
-    3M - 1 or more and the ratio is 2M / (3M - 1) at most. So longer strings are joined on shared pairs, and only short ones on characters.
+    Two strings of S characters together that match in M places, so with a ratio of 2M / S, do so in at most S - 2M + 1 runs, as each gap between runs takes a character. So
+    they share 3M - S - 1 pairs of neighbouring characters or more, and M characters. Of each string only the rarest pairs are looked up, as many as must hold a
+    shared one by that count (all but the least number shared, plus one), and only among strings of a length that can do; where no shared pair is sure, which
+    takes short strings, the rarest characters are. Of the pairs of strings that are left difflib sees those that have enough characters in common.
     """
     if not ratio > 2 / 3:
         raise ValueError("pairs of characters find all matches only for ratios over 2/3")
-    most = int(ratio / (3 * ratio - 2)) + 1  # more matches than this need a shared pair
-    short = int(2 * most / ratio) + 1  # with longer strings a match of that ratio has more
-
-    def keyed(rows: DataFrame, column: str, out: str) -> DataFrame:
-        plain = rows.select(T.plain_form(F.col(column)).alias(out)).filter(F.col(out) != "").distinct()
-        chars = F.split(out, "")
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(out) - 1, F.lit(1))), lambda i: F.substr(F.col(out), i, F.lit(2)))
-        keys = F.when(F.length(out) < short, F.concat(F.transform(chars, lambda c: F.concat(F.lit("\0"), c)), pairs)).otherwise(pairs)
-        return plain.select(out, F.explode(F.array_distinct(keys)).alias("k"))
-
-    a, b = F.length("a"), F.length("b")
-    able = (2 * F.least(a, b) >= ratio * (a + b)) & ((a + b <= short) | ~F.startswith("k", F.lit("\0")))
+    low, high = ratio / (2 - ratio), (2 - ratio) / ratio  # of lengths
+    slack = 1e-9
+    enough = lambda total: F.ceil(total * (1.5 * ratio - 1) - 1 - slack)  # noqa: E731  shared pairs
+    short = int(2 / (1.5 * ratio - 1)) + 1  # from this total on, a shared pair is sure
+
+    def plain(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select(T.plain_form(F.col(column)).alias("s")).filter("s <> ''").distinct().withColumn("n", F.length("s"))
+
+    left, right = work.written(plain(texts, text)), work.written(plain(names, name))
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        """(s, n, of, t, k): pairs of characters (of: 2) and, of strings that may be short of them, characters (1), each with its number in the string."""
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda i: F.struct(F.lit(2).alias("of"), F.substr(F.col("s"), i, F.lit(2)).alias("t")))
+        chars = F.transform(F.split("s", ""), lambda c: F.struct(F.lit(1).alias("of"), c.alias("t")))
+        each = rows.select("s", "n", F.posexplode(F.when(F.col("n") * (1 + low) <= short, F.concat(pairs, chars)).otherwise(pairs)).alias("p", "x")).select("s", "n", "p", "x.*")
+        return each.select("s", "n", "of", "t", F.row_number().over(W.partitionBy("s", "of", "t").orderBy("p")).alias("k"))
+
+    held, asked = tokens(right), tokens(left)
+    seen = held.unionByName(asked).groupBy("of", "t").agg(F.count(F.lit(1)).alias("f"))
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        total = F.col("n") + F.ceil(F.col("n") * low - slack)  # with the shortest partner
+        sure = F.greatest(F.lit(1), F.when(F.col("of") == 2, enough(total)).otherwise(F.ceil(ratio * total / 2 - slack)))
+        place = F.row_number().over(W.partitionBy("s", "of").orderBy("f", "t", "k"))
+        n_tokens = F.when(F.col("of") == 2, F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("n"))
+        return rows.join(seen, ["of", "t"]).withColumn("r", place).filter(F.col("r") <= n_tokens - sure + 1).select("s", "n", "of", "t", "k")
+
+    lengths = F.sequence(F.ceil(F.col("n") * low - slack), F.floor(F.col("n") * high + slack))
     if band:
-        able &= F.abs(a - b) < band
-    pairs = keyed(texts, text, "a").join(keyed(names, name, "b"), "k").filter(able).select("a", "b").distinct()
+        lengths = F.filter(lengths, lambda m: F.abs(m - F.col("n")) < band)
+    a = rarest(asked).select(F.col("s").alias("a"), F.col("n").alias("la"), "of", "t", "k", F.explode(F.transform(lengths, lambda m: m.cast("int"))).alias("m"))
+    b = rarest(held).select(F.col("s").alias("b"), F.col("n").alias("m"), "of", "t", "k")
+    pairs = a.join(b, ["of", "t", "k", "m"]).filter((F.col("of") == 2) | (F.col("la") + F.col("m") <= short)).select("a", "b").distinct()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yes = [difflib.SequenceMatcher(None, x, y).ratio() >= ratio for x, y in zip(rows["a"], rows["b"], strict=True)]
+            yes = []
+            for x, y in zip(rows["a"], rows["b"], strict=True):
+                m = difflib.SequenceMatcher(None, x, y)
+                yes.append(m.quick_ratio() >= ratio and m.ratio() >= ratio)
             yield rows.loc[yes, ["a"]]
 
     found = pairs.mapInPandas(check, "a string").distinct()

@@ -162,3 +162,49 @@ def test_lookup_of_forms_by_word(spark):
     texts = dict(rows)
     assert [(d, i, n, norm) for d, i, n, _, _, _, norm in got] == [(1, 2, 1, "amoxicillin"), (1, 2, 2, "amoxicillin clav"), (2, 1, 3, "aspirin forte,"), (5, 1, 1, "amoxicillin")]
     assert all(texts[d][a:b] == t for d, _, _, a, b, t, _ in got)
+
+
+def test_best_runs_against_all_windows():
+    import re
+
+    from spanloom.operators import anchor
+
+    def plain(text, phrase):
+        best, place = anchor.NEAREST, None
+        words, n = list(re.finditer(r"\S+", text)), len(phrase.split())
+        wanted = " ".join(phrase.lower().split())
+        for i in range(len(words) - n + 1) if n else ():
+            a, b = words[i].start(), words[i + n - 1].end()
+            ratio = difflib.SequenceMatcher(None, wanted, text[a:b].lower()).ratio()
+            if ratio > best or (ratio == best and place is None):
+                best, place = ratio, (a, b)
+        return place
+
+    r = random.Random(9)
+    found = 0
+    for _ in range(1500):
+        words = ["".join(r.choices("abcΣςİé", k=r.randint(1, 7))) for _ in range(r.randint(0, 14))]
+        text = "".join(w + r.choice([" ", "  ", "\n"]) for w in words)
+        i = r.randint(0, max(0, len(words) - 1))
+        phrase = " ".join(words[i : i + r.randint(1, 4)])
+        phrase = "".join(c if r.random() > 0.08 else r.choice("abcé") for c in phrase)
+        want = plain(text, phrase)
+        found += want is not None
+        assert anchor.best_run(text, phrase) == want
+    assert found > 300
+    assert anchor.best_run("", "a") is anchor.best_run("a b", "") is anchor.best_run("a", "a b") is None
+    long = "word " * 50_000 + "needle in haystack " + "word " * 1000
+    assert long[slice(*anchor.best_run(long, "needl in haystack"))] == "needle in haystack"
+
+
+def test_close_names_over_the_tables(spark):
+    import duckdb
+
+    from spanloom.plans import catalog
+
+    got = sorted(r["text"] for r in catalog.QUERIES["close_names"](spark, "/root/testdata/sf0.001").collect())
+    rows = duckdb.sql("SELECT p_name, p_size FROM '/root/testdata/sf0.001/part.parquet'").fetchall()
+    listed = [bare(n) for n, size in rows if size % 5]
+    asked = {n[1:101] + "x" for n, _ in rows}
+    want = [t for t in asked if any(difflib.SequenceMatcher(None, bare(t), n).ratio() >= 0.72 for n in listed)]
+    assert got == sorted(want) and 0 < len(want)
