@@ -368,7 +368,7 @@ def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.transform("entities", lambda x, i: F.when((F.col("m") == 17) & (i == 4), F.struct(F.lit("gap").alias("text"), x["type"].alias("type"), (x["start"] + 5).alias("start"), (x["start"] + 8).alias("end"))).otherwise(x))
     docs = docs.withColumn("entities", F.when(F.col("m") == 1, F.slice(items, 1, 0)).otherwise(marked))
     got = gates.first_failure(docs, ["GAP"], ["bait"], {"THUỐC": 0.5, "CHẨN_ĐOÁN": 0.5})
-    return gates.rejected(got.withColumn("reason", F.when((F.col("m") == 19) & (F.col("reason") == "C8"), "C8").otherwise(F.col("reason")))).withColumn("share", F.round("share", 9))
+    return gates.rejected(got).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {SPAN_SQL}

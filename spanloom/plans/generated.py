@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import choice, generate, merging, spans
+from spanloom.operators import choice, generate, merging, segmenter, spans
 from spanloom.plans import extract
 from spanloom.plans.catalog import SPAN_SQL, line_spans, query, table
 
@@ -207,3 +207,34 @@ SELECT o.doc_id, o.s AS "start", o.e AS "end", o.type, o.k1, o.k2 FROM l JOIN o
 def density_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest spans of each document that don't overlap, as the greedy choice takes them."""
     return spans.longest_first(line_spans(spark, sf_dir).select("doc_id", "start", "end", "type", "k1", "k2"), "start", "k1", "k2")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# segmentation
+
+_SAID = """
+t AS (SELECT n.l_orderkey AS doc_id, string_agg(p.p_name, ' ' ORDER BY n.l_linenumber, n.l_partkey, n.l_suppkey) AS text FROM lineitem n JOIN part p ON p.p_partkey = n.l_partkey GROUP BY 1),
+n AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS s FROM part),
+d AS (SELECT word, CAST(count(*) * 7 AS BIGINT) AS w FROM (SELECT s[1] || ' ' || s[2] AS word FROM n WHERE k % 3 = 0 UNION ALL SELECT s[2] || ' ' || s[1] FROM n WHERE k % 5 = 0) GROUP BY word
+  UNION ALL SELECT s[1], CAST(count(*) AS BIGINT) FROM n WHERE s[1] < 'm' GROUP BY s[1])"""
+
+
+@query(f"""WITH RECURSIVE {_SAID}, y AS (SELECT doc_id, text, string_split(text, ' ') AS y FROM t),
+e AS (SELECT doc_id, i, y[i] AS one, y[i] || ' ' || y[i + 1] AS two, len(y) AS n FROM (SELECT doc_id, y, unnest(range(1, len(y) + 1)) AS i FROM y)),
+l AS (SELECT e.doc_id, e.i, e.n, coalesce(a.w, -20) AS w1, b.w AS w2 FROM e LEFT JOIN d a ON a.word = e.one LEFT JOIN d b ON b.word = e.two),
+dp(doc_id, i, b1, b2, took) AS (SELECT DISTINCT doc_id, n + 1, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS INTEGER[]) FROM l
+  UNION ALL SELECT l.doc_id, l.i, greatest(l.w1 + b1, coalesce(l.w2 + b2, l.w1 + b1)), b1, list_prepend(CASE WHEN l.w2 + b2 >= l.w1 + b1 THEN 2 ELSE 1 END, took) FROM dp JOIN l ON l.doc_id = dp.doc_id AND l.i = dp.i - 1),
+f AS (SELECT doc_id, took FROM dp WHERE i = 1),
+w(doc_id, i, k) AS (SELECT doc_id, CAST(1 AS BIGINT), took[1] FROM f UNION ALL SELECT w.doc_id, w.i + w.k, f.took[w.i + w.k] FROM w JOIN f ON f.doc_id = w.doc_id WHERE w.i + w.k <= len(f.took))
+SELECT w.doc_id, array_to_string(y[w.i:w.i + w.k - 1], '_') AS word, CAST(length(array_to_string(y[1:w.i - 1], ' ')) + CASE WHEN w.i > 1 THEN 1 ELSE 0 END AS BIGINT) AS "start",
+  CAST(length(array_to_string(y[1:w.i + w.k - 1], ' ')) AS BIGINT) AS "end" FROM w JOIN y ON y.doc_id = w.doc_id""")
+def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of an order's parts in a row, cut into words of one syllable or two by a dictionary of some names, with weights by how often they occur."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    named = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("x"))
+    docs = named.select("doc_id", F.array_join(F.transform("x", lambda i: i["p_name"]), " ").alias("text"))
+    s = F.split("p_name", " ")
+    two = part.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("word")).unionByName(part.filter("p_partkey % 5 = 0").select(F.concat(s[1], F.lit(" "), s[0]).alias("word")))
+    words = two.groupBy("word").agg((F.count(F.lit(1)) * 7).alias("weight")).unionByName(part.filter(s[0] < "m").groupBy(s[0].alias("word")).agg(F.count(F.lit(1)).alias("weight")))
+    got = segmenter.segmented(docs, words, unknown=-20)
+    return got.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.word", "w.start", "w.end")

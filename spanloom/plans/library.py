@@ -166,13 +166,11 @@ def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text forms and matching
 
 
-@query("SELECT p_partkey AS id, lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')) AS x, replace(lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')), '  ', ' ') AS plain, 'épi ' || lower(p_name) AS composed FROM part")
+@query("SELECT p_partkey AS id, replace(lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')), '  ', ' ') AS plain, 'épi ' || lower(p_name) AS composed FROM part")
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two normal forms: without accents, and composed."""
-    raw = F.concat(F.lit("Épi "), "p_name", F.lit(" Đường ÂM  Tính"))
-    split = F.concat(F.lit("ÉPI   "), "p_name")
-    plain = T.plain_form(raw)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(plain, F.lit(" am "), F.lit(" am  ")).alias("x0"), plain.alias("plain"), T.key_form(T.nfc(split)).alias("composed")).select("id", F.regexp_replace("x0", " am +tinh$", " am  tinh").alias("x"), "plain", "composed")
+    raw, split = F.concat(F.lit("Épi "), "p_name", F.lit(" Đường ÂM  Tính")), F.concat(F.lit("E\u0301PI   "), "p_name")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.plain_form(raw).alias("plain"), T.key_form(T.nfc(split)).alias("composed"))
 
 
 _VARIANT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '   ')) WHEN 2 THEN '- ' || p_name || '.' ELSE substr(p_name, 1, length(p_name) - 1) || 'x' END"
@@ -226,12 +224,11 @@ SELECT doc_id, rtrim(t, ' ' || chr(10)) AS word, CAST(s AS BIGINT) AS "start", C
 def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tokenizer's words at their places; in odd documents its last word differs from the text."""
     orders = table(spark, sf_dir, "orders")
-    text = F.concat(F.lit(" "), "o_orderpriority", F.lit("  "), "o_orderstatus", F.lit("\nétat"))
     text = F.concat(F.lit(" "), "o_orderpriority", F.lit("  "), "o_orderstatus", F.lit("\nétat"))
-    said = F.concat(F.split("o_orderpriority", " "), F.array("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "état").otherwise("etat")))
+    said = F.concat(F.split("o_orderpriority", " "), F.array("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "état").otherwise("etat")))
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), labels.aligned_words(text, F.filter(said, lambda w: w != "")).alias("a"))
     at = rows.select("doc_id", "a.whole", F.explode("a.words").alias("w"))
-    return at.select("doc_id", F.when(F.col("w.word") == "état", "état").otherwise(F.col("w.word")).alias("word"), "w.start", "w.end", "whole")
+    return at.select("doc_id", "w.word", "w.start", "w.end", "whole")
 
 
 @query("SELECT p_partkey AS doc_id, CAST(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 3 END AS BIGINT) AS n FROM part")

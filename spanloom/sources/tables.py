@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions.text import key_form, nfc
+from spanloom.operators import choice
+from spanloom.sources import work
 from spanloom.sources.work import write_files
 
 ENTITY = "struct<text:string,type:string,candidates:array<string>,assertions:array<string>,position:array<bigint>>"
@@ -93,13 +95,25 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sentence, tokens, labels): token first, label last on each line; blank lines end sentences, lines of one column are dropped."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
+    """(file, sentence, tokens, labels): token first, label last on each line; blank lines end sentences, lines of one column are dropped.
+
+    Files are read by splits, so a large one is many tasks. A split counts its blank lines; the splits before it in its file, of which there are few, say what its
+    sentences begin at. Sentences are numbered from 1 in each file, those without a labelled token left out.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", "\r$", "").alias("line"))
     parts = F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " ")
-    rows = rows.withColumn("p", parts).withColumn("blank", F.trim("line") == "")
-    rows = rows.withColumn("sentence", F.sum(F.col("blank").cast("int")).over(W.partitionBy("file").orderBy("k"))).filter(~F.col("blank") & (F.size("p") >= 2))
-    got = rows.groupBy("file", "sentence").agg(F.sort_array(F.collect_list(F.struct("k", F.element_at("p", 1).alias("t"), F.element_at("p", -1).alias("l")))).alias("x"))
-    return got.select("file", F.dense_rank().over(W.partitionBy("file").orderBy("sentence")).alias("sentence"), F.transform("x", lambda i: i["t"]).alias("tokens"), F.transform("x", lambda i: i["l"]).alias("labels"))
+    lines = lines.withColumn("p", parts).select("file", "split", "k", (F.trim("line") == "").cast("int").alias("blank"), F.when(F.size("p") >= 2, F.struct(F.element_at("p", 1).alias("t"), F.element_at("p", -1).alias("l"))).alias("x"))
+    lines = work.written(lines)  # the order of lines in a split is settled
+    counts = lines.groupBy("file", "split").agg(F.sum("blank").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begun = counts.select(F.col("file").alias("f"), F.col("split").alias("s"), before.alias("before"))
+    here = F.sum("blank").over(W.partitionBy("file", "split").orderBy("k"))
+    rows = lines.withColumn("here", here).filter("blank = 0 and x is not null").join(begun, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    got = rows.groupBy("file", (F.col("before") + F.col("here")).alias("at")).agg(F.sort_array(F.collect_list(F.struct("split", "k", "x.t", "x.l"))).alias("x"))
+    got = choice.numbered(got, "file", "at", name="n")
+    first = got.groupBy(F.col("file").alias("f")).agg(F.min("n").alias("first"))
+    rows = got.join(first, F.col("file") == F.col("f"))
+    return rows.select("file", (F.col("n") - F.col("first") + 1).cast("int").alias("sentence"), F.transform("x", lambda i: i["t"]).alias("tokens"), F.transform("x", lambda i: i["l"]).alias("labels"))
 
 
 SPAN_JSON = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("seq_label", T.ArrayType(T.ArrayType(T.StringType())))])

@@ -71,3 +71,60 @@ def test_one_long_text_with_many_names(spark):
     begun = time.time()
     got = drugs.find(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([("amoxicillin acid",), ("acid",), ("glucose",)], "name string")).count()
     assert got == 100_000 and time.time() - begun < 60
+
+
+def test_conll_by_splits(spark, tmp_path):
+    from spanloom.sources import tables
+
+    r, want = random.Random(3), []
+    for f in range(3):
+        lines, sentence, mine = [], [], []
+        for _ in range(400):
+            kind = r.random()
+            if kind < 0.2:
+                lines.append(r.choice(["", "  "]))
+                mine, sentence = ([*mine, sentence] if sentence else mine), []
+            elif kind < 0.25:
+                lines.append("alone")
+            else:
+                token, label = r.choice(["đau", "ho", "x"]), r.choice(["O", "B-A"])
+                lines.append(token + r.choice([" ", "\t", " mid "]) + label + r.choice(["", "\r", " "]))
+                sentence.append((token, label))
+        mine = [*mine, sentence] if sentence else mine
+        (tmp_path / f"{f}.conll").write_bytes("\n".join(lines).encode() + (b"\n" if f else b""))
+        want += [(f"{f}.conll", i, tuple(s)) for i, s in enumerate(mine, 1)]
+    for size in ("64", "700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = tables.read_conll(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((x.file, x.sentence, tuple(zip(x.tokens, x.labels, strict=True))) for x in got) == sorted(want)
+
+
+def test_segments_against_all_paths():
+    from spanloom.operators import segmenter
+
+    r = random.Random(8)
+    for _ in range(400):
+        said = r.choices("abc", k=r.randint(0, 8))
+        weight = {" ".join(r.choices("abc", k=r.randint(1, 3))): r.randint(-5, 9) for _ in range(6)}
+        paths = [[]]
+        for _ in said:
+            paths = [p for p in paths if sum(p) == len(said)] + [[*p, k] for p in paths if sum(p) < len(said) for k in (1, 2, 3) if sum(p) + k <= len(said) and (k == 1 or " ".join(said[sum(p) : sum(p) + k]) in weight)]
+        value = lambda p, said=said, weight=weight: sum(weight.get(" ".join(said[sum(p[:j]) : sum(p[: j + 1])]), -3) for j in range(len(p)))
+        assert segmenter.best_words(said, weight, 3, -3) == max(paths, key=lambda p: (value(p), p))
+
+
+def test_segmented_texts(spark):
+    from spanloom.operators import segmenter
+
+    rows = [(1, "Bệnh  nhân đau-đầu, ĐAU bụng"), (2, None), (3, ""), (4, "xa_y"), (5, "bệnh nhân")]
+    words = spark.createDataFrame([("bệnh nhân", 50), ("đau bụng", 40), ("Bệnh", 1), ("bụng", 3), (None, 1), ("đau", None)], "word string, weight int")
+    got = {x.doc_id: ([(w.word, w.start, w.end) for w in x.words], x.whole) for x in segmenter.segmented(spark.createDataFrame(rows, "doc_id bigint, text string"), words).collect()}
+    assert got[1] == ([("Bệnh_nhân", 0, 10), ("đau", 11, 14), ("-", 14, 15), ("đầu", 15, 18), (",", 18, 19), ("ĐAU_bụng", 20, 28)], True)
+    assert got[2] == got[3] == ([], True) and got[4][1] is False and len(got) == 5
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(segmenter, "MOST_WORDS", 2)
+        with pytest.raises(ValueError):
+            segmenter.segmented(spark.createDataFrame(rows, "doc_id bigint, text string"), words)
