@@ -5,8 +5,9 @@ window of half-width ``w`` centred at the other's. Pairs with at least ``least``
 double precision. For a pair exactly at the threshold the differences on the lines are independent normal variates, so ``least`` follows from
 the binomial distribution: such a pair reaches it with the probability asked for, closer pairs more often.
 
-Counting is only done for pairs that stand near each other in one of several sorted orders: each table sorts the vectors along ``depth`` lines
-of its own, cut into cells of width ``cell`` with a random shift. A pair at the threshold shares a cell of a table with probability
+Collisions are counted over sorted projections: on each line the vectors are put in order, and every query's window is a stretch of that order. This is done among vectors
+that share a cell of one of several tables: each table has ``depth`` lines of its own, cut into cells of width ``cell`` with a random shift (with one cell where a label is small,
+depth 0). A pair at the threshold shares a cell of a table with probability
 same(distance)^depth, an unrelated one with same(sqrt(2))^depth. So the depth follows from the size of the largest label, such that a cell holds
 about CELL unrelated vectors whatever that size, and the number of tables from the depth, such that a pair at the threshold shares some
 cell with the probability asked for. Both grow with the logarithm of a label, and a small power (0.12) of it: work isn't its square.
@@ -163,29 +164,40 @@ def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, bool]]:
             yield at, bool(i[at[0]] == j[at[0]])
 
 
+def _windows(left: np.ndarray, right: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, lo, size) on every line: the places of the right rows in the order of their projections, and the window that is centred at each left row's
+    projection, as the place where it begins in this order and how many it holds."""
+    n, line = len(right), np.arange(right.shape[1], dtype=np.int32)[:, None]
+    values = right.T.astype(np.int32) + line * 1024  # all lines in one ascending sequence
+    order = np.argsort(values, axis=1, kind="stable")
+    rank = np.empty_like(order, dtype=np.uint16)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=np.uint16), order.shape), axis=1)
+    ordered = np.take_along_axis(values, order, axis=1).ravel()
+    centre = left.T.astype(np.int32) + line * 1024
+    lo = np.searchsorted(ordered, (centre - steps).ravel()).reshape(centre.shape) - line * n
+    hi = np.searchsorted(ordered, (centre + steps).ravel(), "right").reshape(centre.shape) - line * n
+    return rank, lo.astype(np.uint16), (hi - lo).astype(np.uint16)
+
+
 def _collisions(s: np.ndarray, own: np.ndarray, whole: bool, p: Lines) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows with enough collisions, of one chunk (``whole``) or of two."""
-    steps, lines = p.steps, np.ascontiguousarray(s.T).view(np.uint8)
+    """Pairs of rows with enough collisions, of one chunk (``whole``) or of two: the windows of each row are cut from the sorted projections, and the lines on which a
+    pair's one lies in the window of the other are counted."""
     side = own == own[0]
-    if len(s) <= 48:
-        t = s.view(np.uint8)
-        close = ((t[:, None, :] - t[None, :, :] + np.uint8(steps)) <= np.uint8(2 * steps)).sum(axis=2) >= p.least
-        close &= np.arange(len(s))[:, None] < np.arange(len(s))[None, :] if whole else side[:, None] & ~side[None, :]
-        yield np.nonzero(close)
-        return
     left, right = (np.arange(len(s)),) * 2 if whole else (np.flatnonzero(side), np.flatnonzero(~side))
+    if not len(left) or not len(right):
+        return
+    rank, begin, size = _windows(s[left], s[right], p.steps)
     for lo in range(0, len(left), 256):
-        some = left[lo : lo + 256]
-        rest = right[lo:] if whole else right
-        count = np.zeros((len(some), len(rest)), np.uint8)
-        for x in lines:
-            # differences are taken modulo 256: beyond 6 deviations they could wrap, which adds candidates at most
-            count += (x[some][:, None] - x[rest][None, :] + np.uint8(steps)) <= np.uint8(2 * steps)
+        some = slice(lo, lo + 256)
+        from_ = lo if whole else 0
+        count = np.zeros((len(left[some]), len(right) - from_), np.uint8)
+        for r, b, n in zip(rank[:, from_:], begin[:, some], size[:, some], strict=True):
+            count += (r[None, :] - b[:, None]) < n[:, None]  # unsigned: places before the window are far behind it
         close = count >= p.least
         if whole:
-            close &= rest[None, :] > some[:, None]
+            close &= right[from_:][None, :] > left[some][:, None]
         a, b = np.nonzero(close)
-        yield some[a], rest[b]
+        yield left[some][a], right[from_:][b]
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", lines: Lines = Lines()) -> DataFrame:
