@@ -173,6 +173,12 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*out)
 
 
+def as_turn(prompt: Column, before: str = "<|im_start|>user\n", after: str = "<|im_end|>\n<|im_start|>assistant\n", hint: str = "/no_think") -> Column:
+    """A prompt as a user's turn of a chat template that the assistant's follows, with a hint at its end that asks for no thinking, unless the prompt has it."""
+    turn = F.concat(F.lit(before), prompt, F.lit(after))
+    return F.when(F.contains(turn, F.lit(hint)), turn).otherwise(F.concat(turn, F.lit(hint + "\n")))
+
+
 def article_inputs(rows: DataFrame, tests: list[str], drugs_said: list[str], tests_said: list[str], denials: list[str], families: list[str], histories: list[str], titles: list[str], seed: int, key: str = "id") -> DataFrame:
     """What an article must hold, for scenarios (key, diagnosis, symptoms, drugs): (key, required array<struct<text, type>>, mentioned, context, titles, n_glue, n_mask).
 

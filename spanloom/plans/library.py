@@ -210,11 +210,19 @@ def lab_qualitative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.lab_pairs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("- HBsAg: "), value, F.lit("\nVi khuẩn")).alias("text")))
 
 
-@query("""SELECT p_partkey AS doc_id, 'Glucose 5 mg' AS text, CAST(0 AS BIGINT) AS "start", CAST(12 AS BIGINT) AS "end", 'dict' AS source FROM part WHERE p_size % 2 = 0""")
+_DUAL = "[" + ", ".join(f"'{n}'" for n in drugs.DUAL_USE) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS doc_id, {_DUAL}[p_partkey % {len(drugs.DUAL_USE)} + 1] AS name, p_size AS n FROM part)
+SELECT doc_id, upper(name) || '  ' || n || CASE doc_id % 4 WHEN 0 THEN ' mg' ELSE '%' END AS text, CAST(4 AS BIGINT) AS "start", CAST(6 + length(name) + length(CAST(n AS VARCHAR)) + CASE doc_id % 4 WHEN 0 THEN 3 ELSE 1 END AS BIGINT) AS "end", 'dict' AS source
+FROM t WHERE doc_id % 4 < 2 AND length(name) >= 4""")
 def dual_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name that is a test too counts only before a dose."""
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, "Glucose 5 mg").otherwise("Glucose 5 mg/l máu").alias("text"))
-    known = drugs.dictionary(spark.createDataFrame([("Glucose",)], "name string"))
+    """Names that are tests too, before a dose, a share, a concentration or a word: only the first two make them drugs."""
+    k = F.col("p_partkey")
+    name = F.upper(F.element_at(F.array(*map(F.lit, drugs.DUAL_USE)), (k % len(drugs.DUAL_USE) + 1).cast("int")))
+    tail = F.when(k % 4 == 0, " mg").when(k % 4 == 1, "%").when(k % 4 == 2, " mg/l máu").otherwise(" lần")
+    docs = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(F.lit("- X "), name, F.lit("  "), F.col("p_size").cast("string"), tail).alias("text"))
+    known = drugs.dictionary(spark.createDataFrame([(n,) for n in drugs.DUAL_USE], "name string"))
     return drugs.find(docs, known).select("doc_id", "text", "start", "end", "source")
 
 
@@ -240,11 +248,15 @@ def word_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(~spans.over_cap(F.col("type"), F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT name, kept FROM (VALUES ('ALT', TRUE), ('ab', FALSE), ('Theo dõi mạch', FALSE), ('Lấy mẫu máu', FALSE), ('a b c d e f g h', TRUE), ('a b c d e f g h i', FALSE)) t(name, kept), region""")
+@query("""WITH t AS (SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'Theo dõi ' || p_name WHEN 1 THEN 'LẤY  MẪU ' || p_name WHEN 2 THEN ' ' || substr(p_name, 1, 1 + p_partkey % 3) || ' ' WHEN 3 THEN p_name || repeat(' x', p_partkey % 9) WHEN 4 THEN 'Mẫu ' || p_name ELSE p_name END AS name FROM part)
+SELECT id, name, length(trim(name)) >= 3 AND len(regexp_extract_all(name, '[^ ]+')) <= 8 AND NOT regexp_matches(lower(strip_accents(trim(name))), '^(theo doi|lay +mau)') AS kept FROM t""")
 def test_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = ["ALT", "ab", "Theo dõi mạch", "Lấy mẫu máu", "a b c d e f g h", "a b c d e f g h i"]
-    rows = table(spark, sf_dir, "region").select(F.explode(F.array(*map(F.lit, said))).alias("name"))
-    return rows.select("name", verify.is_test_name(F.col("name")).alias("kept"))
+    """Names of tests: parts' names, some with what is done before them, some cut short, some with words behind them."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    n = F.col("p_size") % 6
+    said = F.when(n == 0, F.concat(F.lit("Theo dõi "), name)).when(n == 1, F.concat(F.lit("LẤY  MẪU "), name)).when(n == 2, F.concat(F.lit(" "), F.substr(name, F.lit(1), (k % 3 + 1).cast("int")), F.lit(" ")))
+    said = said.when(n == 3, F.concat(name, F.repeat(F.lit(" x"), (k % 9).cast("int")))).when(n == 4, F.concat(F.lit("Mẫu "), name)).otherwise(name)
+    return table(spark, sf_dir, "part").select(k.alias("id"), said.alias("name")).withColumn("kept", verify.is_test_name(F.col("name")))
 
 
 @query("""SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'statin|' || p_name || ' a b c|two words' ELSE 'thuốc bổ|one two three four five six' END AS drugs FROM part""")
@@ -428,6 +440,14 @@ def line_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "head", "lead", F.col("l.text").alias("line"), first["start"].alias("start"), first["end"].alias("end"))
 
 
+@query("""SELECT o_orderkey AS id, '<|im_start|>user' || chr(10) || 'Viết về ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' /no_think' ELSE '' END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+  || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/no_think' || chr(10) END AS prompt FROM orders""")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts as turns of a chat; those that ask for no thinking themselves aren't told again."""
+    said = compose.filled("Viết về {what}{hint}", what=F.col("o_orderpriority"), hint=F.when(F.col("o_orderkey") % 2 == 0, " /no_think"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), compose.as_turn(said).alias("prompt"))
+
+
 @query("SELECT o_orderkey AS id, 'Viết về ' || o_orderstatus || ' {x}: ' || o_orderpriority || '.' AS prompt FROM orders")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = compose.filled("Viết về {topic} {{x}}: {what}.", topic=F.col("o_orderstatus"), what=F.col("o_orderpriority"))
