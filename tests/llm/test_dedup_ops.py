@@ -135,6 +135,33 @@ def test_suffix_dedup(spark):
     assert got == repeated(rows)
 
 
+@pytest.mark.parametrize("hot,parts", [(0, 3), (2, 5), (4096, 7), (10**9, 1)])
+def test_suffix_runs_of_many_partners(spark, monkeypatch, hot, parts):
+    """Partners that aren't next to each other in the order of what follows: passages with words changed at every distance to the left and right, in texts of few words."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    r = random.Random(hot)
+    base = [r.choice("abcdefg") + str(r.randint(0, 30)) for _ in range(140)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(len(t))] = f"x{r.randint(0, 5)}"
+        rows.append((i, " ".join(t[r.randint(0, 30) : r.randint(90, 140)])))
+    rows += [(100, " ".join(["a"] * 300)), (101, " ".join(["a"] * 120 + ["b"] * 60)), (102, " ".join(["a b"] * 100)), (103, " ".join(base + base)), (107, None), (104, "")]
+    got = collections.defaultdict(set)
+    for x in suffixes.repeats(docs(spark, rows).repartition(parts)).collect():
+        got[x["doc_id"]] |= set(range(x["start"], x["end"]))
+    assert got == repeated(rows)
+
+
+def test_suffix_dedup_of_very_many_copies(spark):
+    """Nine in ten rows are one text, others are empty."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text if i % 10 else ("" if i % 20 else f"{text} tail{i}")) for i in range(2000)]
+    got = {(x.doc_id, x.start, x.end) for x in suffixes.repeats(docs(spark, rows).repartition(6)).collect()}
+    assert got == {(i, 0, 80) for i in range(1, 2000) if i % 10 or not i % 20}
+
+
 def test_suffix_cuts(spark):
     rows = corpus(11)
     table, cover = docs(spark, rows), repeated(rows)
