@@ -11,8 +11,8 @@ from spanloom.operators import choice
 
 
 def draw(seed: int, *keys) -> Column:
-    """A uniform number in [0, 1) of a row."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / (1 << 30)
+    """A number in [0, 1) of a row: its ticket's share of all."""
+    return choice.ticket(seed, *keys) / float(1 << 60)
 
 
 def pick(options: Column, u: Column) -> Column:
@@ -154,13 +154,23 @@ def joined(first: Column, second: Column, spans: Column) -> Column:
     return F.struct(F.concat(first, F.lit("\n\n"), second).alias("text"), F.transform(spans, lambda s: F.struct((s["start"] + shift).cast("bigint").alias("start"), (s["end"] + shift).cast("bigint").alias("end"))).alias("spans"))
 
 
-def lab_lines(rows: DataFrame, seed: int, *keys: str, solo: float = 0.42, trend: float = 0.2) -> DataFrame:
-    """rows (name, result) with ``line`` and the places of both in it: name and result in one of six layouts, or a share ``solo`` of names
-    alone, of which a share ``trend`` say that the value rises or falls. ``result_start`` is null where there is no result."""
-    u, v, w = (draw(seed + i, *keys) for i in range(3))
-    glue = pick(F.array(*map(F.lit, (": ", " ", " = ", " là ", ": kết quả ", " - "))), v)
-    tail = F.when(w < trend, pick(F.array(F.lit(" tăng"), F.lit(" giảm")), draw(seed + 3, *keys))).otherwise("")
-    alone = u < solo
-    line = F.when(alone, F.concat("name", tail)).otherwise(F.concat("name", glue, "result"))
-    start = F.when(~alone, F.length("name") + F.length(glue)).cast("bigint")
-    return rows.withColumn("line", line).withColumn("name_end", F.length("name").cast("bigint")).withColumn("result_start", start)
+# What stands before a test's name and between it and its result, and what a name alone may have behind it.
+LINE_LAYOUTS = (("", ": "), ("", " : "), ("", " = "), ("", " "), ("- ", ": "), ("• ", ": "))
+LINE_TRENDS = ("tăng", "giảm", "↑", "↓")
+SOLO, TREND = 0.42, 0.2
+
+
+def lab_lines(rows: DataFrame, seed: int, key: str, solo: float = SOLO, trend: float = TREND) -> DataFrame:
+    """rows (name, result) with ``line``, ``name_start``, ``value`` and ``value_start``: name and result in one of six layouts; exactly floor(solo * n) of the n lines have no
+    result but the name alone, of which a share ``trend`` has a trend as its value, the others none (null)."""
+    n = rows.count()
+    at = choice.numbered(rows, key, name="__no")
+    alone = choice.permuted(F.col("__no"), max(n, 1), seed) < int(n * solo)
+    layout = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LINE_LAYOUTS]), (choice.die(len(LINE_LAYOUTS), seed, F.lit("layout"), key) + 1).cast("int"))
+    moves = choice.die(1000, seed, F.lit("trend"), key) < round(1000 * trend)
+    rows_ = at.withColumn("__a", alone).withColumn("__l", layout)
+    value = F.when(~F.col("__a"), F.col("result")).when(moves, choice.one_of(list(LINE_TRENDS), seed, F.lit("which"), key))
+    lead, gap = F.when(F.col("__a"), "").otherwise(F.col("__l.a")), F.when(F.col("__a"), " ").otherwise(F.col("__l.b"))
+    begin = F.length(lead) + F.length("name") + F.length(gap)
+    made = rows_.withColumn("value", value).withColumn("line", F.concat(lead, "name", F.when(F.col("value").isNull(), "").otherwise(F.concat(gap, "value"))))
+    return made.select(*rows.columns, "line", F.length(lead).cast("bigint").alias("name_start"), "value", F.when(F.col("value").isNotNull(), begin).cast("bigint").alias("value_start"))

@@ -421,11 +421,9 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.nearest_names(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")))
 
 
-@query("SELECT lang, least(count(*), 30) AS n, least(count(DISTINCT doc_id), 30) AS ids FROM documents GROUP BY lang")
+@query("SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY CAST('0x' || substr(md5('7:' || doc_id), 1, 15) AS BIGINT) / 1152921504606846976.0, doc_id) <= 30")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = generate.per_stratum(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", 30, 7, "doc_id")
-    known = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    return picked.join(known, ["lang", "doc_id"], "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    return generate.per_stratum(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", 30, 7, "doc_id")
 
 
 @query(f"""WITH {NOTE_SQL}, {SPAN_SQL.strip()}

@@ -112,6 +112,22 @@ def generated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.lab_results(table(spark, sf_dir, "orders").select("o_orderkey"), list(_UNITS), _SEED, "o_orderkey", _NAMES)
 
 
+_DEALT = f"""o AS (SELECT o_orderkey AS k, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+z AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM o),
+p(k, x, n, a, b) AS (SELECT k, {_rounds('place')}, n, a, b FROM z UNION ALL SELECT k, {_rounds('x')}, n, a, b FROM p WHERE x >= n)"""
+
+
+@query(f"""WITH RECURSIVE {_DEALT}, q AS (SELECT p.k, x < floor(n * 0.42) AS alone FROM p WHERE x < n),
+l AS (SELECT k, alone, 'Xn ' || o_custkey AS name, k % 200 || ' g/l' AS result, {_t('layout', 6)} + 1 AS y, {_t('trend', 1000)} < 200 AS moves, {_o(generate.LINE_TRENDS, 'which')} AS trend FROM q JOIN o USING (k)),
+v AS (SELECT *, CASE WHEN NOT alone THEN result WHEN moves THEN trend END AS value, CASE WHEN alone THEN '' ELSE {_list(a for a, _ in generate.LINE_LAYOUTS)}[y] END AS lead, CASE WHEN alone THEN ' ' ELSE {_list(b for _, b in generate.LINE_LAYOUTS)}[y] END AS gap FROM l)
+SELECT k AS o_orderkey, lead || name || coalesce(gap || value, '') AS line, length(lead) AS name_start, value, CASE WHEN value IS NOT NULL THEN length(lead || name || gap) END AS value_start FROM v""")
+def generated_lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for every order: names with results in six layouts, and 42 in a hundred names alone."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.concat(F.lit("Xn "), F.col("o_custkey").cast("string")).alias("name"), F.concat((k % 200).cast("string"), F.lit(" g/l")).alias("result"))
+    return generate.lab_lines(rows, _SEED, "o_orderkey").select("o_orderkey", "line", "name_start", "value", "value_start")
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # noise and merging
 

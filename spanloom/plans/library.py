@@ -342,17 +342,15 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.concat(F.char(65 + k % 26), F.format_string("%02d", k % 100)).alias("code"), term.alias("term"))
 
 
-_TERM_SQL = "t AS (SELECT chr(CAST(65 + o_orderkey % 26 AS INTEGER)) AS ch, 3 + o_orderkey % 10 AS w FROM orders)"
+_TERM_SQL = "t AS (SELECT chr(CAST(65 + o_orderkey % 26 AS INTEGER)) AS ch, 3 + o_orderkey % 10 AS w, chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || printf('%02d', o_orderkey % 100) AS code, repeat('từ ', CAST(2 + o_orderkey % 10 AS BIGINT)) || o_orderkey AS term FROM orders)"
 _QUOTA_SQL = "CASE ch " + " ".join(f"WHEN '{c}' THEN {max(n, compose.LEAST_QUOTA)}" for c, n in compose.CHAPTER_QUOTA.items()) + f" ELSE {compose.LEAST_QUOTA} END"
 
 
-@query(f"""WITH {_TERM_SQL}, c AS (SELECT ch AS chapter, count(*) AS m FROM t WHERE w <= 6 AND ch NOT IN ('V', 'W', 'X', 'Y', 'U', 'R') GROUP BY 1)
-SELECT chapter, least(m, {_QUOTA_SQL.replace('ch ', 'chapter ', 1)}) AS n, least(m, {_QUOTA_SQL.replace('ch ', 'chapter ', 1)}) AS known FROM c""")
+@query(f"""WITH {_TERM_SQL}, r AS (SELECT ch AS chapter, code, term, row_number() OVER (PARTITION BY ch ORDER BY CAST('0x' || substr(md5('5:' || code || ':' || term), 1, 15) AS BIGINT), code, term) AS r FROM t WHERE w <= 6 AND ch NOT IN ('V', 'W', 'X', 'Y', 'U', 'R'))
+SELECT chapter, code, term FROM r WHERE r <= {_QUOTA_SQL.replace('ch ', 'chapter ', 1)}""")
 def diagnosis_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir)
-    got = compose.diagnoses(terms, 5)
-    known = got.join(terms.select("code", "term"), ["code", "term"], "left_semi").groupBy("chapter").agg(F.count(F.lit(1)).alias("known"))
-    return got.filter("linkable").groupBy("chapter").agg(F.count(F.lit(1)).alias("n")).join(known, "chapter").select("chapter", "n", "known")
+    """The diagnoses drawn of each chapter."""
+    return compose.diagnoses(_terms(spark, sf_dir), 5).filter("linkable").select("chapter", "code", "term")
 
 
 @query(f"WITH {_TERM_SQL} SELECT count(DISTINCT ch) AS chapters, count(*) AS terms FROM t")
@@ -387,17 +385,6 @@ def drug_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIT_COUNT = len(compose.units())
 
 
-@query("SELECT count(*) AS n, count(*) AS named, count(*) AS placed, TRUE AS mixed FROM orders")
-def generated_lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name and result stand where the places say; about four in ten lines have none."""
-    rows = generate.lab_results(table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Xn "), F.col("o_custkey").cast("string")).alias("name")), compose.units(), 3, "o_orderkey")
-    rows = generate.lab_lines(rows, 4, "o_orderkey")
-    alone = F.col("result_start").isNull()
-    placed = alone | (F.substr("line", (F.col("result_start") + 1).cast("int")) == F.col("result"))
-    got = counted(rows, named=F.substr("line", F.lit(1), F.col("name_end").cast("int")) == F.col("name"), placed=placed, alone=alone)
-    return got.select("n", "named", "placed", (F.col("alone") / F.col("n")).between(0.36, 0.48).alias("mixed"))
-
-
 _HEADS, _NO_HEADS, _NO = ["Khám lâm sàng", "Hỏi đáp"], ["Phủ nhận"], ["không sốt", "không ho", "không phù", "không nôn"]
 
 

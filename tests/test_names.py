@@ -148,8 +148,11 @@ def test_finalize(spark):
 def test_generators(spark):
     rows = spark.range(400).select("id", F.lit("ALT").alias("name"), F.lit("45 U/l").alias("result"))
     lines = generate.lab_lines(rows, 3, "id").collect()
-    assert all(r["line"][: r["name_end"]] == "ALT" and (r["result_start"] is None or r["line"][r["result_start"] :] == "45 U/l") for r in lines)
-    assert 0.3 < sum(r["result_start"] is None for r in lines) / 400 < 0.55
+    for r in lines:
+        assert r["line"][r["name_start"] : r["name_start"] + 3] == "ALT"
+        assert r["value"] is None and r["line"] == "ALT" or r["line"][r["value_start"] :] == r["value"]
+    assert sum(r["value"] != "45 U/l" for r in lines) == 168 and 0 < sum(r["value"] in generate.LINE_TRENDS for r in lines) < 80
+    assert generate.lab_lines(rows.filter("false"), 3, "id").count() == 0
 
 
 def test_lookup_of_forms_by_word(spark):
