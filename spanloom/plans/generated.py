@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import choice, generate, merging, segmenter, spans
+from spanloom.operators import choice, generate, merging, models, rules, segmenter, spans, verify
 from spanloom.plans import extract
 from spanloom.plans.catalog import SPAN_SQL, line_spans, query, table
 
@@ -254,3 +254,49 @@ def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = two.groupBy("word").agg((F.count(F.lit(1)) * 7).alias("weight")).unionByName(part.filter(s[0] < "m").groupBy(s[0].alias("word")).agg(F.count(F.lit(1)).alias("weight")))
     got = segmenter.segmented(docs, words, unknown=-20)
     return got.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.word", "w.start", "w.end")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# models (stand-ins: what is held against SQL is what stands around them)
+
+
+def _echo():
+    """A model that answers a prompt by questions of its lines, numbered."""
+    return lambda prompts: ["\n".join(f"{i}. TC|{line}?" for i, line in enumerate(p.split("\n"), 1)) for p in prompts]
+
+
+def _letters():
+    """A model whose vector of a word is its length and whether it begins with a letter before m."""
+    import numpy as np
+
+    return lambda texts: [np.array([[len(w), w[0] < "m"] for w in t.split(" ") if w], float).reshape(-1, 2) for t in texts]
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+SELECT doc_id, k - 1 AS line, 'TRIỆU_CHỨNG' AS kind, ltrim(t, ' ' || chr(9)) || '?' AS text FROM l""")
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model to whole documents, read line by line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return rules.parse_replies(models.replied(docs, _echo).select("doc_id", "reply"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), m AS (SELECT doc_id, avg(length(w)) AS a, avg(CASE WHEN w < 'm' THEN 1.0 ELSE 0.0 END) AS b FROM w WHERE w <> '' GROUP BY doc_id)
+SELECT doc_id, round(a / sqrt(a * a + b * b), 9) AS x, round(b / sqrt(a * a + b * b), 9) AS y FROM m""")
+def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of a model's tokens, scaled to length 1."""
+    got = models.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), _letters)
+    return got.filter("vector is not null").select("doc_id", F.round(F.col("vector")[0], 9).alias("x"), F.round(F.col("vector")[1], 9).alias("y"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size % 9 AS n, p_partkey % 2 = 0 AS short FROM part),
+s AS (SELECT doc_id, n, short, i AS a, i + 1 AS b FROM p, range(0, 9) t(i) WHERE i < n UNION ALL SELECT doc_id, n, short, 1, 3 FROM p UNION ALL SELECT doc_id, n, short, 2, 5 FROM p)
+SELECT doc_id, CAST(3 * a AS BIGINT) AS "start", CAST(3 * b - 1 AS BIGINT) AS "end" FROM s WHERE NOT (short AND n + 2 > 6) OR (a = 2 AND b = 5) OR (b = a + 1 AND a NOT BETWEEN 2 AND 4)""")
+def dense_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of ten or twenty words with two to ten proposals: in short units with more than six only the longest that don't overlap stay."""
+    part = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_size") % 9
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.when(k % 2 == 0, 9).otherwise(19)), lambda i: F.concat(F.lit("a"), i.cast("string"))), " ")
+    units = part.select(k.alias("doc_id"), F.lit(0).alias("unit"), text.alias("text"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("heading"), F.lit("clinical").alias("zone"))
+    ones = F.transform(F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: i < n), lambda i: F.concat(F.lit("a"), i.cast("string")))
+    said = part.select(k.alias("doc_id"), F.lit(0).alias("unit"), F.lit("TRIỆU_CHỨNG").alias("kind"), F.posexplode(F.concat(ones, F.array(F.lit("a1 a2"), F.lit("a2 a3 a4")))).alias("line", "text"))
+    return verify.verified_units(said, units).select("doc_id", "start", "end")

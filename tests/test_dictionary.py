@@ -128,3 +128,28 @@ def test_segmented_texts(spark):
         m.setattr(segmenter, "MOST_WORDS", 2)
         with pytest.raises(ValueError):
             segmenter.segmented(spark.createDataFrame(rows, "doc_id bigint, text string"), words)
+
+
+def test_models_are_asked_in_batches(spark):
+    import numpy as np
+
+    from spanloom.operators import models
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"p{i}") for i in range(50)], "id bigint, prompt string").repartition(3)
+
+    def factory():
+        def model(some):
+            assert 0 < len(some) <= 4
+            return [x + "!" for x in some]
+
+        return model
+
+    got = {r.id: r.reply for r in models.replied(rows, factory, batch=4).collect()}
+    assert got == {i: None if i % 7 == 0 else f"p{i}!" for i in range(50)}
+    done = models.replied(rows.filter("id < 20"), factory, batch=4)
+    assert {r.id for r in models.unasked(rows, done, "id").collect()} == {0, 7, 14, *range(20, 50)}
+    with pytest.raises(Exception, match="answers"):
+        models.replied(rows, lambda: lambda some: some[1:]).collect()
+    texts = spark.createDataFrame([(1, "a bb"), (2, ""), (3, None), (4, "zero")], "id bigint, text string")
+    vectors = {r.id: r.vector for r in models.embedded(texts, lambda: lambda some: [np.zeros((1, 2)) if t == "zero" else np.array([[len(w), 4.0] for w in t.split()]).reshape(-1, 2) for t in some]).collect()}
+    assert vectors[2] is vectors[3] is vectors[4] is None and vectors[1] == pytest.approx([1.5 / 18.25**0.5, 4 / 18.25**0.5])
