@@ -211,3 +211,74 @@ def test_groups_that_go_over_batches(spark):
             want.setdefault((k, m), []).append(v)
         assert Counter(map(tuple, got)) == Counter((k, m, v) for (k, m), vs in want.items() for v in {min(vs), max(vs)})
     assert grouped.pick_in_groups(df.filter("false"), ["k"], ["v"], ["v"], lambda v: [0]).count() == 0
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# blocks and inputs by content
+
+
+def draw(seed, *keys):
+    return ticket(seed, *keys) / float(1 << 60)
+
+
+def pick(options, u):
+    return options[int(u * len(options))]
+
+
+def brute_block(key, items, heads, negative_heads, negatives, seed, sections=3):
+    from spanloom.operators import compose as c
+
+    u = lambda i, *k: draw(seed + i, key, *k)
+    x = [items[i] for i in sorted(range(len(items)), key=lambda i: (draw(seed, key, i), i))]
+    layout, case, bullet, indent, colon, blank, numbering = (pick(o, u(i)) for i, o in enumerate((c.LAYOUTS, c.CASES, c.BULLETS, c.INDENTS, c.COLONS, c.BLANKS, c.NUMBERING), 1))
+    cased = {"upper": str.upper, "title": str.title, "lower": str}[case]
+    line = lambda head, number: (number + " " if number else "") + cased(head) + colon + "\n"
+    lead = indent + (bullet + " " if bullet else "")
+    size = max(1, len(x) // sections)
+    text, spans = "", []
+    for i, (said, kind) in enumerate(x):
+        mine = min(i // size, sections - 1)
+        first, last = i == 0 or min((i - 1) // size, sections - 1) != mine, i == len(x) - 1 or min((i + 1) // size, sections - 1) != mine
+        if first:
+            text += line(pick(heads, draw(seed + 8, key, mine)), numbering if i == 0 else None)
+        text += lead if layout == "bullet" else f"{indent}{i - mine * size + 1}. " if layout == "numbered" else ""
+        spans.append((said, kind, len(text), len(text) + len(said)))
+        text += said + (", " if layout == "inline" and not last else "\n") + ("\n" * blank if last else "")
+    if u(12) < c.NEGATIVE_SHARE:
+        some = sorted(range(len(negatives)), key=lambda i: (draw(seed + 10, key, i), negatives[i]))[: int(u(9) * 4) + 2]
+        text += line(pick(negative_heads, u(11)), None) + "".join(lead + negatives[i] + "\n" for i in some) + "\n"
+    return text, spans
+
+
+def test_blocks_by_content(spark):
+    from spanloom.operators import compose
+
+    heads, negative_heads, negatives = ["Kham lam sang", "hoi dap", "tien su"], ["phu nhan", "khong co"], ["khong sot", "khong ho", "khong phu", "khong non", "khong dau"]
+    data = [(i, [(f"item {i}-{j}", "AB"[j % 2]) for j in range(i % 8)]) for i in range(120)]
+    rows = spark.createDataFrame(data, "id bigint, items array<struct<text:string,type:string>>")
+    got = {r.id: (r.text, [(s.text, s.type, s.start, s.end) for s in r.spans]) for r in compose.blocks(rows, heads, negative_heads, negatives, 11).collect()}
+    assert got == {i: brute_block(i, items, heads, negative_heads, negatives, 11) for i, items in data}
+
+
+def test_article_inputs_by_content(spark):
+    from spanloom.operators import compose
+
+    tests, drugs_said, tests_said, denials, families, histories = ["ALT", "AST", "CRP", "WBC", "HbA1c", "Ure"], ["a1", "a2"], ["x1", "x2", "x3"], ["không {tc}", "chưa {tc}"], ["gia đình"], ["tiền sử"]
+    titles, seed = ["{d} là gì", "vì sao {d}", "khi nào", "điều trị {d}", "phòng {d}"], 6
+    data = [(i, f"bệnh {i}", [f"ho{j}" for j in range(i % 8)], [f"thuốc{j}" for j in range(i % 9)]) for i in range(150)]
+    rows = spark.createDataFrame(data, "id bigint, diagnosis string, symptoms array<string>, drugs array<string>")
+    got = compose.article_inputs(rows, tests, drugs_said, tests_said, denials, families, histories, titles, seed).collect()
+    assert len(got) == 150
+    for r in got:
+        k, diagnosis, symptoms, given = data[r.id]
+        u = lambda i, *j: draw(seed + i, k, *j)  # noqa: E731, B023
+        shuffled = lambda xs, i: [xs[j] for j in sorted(range(len(xs)), key=lambda j: (u(i, j), j))]  # noqa: E731, B023
+        some = lambda xs, i, n: shuffled(xs, i)[:n]  # noqa: E731, B023
+        own = [(diagnosis, "CHAN_DOAN"), *((s, "TRIEU_CHUNG") for s in symptoms), *((d, "THUOC") for d in given), *((t, "TEN_XET_NGHIEM") for t in some(tests, 1, int(u(2) * 6)))]
+        assert [tuple(x) for x in r.required] == shuffled(own, 11)[:14]
+        assert r.mentioned == some(drugs_said, 12, int(u(13) * 2) + 1) + some(tests_said, 14, int(u(15) * 2) + 1)
+        said = [pick(denials, u(5)).replace("{tc}", pick(symptoms, u(3)))] if u(4) < 0.6 and symptoms else []
+        said += [pick(families, u(7))] if u(6) < 0.5 else []
+        said += [pick(histories, u(9))] if u(8) < 0.5 else []
+        assert r.context == said and r.titles == [t.replace("{d}", diagnosis) for t in some(titles, 10, 4)]
+        assert (r.n_glue, r.n_mask) == (int(u(16) * 4) + 1, int(u(17) * 3))
