@@ -201,9 +201,26 @@ def compared(texts: list[str], share: int = 3) -> list[tuple]:
     return out
 
 
+#: In tables that are written, digests and fingerprints are bytes, half as long.
+_HELD = RESULT.replace("string", "binary")
+
+
 def _columns(rows: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-    return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    """The columns of _HELD."""
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    raw = lambda i, x: x if x is None or i not in (1, 2, 3) else bytes.fromhex(x) if i == 1 else _bytes_of(x)
+    return [pa.array([raw(i, r[i]) for r in rows], k) for i, k in enumerate(kinds)]
+
+
+def _bytes_of(name: str) -> bytes:
+    n, whole, sketch = name.split("-")
+    return int(n, 16).to_bytes(8, "big") + bytes.fromhex(whole) + bytes.fromhex(sketch)
+
+
+def _name_of(raw: Column) -> Column:
+    """The fingerprint of such bytes."""
+    digits = F.lower(F.hex(raw))
+    return F.concat_ws("-", F.regexp_replace(F.substring(digits, 1, 16), "^0+(?=.)", ""), F.substring(digits, 17, 16), F.substring(digits, 33, 2 * BINS))
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,7 +253,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         if carry is not None:
             yield edge("tail", *carry)
 
-    done = durable(ordered.mapInArrow(run, f"at string, part bigint, k {kind}, t string, {RESULT}"))
+    done = durable(ordered.mapInArrow(run, f"at string, part bigint, k {kind}, t string, {_HELD}"))
     heads = done.filter("at = 'head'").select(F.col("part").alias("p"), F.col("t").alias("u"))
     # a row per partition
     every = W.orderBy("p").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -249,8 +266,9 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             rows = [compared([t, u])[0] for t, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], names=["k", *_NAMES])
 
-    rows = done.filter("at = 'row'").select("k", *_NAMES).unionByName(ends.mapInArrow(meet, f"k {kind}, {RESULT}"))
-    return rows.select(F.col("k").alias(key), *_NAMES)
+    rows = done.filter("at = 'row'").select("k", *_NAMES).unionByName(ends.mapInArrow(meet, f"k {kind}, {_HELD}"))
+    shown = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": _name_of(F.col("fingerprint")), "edited_fingerprint": _name_of(F.col("edited_fingerprint"))}
+    return rows.select(F.col("k").alias(key), *[shown.get(c, F.col(c)).alias(c) for c in _NAMES])
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
