@@ -20,6 +20,8 @@ from spanloom.sources import work
 
 #: Bytes of a tile's vectors, and the most centres.
 TILE_BYTES, CENTRES = 1 << 20, 256
+#: So many pairs of tiles are all compared.
+FEW_PAIRS = 64
 #: Room for rounding in bounds on angles.
 _SLACK = 1e-6
 
@@ -112,7 +114,7 @@ def _met(pairs: DataFrame, q: DataFrame, r: DataFrame, kind: str, size: int) ->
     return both.mapInArrow(run, f"k {kind}, q bigint, first boolean, best double")
 
 
-def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column, tile_bytes: int | None = None, most_centres: int | None = None) -> DataFrame:
+def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column, tile_bytes: int | None = None, most_centres: int | None = None, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(key, r_top, o_top): each query's largest cosine with rows of the first class and with the others, itself left out; null where there is none.
 
     Keys must be unique. Vectors that are null, hold null or NaN, or aren't as long as the queries' longest have no cosine; that with a zero vector is 0. A null class is one of the others.
@@ -125,8 +127,9 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
         return empty
     every = _usable(rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.coalesce(first_class, F.lit(False)).alias("first")), "v", size)
     asked = _usable(queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(False).alias("first")), "v", size)
-    drawn = choice.exactly(every.select("k"), most_centres, choice.ticket("centre", "k"), "k")
-    sample = every.join(F.broadcast(drawn.select(F.col("k").alias("__c"))), F.col("k") == F.col("__c")).select("v").toArrow()  # most_centres rows
+    # no more centres than a few tiles each: tiles are of one centre, and should be full
+    most_centres = max(1, min(most_centres, every.count() // (4 * max(1, tile_bytes // (8 * size)))))
+    sample = every.orderBy(choice.ticket("centre", "k"), "k").limit(most_centres).select("v").toArrow()  # the first of each task, most_centres rows
     if not sample.num_rows:
         return empty
     centres = _matrix(sample.column("v").combine_chunks())
@@ -134,6 +137,11 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     centres = centres if len(centres) else np.eye(1, size)
     q, r = _tiles(asked, centres, tile_bytes), _tiles(every, centres, tile_bytes)
 
+    n_pairs = q.count() * r.count()
+    if n_pairs <= few_pairs:  # what bounds could save is less than what they cost
+        every_pair = q.select(F.col("tile").alias("q")).join(r.select(F.col("tile").alias("r")))
+        return _named(queries, key, _met(every_pair, q, r, kind, size))
+
     # centres with centres: most_centres squared at most
     angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
     n = len(centres)
@@ -151,7 +159,10 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     found = one.groupBy("q", "first").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("n"))
     found = found.join(q.select(F.col("tile").alias("q"), F.size("ids").alias("m")), "q").select("q", "first", F.when(F.col("n") == F.col("m"), F.col("least")).alias("least"))
     rest = pairs.join(begun.select("q", "r", F.lit(True).alias("__done")), ["q", "r"], "left").filter("__done is null").join(found, ["q", "first"], "left").filter(F.col("least").isNull() | (F.col("top") > F.col("least")))
-    got = one.unionByName(_met(rest, q, r, kind, size))
+    return _named(queries, key, one.unionByName(_met(rest, q, r, kind, size)))
+
+
+def _named(queries: DataFrame, key: str, got: DataFrame) -> DataFrame:
     best = got.groupBy("k").agg(F.max(F.when(F.col("first"), F.col("best"))).alias("r_top"), F.max(F.when(~F.col("first"), F.col("best"))).alias("o_top"))
     return queries.select(F.col(key).alias("__k")).distinct().join(best, F.col("__k") == F.col("k"), "left").select(F.col("__k").alias(key), "r_top", "o_top")
 

@@ -243,8 +243,8 @@ def brute_nearest(asked, rows):
     return out
 
 
-@pytest.mark.parametrize("tile_bytes,centres", [(1, 4), (24 * 5, 7), (1 << 20, 256), (48, 1)])
-def test_nearest_by_tiles(spark, tile_bytes, centres):
+@pytest.mark.parametrize("tile_bytes,centres,few", [(24 * 3, 4, 0), (24 * 5, 7, 0), (1 << 20, 256, 64), (24 * 9, 1, 1 << 20), (48, 1, 0)])
+def test_nearest_by_tiles(spark, tile_bytes, centres, few):
     from spanloom.operators import nearest
 
     r = random.Random(centres)
@@ -252,7 +252,7 @@ def test_nearest_by_tiles(spark, tile_bytes, centres):
     rows += [(100, [0.0, 0.0, 0.0], 1), (101, None, 0), (102, [1.0, 2.0], 0), (103, [1.0, None, 2.0], 1), (104, [1.0, 1.0, 1.0], 0), (106, [1.0, 1.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "id bigint, v array<double>, label int").repartition(3)
     asked = [x for x in rows if x[0] % 2 == 0]
-    got = {x[0]: tuple(x[1:]) for x in nearest.nearest_by_class(df.filter("id % 2 = 0"), df, "id", "v", F.col("label") == 0, tile_bytes, centres).collect()}
+    got = {x[0]: tuple(x[1:]) for x in nearest.nearest_by_class(df.filter("id % 2 = 0"), df, "id", "v", F.col("label") == 0, tile_bytes, centres, few).collect()}
     want = brute_nearest(asked, rows)
     assert set(got) == set(want)
     for i, pair in want.items():
