@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import choice, generate, merging, models, rules, segmenter, spans, verify
-from spanloom.plans import extract
-from spanloom.plans.catalog import SPAN_SQL, line_spans, query, table
+from spanloom.operators import choice, compose, generate, merging, models, rules, segmenter, spans, verify
+from spanloom.plans import extract, library
+from spanloom.plans.catalog import MARK, NOTE_SQL, SPAN_SQL, line_spans, notes, query, table
+from spanloom.sources import work
 
 
 def _tick(seed: int, *parts: str) -> str:
@@ -134,7 +135,8 @@ def generated_lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = r"[A-Za-zÀ-ỹ]"
 
 
-@query(rf"""WITH d AS (SELECT doc_id AS k, text, length(split_part(text, chr(10), 1)) AS z FROM documents),
+#: SQL of ``generate.with_noise`` with seed 5 over d (k, text, z): z is where the last span ends.
+_NOISY = rf"""
 c AS (SELECT *, string_split(substr(text, z + 6), '') AS c, 1 + {_die(3, 5, "'n_glue'", 'k')} AS g, {_die(3, 5, "'n_mask'", 'k')} AS m FROM d),
 s AS (SELECT *, [i FOR i IN range(2, len(c)) IF c[i] = ' ' AND regexp_matches(c[i - 1], '^\p{{L}}$') AND regexp_matches(c[i + 1], '^\p{{L}}$')] AS spots FROM c),
 t AS (SELECT *, [x.i FOR x IN list_sort([{{'t': {_tick(5, "'glue'", 'k', 'i')}, 'i': i}} FOR i IN range(1, len(spots) + 1)])[1:g]] AS gone FROM s),
@@ -142,13 +144,23 @@ u AS (SELECT k, z, m, substr(text, 1, z + 5) || array_to_string([CASE WHEN list_
 v AS (SELECT *, regexp_extract_all(substr(text, z + 1), '{_L}+|[^A-Za-zÀ-ỹ]+') AS r FROM u),
 w AS (SELECT *, [i FOR i IN range(1, len(r) + 1) IF length(r[i]) >= 5 AND regexp_matches(r[i], '^{_L}')] AS spots FROM v),
 y AS (SELECT *, [spots[x.i] FOR x IN list_sort([{{'t': {_tick(5, "'mask'", 'k', 'i')}, 'i': i}} FOR i IN range(1, len(spots) + 1)])[1:m]] AS gone FROM w)
-SELECT k AS doc_id, substr(text, 1, z) || array_to_string([CASE WHEN list_contains(gone, i) THEN '***' ELSE r[i] END FOR i IN range(1, len(r) + 1)], '') AS noisy FROM y""")
+SELECT k AS doc_id, substr(text, 1, z) || array_to_string([CASE WHEN list_contains(gone, i) THEN '***' ELSE r[i] END FOR i IN range(1, len(r) + 1)], '') AS noisy FROM y"""
+
+
+@query("WITH d AS (SELECT doc_id AS k, text, length(split_part(text, chr(10), 1)) AS z FROM documents)," + _NOISY)
 def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one to three spaces glued and none to two words masked behind their first line."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", generate.with_noise(F.col("text"), F.length(F.substring_index("text", "\n", 1)), 5, F.col("doc_id")).alias("noisy"))
 
 
+@query(f"WITH {NOTE_SQL}, d AS (SELECT doc_id AS k, text, strpos(text, '{MARK}') AS z FROM notes)," + _NOISY)
+def noisy_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with noise behind the beginning of their second part."""
+    rows = notes(spark, sf_dir)
+    return rows.select("doc_id", generate.with_noise(F.col("text"), F.instr("text", MARK), 5, F.col("doc_id")).alias("noisy"))
+
+
 _BLOCKS = """
 b AS (SELECT p_partkey AS id, 'Mục: ' || p_name || chr(10) || repeat('dòng ', (p_partkey % 9) * 70) AS text,
   CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_name END AS said, length(p_name) AS m, p_partkey % 13 = 0 AS twice FROM part),
@@ -178,6 +190,16 @@ def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "tried", "prose_id", "text", places.alias("places"))
 
 
+@query("WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem) SELECT count(*) AS n, count(*) AS verbatim, CAST(floor(count(*) * 0.6) AS BIGINT) AS tried, TRUE AS behind FROM o")
+def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built blocks behind prose: every span is at its place, and exactly six in ten are tried."""
+    made = work.written(compose.blocks(library._items(spark, sf_dir), library._HEADS, library._NO_HEADS, library._NO, 11))
+    prose = table(spark, sf_dir, "documents").filter(F.length("text").between(1500, 4000)).select(F.col("doc_id").alias("id"), "text", F.array().cast(compose.SPANS).alias("spans"))
+    got = merging.mixed(made, prose, 9).withColumn("said", merging.verbatim(F.col("text"), F.col("spans")))
+    counts = library.counted(got, verbatim=F.col("said"), tried=F.col("tried"), behind=F.col("prose_id").isNotNull())
+    return counts.withColumn("behind", F.col("behind").between(1, F.col("tried")))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # chosen spans
 
