@@ -51,7 +51,7 @@ def verified_units(proposals: DataFrame, units: DataFrame, names: DataFrame | No
     """
     asked = proposals.filter(F.col("text").isNotNull() & F.col("kind").isNotNull() & ~F.trim("text").rlike(rules.PLACEHOLDER))
     here = units.select("doc_id", "unit", F.col("text").alias("unit_text"), F.col("start").cast("bigint").alias("unit_start"), "heading", "zone")
-    rows = asked.select("doc_id", "unit", "line", F.col("kind").alias("type"), F.col("text").alias("phrase")).join(here, ["doc_id", "unit"])
+    rows = asked.select("doc_id", "unit", "line", F.col("kind").alias("type"), F.col("text").alias("phrase")).join(here.hint("merge"), ["doc_id", "unit"])  # both grow, and bytes in files say little of texts that are made: never broadcast
     at = anchor.anchor(rows, "unit_text", "phrase").filter("start is not null")
     at = at.withColumn("text", F.substr(F.col("unit_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("phrase").filter(fits_type(F.col("type"), F.col("text")))
     cap = spans.word_cap(F.col("type"))
