@@ -374,7 +374,7 @@ def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPAN_SQL}
 SELECT doc_id, count(*) AS n, string_agg(type || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR) || '=' || printf('%06d %06d', k1, k2), ' ' ORDER BY s, e, k1, k2) AS entities FROM spans GROUP BY doc_id""")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.entities(line_spans(spark, sf_dir).withColumn("text", F.format_string("%06d %06d", "k1", "k2")))
+    rows = tables.entities(line_spans(spark, sf_dir).withColumn("text", F.format_string("%06d %06d", "k1", "k2")), "k1", "k2")
     said = lambda e: F.concat(e["type"], F.lit(":"), e["position"][0].cast("string"), F.lit("-"), e["position"][1].cast("string"), F.lit("="), e["text"])
     return rows.select("doc_id", F.size("entities").cast("bigint").alias("n"), F.array_join(F.transform("entities", said), " ").alias("entities"))
 

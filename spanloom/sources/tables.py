@@ -126,9 +126,9 @@ def read_span_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split(F.trim("sentence"), r"\s+").alias("tokens"), item.alias("spans"))
 
 
-def entities(spans: DataFrame) -> DataFrame:
-    """(doc_id, entities): the spans of each document by start, in the export's form."""
-    one = F.struct("start", "end", "text", "type")
+def entities(spans: DataFrame, *order: str) -> DataFrame:
+    """(doc_id, entities): the spans of each document by start, end and the columns ``order``, in the export's form."""
+    one = F.struct("start", "end", *order, *[c for c in ("text", "type") if c not in order])
     rows = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
     none = F.array().cast("array<string>")
     made = F.transform("x", lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), none.alias("candidates"), none.alias("assertions"), F.array(e["start"], e["end"]).cast("array<bigint>").alias("position")))

@@ -21,3 +21,9 @@ def test_units_are_never_broadcast(spark):
     got = verify.verified_units(said, units)
     assert "BroadcastHashJoin" not in plan(got)
     assert [tuple(r) for r in got.select("start", "end", "text").collect()] == [(9, 12, "b c")]
+
+
+def test_entities_by_number_of_their_keys(spark):
+    rows = spark.createDataFrame([(1, 7, 9, "THUỐC", k, 1) for k in (1000000, 999999, 5)], "doc_id int, start bigint, end bigint, type string, k1 int, k2 int")
+    got = tables.entities(rows.withColumn("text", F.format_string("%06d %06d", "k1", "k2")), "k1", "k2").first()["entities"]
+    assert [e["text"] for e in got] == ["000005 000001", "999999 000001", "1000000 000001"]
