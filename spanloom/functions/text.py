@@ -116,10 +116,15 @@ def _bare_letters() -> tuple[str, str]:
 _MARKED, _BARE = _bare_letters()
 
 
+def without_accents(text: Column) -> Column:
+    """A letter with a stroke stays."""
+    bare = F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+
+
 def plain_form(text: Column) -> Column:
     """Without accents, in lower case, white space collapsed: the form in which drug names are compared. A letter with a stroke stays."""
-    bare = F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}+", "")
-    return key_form(F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text))
+    return key_form(without_accents(text))
 
 
 def clean_reply(text: Column) -> Column:

@@ -166,11 +166,11 @@ def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text forms and matching
 
 
-@query("SELECT p_partkey AS id, replace(lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')), '  ', ' ') AS plain, 'épi ' || lower(p_name) AS composed FROM part")
+@query("SELECT p_partkey AS id, lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')) AS x, replace(lower(strip_accents('Épi ' || p_name || ' Đường ÂM  Tính')), '  ', ' ') AS plain, 'épi ' || lower(p_name) AS composed FROM part")
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two normal forms: without accents, and composed."""
+    """Without accents (in lower case, white space as it was), and the two normal forms: plain, and composed."""
     raw, split = F.concat(F.lit("Épi "), "p_name", F.lit(" Đường ÂM  Tính")), F.concat(F.lit("E\u0301PI   "), "p_name")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.plain_form(raw).alias("plain"), T.key_form(T.nfc(split)).alias("composed"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(T.without_accents(raw)).alias("x"), T.plain_form(raw).alias("plain"), T.key_form(T.nfc(split)).alias("composed"))
 
 
 _VARIANT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '   ')) WHEN 2 THEN '- ' || p_name || '.' ELSE substr(p_name, 1, length(p_name) - 1) || 'x' END"

@@ -27,3 +27,9 @@ def test_entities_by_number_of_their_keys(spark):
     rows = spark.createDataFrame([(1, 7, 9, "THUỐC", k, 1) for k in (1000000, 999999, 5)], "doc_id int, start bigint, end bigint, type string, k1 int, k2 int")
     got = tables.entities(rows.withColumn("text", F.format_string("%06d %06d", "k1", "k2")), "k1", "k2").first()["entities"]
     assert [e["text"] for e in got] == ["000005 000001", "999999 000001", "1000000 000001"]
+
+
+def test_accents_go_and_white_space_stays(spark):
+    row = spark.createDataFrame([("Épi  Đường ÂM  Tính",)], "t string").select(F.lower(T.without_accents(F.col("t"))), T.plain_form(F.col("t"))).first()
+    assert tuple(row) == ("epi  đuong am  tinh", "epi đuong am tinh")
+    assert "x" in catalog.QUERIES["name_forms"](spark, SF).columns
