@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 EDGES = " \t.,;:!?()[]{}\"'-–—•·*”“’‘"
 PIECES = "array<struct<text:string,start:bigint,end:bigint>>"
+#: Unicode's white space, which is ``(?U)\\s`` of the JVM; Python's own ``\\s`` holds four control characters more.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

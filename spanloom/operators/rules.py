@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,6 @@ from spanloom.functions import words
 
 # Fixed values.
 UNITS = "mmol/l|mmol/L|micromol/l|µmol/l|umol/l|mol/l|g/l|g/L|mg/dl|mg/dL|mg/l|g/dl|mg%|T/l|G/l|U/l|UI/l|IU/l|U/L|ng/ml|pg/ml|µg/l|mcg/l|µg/ml|mcg/ml|mmHg|cmH2O|ml/phút|ml/min|l/ngày|tế bào/mm3|/mm3|/µl|%|kg|cm|mm|ml|dl"
-VALUE = rf"(?iud)^[<>≤≥]?\s*\d+(?:[.,]\d+)?\s*(?:{UNITS})\.?$"
-QUALITY = r"(?iud)^\(\s*[-+–±]{1,3}\s*\)$|^(?:âm tính|dương tính)$"
 NAME_CHARS = 40
 STRENGTH = r"(?iuU)^\s*\d+(?:[.,]\d+)?\s*(?:(?:mg|g|mcg|µg|ml|l|ui|iu)\b(?!\s*/)|%)"
 CODES = {"TC": "TRIỆU_CHỨNG", "CD": "CHẨN_ĐOÁN", "TH": "THUỐC", "TX": "TÊN_XÉT_NGHIỆM", "KQ": "KẾT_QUẢ_XÉT_NGHIỆM"}
@@ -23,33 +23,56 @@ REPLY_LINE = r"(?iu)^\s*(?:\d+[.):]\s*)?([A-Za-zÀ-ỹ]{2})\s*[|:]\s*(.+?)\s*$"
 PLACEHOLDER = r"(?iu)^(?:không ghi rõ|không rõ|chưa rõ|n/?a|không có|không|có)\.?$"
 
 
-def lab_segments(text: Column) -> Column:
-    """Pieces between line feeds, colons, semicolons, commas outside numbers and full stops after letters, trimmed, with offsets."""
-    cut = r"(?sdU).*?(?:(?<!\d),(?!\d)|[;:\n]|(?<=[a-zA-ZÀ-ỹ])\.(?=\s|$)|$)"
-    parts = T.placed(F.filter(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), lambda p: p != ""))
-    bare = F.transform(parts, lambda p: F.struct(F.regexp_replace(p["text"], r"(?s)(?:[;:\n,]|(?<=[a-zA-ZÀ-ỹ])\.)$", "").alias("text"), p["start"], p["end"]))
-    return F.filter(F.transform(bare, T.trimmed), lambda p: p["text"] != "")
+_CUT = re.compile(rf"(?<!\d),(?!\d)|[;:\n]|(?<=[a-zA-ZÀ-ỹ])\.(?=[{T.WHITE}]|\Z)")
+#: A comma behind a number that a line's or text's end follows ends no piece, but isn't part of one either.
+_LAST_COMMA = re.compile(r",(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
+_SPACES = r"[ \t\n\x0b\f\r]*"
+_VALUE = re.compile(rf"[<>≤≥]?{_SPACES}[0-9]+(?:[.,][0-9]+)?{_SPACES}(?:{UNITS})\.?\Z|\({_SPACES}[-+–±]{{1,3}}{_SPACES}\)\Z|(?:âm tính|dương tính)\Z", re.I)
+
+
+def lab_segments(text: str) -> Iterator[tuple[str, int]]:
+    """(text, start) of the pieces between line feeds, colons, semicolons, commas outside numbers and full stops after letters, trimmed."""
+    at = 0
+    for m in (*_CUT.finditer(text), None):
+        piece = text[at : m.start() if m else len(text)]
+        if "," in piece and (m is None or m[0] == "\n"):
+            piece = _LAST_COMMA.sub("", piece)
+        left = piece.lstrip(T.WHITE)
+        if left:
+            yield left.rstrip(T.WHITE), at + len(piece) - len(left)
+        at = m.end() if m else at
+
+
+def _named_values(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, start) of results, each behind its name."""
+    before: tuple[str, int] | None = None
+    for piece, start in lab_segments(text):
+        if not _VALUE.match(piece):
+            before = piece, start
+            continue
+        if before is not None:
+            left = before[0].lstrip(":=–-•·*").lstrip(T.WHITE)
+            core = left.rstrip(":=–").rstrip(T.WHITE)
+            if len(core) <= NAME_CHARS and any(map(str.isalpha, core)):
+                yield "TÊN_XÉT_NGHIỆM", core, before[1] + len(before[0]) - len(left)
+        yield "KẾT_QUẢ_XÉT_NGHIỆM", piece.rstrip("."), start
+        before = None  # a result is no name
 
 
-def is_value(text: Column) -> Column:
-    return text.rlike(VALUE) | text.rlike(QUALITY)
+def lab_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, text, start, end): results, and the names right before them; each name once. One pass over each text, batch by batch, without a shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) if t for x in _named_values(t)]
+            if found:
+                owner, kind, said, start = zip(*found, strict=True)
+                begin = pa.array(start, pa.int64())
+                end = pc.add(begin, pa.array(list(map(len, said)), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(kind, pa.string()), pa.array(said, pa.string()), begin, end], names=["k", "kind", "text", "start", "end"])
 
-def lab_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, text, start, end): results, and the names right before them; each name once."""
-    seg = F.transform(lab_segments(F.col(text)), lambda s: F.struct(s["text"], s["start"], s["end"], is_value(s["text"]).alias("value")))
-    rows = docs.select(F.col(key), seg.alias("__s"))
-    at = F.filter(F.sequence(F.lit(1), F.size("__s")), lambda i: F.element_at("__s", i)["value"])
-    hits = rows.filter(F.size("__s") > 0).select(key, "__s", F.explode(at).alias("__i"))
-    value, name = F.element_at("__s", F.col("__i")), F.try_element_at(F.col("__s"), F.when(F.col("__i") > 1, F.col("__i") - 1).otherwise(F.lit(None)))
-    result = F.struct(F.lit("KẾT_QUẢ_XÉT_NGHIỆM").alias("kind"), F.rtrim(value["text"], F.lit(".")).alias("text"), value["start"].alias("start"))
-    left = F.ltrim(name["text"], F.lit(":=–-•·*"))
-    left = F.regexp_replace(left, r"(?U)^\s+", "")
-    core = F.regexp_replace(F.rtrim(left, F.lit(":=–")), r"(?U)\s+$", "")
-    test = F.struct(F.lit("TÊN_XÉT_NGHIỆM").alias("kind"), core.alias("text"), (name["start"] + F.length(name["text"]) - F.length(left)).alias("start"))
-    good = name.isNotNull() & ~name["value"] & (F.length(core) <= NAME_CHARS) & core.rlike(r"(?U)\p{L}")
-    found = hits.select(key, F.explode(F.when(good, F.array(test, result)).otherwise(F.array(result))).alias("e"))
-    return found.select(key, "e.kind", "e.text", F.col("e.start").cast("bigint").alias("start"), (F.col("e.start") + F.length("e.text")).cast("bigint").alias("end"))
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, kind string, text string, start bigint, end bigint").withColumnRenamed("k", key)
 
 
 def _lookup(docs: DataFrame, names: DataFrame, key: str, text: str, name: str, most: int, form: Callable[[Column], Column]) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import verify
+from spanloom.operators import rules, verify
 from spanloom.plans import catalog, generated
 from spanloom.sources import tables
 
@@ -33,3 +33,13 @@ def test_accents_go_and_white_space_stays(spark):
     row = spark.createDataFrame([("Épi  Đường ÂM  Tính",)], "t string").select(F.lower(T.without_accents(F.col("t"))), T.plain_form(F.col("t"))).first()
     assert tuple(row) == ("epi  đuong am  tinh", "epi đuong am tinh")
     assert "x" in catalog.QUERIES["name_forms"](spark, SF).columns
+
+
+def test_lab_pairs_of_odd_texts_in_one_pass(spark):
+    texts = ["- ALT: 5,\n", "ALT;12 mg/l.x CRP: (+)", "Na, 1,5 mmol/l\nK: âm tính", " : 3 %", "½: 3 g/l", "a.ế: 7\x1c%", None, "", "HBsAg : DƯƠNG TÍNH\r"]
+    got = rules.lab_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "Exchange" not in plan(got) and "MapInArrow" in plan(got)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert [(k, said, start) for k, _, said, start, _ in rows if k in (1, 2, 8)] == [(1, "(+)", 19), (1, "12 mg/l.x CRP", 4), (2, "1,5 mmol/l", 4), (2, "âm tính", 18), (2, "K", 15), (2, "Na", 0), (8, "DƯƠNG TÍNH", 8), (8, "HBsAg", 0)]
+    for k, _, said, start, end in rows:
+        assert texts[k][start:end] == said
