@@ -2,64 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import text as T
+from spanloom.functions.text import WHITE
 
 # Fixed values.
-BULLET = r"(?dU)^([ \t]*[-•*]\s+)(.+?)\s*$"
-HEADING = r"(?d)^(?:\d+\.\s*)?[A-ZÀ-ỸĐ][^\n]{3,58}$"
-ZONE = r"(?mdU)^\s*[2-9]\.\s{1,4}[A-ZÀ-ỸĐ][^\n]{3,60}\s*$"
+BULLET = re.compile(rf"([ \t]*[-•*][{WHITE}]+)(.+?)[{WHITE}]*\Z")
+HEADING = re.compile(r"(?:[0-9]+\.[ \t\n\x0b\f\r]*)?[A-ZÀ-ỸĐ][^\n]{3,58}\Z")
+NUMBERED = re.compile(r"[0-9]+\.[ \t\n\x0b\f\r]*")
+ZONE = re.compile(rf"^[{WHITE}]*[2-9]\.[{WHITE}]{{1,4}}[A-ZÀ-ỸĐ][^\n]{{3,60}}[{WHITE}]*$", re.M)
+SENTENCE = re.compile(rf"[.;!?]+(?:[{WHITE}]+|\Z)")
+CLAUSE = re.compile(rf",[{WHITE}]+")
+WORD = re.compile(rf"[^{WHITE}]+")
 LONG_SENTENCE, SHORT_PIECE, LONG_HEADING = 40, 2, 60
 
 
-def is_bullet(line: Column) -> Column:
-    return line.rlike(BULLET)
-
-
-def is_heading(line: Column) -> Column:
-    core = F.regexp_replace(line, r"(?dU)^\s+|\s+$", "")
-    return (core != "") & ~is_bullet(line) & (F.length(core) <= LONG_HEADING) & ~core.rlike(r"[.!?]$") & core.rlike(HEADING)
-
-
-def heading_text(line: Column) -> Column:
-    core = F.rtrim(F.regexp_replace(line, r"(?dU)^\s+|\s+$", ""), F.lit(":"))
-    return F.regexp_replace(core, r"^\d+\.\s*", "")
-
-
-def zone_cut(text: Column) -> Column:
-    """Offset of the first numbered section mark, null without one."""
-    at = F.regexp_instr(text, F.lit(ZONE))
-    return F.when(at > 0, (at - 1).cast("bigint"))
-
-
-def _pieces(line: Column) -> Column:
-    bullet = F.array(F.struct(F.regexp_extract(line["text"], BULLET, 2).alias("text"), (line["start"] + F.length(F.regexp_extract(line["text"], BULLET, 1))).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))
-    bullet = F.transform(bullet, lambda p: F.struct(p["text"], p["start"], (p["start"] + F.length(p["text"])).cast("bigint").alias("end")))
-    cut = F.flatten(
-        F.transform(
-            T.sentences(line["text"], line["start"]),
-            lambda s: F.when(F.size(F.regexp_extract_all(s["text"], F.lit(r"(?U)\S+"), F.lit(0))) > LONG_SENTENCE, T.clauses(s["text"], s["start"])).otherwise(F.array(s)),
-        )
-    )
-    prose = F.transform(cut, lambda p: T.trimmed(p))
-    got = F.when(is_heading(line["text"]), F.array().cast(T.PIECES)).when(is_bullet(line["text"]), bullet).otherwise(prose)
-    return F.filter(got, lambda p: F.length(p["text"]) >= SHORT_PIECE)
+def heading_text(line: str) -> str | None:
+    """The heading that a line is, without its number and colon; None if it is none."""
+    core = line.strip(WHITE)
+    if not core or len(core) > LONG_HEADING or core[-1] in ".!?" or not HEADING.match(core):
+        return None
+    core = core.rstrip(":")
+    number = NUMBERED.match(core)
+    return core[number.end() :] if number else core
+
+
+def _cut(text: str, marks: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Begin and end of the pieces that end behind marks."""
+    at = 0
+    for m in marks.finditer(text):
+        yield at, m.end()
+        at = m.end()
+    if at < len(text):
+        yield at, len(text)
+
+
+def _prose(line: str) -> Iterator[tuple[str, int]]:
+    for a, b in _cut(line, SENTENCE):
+        long = len(WORD.findall(line[a:b])) > LONG_SENTENCE
+        for c, d in _cut(line[a:b], CLAUSE) if long else ((0, b - a),):
+            left = line[a + c : a + d].lstrip(WHITE)
+            yield left.rstrip(WHITE), a + d - len(left)
+
+
+def _line(line: str) -> tuple[str | None, bool, list[tuple[str, int]]]:
+    """(heading, is it a bullet, pieces) of a line; a heading has no pieces."""
+    bullet = BULLET.match(line)
+    if bullet:
+        made = [(bullet[2], bullet.end(1))]
+    else:
+        heading = heading_text(line)
+        if heading is not None:
+            return heading, False, []
+        made = list(_prose(line))
+    return None, bullet is not None, [p for p in made if len(p[0]) >= SHORT_PIECE]
+
+
+def _units(text: str, seen: dict) -> Iterator[tuple[int, str, int, int, str | None, str, bool]]:
+    """(unit, text, start, end, heading, zone, is_bullet) of a text; ``seen`` holds what the lines of a batch come to."""
+    mark = ZONE.search(text)
+    cut = mark.start() if mark else None
+    at, n, heading = 0, 0, None
+    for line in text.split("\n"):
+        got = seen.get(line)
+        if got is None:
+            got = seen[line] = _line(line)
+        head, bullet, pieces = got
+        if head is not None:
+            heading = head
+        for piece, start in pieces:
+            begin = at + start
+            yield n, piece, begin, begin + len(piece), heading, "clinical" if cut is not None and begin >= cut else "advice", bullet
+            n += 1
+        at += len(line) + 1
 
 
 def segment(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, unit, text, start, end, heading, zone, is_bullet). One pass over each document: headings are carried forward by a
-    fold over its lines, so there is no shuffle."""
-    none = F.lit(None).cast("string")
-    unit = "array<struct<text:string,start:bigint,end:bigint,heading:string,is_bullet:boolean>>"
-
-    def step(acc: Column, line: Column) -> Column:
-        head = F.when(is_heading(line["text"]), heading_text(line["text"])).otherwise(acc["heading"])
-        made = F.transform(_pieces(line), lambda p: F.struct(p["text"], p["start"], p["end"], head.alias("heading"), is_bullet(line["text"]).alias("is_bullet")))
-        return F.struct(head.alias("heading"), F.concat(acc["out"], made.cast(unit)).alias("out"))
-
-    units = F.aggregate(T.lines(F.col(text)), F.struct(none.alias("heading"), F.array().cast(unit).alias("out")), step, lambda acc: acc["out"])
-    rows = docs.select(F.col(key), zone_cut(F.col(text)).alias("__cut"), F.posexplode(units).alias("unit", "u"))
-    zone = F.when(F.col("u.start") >= F.col("__cut"), "clinical").otherwise("advice")
-    return rows.select(key, F.col("unit").cast("bigint").alias("unit"), "u.text", "u.start", "u.end", "u.heading", zone.alias("zone"), "u.is_bullet")
+    """(key, unit, text, start, end, heading, zone, is_bullet). One pass over each document, batch by batch: headings are carried forward
+    over its lines, so there is no shuffle."""
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kinds = {"unit": pa.int64(), "text": pa.string(), "start": pa.int64(), "end": pa.int64(), "heading": pa.string(), "zone": pa.string(), "is_bullet": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict = {}
+            found = [(i, *u) for i, t in enumerate(batch.column(1).to_pylist()) if t for u in _units(t, seen)]
+            if found:
+                owner, *columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *[pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)]], names=["k", *kinds])
+
+    schema = f"k {src.schema['k'].dataType.simpleString()}, unit bigint, text string, start bigint, end bigint, heading string, zone string, is_bullet boolean"
+    return src.mapInArrow(run, schema).withColumnRenamed("k", key)

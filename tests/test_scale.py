@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import rules, verify
+from spanloom.operators import rules, segment, verify
 from spanloom.plans import catalog, generated
 from spanloom.sources import tables
 
@@ -43,3 +43,14 @@ def test_lab_pairs_of_odd_texts_in_one_pass(spark):
     assert [(k, said, start) for k, _, said, start, _ in rows if k in (1, 2, 8)] == [(1, "(+)", 19), (1, "12 mg/l.x CRP", 4), (2, "1,5 mmol/l", 4), (2, "âm tính", 18), (2, "K", 15), (2, "Na", 0), (8, "DƯƠNG TÍNH", 8), (8, "HBsAg", 0)]
     for k, _, said, start, end in rows:
         assert texts[k][start:end] == said
+
+
+def test_units_of_odd_texts_in_one_pass(spark):
+    texts = ["1. Đau đầu:\n- ho ;\xa0\nsốt. Ho!\x1c x; y\n2.  Tiền sử\n• a\r\nabc", None, "", "٣. Ho 3. X\nab"]
+    got = segment.segment(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "Exchange" not in plan(got) and "MapInArrow" in plan(got)
+    rows = sorted(tuple(r) for r in got.select("doc_id", "unit", "text", "start", "heading", "zone", "is_bullet").collect())
+    assert rows == [
+        (0, 0, "ho ;", 14, "Đau đầu", "advice", True), (0, 1, "sốt.", 20, "Đau đầu", "advice", False), (0, 2, "Ho!\x1c x;", 25, "Đau đầu", "advice", False),
+        (0, 3, "abc", 51, "Tiền sử", "clinical", False), (3, 0, "ab", 11, "٣. Ho 3. X", "advice", False),
+    ]
