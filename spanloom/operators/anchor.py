@@ -119,7 +119,8 @@ def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most:
     known = names.select(T.key_form(F.col(name)).alias("__k")).distinct()
     words = docs.select("doc_id", F.col("text").alias("__t"), T.words(F.col("text")).alias("__w"))
     ids = spans.withColumn("__id", F.xxhash64(*spans.columns))
-    own = ids if only is None else ids.filter(only)
+    asked = ids if only is None else ids.filter(only)
+    own = asked
     own = own.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti").join(words, "doc_id")
     cut = lambda a, b: F.substr(F.col("__t"), (a + 1).cast("int"), (b - a).cast("int"))
     after = F.transform(F.slice(F.filter("__w", lambda w: w["start"] >= F.col("end")), 1, most), lambda w, i: F.struct(F.lit(0).alias("side"), (i + 1).alias("n"), F.col("start").alias("a"), w["end"].alias("b"), cut(F.col("start"), w["end"]).alias("c")))
@@ -130,8 +131,9 @@ def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most:
     best = tries.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy("g.side", "g.n"))).filter("__r = 1").select("__id", F.col("doc_id").alias("__d"), F.col("g.a").alias("__a"), F.col("g.b").alias("__b"), F.col("__c").alias("__x"))
     others = ids.select(F.col("doc_id").alias("__od"), F.col("start").alias("__os"), F.col("end").alias("__oe"), F.col("__id").alias("__oi"))
     free = best.join(others, (F.col("__d") == F.col("__od")) & (F.col("__id") != F.col("__oi")) & (F.col("__a") < F.col("__oe")) & (F.col("__os") < F.col("__b")), "left_anti")
-    rows = ids.join(free, "__id", "left")
-    return rows.withColumn("text", F.coalesce("__x", "text")).withColumn("start", F.coalesce("__a", "start")).withColumn("end", F.coalesce("__b", "end")).select(*spans.columns)
+    rows = asked.join(free, "__id", "left")
+    grown = rows.withColumn("text", F.coalesce("__x", "text")).withColumn("start", F.coalesce("__a", "start")).withColumn("end", F.coalesce("__b", "end")).select(*spans.columns)
+    return grown if only is None else grown.unionByName(spans.filter(~F.coalesce(only, F.lit(False))))
 
 
 def all_occurrences(rows: DataFrame, key: str = "doc_id", text: str = "text", phrases: str = "phrases") -> DataFrame:

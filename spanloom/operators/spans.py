@@ -50,7 +50,8 @@ def with_priors(spans: DataFrame) -> DataFrame:
 def with_consensus(spans: DataFrame) -> DataFrame:
     """Adds the bonus to all spans of a place that two sources or more gave with one type."""
     w = W.partitionBy("doc_id", "start", "end")
-    agree = (F.size(F.collect_set("source").over(w)) >= 2) & (F.size(F.collect_set("type").over(w)) == 1)
+    least, most = (lambda c: F.min(c).over(w)), (lambda c: F.max(c).over(w))
+    agree = (least("source") < most("source")) & (least("type") == most("type"))
     return spans.withColumn("score", F.col("score") + F.when(agree, CONSENSUS).otherwise(0))
 
 
@@ -82,7 +83,8 @@ def _by(first: str, order: tuple[str, ...], spans: DataFrame, keys: list[str]) -
 
 def merge(spans: DataFrame, *order: str) -> DataFrame:
     """Priors, consensus, absolute sources, best disjoint selection."""
-    return best_disjoint(without_beaten(with_consensus(with_priors(spans))), *order)
+    # dealt by document once: the windows of places and of documents both stand on that
+    return best_disjoint(without_beaten(with_consensus(with_priors(spans).repartition("doc_id"))), *order)
 
 
 def first_of_each(spans: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -16,7 +16,7 @@ from spanloom.functions import text as T
 from spanloom.functions import words
 from spanloom.operators import anchor, drugs, gates, generate, knowledge, labels, rules, segment, spans, verify
 from spanloom.plans import extract
-from spanloom.sources import tables
+from spanloom.sources import tables, work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -596,5 +596,5 @@ v AS (SELECT *, strpos(line, ': ') AS c FROM lines WHERE line LIKE '- part %')
 SELECT doc_id, 'TÊN_XÉT_NGHIỆM' AS type, substr(line, 3, c - 3) AS text, s + 2 AS "start", CAST(s + c - 1 AS BIGINT) AS "end", 'rule' AS source FROM v
 UNION ALL SELECT doc_id, 'KẾT_QUẢ_XÉT_NGHIỆM', substr(line, c + 2), CAST(s + c + 1 AS BIGINT), CAST(s + length(line) AS BIGINT), 'rule' FROM v""")
 def extract_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, names = notes(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    docs, names = work.written(notes(spark, sf_dir)), table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
     return extract.finalize(extract.extract(docs, names), docs, names).select("doc_id", "type", "text", "start", "end", "source")

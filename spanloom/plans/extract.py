@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import anchor, drugs, rules, spans
+from spanloom.sources import work
 
 
 def rule_spans(docs: DataFrame) -> DataFrame:
@@ -44,8 +45,8 @@ def pooled(branches: list[DataFrame], *order: str) -> DataFrame:
 
 
 def finalize(found: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Spans for export: bare ends, diagnoses grown to names, and checked."""
-    grown = anchor.extended_by_names(without_edges(found), docs, names, only=F.col("type") == "CHẨN_ĐOÁN")
+    """Spans for export: bare ends, diagnoses grown to names, and checked. Found spans are read several times, so they are written once."""
+    grown = anchor.extended_by_names(work.written(without_edges(found)), docs, names, only=F.col("type") == "CHẨN_ĐOÁN")
     return checked(grown, docs)
 
 
