@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from hashlib import md5
+from heapq import nsmallest
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions import text as T
 from spanloom.operators import choice
 
 
@@ -106,37 +111,62 @@ LETTERS = r"[A-Za-zÀ-ỹ]"
 NEAR, LEAST_MASKED, MASK = 5, 5, "***"
 
 
-def _some_of(n: Column, k: Column, seed: int, key: Column, what: str) -> Column:
-    """Exactly k of the places 1 .. n (all where there are fewer): those with the smallest tickets."""
-    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    ranked = F.array_sort(F.transform(every, lambda i: F.struct(choice.ticket(seed, F.lit(what), key, i).alias("t"), i.alias("i"))))
-    return F.transform(F.slice(ranked, F.lit(1), F.greatest(k, F.lit(0)).cast("int")), lambda x: x["i"])
+_WORDS = re.compile(f"{LETTERS}{{{LEAST_MASKED},}}")
+
+
+def _drawn(n: int, k: int, lot: str) -> list[int]:
+    """k of the numbers 1 .. n (all where there are fewer): those with the smallest tickets ``lot``:number."""
+    if k <= 0 or not n:
+        return []
+    begun = md5(f"{lot}:".encode())
+    tickets = []
+    for i in range(1, n + 1):
+        h = begun.copy()
+        h.update(b"%d" % i)
+        tickets.append((h.hexdigest()[:15], i))
+    return [i for _, i in nsmallest(k, tickets)]
+
+
+def _edited(texts: pd.Series, cuts: pd.Series, numbers: pd.Series, keys: pd.Series, seed: int, what: str, places: Callable[[str], list[tuple[int, int]]], put: str) -> pd.Series:
+    """Texts of which as many places behind their cut as numbers says are replaced."""
+    out = []
+    for text, cut, n, key in zip(texts, cuts, numbers, keys, strict=True):
+        if text is None or pd.isna(cut):
+            out.append(None)
+            continue
+        at = places(text[int(cut) :]) if not pd.isna(n) and n > 0 else []
+        parts, done = [], 0
+        for a, b in sorted(at[i - 1] for i in _drawn(len(at), int(n), f"{seed}:{what}:{key}")) if at else ():
+            parts += [text[done : int(cut) + a], put]
+            done = int(cut) + b
+        out.append("".join([*parts, text[done:]]))
+    return pd.Series(out, dtype=object)
+
+
+def _between_letters(text: str) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for m in _SINGLE.finditer(text) if text[m.start() - 1].isalpha() and text[m.end()].isalpha()]
+
+
+#: A space that stands between characters of words; whether these are letters is looked at after.
+_SINGLE = re.compile(r"(?<=\w) (?=\w)")
 
 
 def glued(text: Column, last_end: Column, n: Column, seed: int, key: Column) -> Column:
     """The text without n of its single spaces between letters that stand more than NEAR characters behind the last span."""
-    cut = (last_end + NEAR).cast("int")
-    parts = F.split(F.substr(text, cut + 1), r"(?<=\p{L}) (?=\p{L})", -1)
 
-    def join(parts: Column) -> Column:
-        gone = _some_of(F.size(parts) - 1, n, seed, key, "glue")
-        return T.let(gone, lambda g: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when((i + 1 == F.size(parts)) | F.array_contains(g, (i + 1).cast("int")), "").otherwise(" "))), ""))
+    def run(texts: pd.Series, cuts: pd.Series, numbers: pd.Series, keys: pd.Series) -> pd.Series:
+        return _edited(texts, cuts, numbers, keys, seed, "glue", _between_letters, "")
 
-    return F.concat(F.substr(text, F.lit(1), cut), T.let(parts, join))
+    return F.pandas_udf(run, "string")(text, (last_end + NEAR).cast("int"), n.cast("int"), F.coalesce(key.cast("string"), F.lit("")))
 
 
 def masked(text: Column, last_end: Column, n: Column, seed: int, key: Column) -> Column:
     """The text with n of its words of LEAST_MASKED letters or more behind the last span masked."""
-    cut = last_end.cast("int")
-    runs = F.regexp_extract_all(F.substr(text, cut + 1), F.lit(f"{LETTERS}+|[^A-Za-zÀ-ỹ]+"), F.lit(0))
-    word = lambda r: (F.length(r) >= LEAST_MASKED) & r.rlike(f"^{LETTERS}")
 
-    def replace(runs: Column) -> Column:
-        at = F.filter(F.transform(runs, lambda r, i: F.when(word(r), i)), lambda i: i.isNotNull())
-        gone = T.let(at, lambda a: F.transform(_some_of(F.size(a), n, seed, key, "mask"), lambda k: F.element_at(a, k)))
-        return T.let(gone, lambda g: F.array_join(F.transform(runs, lambda r, i: F.when(F.array_contains(g, i), MASK).otherwise(r)), ""))
+    def run(texts: pd.Series, cuts: pd.Series, numbers: pd.Series, keys: pd.Series) -> pd.Series:
+        return _edited(texts, cuts, numbers, keys, seed, "mask", lambda t: [m.span() for m in _WORDS.finditer(t)], MASK)
 
-    return F.concat(F.substr(text, F.lit(1), cut), T.let(runs, replace))
+    return F.pandas_udf(run, "string")(text, last_end.cast("int"), n.cast("int"), F.coalesce(key.cast("string"), F.lit("")))
 
 
 def with_noise(text: Column, last_end: Column, seed: int, key: Column, n_glue: Column | None = None, n_mask: Column | None = None) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import rules, segment, verify
+from spanloom.operators import generate, rules, segment, verify
 from spanloom.plans import catalog, generated
 from spanloom.sources import tables
 
@@ -54,3 +54,9 @@ def test_units_of_odd_texts_in_one_pass(spark):
         (0, 0, "ho ;", 14, "Đau đầu", "advice", True), (0, 1, "sốt.", 20, "Đau đầu", "advice", False), (0, 2, "Ho!\x1c x;", 25, "Đau đầu", "advice", False),
         (0, 3, "abc", 51, "Tiền sử", "clinical", False), (3, 0, "ab", 11, "٣. Ho 3. X", "advice", False),
     ]
+
+
+def test_noise_between_letters_beyond_the_first_plane(spark):
+    rows = spark.createDataFrame([(1, "xxxxxx 𝒜 b 1 c ² d")], "id int, text string")
+    got = rows.select(generate.with_noise(F.col("text"), F.lit(0), 5, F.col("id"), F.lit(9), F.lit(0)))
+    assert "ArrowEvalPython" in plan(got) and got.first()[0] == "xxxxxx𝒜b 1 c ² d"
