@@ -5,15 +5,17 @@ Every choice is a hash of a seed and the row's key, and every span's offsets fol
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import choice, generate, rules
-from spanloom.sources.work import work_path
+from spanloom.operators import choice, rules
+from spanloom.sources.work import spread, work_path
 
 # Fixed values.
 NUMBERING = (None, "1.", "1)", "I.", "A.", "Muc 1:", "1 -", "(1)")
@@ -107,37 +109,55 @@ def blocks(rows: DataFrame, headings: list[str], negative_headings: list[str], n
     """(key, text, spans) of rows with items array<struct<text, type>>: sections of a heading and items in one of three layouts, with bullets, indents,
     numbering, colons, case and blank lines chosen by block. Items are shuffled and dealt over the sections, the last of which takes the rest; most
     blocks end in a section of negative statements, which are no spans. A row without items has at most that."""
-    u = lambda i, *k: generate.draw(seed + i, F.col(key), *k)
-    choice = lambda options, i: generate.pick(F.array(*[F.lit(x) for x in options]), u(i))
-    chosen = rows.select(
-        F.col(key), F.array_sort(F.transform(items, lambda x, i: F.struct(generate.draw(seed, F.col(key), i).alias("u"), i.alias("i"), x["text"].alias("text"), x["type"].alias("type")))).alias("x"),
-        choice(LAYOUTS, 1).alias("layout"), choice(CASES, 2).alias("case"), choice(BULLETS, 3).alias("bullet"), choice(INDENTS, 4).alias("indent"), choice(COLONS, 5).alias("colon"),
-        F.repeat(F.lit("\n"), choice(BLANKS, 6)).alias("blank"), choice(NUMBERING, 7).alias("numbering"),
-    )
-    n = F.size("x")
-    size = F.greatest(F.lit(1), F.floor(n / sections).cast("int"))
-    section = lambda i: F.least(F.floor(i / size).cast("int"), F.lit(sections - 1))
-    lead = bullet_prefix(F.col("bullet"), F.col("indent"))
-    title = lambda i: generate.pick(F.array(*map(F.lit, headings)), generate.draw(seed + 8, F.col(key), i))
-
-    def around(x: Column, i: Column) -> Column:
-        first = (i == 0) | (section(i) != section(i - 1))
-        last = (i == n - 1) | (section(i) != section(i + 1))
-        head = heading_line(title(section(i)), F.when(i == 0, F.col("numbering")), F.col("colon"), F.col("case"))
-        place = i - section(i) * size + 1
-        before = F.when(F.col("layout") == "bullet", lead).when(F.col("layout") == "numbered", F.concat(F.col("indent"), place.cast("string"), F.lit(". "))).otherwise("")
-        after = F.when((F.col("layout") == "inline") & ~last, ", ").otherwise("\n")
-        return F.array(F.concat(F.when(first, head).otherwise(""), before), x["text"], F.concat(after, F.when(last, F.col("blank")).otherwise("")))
-
-    many = F.floor(u(9) * 4).cast("int") + 2
-    order = F.array_sort(F.transform(F.array(*map(F.lit, negatives)), lambda x, i: F.struct(generate.draw(seed + 10, F.col(key), i).alias("u"), x.alias("x"))))
-    denied = F.transform(F.slice(order, F.lit(1), many), lambda x: F.concat(lead, x["x"], F.lit("\n")))
-    denied = F.concat(heading_line(generate.pick(F.array(*map(F.lit, negative_headings)), u(11)), F.lit(None).cast("string"), F.col("colon"), F.col("case")), F.array_join(denied, ""), F.lit("\n"))
-    made = chosen.withColumn("parts", F.concat(F.flatten(F.transform("x", around)), F.array(F.when(u(12) < NEGATIVE_SHARE, denied).otherwise(""))))
-    made = made.withColumn("at", T.placed(F.col("parts")))
-    # every third part is an item's; zipped, not looked up, as an expression within a lambda is worked out for each element
-    spans = F.zip_with("x", F.filter("at", lambda p, i: i % 3 == 1), lambda x, p: F.struct(x["text"], x["type"], p["start"].alias("start"), p["end"].alias("end")))
-    return made.select(key, F.array_join("parts", "").alias("text"), spans.cast(SPANS).alias("spans"))
+    headings_of = _cased_lists(rows.sparkSession, headings, negative_headings)
+    src = spread(rows, key).select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.col(items).alias("x"))
+    part = pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def one(k: str, x: list[dict]) -> tuple[str, list[dict]]:
+        u = lambda i, *more: _share(seed + i, k, *more)
+        layout, case, bullet, indent, colon, blank, numbering = (_pick(o, u(i)) for i, o in enumerate((LAYOUTS, CASES, BULLETS, INDENTS, COLONS, BLANKS, NUMBERING), 1))
+        lead = indent + (f"{bullet} " if bullet is not None else "")
+        order = sorted(range(len(x)), key=lambda i: (u(0, i), i))
+        size = max(1, len(x) // sections)
+        section = lambda i: min(i // size, sections - 1)
+        parts, places, at = [], [], 0
+        for i, j in enumerate(order):
+            s, before = section(i), ""
+            last = i == len(x) - 1 or section(i + 1) != s
+            if i == 0 or section(i - 1) != s:
+                before = (f"{numbering} " if i == 0 and numbering is not None else "") + _pick(headings_of[case][0], u(8, s)) + colon + "\n"
+            before += lead if layout == "bullet" else f"{indent}{i - s * size + 1}. " if layout == "numbered" else ""
+            said = x[j]["text"] or ""
+            start = at + len(before)
+            places.append({"text": x[j]["text"], "type": x[j]["type"], "start": start, "end": start + len(said)})
+            parts += [before, said, (", " if layout == "inline" and not last else "\n") + ("\n" * blank if last else "")]
+            at = start + len(said) + len(parts[-1])
+        if u(12) < NEGATIVE_SHARE:
+            denied = sorted(range(len(negatives)), key=lambda i: (u(10, i), negatives[i]))[: int(u(9) * 4) + 2]
+            parts += [_pick(headings_of[case][1], u(11)), colon, "\n", *[f"{lead}{negatives[i]}\n" for i in denied], "\n"]
+        return "".join(parts), places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(None, None) if x is None else one(k, x) for k, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in made], pa.string()), pa.array([p for _, p in made], pa.list_(part))], names=["k", "text", "spans"])
+
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, text string, spans {SPANS}").withColumnRenamed("k", key)
+
+
+def _share(*parts) -> float:
+    """A row's draw as ``generate.draw`` gives it."""
+    return int(md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16) / float(1 << 60)
+
+
+def _pick(options: Sequence, u: float):
+    return options[int(u * len(options))]
+
+
+def _cased_lists(spark: SparkSession, *lists: list[str]) -> dict[str, list[list[str]]]:
+    """Lists of headings in each case, by case."""
+    one = spark.range(1).select(*[F.array(*[cased(F.lit(h), F.lit(c)) for h in hs]).alias(f"{c}{i}") for c in CASES for i, hs in enumerate(lists)]).first()
+    return {c: [one[f"{c}{i}"] for i in range(len(lists))] for c in CASES}
 
 
 def drawn_blocks(n: DataFrame, pools: DataFrame, seed: int, **words: list[str]) -> DataFrame:
@@ -185,20 +205,34 @@ def article_inputs(rows: DataFrame, tests: list[str], drugs_said: list[str], tes
     Required are the diagnosis, the symptoms, the drugs and up to MOST_TESTS tests, shuffled and cut to MOST_ENTITIES; one or two drugs and tests more are
     only mentioned; the context has a denied symptom ({tc}) in 60 % of cases, family and history in 50 % each; titles are four of the list ({d}: the diagnosis).
     """
-    u = lambda i, *k: generate.draw(seed + i, F.col(key), *k)
-    shuffled = lambda xs, i: F.transform(F.array_sort(F.transform(xs, lambda x, j: F.struct(u(i, j).alias("u"), j.alias("j"), x.alias("x")))), lambda y: y["x"])
-    some = lambda xs, i, n: F.slice(shuffled(F.array(*map(F.lit, xs)), i), F.lit(1), n)
-    typed = lambda xs, kind: F.transform(xs, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("type")))
-    own = F.concat(typed(F.array("diagnosis"), "CHAN_DOAN"), typed(F.col("symptoms"), "TRIEU_CHUNG"), typed(F.col("drugs"), "THUOC"), typed(some(tests, 1, F.floor(u(2) * (MOST_TESTS + 1)).cast("int")), "TEN_XET_NGHIEM"))
-    one = lambda xs, i: generate.pick(F.array(*map(F.lit, xs)), u(i))
-    symptom = generate.pick(F.col("symptoms"), u(3))
-    context = F.array(F.when((u(4) < 0.6) & (F.size("symptoms") > 0), F.replace(one(denials, 5), F.lit("{tc}"), symptom)), F.when(u(6) < 0.5, one(families, 7)), F.when(u(8) < 0.5, one(histories, 9)))
-    named = F.transform(some(titles, 10, F.lit(4)), lambda t: F.replace(t, F.lit("{d}"), F.col("diagnosis")))
-    return rows.select(
-        key, F.slice(shuffled(own, 11), 1, MOST_ENTITIES).alias("required"),
-        F.concat(some(drugs_said, 12, F.floor(u(13) * 2).cast("int") + 1), some(tests_said, 14, F.floor(u(15) * 2).cast("int") + 1)).alias("mentioned"),
-        F.array_compact(context).alias("context"), named.alias("titles"), (F.floor(u(16) * 4) + 1).cast("bigint").alias("n_glue"), F.floor(u(17) * 3).cast("bigint").alias("n_mask"),
-    )
+    src = spread(rows, key).select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.col("diagnosis"), F.col("symptoms"), F.col("drugs"))
+    item, many = pa.struct([("text", pa.string()), ("type", pa.string())]), pa.list_(pa.string())
+    kinds = {"required": pa.list_(item), "mentioned": many, "context": many, "titles": many, "n_glue": pa.int64(), "n_mask": pa.int64()}
+
+    def one(k: str, diagnosis: str | None, symptoms: list | None, drugs: list | None) -> tuple:
+        u = lambda i, *more: _share(seed + i, k, *more)
+        some = lambda xs, i, n: [xs[j] for j in sorted(range(len(xs)), key=lambda j: (u(i, j), j))[:n]]
+        typed = lambda xs, kind: [{"text": x, "type": kind} for x in xs]
+        required = None
+        if symptoms is not None and drugs is not None:
+            own = typed([diagnosis], "CHAN_DOAN") + typed(symptoms, "TRIEU_CHUNG") + typed(drugs, "THUOC") + typed(some(tests, 1, int(u(2) * (MOST_TESTS + 1))), "TEN_XET_NGHIEM")
+            required = some(own, 11, MOST_ENTITIES)
+        mentioned = some(drugs_said, 12, int(u(13) * 2) + 1) + some(tests_said, 14, int(u(15) * 2) + 1)
+        context = []
+        if symptoms and u(4) < 0.6 and (symptom := _pick(symptoms, u(3))) is not None:
+            context.append(_pick(denials, u(5)).replace("{tc}", symptom))
+        context += [_pick(xs, u(i + 1)) for xs, i in ((families, 6), (histories, 8)) if u(i) < 0.5]
+        named = [None if diagnosis is None else t.replace("{d}", diagnosis) for t in some(titles, 10, 4)]
+        return required, mentioned, context, named, int(u(16) * 4) + 1, int(u(17) * 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = zip(*map(one, *[c.to_pylist() for c in batch.columns[1:]]), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(made, kinds.values(), strict=True)]], names=["k", *kinds])
+
+    schema = f"k {src.schema['k'].dataType.simpleString()}, required array<struct<text:string,type:string>>, mentioned array<string>, context array<string>, titles array<string>, n_glue bigint, n_mask bigint"
+    return src.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def with_retries(inputs: DataFrame, generate_: Callable[[DataFrame, float], DataFrame], judge: Callable[[DataFrame], DataFrame], key: str = "id", rounds: int = 3, heat: float = 0.8, step: float = 0.1) -> tuple[DataFrame, DataFrame]:

@@ -38,6 +38,12 @@ def work_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spanloom-{app}/{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over as many tasks as shuffles have: few bytes but much work a row. By a number of its own, the shuffle isn't coalesced to the bytes, and a
+    small file isn't one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: what isn't decided by the rows alone stays as it was when a task runs again."""
     path = work_path(df.sparkSession)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import generate, rules, segment, verify
+from spanloom.operators import compose, generate, rules, segment, verify
 from spanloom.plans import catalog, generated
 from spanloom.sources import tables
 
@@ -52,7 +52,7 @@ def test_units_of_odd_texts_in_one_pass(spark):
     rows = sorted(tuple(r) for r in got.select("doc_id", "unit", "text", "start", "heading", "zone", "is_bullet").collect())
     assert rows == [
         (0, 0, "ho ;", 14, "Đau đầu", "advice", True), (0, 1, "sốt.", 20, "Đau đầu", "advice", False), (0, 2, "Ho!\x1c x;", 25, "Đau đầu", "advice", False),
-        (0, 3, "abc", 51, "Tiền sử", "clinical", False), (3, 0, "ab", 11, "٣. Ho 3. X", "advice", False),
+        (0, 3, "abc", 52, "Tiền sử", "clinical", False), (3, 0, "ab", 11, "٣. Ho 3. X", "advice", False),
     ]
 
 
@@ -60,3 +60,14 @@ def test_noise_between_letters_beyond_the_first_plane(spark):
     rows = spark.createDataFrame([(1, "xxxxxx 𝒜 b 1 c ² d")], "id int, text string")
     got = rows.select(generate.with_noise(F.col("text"), F.lit(0), 5, F.col("id"), F.lit(9), F.lit(0)))
     assert "ArrowEvalPython" in plan(got) and got.first()[0] == "xxxxxx𝒜b 1 c ² d"
+
+
+def test_small_files_of_much_work_are_spread(spark):
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(40).selectExpr("id", "'b' AS diagnosis", "array('ho') AS symptoms", "array('x') AS drugs")
+    made = compose.article_inputs(rows.coalesce(1), ["ALT"], ["a"], ["x"], ["không {tc}"], ["gia"], ["sử"], ["{d} là gì", "vì sao"], 6)
+    blocks = compose.blocks(spark.range(3).selectExpr("id", "array(named_struct('text', 'a', 'type', 'T')) AS items").coalesce(1), ["H"], ["K"], ["không"], 11)
+    for df in (made, blocks, catalog.QUERIES["gate_histogram"](spark, SF), catalog.QUERIES["anchor_ladder"](spark, SF)):
+        assert f", {n}), REPARTITION_BY_NUM" in plan(df)
+    assert made.filter("size(titles) = 2").count() == 40
+    assert all(r["text"][s["start"] : s["end"]] == "a" for r in blocks.collect() for s in r["spans"])
