@@ -357,7 +357,8 @@ def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = (F.col("p_partkey") % 41).cast("int")
     times = F.when(m == 3, 60).when(m == 5, 500).otherwise(190)
     body = F.concat(F.repeat(F.lit("word gap "), times), F.when(m == 7, "end").otherwise("bait end"))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), m.alias("m"), F.when(m == 1, "").when(m == 19, F.repeat(F.lit("word g "), F.lit(190))).otherwise(body).alias("text"))
+    part = work.spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), m.alias("m"), F.when(m == 1, "").when(m == 19, F.repeat(F.lit("word g "), F.lit(190))).otherwise(body).alias("text"))
     step = F.when(F.col("m") == 19, 7).otherwise(9)
     kind = lambda i: F.when((F.col("m") == 15) & (i == 2), "nothing").when((i % 2 == 0) | (F.col("m") == 21), "THUỐC").otherwise("CHẨN_ĐOÁN")
     wide = F.when(F.col("m") == 11, 20).otherwise(50)
