@@ -180,7 +180,7 @@ _VARIANT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_na
 UNION ALL SELECT p_partkey, 'nowhere to be found in it', NULL, NULL FROM part""")
 def anchor_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as they are, in other case and spacing, with marks at their ends, with another last letter; and a phrase that no rung finds."""
-    rx = prescriptions(spark, sf_dir)
+    rx = work.spread(prescriptions(spark, sf_dir), "doc_id")
     last = F.concat(F.substr("p_name", F.lit(1), F.length("p_name") - 1), F.lit("x"))
     k = F.col("doc_id") % 4
     phrase = F.when(k == 0, F.col("p_name")).when(k == 1, F.upper(F.replace("p_name", F.lit(" "), F.lit("   ")))).when(k == 2, F.concat(F.lit("- "), "p_name", F.lit("."))).otherwise(last)
