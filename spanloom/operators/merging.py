@@ -112,8 +112,10 @@ def mixed(blocks: DataFrame, prose: DataFrame, seed: int, share: float = SHARE,
     named = pairs.join(pool.select(F.col("number").alias("prose"), F.col("id").alias("prose_id")), "prose").select(F.col("id").alias("__i"), "prose_id")
     given = prose.select(F.col("id").alias("__p"), F.col("text").alias("__t"), F.col("spans").alias("__s"))
     chosen = tried.select(F.col("id").alias("__l"), F.lit(True).alias("__tried"))
-    rows = blocks.join(sized.filter("said").select(F.col("id").alias("__k")), F.col("id") == F.col("__k")).join(chosen, F.col("id") == F.col("__l"), "left")
-    rows = rows.join(named, F.col("id") == F.col("__i"), "left").join(given, F.col("prose_id") == F.col("__p"), "left")
+    # texts meet once, dealt by a number of tasks: they may compress well, and a shuffle that is coalesced to its bytes would then give tasks too much
+    leads = work.spread(named.join(given, F.col("prose_id") == F.col("__p")), "__i")
+    rows = work.spread(blocks, "id").join(sized.filter("said").select(F.col("id").alias("__k")), F.col("id") == F.col("__k")).join(chosen, F.col("id") == F.col("__l"), "left")
+    rows = rows.join(leads, F.col("id") == F.col("__i"), "left")
     text, spans = merged(F.col("__t"), F.col("__s"), F.col("text"), F.col("spans"))
     alone = F.col("prose_id").isNull()
     return rows.select("id", F.coalesce("__tried", F.lit(False)).alias("tried"), "prose_id", F.when(alone, F.col("text")).otherwise(text).alias("text"), F.when(alone, F.col("spans")).otherwise(spans).alias("spans"))

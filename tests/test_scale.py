@@ -71,3 +71,8 @@ def test_small_files_of_much_work_are_spread(spark):
         assert f", {n}), REPARTITION_BY_NUM" in plan(df)
     assert made.filter("size(titles) = 2").count() == 40
     assert all(r["text"][s["start"] : s["end"]] == "a" for r in blocks.collect() for s in r["spans"])
+
+
+def test_mixed_texts_meet_by_a_number_of_tasks(spark):
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert plan(generated.mixed_texts(spark, SF)).count(f", {n}), REPARTITION_BY_NUM") >= 2
