@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -266,7 +266,10 @@ def groups(raw: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -
     lists = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
     one = durable(lists.groupBy("m", "lo", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", F.lit(True).alias("one")))
     kept = lookup(own, one, "sig", "m", own.count()).filter("one").drop("one").join(classes.select(F.col("key").alias("__k"), "n"), F.col("key") == F.col("__k"))
-    return durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
+    kept = durable(kept.select("sig", "key", "n", F.floor(F.log("n") / math.log(of / part)).alias("band")))
+    for table in (own, one):
+        discard(table)
+    return kept
 
 
 def stars(placed: DataFrame, turn: int) -> DataFrame:
@@ -393,6 +396,18 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def apart(rows: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose hash may be one of the keys (one bigint column), and those whose hash surely isn't: what a join with the keys
+    would do nothing to needs no shuffle, however long its texts are. Only hashes go to Python."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys))
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, hashes.to_numpy(zero_copy_only=False)))
+
+    return rows.filter(may(hashed)), rows.filter(~may(hashed))
+
+
 #: Pairs that a piece of work should hold, and members of one star that go to one piece at least.
 _PAIRS, _RAYS = 2048, 8192
 
@@ -472,7 +487,9 @@ def sets_for(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, k
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["key", "tokens"])
 
     got = docs.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).mapInArrow(run, "key bigint, tokens binary")
-    return durable(got.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    out = durable(got.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    discard(wanted)
+    return out
 
 
 def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
@@ -501,15 +518,21 @@ def class_links(docs: DataFrame, text: str, classes: DataFrame, outlines: DataFr
 
     def linked(pairs: DataFrame, sure: bool = False) -> DataFrame:
         some = durable(pairs if sure else promising(pairs, outlines, part, of))
-        return durable(verify(some, sets_for(docs, text, classes, some, k), part, of))
+        sets = sets_for(docs, text, classes, some, k)
+        found = durable(verify(some, sets, part, of))
+        for table in (some, sets):
+            discard(table)
+        return found
 
     placed, links, tried = group.withColumn("comp", F.col("key")), None, []
     for turn in range(TURNS):
         tried.append(stars(placed, turn))
         found = linked(tried[-1])
         links = found if links is None else links.unionByName(found)
-        comp = components(links)
+        comp, old = components(links), placed
         placed = durable(group.join(comp.select(F.col("node").alias("__k"), "comp"), F.col("key") == F.col("__k"), "left").select("sig", "key", "n", "band", F.coalesce("comp", "key").alias("comp")))
+        if turn:
+            discard(old)
     rest = across(placed, outlines, part, of)
     for pairs in tried:
         rest = rest.join(pairs, ["a", "b"], "left_anti")
@@ -546,7 +569,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = durable(resolved(rows, k, t, SHINGLE, PART, OF))
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id")) | (F.col("hash") != F.col("component_hash"))).select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
     of = (F.xxhash64(t) == F.col("__h")) & F.col(k).eqNullSafe(F.col("__id"))
-    kept = rows.join(gone, of, "left_anti")
+    gone = durable(gone)
+    some, rest = apart(rows, F.xxhash64(t), gone.select("__h"))
+    kept = some.join(gone, of, "left_anti").unionByName(rest)
     twice = found.filter("(id is not null or key is not null) and id <=> component_id and hash = component_hash").groupBy("id", "hash").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__h"))
     twice = durable(twice)
     if twice.limit(1).count():

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.core import Words, durable, lean, lookup, mix, plainly, rolling, slices, whole
-from spanloom.llm.neardup import _bits, bitmap_of, in_bitmap
+from spanloom.llm.neardup import _bits, apart, bitmap_of, in_bitmap
 
 WIDTH, GRAM = 50, 8
 #: Selected places of a gram up to which its suffixes are sorted in one task (600 bytes each).
@@ -364,7 +364,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     spans = _passages(docs, key, text, width, "hash").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__h"))
     spans = durable(spans.agg(F.sort_array(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))).alias("__cuts")))
     cols = docs.columns
-    rows = docs.join(spans, (F.xxhash64(text) == F.col("__h")) & F.col(key).eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
+    some, rest = apart(docs, F.xxhash64(text), spans.select("__h"))
+    rows = some.join(spans, (F.xxhash64(text) == F.col("__h")) & F.col(key).eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
     schema = rows.schema
     at = cols.index(text)
 
@@ -400,7 +401,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 columns[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, schema).select(*cols).toDF(*names)
+    return rows.mapInArrow(run, schema).select(*cols).unionByName(rest).toDF(*names)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,26 @@ def test_ngram_jaccard_edges(spark):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [neardup.drop_near_duplicates, suffixes.cut_repeats])
+def test_texts_without_duplicates_are_not_shuffled(spark, stage):
+    """Where the list of what goes is too long for a broadcast, only texts that may be in it meet it by shuffle."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(r.randint(60, 900)))) for i in range(600)]
+    rows += [(600 + i, rows[i][1]) for i in range(0, 40, 2)]
+    sent = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    size = sum(len(t) for _, t in rows) // 2  # digits in hexadecimal compress to a half
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stage(core.durable(docs(spark, rows)))
+        began = sent()
+        kept = {x["doc_id"]: x["text"] for x in out.collect()}
+        assert sent() - began < size // 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == dict(rows[:600])
+
+
 def test_index_entries_meet():
     """Any two sets at the threshold share an entry, whatever tokens are frequent."""
     r = np.random.default_rng(0)
