@@ -100,8 +100,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file per prescription with its spans, written and read back."""
     folder, rx = work.work_path(spark), prescriptions(spark, sf_dir)
     found = rx.filter("p_size % 2 = 0").select("doc_id", F.lit(5).cast("bigint").alias("start"), (5 + F.length("p_name")).cast("bigint").alias("end"), F.lit("THUỐC").alias("type"), F.col("p_name").alias("text"))
-    work.write_files(tables.documents_json(rx, found), folder)
-    rows = tables.read_documents(spark, folder)
+    rows = tables.read_documents(spark, folder, work.write_files(tables.documents_json(rx, found), folder))
     one = F.try_element_at("entities", F.lit(1))
     return rows.select(F.col("name").cast("bigint").alias("doc_id"), "text", F.size("entities").cast("bigint").alias("n"), one["text"].alias("first"), one["position"][0].alias("start"))
 

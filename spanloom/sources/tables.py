@@ -38,10 +38,17 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text, entities) of documents that were written as a JSON file each: {"text", "entities"}, entities in the export's form."""
+def read_documents(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """(name, text, entities) of documents that were written as a JSON file each: {"text", "entities"}, entities in the export's form.
+
+    Where the files' names are known (files, as write_files gives them), tasks open them by name; else Spark lists the folder, on the driver, and has a
+    task for few files."""
     schema = f"text string, entities array<{ENTITY}>"
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.from_json("value", schema).alias("d"))
+    if files is None:
+        rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    else:
+        rows = work.read_files(files, path)
+    rows = rows.select(F.regexp_extract("name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.from_json("content", schema).alias("d"))
     return rows.select("name", "d.text", "d.entities")
 
 

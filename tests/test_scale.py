@@ -1,11 +1,14 @@
 """What must hold at sizes and values that the given tables don't have: plans, orders of large keys, and vectorised passes over odd texts."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import compose, generate, rules, segment, verify
-from spanloom.plans import catalog, generated
-from spanloom.sources import tables
+from spanloom.plans import catalog, generated, library
+from spanloom.sources import tables, work
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +79,20 @@ def test_small_files_of_much_work_are_spread(spark):
 def test_mixed_texts_meet_by_a_number_of_tasks(spark):
     n = spark.conf.get("spark.sql.shuffle.partitions")
     assert plan(generated.mixed_texts(spark, SF)).count(f", {n}), REPARTITION_BY_NUM") >= 2
+
+
+def test_written_documents_are_read_by_name(spark, tmp_path, monkeypatch):
+    """Tasks open the files, so no folder is listed on the driver and no file is a task's share; contents are those that a listing gives."""
+    monkeypatch.setattr(work, "_HELD", 30)
+    texts = {"1": "văn bản 1\r\n", "2": "", "x.y": "½\x00 😀", "10": " a\n\n"}
+    folder = str(tmp_path / "d")
+    rows = spark.createDataFrame([(k, json.dumps({"text": v, "entities": []})) for k, v in texts.items()], "name string, content string")
+    files = work.write_files(rows.withColumn("name", F.concat("name", F.lit(".json"))), folder)
+    got = tables.read_documents(spark, folder, files)
+    assert "Scan text" in plan(tables.read_documents(spark, folder)) and "Scan text" not in plan(got)
+    assert {r["name"].removesuffix(".y"): r["text"] for r in got.collect()} == {k.removesuffix(".y"): v for k, v in texts.items()}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tables.read_documents(spark, folder).collect()))
+    assert "Scan text" not in plan(library.document_files(spark, SF))
+    (tmp_path / "d" / "1.json").unlink()
+    with pytest.raises(Exception, match="1.json"):
+        tables.read_documents(spark, folder, files).collect()
