@@ -3,7 +3,8 @@
 Vectors are dealt by the centre that is nearest to them (CENTRES at most, rows with the smallest tickets: a bounded sample that decides about speed alone) and packed into
 tiles of TILE_BYTES; a tile knows its centre and the widest angle to it. A query tile first meets, of each class, the tile whose centre is nearest to its own; what
 that gives each query is a bound. Then it meets only tiles that may hold better: two vectors are no nearer than the angle between their centres less the two
-widest angles. Tiles meet by shuffle, so no task or driver holds more than two tiles and the centres, whatever the number of queries and rows.
+widest angles. Tiles meet by shuffle, in groups of a query tile and about TOGETHER others, so no task or driver holds more than a group and
+the centres, whatever the number of queries and rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from spanloom.sources import work
 
 #: Bytes of a tile's vectors, and the most centres.
 TILE_BYTES, CENTRES = 1 << 20, 256
+#: So many tiles, about, meet a query tile at once.
+TOGETHER = 8
 #: So many pairs of tiles are all compared.
 FEW_PAIRS = 64
 #: Room for rounding in bounds on angles.
@@ -93,25 +96,29 @@ def _tiles(rows: DataFrame, centres: np.ndarray, tile_bytes: int) -> DataFrame:
     return work.written(packed.withColumn("tile", F.monotonically_increasing_id()))
 
 
-def _met(pairs: DataFrame, q: DataFrame, r: DataFrame, kind: str, size: int) -> DataFrame:
-    """(k, q, first, best): the largest cosine of each query of the paired tiles (q, r), itself left out."""
-    left = q.select(F.col("tile").alias("q"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
-    right = r.select(F.col("tile").alias("r"), "first", "ids", "raw")
-    both = pairs.select("q", "r").join(left, "q").join(right, "r").select("q", "qids", "qraw", "first", "ids", "raw")
+def _met(pairs: DataFrame, q: DataFrame, r: DataFrame, kind: str, size: int, n_rows: int) -> DataFrame:
+    """(k, q, first, best): the largest cosine of each query of the paired tiles (q, r), itself left out; n_rows: how many tiles r has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tile, qids, qraw, first, ids, raw = (c[i] for c in batch.columns)
-                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, size) for x in (qraw, raw))
-                c = a @ b.T
-                mine, other = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (qids, ids))
-                c[mine[:, None] == other[None, :]] = -np.inf
-                best = c.max(axis=1)
-                some = best > -np.inf
-                yield pa.RecordBatch.from_arrays([qids.values.filter(pa.array(some)), pa.array([tile.as_py()] * int(some.sum()), pa.int64()), pa.array([first.as_py()] * int(some.sum()), pa.bool_()), pa.array(best[some])], names=["k", "q", "first", "best"])
-
-    return both.mapInArrow(run, f"k {kind}, q bigint, first boolean, best double")
+    A query tile meets about TOGETHER others at once, a group of its own; it goes to each group once, and a task holds one group at a time, however many it has.
+    """
+    deal = pairs.select("q", F.col("r").alias("tile"), F.pmod(F.xxhash64("r"), F.lit(max(1, n_rows // TOGETHER))).alias("part"))
+    left = deal.select(F.col("q").alias("tile"), F.col("part").alias("to")).distinct().join(q.select("tile", "ids", "raw"), "tile")
+    right = deal.join(r.select("tile", "first", "ids", "raw"), "tile").select("q", "part", "first", "ids", "raw")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tile, qids = left.column("tile")[0].as_py(), left.column("ids")[0].values
+        a, mine = np.frombuffer(left.column("raw")[0].as_buffer(), np.float64).reshape(-1, size), np.asarray(qids.to_numpy(zero_copy_only=False))
+        out = []
+        for first, ids, raw in zip(*(right.column(c) for c in ("first", "ids", "raw")), strict=True):
+            c = a @ np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, size).T
+            c[mine[:, None] == np.asarray(ids.values.to_numpy(zero_copy_only=False))[None, :]] = -np.inf
+            best = c.max(axis=1)
+            some = best > -np.inf
+            n = int(some.sum())
+            out.append(pa.table({"k": qids.filter(pa.array(some)), "q": pa.array([tile] * n, pa.int64()), "first": pa.array([first.as_py()] * n, pa.bool_()), "best": best[some]}))
+        return pa.concat_tables(out)
+
+    return left.groupBy("tile", "to").cogroup(right.groupBy("q", "part")).applyInArrow(run, f"k {kind}, q bigint, first boolean, best double")
 
 
 def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str, first_class: Column, tile_bytes: int | None = None, most_centres: int | None = None, few_pairs: int = FEW_PAIRS) -> DataFrame:
@@ -137,10 +144,10 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     centres = centres if len(centres) else np.eye(1, size)
     q, r = _tiles(asked, centres, tile_bytes), _tiles(every, centres, tile_bytes)
 
-    n_pairs = q.count() * r.count()
-    if n_pairs <= few_pairs:  # what bounds could save is less than what they cost
+    n_rows = r.count()
+    if q.count() * n_rows <= few_pairs:  # what bounds could save is less than what they cost
         every_pair = q.select(F.col("tile").alias("q")).join(r.select(F.col("tile").alias("r")))
-        return _named(queries, key, _met(every_pair, q, r, kind, size))
+        return _named(queries, key, _met(every_pair, q, r, kind, size, n_rows))
 
     # centres with centres: most_centres squared at most
     angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
@@ -154,12 +161,12 @@ def nearest_by_class(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     top = F.when(gap > _SLACK, F.cos(gap - _SLACK)).otherwise(1.0)  # no cosine of the pair is larger
     pairs = work.written(pairs.select("q", "r", "first", top.alias("top"), F.coalesce("turn", F.lit(9.0)).alias("turn")))
     begun = pairs.groupBy("q", "first").agg(F.min(F.struct("turn", "r")).alias("x")).select("q", "first", F.col("x.r").alias("r"))
-    one = work.written(_met(begun, q, r, kind, size))
+    one = work.written(_met(begun, q, r, kind, size, n_rows))
     # a class's bound holds for a tile only if all its queries have one
     found = one.groupBy("q", "first").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("n"))
     found = found.join(q.select(F.col("tile").alias("q"), F.size("ids").alias("m")), "q").select("q", "first", F.when(F.col("n") == F.col("m"), F.col("least")).alias("least"))
     rest = pairs.join(begun.select("q", "r", F.lit(True).alias("__done")), ["q", "r"], "left").filter("__done is null").join(found, ["q", "first"], "left").filter(F.col("least").isNull() | (F.col("top") > F.col("least")))
-    return _named(queries, key, one.unionByName(_met(rest, q, r, kind, size)))
+    return _named(queries, key, one.unionByName(_met(rest, q, r, kind, size, n_rows)))
 
 
 def _named(queries: DataFrame, key: str, got: DataFrame) -> DataFrame:

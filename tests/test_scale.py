@@ -1,12 +1,13 @@
 """What must hold at sizes and values that the given tables don't have: plans, orders of large keys, and vectorised passes over odd texts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import compose, generate, rules, segment, verify
+from spanloom.operators import compose, generate, nearest, rules, segment, verify
 from spanloom.plans import catalog, generated, library
 from spanloom.sources import tables, work
 
@@ -96,3 +97,16 @@ def test_written_documents_are_read_by_name(spark, tmp_path, monkeypatch):
     (tmp_path / "d" / "1.json").unlink()
     with pytest.raises(Exception, match="1.json"):
         tables.read_documents(spark, folder, files).collect()
+
+
+def test_tiles_meet_in_bounded_groups(spark, monkeypatch):
+    """A task is given a group of a query tile and a few others, not all its pairs of tiles in one batch; the number in a group decides nothing."""
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(3)], i % 3) for i in range(60)], "id bigint, v array<double>, label int")
+    got = []
+    for together in (1, 1000):
+        monkeypatch.setattr(nearest, "TOGETHER", together)
+        found = nearest.nearest_by_class(rows.filter("id % 2 = 0"), rows, "id", "v", F.col("label") == 0, 24 * 3, 4, 1 << 20)
+        assert "FlatMapCoGroupsInArrow" in plan(found)
+        got.append(sorted((x[0], round(x[1], 12), round(x[2], 12)) for x in found.collect()))
+    assert got[0] == got[1] and len(got[0]) == 30
