@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,38 +112,63 @@ def blocks(rows: DataFrame, headings: list[str], negative_headings: list[str], n
     blocks end in a section of negative statements, which are no spans. A row without items has at most that."""
     headings_of = _cased_lists(rows.sparkSession, headings, negative_headings)
     src = spread(rows, key).select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.col(items).alias("x"))
-    part = pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-
-    def one(k: str, x: list[dict]) -> tuple[str, list[dict]]:
-        u = lambda i, *more: _share(seed + i, k, *more)
-        layout, case, bullet, indent, colon, blank, numbering = (_pick(o, u(i)) for i, o in enumerate((LAYOUTS, CASES, BULLETS, INDENTS, COLONS, BLANKS, NUMBERING), 1))
+    types = dict(src.dtypes)
+    seeds = [f"{seed + i}:".encode() for i in range(13)]
+    choices = [(o, len(o)) for o in (LAYOUTS, CASES, BULLETS, INDENTS, COLONS, BLANKS, NUMBERING)]
+
+    def one(k: str, said: list, places: tuple[list, list]) -> tuple[str, list[int]]:
+        """The text of a block with these items, and their order in it; their places are added."""
+        raw = k.encode()
+        u = lambda i: int.from_bytes(md5(seeds[i] + raw).digest()[:8], "big") >> 4
+        more = lambda i, j: int.from_bytes(md5(b"%b%b:%d" % (seeds[i], raw, j)).digest()[:8], "big") >> 4
+        layout, case, bullet, indent, colon, blank, numbering = [o[int(u(i) / _SIDES * n)] for i, (o, n) in enumerate(choices, 1)]
         lead = indent + (f"{bullet} " if bullet is not None else "")
-        order = sorted(range(len(x)), key=lambda i: (u(0, i), i))
-        size = max(1, len(x) // sections)
-        section = lambda i: min(i // size, sections - 1)
-        parts, places, at = [], [], 0
+        n = len(said)
+        order = sorted(range(n), key=[more(0, i) / _SIDES for i in range(n)].__getitem__)
+        size = max(1, n // sections)
+        parts, at, s = [], 0, -1
+        begun, ended = places
         for i, j in enumerate(order):
-            s, before = section(i), ""
-            last = i == len(x) - 1 or section(i + 1) != s
-            if i == 0 or section(i - 1) != s:
-                before = (f"{numbering} " if i == 0 and numbering is not None else "") + _pick(headings_of[case][0], u(8, s)) + colon + "\n"
+            before = ""
+            if (now := min(i // size, sections - 1)) != s:
+                s = now
+                before = (f"{numbering} " if i == 0 and numbering is not None else "") + _pick(headings_of[case][0], more(8, s) / _SIDES) + colon + "\n"
+            last = i == n - 1 or min((i + 1) // size, sections - 1) != s
             before += lead if layout == "bullet" else f"{indent}{i - s * size + 1}. " if layout == "numbered" else ""
-            said = x[j]["text"] or ""
+            after = (", " if layout == "inline" and not last else "\n") + ("\n" * blank if last else "")
+            word = said[j] or ""
             start = at + len(before)
-            places.append({"text": x[j]["text"], "type": x[j]["type"], "start": start, "end": start + len(said)})
-            parts += [before, said, (", " if layout == "inline" and not last else "\n") + ("\n" * blank if last else "")]
-            at = start + len(said) + len(parts[-1])
-        if u(12) < NEGATIVE_SHARE:
-            denied = sorted(range(len(negatives)), key=lambda i: (u(10, i), negatives[i]))[: int(u(9) * 4) + 2]
-            parts += [_pick(headings_of[case][1], u(11)), colon, "\n", *[f"{lead}{negatives[i]}\n" for i in denied], "\n"]
-        return "".join(parts), places
+            at = start + len(word)
+            begun.append(start)
+            ended.append(at)
+            parts += (before, word, after)
+            at += len(after)
+        if u(12) / _SIDES < NEGATIVE_SHARE:
+            denied = sorted(range(len(negatives)), key=lambda i: (more(10, i) / _SIDES, negatives[i]))[: int(u(9) / _SIDES * 4) + 2]
+            parts += [_pick(headings_of[case][1], u(11) / _SIDES), colon, "\n", *[f"{lead}{negatives[i]}\n" for i in denied], "\n"]
+        return "".join(parts), order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(None, None) if x is None else one(k, x) for k, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in made], pa.string()), pa.array([p for _, p in made], pa.list_(part))], names=["k", "text", "spans"])
+            x = batch.column(2)
+            held = x.flatten()  # the items of all rows, one after another
+            said, ends = held.field("text").to_pylist(), pc.fill_null(pc.list_value_length(x), 0).to_numpy().cumsum().tolist()
+            texts, begun, ended, taken, a = [], [], [], [], 0
+            for k, none, b in zip(batch.column(1).to_pylist(), x.is_null().to_pylist(), ends, strict=True):
+                text, order = (None, ()) if none else one(k, said[a:b], (begun, ended))
+                texts.append(text)
+                taken += [a + j for j in order]
+                a = b
+            at = pa.array(taken, pa.int64())
+            spans = pa.StructArray.from_arrays([held.field("text").take(at), held.field("type").take(at), pa.array(begun, pa.int64()), pa.array(ended, pa.int64())], fields=list(part))
+            offsets = pa.array([0, *ends], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(offsets, spans, mask=x.is_null())], names=["k", "text", "spans"])
+
+    part = pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    return src.mapInArrow(run, f"k {types['k']}, text string, spans {SPANS}").withColumnRenamed("k", key)
+
 
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, text string, spans {SPANS}").withColumnRenamed("k", key)
+_SIDES = float(1 << 60)
 
 
 def _share(*parts) -> float:

@@ -50,6 +50,17 @@ def merged(first: Column, first_spans: Column, second: Column, second_spans: Col
     return F.concat(first, F.lit(GAP), second), F.concat(first_spans, moved)
 
 
+def places(spans: Column) -> Column:
+    """Spans in order without their texts."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+
+
+def filled(text: Column, spans: Column) -> Column:
+    """Places (start, end, type) with what stands there in the text."""
+    at = lambda s: F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), at(s).alias("text"), s["type"].alias("type")))
+
+
 def _paired(tried: DataFrame, pool: DataFrame, size: int, least: int, most: int, run: int) -> DataFrame:
     """(id, prose): which prose text (by number) each tried block gets, in order of the ids; tried: (id, n, ok), pool: (number, n, ok)."""
     e = pool.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("ok").alias("all"), F.max("ok").alias("any")).first()
@@ -109,13 +120,22 @@ def mixed(blocks: DataFrame, prose: DataFrame, seed: int, share: float = SHARE,
     tried = work.written(lot.select("id", "n", F.col("apart").alias("ok")))
     none = tried.select("id", F.lit(None).cast("bigint").alias("prose")).limit(0)
     pairs = _paired(tried, pool, size, least, most, run) if size else none
-    named = pairs.join(pool.select(F.col("number").alias("prose"), F.col("id").alias("prose_id")), "prose").select(F.col("id").alias("__i"), "prose_id")
-    given = prose.select(F.col("id").alias("__p"), F.col("text").alias("__t"), F.col("spans").alias("__s"))
     chosen = tried.select(F.col("id").alias("__l"), F.lit(True).alias("__tried"))
-    # texts meet once, dealt by a number of tasks: they may compress well, and a shuffle that is coalesced to its bytes would then give tasks too much
-    leads = work.spread(named.join(given, F.col("prose_id") == F.col("__p")), "__i")
-    rows = work.spread(blocks, "id").join(sized.filter("said").select(F.col("id").alias("__k")), F.col("id") == F.col("__k")).join(chosen, F.col("id") == F.col("__l"), "left")
-    rows = rows.join(leads, F.col("id") == F.col("__i"), "left")
-    text, spans = merged(F.col("__t"), F.col("__s"), F.col("text"), F.col("spans"))
+    behind = pairs.select(F.col("id").alias("__i"), F.col("prose").alias("__n"))
+    # spans of what is left stand at their places, so their texts are cut out again behind the shuffles
+    # (under names that the result hasn't: inside of lambdas a name would be that of a column beside them)
+    rows = work.spread(blocks.select("id", F.col("text").alias("__b"), places(F.col("spans")).alias("__e")), "id")
+    rows = rows.join(sized.filter("said").select(F.col("id").alias("__k")), F.col("id") == F.col("__k")).join(chosen, F.col("id") == F.col("__l"), "left").join(behind, F.col("id") == F.col("__i"), "left")
+    # blocks are dealt to the prose texts, which are many times as long and stand before many blocks each; few prose texts are dealt more than once, so that all tasks
+    # have some. Dealt by a number of tasks: texts may compress well, and a shuffle that is coalesced to its bytes would then give tasks too much
+    copies = max(1, -(-2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(size, 1)))
+    lot = F.xxhash64("id")
+    rows = rows.withColumn("__c", F.when(F.col("__n").isNull(), lot).otherwise(F.pmod(lot, F.lit(copies).cast("bigint")))).withColumn("__n", F.coalesce("__n", F.lit(-1).cast("bigint")))
+    given = prose.select(F.col("id").alias("prose_id"), F.col("text").alias("__t"), places(F.col("spans")).alias("__s"))
+    given = given.join(pool.select("number", F.col("id").alias("__p")), F.col("prose_id") == F.col("__p")).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
+    leads = work.spread(given.select("number", "__d", "prose_id", "__t", "__s"), "number", "__d")
+    rows = work.spread(rows, "__n", "__c").join(leads, (F.col("__n") == F.col("number")) & (F.col("__c") == F.col("__d")), "left")
     alone = F.col("prose_id").isNull()
-    return rows.select("id", F.coalesce("__tried", F.lit(False)).alias("tried"), "prose_id", F.when(alone, F.col("text")).otherwise(text).alias("text"), F.when(alone, F.col("spans")).otherwise(spans).alias("spans"))
+    own = filled(F.col("__b"), F.col("__e"))
+    text, spans = merged(F.col("__t"), filled(F.col("__t"), F.col("__s")), F.col("__b"), own)
+    return rows.select("id", F.coalesce("__tried", F.lit(False)).alias("tried"), "prose_id", F.when(alone, F.col("__b")).otherwise(text).alias("text"), F.when(alone, own).otherwise(spans).alias("spans"))

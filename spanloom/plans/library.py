@@ -389,7 +389,8 @@ _HEADS, _NO_HEADS, _NO = ["Khám lâm sàng", "Hỏi đáp"], ["Phủ nhận"],
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.concat(F.lit("mục "), F.col("l_partkey").cast("string")).alias("text"), F.when(F.col("l_linenumber") % 2 == 0, "THUOC").otherwise("CHAN_DOAN").alias("type"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(one).alias("items"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_linenumber")
+    return work.spread(lines, "id").groupBy("id").agg(F.collect_list(one).alias("items"))  # no lists are made, and merged, before the lines of an order meet
 
 
 @query("SELECT count(*) AS n, count(*) AS verbatim, count(*) AS complete, count(*) AS ordered, CAST(sum(m) AS BIGINT) AS spans, TRUE AS denied FROM (SELECT l_orderkey, count(*) AS m FROM lineitem GROUP BY 1)")

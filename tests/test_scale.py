@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import compose, generate, nearest, rules, segment, verify
+from spanloom.operators import compose, generate, merging, nearest, rules, segment, verify
 from spanloom.plans import catalog, generated, library
 from spanloom.sources import tables, work
 
@@ -110,3 +110,16 @@ def test_tiles_meet_in_bounded_groups(spark, monkeypatch):
         assert "FlatMapCoGroupsInArrow" in plan(found)
         got.append(sorted((x[0], round(x[1], 12), round(x[2], 12)) for x in found.collect()))
     assert got[0] == got[1] and len(got[0]) == 30
+
+
+def test_prose_is_dealt_once_and_not_to_every_block(spark):
+    """Long texts that stand before many blocks are shuffled by their own numbers; one of few is dealt to all tasks, and no block meets two."""
+    prose = spark.createDataFrame([(100 + j, "é" * 2000, [("é", "C", 1, 2)]) for j in range(2)], "id bigint, text string, spans array<struct<text:string,type:string,start:int,end:int>>")
+    blocks = spark.range(300).selectExpr("id", "concat('mục ', id) AS text", "array(named_struct('text', concat('', id), 'type', 'T', 'start', 4, 'end', 4 + length(concat('', id)))) AS spans")
+    got = merging.mixed(blocks, prose, 9)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(number#" in plan(got) and "hashpartitioning(__n#" in plan(got)
+    rows = got.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 300 and sum(r["tried"] for r in rows) == sum(r["prose_id"] is not None for r in rows) == 180
+    assert all(r["text"][s["start"] : s["end"]] == s["text"] for r in rows for s in r["spans"]) and {len(r["spans"]) for r in rows if r["tried"]} == {2}
+    assert len({r["task"] for r in rows if r["tried"]}) > tasks // 2 and {r["prose_id"] for r in rows if r["tried"]} == {100, 101}
