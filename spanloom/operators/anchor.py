@@ -76,8 +76,12 @@ def best_run(text: str, phrase: str, least: float = NEAREST) -> tuple[int, int]
 
 
 def _nearest(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-    out = [best_run(t or "", p or "") or (None, None) for t, p in zip(texts, phrases, strict=True)]
-    return pd.DataFrame(out, columns=["start", "end"]).astype("Int64")
+    at, none = np.zeros((len(texts), 2), np.int64), np.ones(len(texts), bool)
+    for i in np.flatnonzero((texts.notna() & phrases.notna()).to_numpy()).tolist():  # those that no rung before found
+        got = best_run(texts.iloc[i], phrases.iloc[i])
+        if got:
+            at[i], none[i] = got, False
+    return pd.DataFrame({c: pd.arrays.IntegerArray(np.ascontiguousarray(at[:, k]), none.copy()) for k, c in enumerate(("start", "end"))})
 
 
 def anchor(rows: DataFrame, text: str = "text", phrase: str = "phrase") -> DataFrame:

@@ -504,7 +504,7 @@ cut AS (SELECT doc_id, min(s) AS cut_at FROM lines WHERE line = '{MARK}' GROUP B
 SELECT v.doc_id, substr(line, c + 2) AS text, CAST(s + c + 1 AS BIGINT) AS "start", CAST(s + length(line) AS BIGINT) AS "end", 'KẾT_QUẢ_XÉT_NGHIỆM' AS type, CASE WHEN s >= cut_at THEN 'clinical' ELSE 'advice' END AS zone
 FROM v JOIN cut USING (doc_id)""")
 def verified_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = segment.segment(notes(spark, sf_dir))
+    units = work.written(segment.segment(notes(spark, sf_dir)))  # read twice
     value, name = F.regexp_extract("text", ": (.*)$", 1), F.regexp_extract("text", r"part (\d+)", 1)
     item = lambda line, kind, text: F.struct(F.lit(line).alias("line"), F.lit(kind).alias("kind"), text.alias("text"))
     said = F.array(item(0, "KẾT_QUẢ_XÉT_NGHIỆM", F.upper(value)), item(1, "TÊN_XÉT_NGHIỆM", name), item(2, "THUỐC", F.lit("không rõ")))
