@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.sources import work
 
 NEAREST = 0.85
 SHARE_FOUND = 0.6
@@ -121,11 +122,13 @@ def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most:
     """Spans (those of which ``only`` holds) that aren't names themselves grow to the shortest name that they begin (or else end), up to
     ``most`` words, if that touches no other span of the document."""
     known = names.select(T.key_form(F.col(name)).alias("__k")).distinct()
-    words = docs.select("doc_id", F.col("text").alias("__t"), T.words(F.col("text")).alias("__w"))
     ids = spans.withColumn("__id", F.xxhash64(*spans.columns))
     asked = ids if only is None else ids.filter(only)
     own = asked
-    own = own.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti").join(words, "doc_id")
+    # written, so that its size is known: where few spans may grow, neither documents nor spans are shuffled for them, and words are made of no other documents
+    own = work.written(own.join(known, T.key_form(F.col("text")) == F.col("__k"), "left_anti"))
+    theirs = docs.select("doc_id", F.col("text").alias("__t")).join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = own.join(theirs.withColumn("__w", T.words(F.col("__t"))), "doc_id")
     cut = lambda a, b: F.substr(F.col("__t"), (a + 1).cast("int"), (b - a).cast("int"))
     after = F.transform(F.slice(F.filter("__w", lambda w: w["start"] >= F.col("end")), 1, most), lambda w, i: F.struct(F.lit(0).alias("side"), (i + 1).alias("n"), F.col("start").alias("a"), w["end"].alias("b"), cut(F.col("start"), w["end"]).alias("c")))
     left = F.reverse(F.filter("__w", lambda w: w["end"] <= F.col("start")))
@@ -133,7 +136,9 @@ def extended_by_names(spans: DataFrame, docs: DataFrame, names: DataFrame, most:
     tries = own.select("__id", "doc_id", F.explode(F.concat(after, before)).alias("g")).withColumn("__c", F.col("g.c"))
     tries = tries.filter(F.size(F.split("__c", r"(?U)\s+")) <= most).join(known, T.key_form(F.col("__c")) == F.col("__k"), "left_semi")
     best = tries.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy("g.side", "g.n"))).filter("__r = 1").select("__id", F.col("doc_id").alias("__d"), F.col("g.a").alias("__a"), F.col("g.b").alias("__b"), F.col("__c").alias("__x"))
+    best = work.written(best)
     others = ids.select(F.col("doc_id").alias("__od"), F.col("start").alias("__os"), F.col("end").alias("__oe"), F.col("__id").alias("__oi"))
+    others = others.join(best.select(F.col("__d").alias("__od")).distinct(), "__od", "left_semi")
     free = best.join(others, (F.col("__d") == F.col("__od")) & (F.col("__id") != F.col("__oi")) & (F.col("__a") < F.col("__oe")) & (F.col("__os") < F.col("__b")), "left_anti")
     rows = asked.join(free, "__id", "left")
     grown = rows.withColumn("text", F.coalesce("__x", "text")).withColumn("start", F.coalesce("__a", "start")).withColumn("end", F.coalesce("__b", "end")).select(*spans.columns)

@@ -130,3 +130,13 @@ def test_units_of_proposals_are_made_once(spark):
     assert "MapInArrow" not in plan(catalog.verified_proposals(spark, SF))
     rows = spark.createDataFrame([(1, "a B\\E  c", "b\\e C"), (2, "x Ho", "- ho ."), (3, "x", None), (4, None, "x"), (5, "đau đầux nhẹ", "đau đầu nhẹ")], "id int, text string, phrase string")
     assert sorted((r["id"], r["start"], r["end"]) for r in anchor.anchor(rows).collect()) == [(1, 2, 8), (2, 2, 4), (3, None, None), (4, None, None), (5, 0, 12)]
+
+
+def test_only_spans_that_grow_need_words_and_neighbours(spark):
+    """Documents and spans aren't shuffled for those that may grow where these are few: their number is known, as they are written first."""
+    docs = spark.createDataFrame([(i, "đau ruột thừa cấp") for i in range(50)], "doc_id bigint, text string")
+    found = spark.createDataFrame([(i, 4, 13, "CHẨN_ĐOÁN" if i == 7 else "THUỐC", "ruột thừa") for i in range(50)] + [(7, 0, 3, "THUỐC", "đau")], "doc_id bigint, start bigint, end bigint, type string, text string")
+    names = spark.createDataFrame([("Ruột thừa cấp",)], "name string")
+    got = anchor.extended_by_names(found, docs, names, only=F.col("type") == "CHẨN_ĐOÁN")
+    assert "regexp_extract_all" not in plan(got)  # no words of whole tables beside the joins
+    assert [(r["start"], r["end"], r["text"]) for r in got.filter("type = 'CHẨN_ĐOÁN'").collect()] == [(4, 17, "ruột thừa cấp")] and got.count() == 51
